@@ -178,7 +178,7 @@ def policy_cost(
             F.sum(F.when(in_top_k(F.col("top_k")), 1).otherwise(-1)).alias("reward"),
             F.sum(log_probability(F.col("vocab_size"))).alias("log_prob"),
         )
-        .withColumn("cost", -F.col("reward") * F.col("log_prob"))
+        .withColumn("cost", F.lit(0.0) - F.col("reward") * F.col("log_prob"))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.operators.embeddings import normalized
 from emberlog.operators.joins import sized
@@ -24,7 +25,7 @@ MAX_CELL_BITS = 16
 ROUND = 9
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _cell(vectors: pd.Series, bits: pd.Series) -> pd.Series:
     """Cell of a vector: the signs of its projections on fixed random directions."""
     if len(vectors) == 0:
@@ -205,7 +206,7 @@ def nearest_points_lsh(
     return first_rows(found, k, [F.asc("distance"), F.asc("p_id")], [group, "q_id"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def maxsim_distance(query: pd.Series, normal: pd.Series) -> pd.Series:
     """1 − Σ over query tokens of the best cosine with any normal token."""
 

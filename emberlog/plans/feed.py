@@ -1 +1,221 @@
-def flagship(spark, sf_dir): ...
+"""Routing, the anomaly feed, feedback, context lookup, ensemble and the flagship query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberlog.operators import feedback as ops
+from emberlog.operators import nextkey
+from emberlog.operators.lines import dashboard_rows
+from emberlog.plans import views as v
+from emberlog.plans.registry import query
+from emberlog.session import written
+
+
+def line_predictions(spark, sf_dir):
+    """A line prediction per log; slow values are anomalies."""
+    return v.cleaned(spark, sf_dir).withColumns({"type": F.lit("rapid"), "id": F.col("log_id").cast("string")})
+
+
+def sequence_predictions(spark, sf_dir):
+    """A sequence prediction per chunk; every second one is an anomaly."""
+    return v.chunks(spark, sf_dir).withColumns(
+        {
+            "type": F.lit("log_gpt"),
+            "id": F.col("chunk_id"),
+            "is_anomaly": (F.col("window_no") + F.col("chunk_no")) % 2 == 0,
+        }
+    )
+
+
+def stores(spark, sf_dir):
+    return ops.route_lines(line_predictions(spark, sf_dir)), ops.route_sequences(sequence_predictions(spark, sf_dir))
+
+
+LINE_FEED = """SELECT 'rapid' AS type, CAST(log_id AS VARCHAR) AS id, hash, service, node AS nodes, filename AS filenames,
+  epoch_us(ts) AS start_us, epoch_us(ts) AS end_us, original_text AS text FROM cleaned WHERE is_anomaly"""
+SEQUENCE_FEED = f"""SELECT 'log_gpt' AS type, chunk_id AS id, {v.sql_hash64('joined')} AS hash, service, nodes, filename AS filenames,
+  epoch_us(start_ts) AS start_us, epoch_us(end_ts) AS end_us, text FROM chunks JOIN (
+    SELECT service, key, window_no, chunk_no, string_agg(node, ',' ORDER BY first_pos) AS nodes FROM (
+      SELECT service, key, window_no, chunk_no, node, min(pos) AS first_pos FROM positioned GROUP BY ALL) GROUP BY ALL)
+    USING (service, key, window_no, chunk_no)"""
+
+
+def feed_rows(feed):
+    return feed.select(
+        "type", "id", "hash", "service", v.text_of("nodes").alias("nodes"), v.text_of("filenames").alias("filenames"),
+        v.micros("start_ts").alias("start_us"), v.micros("end_ts").alias("end_us"), "text",
+    )
+
+
+@query(
+    "H1_routed_predictions",
+    v.with_views("cleaned", "chunks")
+    + """SELECT 'rapid' AS type, service, 'ignore' AS train_strategy, count(*) AS n FROM cleaned WHERE is_anomaly GROUP BY ALL
+         UNION ALL SELECT 'log_gpt', service, coalesce(train_strategy, 'ignore'), count(*) FROM chunks GROUP BY ALL""",
+)
+def routed(spark, sf_dir):
+    lines, sequences = stores(spark, sf_dir)
+    both = lines.select("type", "service", F.lit("ignore").alias("train_strategy")).unionByName(
+        sequences.select("type", "service", "train_strategy")
+    )
+    return both.groupBy("type", "service", "train_strategy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("H2_line_feed", v.with_views("cleaned") + LINE_FEED)
+def line_feed(spark, sf_dir):
+    return feed_rows(ops.unify_lines(ops.route_lines(line_predictions(spark, sf_dir))))
+
+
+@query("H3_sequence_feed", v.with_views("chunks") + SEQUENCE_FEED)
+def sequence_feed(spark, sf_dir):
+    return feed_rows(ops.unify_sequences(ops.route_sequences(sequence_predictions(spark, sf_dir))))
+
+
+@query(
+    "H4_anomaly_feed",
+    v.with_views("cleaned", "chunks")
+    + f"{LINE_FEED} UNION ALL {SEQUENCE_FEED} WHERE (window_no + chunk_no) % 2 = 0 ORDER BY end_us DESC, id",
+)
+def feed(spark, sf_dir):
+    return feed_rows(ops.anomaly_feed(*stores(spark, sf_dir)))
+
+
+@query(
+    "C11_dashboard_rows",
+    v.with_views("cleaned")
+    + """SELECT service, node, filename, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS time, original_text AS log
+         FROM cleaned WHERE is_anomaly""",
+)
+def dashboard(spark, sf_dir):
+    return dashboard_rows(ops.unify_lines(ops.route_lines(line_predictions(spark, sf_dir))))
+
+
+def user_feedback(spark, sf_dir):
+    """Actions of users: on every tenth line (also on ones that do not exist) and on first chunks."""
+    events = v.table(spark, sf_dir, "events")
+    on_lines = events.filter("event_id % 10 < 3").select(
+        F.lit("rapid").alias("type"),
+        F.when(F.col("event_id") % 10 == 2, F.col("event_id") + 1_000_000_000).otherwise(F.col("event_id")).cast("string").alias("id"),
+        F.when(F.col("event_id") % 10 == 1, "confirm").otherwise("normal").alias("action"),
+    )
+    on_chunks = v.chunks(spark, sf_dir).filter("chunk_no < 2").select(
+        F.lit("log_gpt").alias("type"),
+        F.col("chunk_id").alias("id"),
+        F.when(F.col("chunk_no") == 0, "normal").otherwise("confirm").alias("action"),
+    )
+    return on_lines.unionByName(on_chunks)
+
+
+@query(
+    "H5_mark_normal_lines",
+    v.with_views("cleaned") + "SELECT CAST(log_id AS VARCHAR) AS id, log_id % 10 <> 0 AS is_anomaly FROM cleaned WHERE is_anomaly",
+)
+def mark_normal_lines(spark, sf_dir):
+    lines, _ = stores(spark, sf_dir)
+    return ops.mark_normal_lines(lines, user_feedback(spark, sf_dir)).select("id", "is_anomaly")
+
+
+@query(
+    "H5_mark_normal_sequences",
+    v.with_views("chunks")
+    + """SELECT chunk_id AS id, chunk_no <> 0 AND (window_no + chunk_no) % 2 = 0 AS is_anomaly,
+         CASE WHEN chunk_no = 0 THEN 'finetune' ELSE coalesce(train_strategy, 'ignore') END AS train_strategy FROM chunks""",
+)
+def mark_normal_sequences(spark, sf_dir):
+    _, sequences = stores(spark, sf_dir)
+    return ops.mark_normal_sequences(sequences, user_feedback(spark, sf_dir)).select("id", "is_anomaly", "train_strategy")
+
+
+@query(
+    "H5_marked_normals",
+    v.with_views("cleaned") + "SELECT DISTINCT service, hash FROM cleaned WHERE is_anomaly AND log_id % 10 = 0",
+)
+def marked(spark, sf_dir):
+    lines, _ = stores(spark, sf_dir)
+    return ops.marked_lines(lines, user_feedback(spark, sf_dir)).select("service", "hash").distinct()
+
+
+@query(
+    "H5_unmatched_feedback",
+    """SELECT 'rapid' AS type, CAST(CASE WHEN event_id % 10 = 2 THEN event_id + 1000000000 ELSE event_id END AS VARCHAR) AS id,
+       CASE WHEN event_id % 10 = 1 THEN 'confirm' ELSE 'normal' END AS action, 'No document found' AS message
+       FROM events WHERE event_id % 10 = 2 OR (event_id % 10 < 2 AND value < 60)""",
+)
+def unmatched(spark, sf_dir):
+    return ops.unmatched_feedback(user_feedback(spark, sf_dir), *stores(spark, sf_dir)).select(
+        "type", "id", "action", "message"
+    )
+
+
+@query(
+    "H6_confirm_anomalies",
+    v.with_views("cleaned", "chunks")
+    + """SELECT 'rapid' AS type, CAST(log_id AS VARCHAR) AS id, log_id % 10 <> 1 AS prompt_user FROM cleaned WHERE is_anomaly
+         UNION ALL SELECT 'log_gpt', chunk_id, chunk_no <> 1 FROM chunks""",
+)
+def confirmed(spark, sf_dir):
+    lines, sequences = stores(spark, sf_dir)
+    feedback = user_feedback(spark, sf_dir)
+    return ops.confirm(lines, feedback, "rapid").select("type", "id", "prompt_user").unionByName(
+        ops.confirm(sequences, feedback, "log_gpt").select("type", "id", "prompt_user")
+    )
+
+
+LOOKUP_SQL = """SELECT f.id AS anomaly_id, l.log_id FROM feed f JOIN logs l ON f.service = l.service
+  AND list_contains(string_split(f.nodes, ','), l.node) AND f.filenames = l.filename
+  AND epoch_us(l.ts) BETWEEN f.start_us - {us} AND f.end_us + {us}"""
+
+
+@query(
+    "H8_line_context",
+    v.with_views("cleaned") + f", feed AS ({LINE_FEED}) " + LOOKUP_SQL.format(us=30 * 60_000_000),
+)
+def line_context(spark, sf_dir):
+    lines, _ = stores(spark, sf_dir)
+    feed_ = ops.unify_lines(ops.pending(lines))
+    return ops.context_lookup(feed_, v.logs(spark, sf_dir), 30).select("anomaly_id", "log_id")
+
+
+@query(
+    "H8_sequence_context",
+    v.with_views("cleaned", "chunks") + f", feed AS ({SEQUENCE_FEED} WHERE (window_no + chunk_no) % 2 = 0) "
+    + LOOKUP_SQL.format(us=60_000_000),
+)
+def sequence_context(spark, sf_dir):
+    _, sequences = stores(spark, sf_dir)
+    feed_ = ops.unify_sequences(ops.pending(sequences))
+    return ops.context_lookup(written(feed_, "feed"), v.logs(spark, sf_dir)).select("anomaly_id", "log_id")
+
+
+@query(
+    "H9_ensemble",
+    v.with_views("cleaned", "chunks")
+    + """, l AS (SELECT log_id FROM cleaned WHERE is_anomaly),
+         s AS (SELECT DISTINCT unnest(log_ids) AS log_id FROM chunks WHERE (window_no + chunk_no) % 2 = 0)
+         SELECT coalesce(l.log_id, s.log_id) AS log_id, CASE WHEN l.log_id IS NULL THEN 'sequence_only'
+           WHEN s.log_id IS NULL THEN 'line_only' ELSE 'confirmed' END AS verdict FROM l FULL JOIN s ON l.log_id = s.log_id""",
+)
+def ensemble(spark, sf_dir):
+    return ops.ensemble(line_predictions(spark, sf_dir), sequence_predictions(spark, sf_dir))
+
+
+def flagship(spark, sf_dir):
+    """Chunks of even windows train the next-key model; anomalies among the others form the feed, newest first."""
+    config = v.services(spark, sf_dir)
+    chunks = written(v.chunks(spark, sf_dir), "chunks")
+    model = written(nextkey.train(chunks.filter("window_no % 2 = 0")), "model")
+    test = chunks.filter("window_no % 2 = 1")
+    verdicts = nextkey.detect(test, model, config.select(F.col("name").alias("service"), "top_k"))
+    predicted = nextkey.sequence_predictions(test, verdicts, config).withColumn("id", F.col("chunk_id"))
+    sequences = ops.route_sequences(predicted)
+    lines = ops.route_lines(line_predictions(spark, sf_dir))
+    return feed_rows(ops.anomaly_feed(lines, sequences))
+
+
+@query(
+    "H4_flagship_feed",
+    None,
+)
+def flagship_query(spark, sf_dir):
+    return flagship(spark, sf_dir)

@@ -1 +1,168 @@
+"""Next-key model: training, detection, costs, updates. Even windows train, odd ones are judged."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberlog.operators import nextkey as ops
+from emberlog.operators.templates import template_keys, vocabulary_size
+from emberlog.plans import views as v
+from emberlog.plans.registry import query
+from emberlog.session import written
+
+POSITIONS = """positions AS (SELECT chunk_id, service, window_no, train_strategy, len(ids) AS n_ids, i - 1 AS pos,
+    ids[greatest(i - 2, 1):i - 1] AS context, ids[i] AS next_id FROM (
+    SELECT *, unnest(range(2, len(ids) + 1)) AS i FROM chunks)),
+  suffixes AS (SELECT *, context[len(context) - m + 1:len(context)] AS suffix FROM (
+    SELECT *, unnest(range(0, len(context) + 1)) AS m FROM positions)),
+  counts AS (SELECT service, suffix AS context, next_id, count(*) AS n FROM suffixes WHERE window_no % 2 = 0 GROUP BY ALL)"""
+MODEL = """model AS (SELECT *, row_number() OVER (PARTITION BY service, context ORDER BY n DESC, next_id) AS rank,
+  sum(n) OVER (PARTITION BY service, context) AS total FROM counts)"""
+LOOKUP = """contexts AS (SELECT DISTINCT service, context, total FROM model),
+  resolved AS (SELECT chunk_id, s.service, n_ids, pos, next_id, max(m) AS used, arg_max(suffix, m) AS seen, arg_max(total, m) AS total
+    FROM suffixes s JOIN contexts c ON s.service = c.service AND s.suffix = c.context WHERE window_no % 2 = 1 GROUP BY ALL),
+  looked AS (SELECT r.*, m.rank, m.n, length(r.service) - 2 AS top_k FROM resolved r LEFT JOIN model m
+    ON r.service = m.service AND r.seen = m.context AND r.next_id = m.next_id)"""
+
+
+def train_and_test(spark, sf_dir):
+    chunks = written(v.chunks(spark, sf_dir), "chunks")
+    return chunks.filter("window_no % 2 = 0"), chunks.filter("window_no % 2 = 1")
+
+
+def settings(spark, sf_dir):
+    sizes = vocabulary_size(template_keys(v.templated(spark, sf_dir)))
+    config = v.services(spark, sf_dir).select(F.col("name").alias("service"), "top_k")
+    return config.join(sizes, "service")
+
+
+@query(
+    "G1_training_sets",
+    v.with_views("chunks")
+    + """SELECT coalesce(train_strategy, 'ignore') AS train_strategy, service, count(*) AS n_chunks, sum(len(ids)) AS n_ids
+         FROM chunks GROUP BY 1, 2""",
+)
+def training_sets(spark, sf_dir):
+    return ops.training_set_sizes(v.chunks(spark, sf_dir))
+
+
+@query(
+    "G1_pretrain_chunks",
+    v.with_views("chunks")
+    + "SELECT service, chunk_id, array_to_string(input_ids, ',') AS input_ids FROM chunks WHERE train_strategy = 'pre-train'",
+)
+def pretrain_chunks(spark, sf_dir):
+    return ops.training_sets(v.chunks(spark, sf_dir), "pre-train").select(
+        "service", "chunk_id", v.text_of("input_ids").alias("input_ids")
+    )
+
+
+def model_rows(model):
+    return model.select("service", v.text_of("context").alias("context"), "next_id", "n", "rank", "total")
+
+
+@query(
+    "G2_next_key_model",
+    v.with_views("chunks") + f", {POSITIONS}, {MODEL} "
+    "SELECT service, array_to_string(context, ',') AS context, next_id, n, rank, CAST(total AS BIGINT) AS total FROM model",
+)
+def model(spark, sf_dir):
+    training, _ = train_and_test(spark, sf_dir)
+    return model_rows(ops.train(training))
+
+
+def detect_parts(spark, sf_dir):
+    training, test = train_and_test(spark, sf_dir)
+    return written(ops.train(training), "model"), test
+
+
+@query(
+    "G3_top_k_detection",
+    v.with_views("chunks") + f""", {POSITIONS}, {MODEL}, {LOOKUP}
+      SELECT chunk_id, service, count(*) AS n_positions, count(*) FILTER (rank IS NULL OR rank > top_k) AS n_miss,
+      min(pos) FILTER (rank IS NULL OR rank > top_k) AS first_miss_pos,
+      count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_anomaly FROM looked GROUP BY 1, 2""",
+)
+def detect(spark, sf_dir):
+    trained, test = detect_parts(spark, sf_dir)
+    return ops.detect(test, trained, settings(spark, sf_dir).select("service", "top_k"))
+
+
+SIZES = "sizes AS (SELECT service, count(*) + 3 AS vocab_size FROM dictionary GROUP BY service)"
+
+
+@query(
+    "G4_policy_cost",
+    v.with_views("chunks") + f""", {POSITIONS}, {MODEL}, {LOOKUP}, {SIZES}
+      SELECT chunk_id, reward, prompt_len, round(log_prob, 6) AS log_prob, round(0.0 - reward * log_prob, 6) AS cost FROM (
+        SELECT chunk_id, CAST(CASE WHEN floor(0.8 * n_ids) < 2 THEN 2 WHEN floor(0.8 * n_ids) >= n_ids - 2 THEN n_ids - 2
+          ELSE floor(0.8 * n_ids) END AS INTEGER) AS prompt_len,
+          sum(CASE WHEN rank <= top_k THEN 1 ELSE -1 END) AS reward,
+          sum(ln((coalesce(n, 0) + 1) / (total + vocab_size))) AS log_prob
+        FROM looked JOIN sizes USING (service) WHERE pos >= floor(0.8 * n_ids) GROUP BY 1, 2)""",
+)
+def policy_cost(spark, sf_dir):
+    trained, test = detect_parts(spark, sf_dir)
+    cost = ops.policy_cost(test, trained, settings(spark, sf_dir))
+    return cost.select(
+        "chunk_id", "reward", "prompt_len", F.round("log_prob", 6).alias("log_prob"), F.round("cost", 6).alias("cost")
+    )
+
+
+@query(
+    "G6_fine_tuned_model",
+    v.with_views("chunks") + f", {POSITIONS.replace('counts AS', 'base AS')}" + """,
+      extra AS (SELECT service, suffix AS context, next_id, 2 * count(*) AS n FROM suffixes
+        WHERE train_strategy = 'finetune' GROUP BY ALL),
+      counts AS (SELECT service, context, next_id, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT * FROM base UNION ALL SELECT * FROM extra) GROUP BY ALL), """ + MODEL
+    + " SELECT service, array_to_string(context, ',') AS context, next_id, n, rank, CAST(total AS BIGINT) AS total FROM model",
+)
+def fine_tuned(spark, sf_dir):
+    chunks = written(v.chunks(spark, sf_dir), "chunks")
+    trained = ops.train(chunks.filter("window_no % 2 = 0"))
+    return model_rows(ops.update(trained, ops.training_sets(chunks, "finetune"), weight=2))
+
+
+@query(
+    "G7_training_summary",
+    """WITH history AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS episode, max(value) AS loss FROM events GROUP BY 1, 2),
+       stalls AS (SELECT *, sum(CASE WHEN last - loss <= 0.01 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY episode) AS stalls
+         FROM (SELECT *, lag(loss, 1, 0.0) OVER (PARTITION BY user_id ORDER BY episode) AS last FROM history))
+       SELECT user_id, min(episode) FILTER (stalls > 3) AS stopped_at,
+         arg_min(episode, (loss, episode)) FILTER (stalls <= 3) AS best_step,
+         min(loss) FILTER (stalls <= 3) AS best_loss, count(*) FILTER (stalls <= 3) AS steps_kept FROM stalls GROUP BY 1""",
+)
+def summary(spark, sf_dir):
+    """Loss histories made from ``events``: a user's largest value per day."""
+    events = v.table(spark, sf_dir, "events")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long")
+    history = events.groupBy("user_id", day.alias("episode")).agg(F.max("value").alias("loss"))
+    return ops.training_summary(history, "user_id")
+
+
+@query(
+    "G8_held_out_loss",
+    v.with_views("chunks") + f""", {POSITIONS}, {MODEL}, {LOOKUP}, {SIZES}
+      SELECT service, count(*) AS n_positions, round(avg(-ln((coalesce(n, 0) + 1) / (total + vocab_size))), 6) AS loss
+      FROM looked JOIN sizes USING (service) GROUP BY service""",
+)
+def held_out(spark, sf_dir):
+    trained, test = detect_parts(spark, sf_dir)
+    loss = ops.held_out_loss(test, trained, settings(spark, sf_dir))
+    return loss.select("service", "n_positions", F.round("loss", 6).alias("loss"))
+
+
+@query(
+    "G10_sequence_predictions",
+    v.with_views("chunks", "services") + f""", {POSITIONS}, {MODEL}, {LOOKUP},
+      verdicts AS (SELECT chunk_id, count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS bad FROM looked GROUP BY 1)
+      SELECT 'log_gpt' AS type, c.chunk_id, c.service, {v.sql_hash64('joined')} AS hash, NOT is_train AND coalesce(bad, false) AS is_anomaly
+      FROM chunks c JOIN services s ON c.service = s.name LEFT JOIN verdicts USING (chunk_id)
+      WHERE window_no % 2 = 1 AND (is_train OR bad)""",
+)
+def predictions(spark, sf_dir):
+    trained, test = detect_parts(spark, sf_dir)
+    verdicts = ops.detect(test, trained, settings(spark, sf_dir).select("service", "top_k"))
+    found = ops.sequence_predictions(test, verdicts, v.services(spark, sf_dir))
+    return found.select("type", "chunk_id", "service", "hash", "is_anomaly")

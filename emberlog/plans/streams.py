@@ -1 +1,132 @@
+"""Streams replayed from ``events``: each slice of days is one restart of the stream."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.operators.windows import event_time_windows
+from emberlog.plans import views as v
+from emberlog.plans.registry import query
+from emberlog.plans.windows import EVENT_TIME_SQL, STRATEGY_SQL, _window_rows, event_time_rows
+from emberlog.session import new_shared_path
+from emberlog.sources.loki import decode_logs, encode, valid_logs
+from emberlog.sources.tables import PartTable
+from emberlog.sources.topics import read_topic, write_topic
+from emberlog.streaming.feed import FeedWriter, prediction_stream
+from emberlog.streaming.lines import RetrievalStream
+from emberlog.streaming.sequences import CountWindows, SequenceStream, TrainTags
+
+SLICE_DAYS = [(1, 10), (11, 20), (21, 31)]
+TOPIC_FIELDS = ["log_id", "service", "node", "filename", "ts", "original_text"]
+
+
+def replay(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], object]) -> None:
+    """Append the logs to a topic, slice by slice, and run the stream after each until it has caught up."""
+    topic = new_shared_path(spark, "topic")
+    logs = v.logs(spark, sf_dir).select(*TOPIC_FIELDS)
+    for first, last in SLICE_DAYS:
+        encode(logs.filter(F.dayofmonth("ts").between(first, last))).write.mode("append").text(topic)
+        start(valid_logs(decode_logs(read_topic(spark, topic)))).awaitTermination()
+
+
+def run_batches(process, path: str) -> Callable[[DataFrame], object]:
+    def start(stream: DataFrame):
+        return (
+            stream.writeStream.foreachBatch(process)
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    return start
+
+
+@query(
+    "A4_A6_topics",
+    v.with_views("logs") + "SELECT log_id, service, node, filename, epoch_us(ts) AS ts_us, original_text FROM logs",
+)
+def topics(spark, sf_dir):
+    path = new_shared_path(spark, "processed")
+
+    def start(stream):
+        return write_topic(encode(stream), f"{path}/topic", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    replay(spark, sf_dir, start)
+    back = valid_logs(decode_logs(spark.read.text(f"{path}/topic")))
+    return back.select("log_id", "service", "node", "filename", v.micros("ts").alias("ts_us"), "original_text")
+
+
+@query("E1_train_strategy_stream", STRATEGY_SQL)
+def strategy(spark, sf_dir):
+    path = new_shared_path(spark, "strategy")
+    config = v.services(spark, sf_dir)
+    tags, out = TrainTags(spark, path), PartTable(spark, f"{path}/tagged")
+    replay(
+        spark, sf_dir, run_batches(lambda df, n: out.write(tags.process(df, n, config), n), path)
+    )
+    return out.all().select("log_id", "train_strategy")
+
+
+@query(
+    "E3_count_windows_stream",
+    v.with_views("logs")
+    + """SELECT key, window_no, count(*) AS n_logs, min(log_id) AS first_id, max(log_id) AS last_id, sum(log_id) AS id_sum FROM (
+          SELECT *, pos // 64 AS window_no FROM (
+            SELECT log_id, node AS key, row_number() OVER (PARTITION BY node ORDER BY ts, log_id) - 1 AS pos,
+            count(*) OVER (PARTITION BY node) AS total FROM logs))
+        WHERE (window_no + 1) * 64 <= total GROUP BY key, window_no""",
+)
+def count_windows(spark, sf_dir):
+    path = new_shared_path(spark, "windows")
+    windows, out = CountWindows(spark, path, 64, "key"), PartTable(spark, f"{path}/full")
+    process = lambda df, n: out.write(windows.process(df.withColumn("key", F.col("node")), n), n)
+    replay(spark, sf_dir, run_batches(process, path))
+    return _window_rows(out.all(), ["key"])
+
+
+@query(
+    "E8_event_time_stream",
+    f"""SELECT * FROM ({EVENT_TIME_SQL}) WHERE window_us + 5000000 <= (SELECT max(epoch_us(ts)) - 1000000 FROM events)""",
+)
+def event_time(spark, sf_dir):
+    path = new_shared_path(spark, "event-time")
+
+    def start(stream):
+        windows = event_time_windows(stream.withColumn("key", F.col("node")), delay="1 second")
+        writer = windows.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
+        return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+    replay(spark, sf_dir, start)
+    return event_time_rows(spark.read.parquet(f"{path}/out"))
+
+
+@query("F14_retrieval_stream")
+def retrieval(spark, sf_dir):
+    stream = RetrievalStream(spark, new_shared_path(spark, "retrieval"), lambda: v.services(spark, sf_dir))
+    stream.mark_normal(v.cleaned(spark, sf_dir).filter("NOT is_anomaly AND service IN ('view', 'signup')"))
+    replay(spark, sf_dir, lambda logs: stream.start(logs, availableNow=True))
+    return stream.predictions.all().select("log_id", "service", "hash", F.round("score", 6).alias("score"), "is_anomaly")
+
+
+@query("H7_live_feed")
+def live_feed(spark, sf_dir):
+    """Sequence stream → nightly training → predictions → feed."""
+    path = new_shared_path(spark, "sequences")
+    stream = SequenceStream(
+        spark, path, lambda: v.services(spark, sf_dir), context=v.CONTEXT, window=v.WINDOW
+    )
+    days = iter(SLICE_DAYS)
+
+    def start(logs):
+        if next(days) != SLICE_DAYS[0]:
+            stored = stream.chunks.all().withColumn("train_strategy", F.coalesce("train_strategy", F.lit("pre-train")))
+            stream.retrain(stored)
+        return stream.start(logs, availableNow=True)
+
+    replay(spark, sf_dir, start)
+    feed = FeedWriter(spark, f"{path}/live")
+    feed.start(prediction_stream(spark, stream.predictions), "log_gpt", availableNow=True).awaitTermination()
+    return feed.feed.all().select("type", "id", "service", v.micros("start_ts").alias("start_us"), v.micros("end_ts").alias("end_us"))

@@ -66,12 +66,12 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule("[0-9]+", "NUM"),
     ]
     size = F.length("name")
-    traced = size % 2 == 0
+    traced = size > 5
     return with_defaults(
         names.select(
             F.concat(F.lit("svc_"), "name").alias("id"),
             "name",
-            (size % 3 == 0).alias("is_train"),
+            (size % 4 == 1).alias("is_train"),
             traced.alias("enable_trace"),
             F.lit("blk_([0-9]+)").alias("trace_regex"),
             (size - 2).alias("top_k"),
@@ -152,8 +152,8 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "logs": ([], f"SELECT {_LOG_COLUMNS.format(ts='ts')} FROM events"),
     "services": (
         [],
-        """SELECT DISTINCT event_type AS name, length(event_type) % 3 = 0 AS is_train,
-           length(event_type) % 2 = 0 AS enable_trace, length(event_type) - 2 AS top_k,
+        """SELECT DISTINCT event_type AS name, length(event_type) % 4 = 1 AS is_train,
+           length(event_type) > 5 AS enable_trace, length(event_type) - 2 AS top_k,
            100 * length(event_type) AS max_pretrain, -length(event_type) / 2.0 AS threshold FROM events""",
     ),
     "cleaned_base": (
@@ -165,7 +165,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "cleaned": (
         ["cleaned_base"],
         f"""SELECT *, {HASH64.format('cleaned_text')} AS hash FROM (
-           SELECT * EXCLUDE (c0), CASE WHEN length(service) % 2 = 0 THEN replace(c0, '"k": NUM', 'K') ELSE c0 END
+           SELECT * EXCLUDE (c0), CASE WHEN length(service) > 5 THEN replace(c0, '"k": NUM', 'K') ELSE c0 END
            AS cleaned_text FROM cleaned_base)""",
     ),
     "templated": (

@@ -15,7 +15,7 @@ class PartTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def parts(self, before: int | None = None) -> list[int]:
         """Numbers of the finished parts, ascending."""
@@ -53,3 +53,11 @@ class PartTable:
     def all(self, before: int | None = None) -> DataFrame:
         """All parts together: each part is an increment."""
         return self._read(self.parts(before))
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` parts; only for tables of full versions."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for number in self.parts()[:-keep]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"part={number}"), True)
