@@ -107,7 +107,7 @@ def _nearest_in_block(group: str, metric: str):
         out = {group: [], "q_id": [], "p_id": [], "distance": []}
         if len(q) and len(p):
             points = np.stack(p["vec"].to_numpy())
-            ids = p["id"].to_numpy()
+            ids = p["id"].to_numpy(dtype=object)
             for query_id, vector, k in zip(q["id"], q["vec"], q["k"]):
                 if metric == "cosine":
                     gaps = 1.0 - points @ vector
@@ -121,9 +121,10 @@ def _nearest_in_block(group: str, metric: str):
                 near = near[np.lexsort((ids[near], gaps[near]))][:k]
                 out[group].extend([q[group].iloc[0]] * k)
                 out["q_id"].extend([query_id] * k)
-                out["p_id"].extend(ids[near])
+                out["p_id"].extend(ids[near].tolist())
                 out["distance"].extend(gaps[near])
-        return pd.DataFrame(out)
+        # plain object columns convert to Arrow the same way whether or not any row was found
+        return pd.DataFrame({c: pd.Series(values, dtype=float if c == "distance" else object) for c, values in out.items()})
 
     return nearest
 
@@ -149,14 +150,21 @@ def nearest_points(
     q = queries.select(group, F.col(key).alias("id"), direction.alias("vec"), limit.cast("long").alias("k"))
     p = points.select(group, F.col(key).alias("id"), direction.alias("vec"), F.lit(0).cast("long").alias("k"))
 
-    if is_one_block(q, p, block_rows):
+    n_queries, n_points = at_most(q, block_rows), at_most(p, block_rows)
+    if n_queries and n_points:
         pairs_q, pairs_p, meet = q, p, [group]
+    elif n_queries:
+        # few queries: every block of points meets all of them, in one pass over the points
+        n_blocks = math.ceil(p.count() / block_rows)
+        pairs_p = p.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+        pairs_q = q.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+        meet = [group, "_block"]
     else:
         q = written(_blocked(q, group, block_rows), "query-blocks")
         p = written(_blocked(p, group, block_rows), "point-blocks")
-        pairs = written(_candidate_blocks(q, p, group), "block-pairs")
-        pairs_q = q.withColumnRenamed("block", "q_block").join(sized(pairs), [group, "q_block"])
-        pairs_p = p.withColumnRenamed("block", "p_block").join(sized(pairs), [group, "p_block"])
+        pairs = sized(written(_candidate_blocks(q, p, group), "block-pairs"))
+        pairs_q = q.withColumnRenamed("block", "q_block").join(pairs, [group, "q_block"])
+        pairs_p = p.withColumnRenamed("block", "p_block").join(pairs, [group, "p_block"])
         meet = [group, "q_block", "p_block"]
 
     kinds = {c: q.schema[c].dataType.simpleString() for c in (group, "id")}
@@ -170,9 +178,8 @@ def nearest_points(
     ).drop("_k")
 
 
-def is_one_block(queries: DataFrame, points: DataFrame, block_rows: int) -> bool:
-    """Few enough vectors to compare group by group without blocks."""
-    return queries.limit(block_rows + 1).count() <= block_rows and points.limit(block_rows + 1).count() <= block_rows
+def at_most(vectors: DataFrame, rows: int) -> bool:
+    return vectors.limit(rows + 1).count() <= rows
 
 
 def nearest_points_lsh(

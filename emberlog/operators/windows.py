@@ -45,9 +45,9 @@ def window_keys(scope: str) -> list[str]:
 def gather_windows(positioned: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Rows with a 0-based position ``_pos`` per key → one row per window, logs in order."""
     fields = [c for c in WINDOW_FIELDS if c in positioned.columns]
+    positioned = positioned.withColumn("window_no", F.floor(F.col("_pos") / size).cast("long"))
     return (
-        positioned.withColumn("window_no", F.floor(F.col("_pos") / size).cast("long"))
-        .groupBy(*keys, "window_no")
+        positioned.groupBy(*keys, "window_no")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", *fields))).alias("logs"))
     )
 

@@ -8,6 +8,7 @@ from emberlog.operators import feedback as ops
 from emberlog.operators import nextkey
 from emberlog.operators.lines import dashboard_rows
 from emberlog.plans import views as v
+from emberlog.plans.nextkeys import LOOKUP, MODEL, POSITIONS
 from emberlog.plans.registry import query
 from emberlog.session import written
 
@@ -215,7 +216,11 @@ def flagship(spark, sf_dir):
 
 @query(
     "H4_flagship_feed",
-    None,
+    v.with_views("cleaned", "chunks", "services") + f""", {POSITIONS}, {MODEL}, {LOOKUP},
+      verdicts AS (SELECT chunk_id, count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS bad FROM looked GROUP BY 1),
+      flagged AS (SELECT chunk_id AS id FROM verdicts JOIN chunks USING (chunk_id) JOIN services ON service = name
+        WHERE bad AND NOT is_train)
+      {LINE_FEED} UNION ALL SELECT * FROM ({SEQUENCE_FEED}) WHERE id IN (SELECT id FROM flagged)""",
 )
 def flagship_query(spark, sf_dir):
     return flagship(spark, sf_dir)

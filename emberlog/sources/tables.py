@@ -50,9 +50,9 @@ class PartTable:
         """The newest part: each part is a full version."""
         return self._read(self.parts(before)[-1:])
 
-    def all(self, before: int | None = None) -> DataFrame:
-        """All parts together: each part is an increment."""
-        return self._read(self.parts(before))
+    def all(self, before: int | None = None, after: int = -1) -> DataFrame:
+        """Parts together: each part is an increment."""
+        return self._read([n for n in self.parts(before) if n > after])
 
     def expire(self, keep: int = 2) -> None:
         """Delete all but the newest ``keep`` parts; only for tables of full versions."""

@@ -56,7 +56,7 @@ class RetrievalStream:
     def process(self, logs: DataFrame, batch_id: int) -> None:
         """One micro-batch; the body of ``foreachBatch``."""
         services = self.load_services()
-        store = written(self.store(batch_id), "store")
+        store = self.store(batch_id)
         unknown = written(retrieval.unknown_lines(clean(logs, services), store), "unknown").select(*STORED_FIELDS)
         distinct = retrieval.first_occurrences(unknown, ["service", "hash"])
         vectors, added = embed_cached(distinct, self.cache.all(batch_id), self.embed)

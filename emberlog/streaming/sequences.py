@@ -34,10 +34,6 @@ from emberlog.sources.tables import PartTable
 LoadServices = Callable[[], DataFrame]
 
 
-def _largest_per_group(table: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return table.groupBy(*keys).agg(F.max(column).alias(column))
-
-
 class TrainTags:
     """Running train-strategy tags: the counter of each service goes on over micro-batches."""
 
@@ -63,64 +59,71 @@ class TrainTags:
 
 
 class CountWindows:
-    """Tumbling count windows over micro-batches; rows of open windows wait in a table.
+    """Tumbling count windows over micro-batches.
 
-    Rows of a micro-batch are ordered by time; across micro-batches arrival decides, as late
-    rows are never dropped.
+    A counter per key gives every row its absolute position, hence its window; a window is
+    complete once the counter has passed it. Rows of open windows wait in a table that a
+    micro-batch only appends to; every ``compact_every`` micro-batches the rows that still
+    wait are written anew. Rows of a micro-batch are ordered by time; across micro-batches
+    arrival decides, and late rows are never dropped.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, size: int = ONLINE_CONTEXT, scope: str = "service",
+        self,
+        spark: SparkSession,
+        path: str,
+        size: int = ONLINE_CONTEXT,
+        scope: str = "service",
         rows_per_range: int = ROWS_PER_RANGE,
+        compact_every: int = 16,
     ):
         self.path, self.spark, self.size = path, spark, size
         self.keys = window_keys(scope)
-        self.rows_per_range = rows_per_range
+        self.rows_per_range, self.compact_every = rows_per_range, compact_every
 
     def process(self, logs: DataFrame, batch_id: int) -> DataFrame:
         """Windows that this micro-batch completes."""
-        fields = [c for c in WINDOW_FIELDS if c in logs.columns]
-        columns = [*self.keys, *[f for f in fields if f not in self.keys]]
-        incoming = logs.select(*columns)
-        waiting = PartTable(
-            self.spark, f"{self.path}/open-windows",
-            incoming.limit(0).withColumns({"_pos": F.lit(0).cast("long"), "window_no": F.lit(0).cast("long")}).schema,
-        )
-        held = waiting.latest(batch_id)
-        ends = held.groupBy(*self.keys).agg(
-            F.max(F.col("_pos") + 1).alias("_held"), F.max("window_no").alias("_window")
-        )
-        closed = PartTable(self.spark, f"{self.path}/window-numbers", ends.select(*self.keys, "_window").schema)
-        numbers = closed.latest(batch_id).withColumnRenamed("_window", "_next")
-
-        positioned = number_rows(incoming, ORDER, self.keys, "_no", self.rows_per_range)
-        placed = positioned.join(sized(ends.drop("_window")), self.keys, "left").withColumn(
-            "_pos", F.col("_no") - 1 + F.coalesce("_held", F.lit(0).cast("long"))
-        ).drop("_no", "_held")
-        everything = placed.unionByName(held.drop("window_no"))
-        windows = gather_windows(everything, self.keys, self.size)
-        windows = written(
-            windows.join(sized(numbers), self.keys, "left")
-            .withColumn("window_no", F.col("window_no") + F.coalesce("_next", F.lit(0)))
-            .drop("_next"),
-            "windows",
-        )
-        full = windows.filter(F.size("logs") == self.size)
-        partial = windows.filter(F.size("logs") < self.size)
-        rows = partial.select(*self.keys, "window_no", F.explode("logs").alias("l"))
-        rest = rows.select(
-            *self.keys,
-            *[F.col(f"l.{f}").alias(f) for f in fields if f not in self.keys],
-            F.pmod(F.col("l._pos"), F.lit(self.size)).alias("_pos"),
-            "window_no",
+        keys, size = self.keys, self.size
+        fields = [c for c in WINDOW_FIELDS if c in logs.columns and c not in keys]
+        incoming = logs.select(*keys, *fields)
+        placed_schema = incoming.withColumns(
+            {"_pos": F.lit(0).cast("long"), "window_no": F.lit(0).cast("long")}
+        ).schema
+        counters = PartTable(
+            self.spark, f"{self.path}/window-counters", incoming.select(*keys, F.lit(0).cast("long").alias("seen")).schema
         )
-        waiting.write(rest.select(waiting.schema.names), batch_id)
-        counted = windows.groupBy(*self.keys).agg(
-            F.max(F.when(F.size("logs") == self.size, F.col("window_no") + 1).otherwise(F.col("window_no"))).alias("_window")
+        waiting = PartTable(self.spark, f"{self.path}/open-rows", placed_schema)
+        compacted = PartTable(self.spark, f"{self.path}/open-rows-compacted", placed_schema)
+
+        before = counters.latest(batch_id)
+        grown = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
+        counters.write(before.unionByName(grown).groupBy(*keys).agg(F.sum("seen").alias("seen")), batch_id)
+        totals = sized(counters.latest(batch_id + 1).withColumnRenamed("seen", "_total"))
+
+        numbered = number_rows(incoming, ORDER, keys, "_no", self.rows_per_range)
+        position = F.col("_no") - 1 + F.coalesce("seen", F.lit(0).cast("long"))
+        is_open = (F.col("window_no") + 1) * size > F.col("_total")
+        placed = written(
+            numbered.join(sized(before), keys, "left")
+            .withColumn("_pos", position)
+            .withColumn("window_no", F.floor(F.col("_pos") / size).cast("long"))
+            .join(totals, keys)
+            .withColumn("_open", is_open)
+            .select(*placed_schema.names, "_open"),
+            "placed",
         )
-        kept = closed.latest(batch_id).join(counted.select(*self.keys), self.keys, "left_anti")
-        closed.write(kept.unionByName(counted).select(closed.schema.names), batch_id)
-        return full
+        base = (compacted.parts(batch_id) or [-1])[-1]
+        held = compacted.latest(batch_id).unionByName(waiting.all(batch_id, base))
+        done = placed.filter("NOT _open").drop("_open")
+        finished = done.select(*keys, "window_no").distinct()
+        rows = done.unionByName(held.join(sized(finished), [*keys, "window_no"], "left_semi").select(*placed_schema.names))
+
+        still_open = placed.filter("_open").drop("_open")
+        waiting.write(still_open, batch_id)
+        if batch_id % self.compact_every == self.compact_every - 1:
+            kept = held.join(totals, keys).filter(is_open).select(*placed_schema.names)
+            compacted.write(kept.unionByName(still_open), batch_id)
+        return gather_windows(rows, keys, size)
 
 
 class SequenceStream:
