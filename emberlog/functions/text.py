@@ -52,6 +52,16 @@ THUNDERBIRD_RULES = [
 ]
 NORMAL_PREFIX = "- "
 
+# Patterns above that backtrack over a whole run of characters from each of its positions,
+# and ones with the same matches that do not: the test for one character comes before the
+# tests that scan the line, and a run is tried from its first position only.
+FASTER = {
+    r"\S+(?=.*[0-9])(?=.*[a-zA-Z])(?=[:]+)\S+": r"\S+(?=:)(?=.*[0-9])(?=.*[a-zA-Z])\S+",
+    r"\S+(?=.*[0-9])(?=.*[a-zA-Z])(?=[-])\S+": r"\S+(?=-)(?=.*[0-9])(?=.*[a-zA-Z])\S+",
+    r"(\w+[\w\.]*)@(\w+[\w\.]*)\-(\w+[\w\.]*)": r"(?<!\w)\w[\w\.]*@\w[\w\.]*-\w[\w\.]*",
+    r"(\w+[\w\.]*)@(\w+[\w\.]*)": r"(?<!\w)\w[\w\.]*@\w[\w\.]*",
+}
+
 
 def hash64(text: Column) -> Column:
     """First 64 bits of SHA-256 as an unsigned decimal string."""
@@ -61,7 +71,7 @@ def hash64(text: Column) -> Column:
 def substitute(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Apply (pattern, replacement) rules in order, each to the previous output."""
     for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+        text = F.regexp_replace(text, FASTER.get(pattern, pattern), replacement)
     return text
 
 
@@ -115,15 +125,9 @@ def hdfs_block(line: Column) -> Column:
 
 def bgl_time(line: Column) -> Column:
     stamp = F.regexp_extract(line, f"({BGL_TIME})", 1)
-    # the pattern allows any character between the time fields and 1-6 digits of fraction
-    parts = r"^(\d+)-(\d+)-(\d+)-(\d+)\.(\d+)\.(\d+)\.(\d+)$"
-    pad = lambda i, n: F.lpad(F.regexp_extract(stamp, parts, i), n, "0")
-    fraction = F.rpad(F.regexp_extract(stamp, parts, 7), 6, "0")
-    iso = F.concat(
-        pad(1, 4), F.lit("-"), pad(2, 2), F.lit("-"), pad(3, 2), F.lit(" "),
-        pad(4, 2), F.lit(":"), pad(5, 2), F.lit(":"), pad(6, 2), F.lit("."), fraction,
-    )
-    return F.try_to_timestamp(F.when(F.regexp_like(stamp, F.lit(parts)), iso), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    # the fraction has one to six digits
+    fraction = "".join(f"[.{'S' * n}]" for n in range(6, 0, -1))
+    return F.try_to_timestamp(stamp, F.lit(f"yyyy-M-d-H.m.s{fraction}"))
 
 
 def thunderbird_time(line: Column) -> Column:

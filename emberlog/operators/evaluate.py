@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import hash64
 from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, running_totals
+from emberlog.session import written
 
 
 def positional_split(
@@ -85,6 +86,7 @@ def curve(scored: DataFrame, y: str = "y", score: str = "score", rows_per_range:
         F.sum(F.col(y).cast("long")).alias("pos"),
         F.sum(1 - F.col(y).cast("long")).alias("neg"),
     )
+    counts = written(counts, "score-counts")
     falling = counts.withColumn("_falling", -F.col("threshold"))
     sums = running_totals(falling, {"tp": F.col("pos"), "fp": F.col("neg")}, ["_falling"], (), rows_per_range)
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))

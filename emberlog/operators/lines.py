@@ -23,6 +23,7 @@ from emberlog.functions.text import (
 from emberlog.operators.joins import is_small, sized
 from emberlog.operators.ordering import number_rows
 from emberlog.operators.services import MAX_LITERAL_SERVICES, attach, clean_text
+from emberlog.session import written
 
 # Reserved rows of the token vocabulary.
 PAD_TOKEN, UNKNOWN_TOKEN, CLS_TOKEN, SEP_TOKEN = 0, 1, 2, 3
@@ -85,7 +86,7 @@ def unique_lines(logs: DataFrame, group: str, line: str, part_size: int = 4096)
     """
     seen = logs.groupBy(group, line).agg(F.min(F.struct("ts", "log_id")).alias("_first"))
     seen = seen.select(group, line, F.col("_first.ts").alias("_ts"), F.col("_first.log_id").alias("_id"))
-    numbered = number_rows(seen, ["_ts", "_id"], [group], "_no")
+    numbered = number_rows(written(seen, "lines-seen"), ["_ts", "_id"], [group], "_no")
     return (
         numbered.withColumn("part", F.floor((F.col("_no") - 1) / part_size).cast("long"))
         .groupBy(group, "part")
@@ -97,7 +98,7 @@ def unique_lines(logs: DataFrame, group: str, line: str, part_size: int = 4096)
 def build_vocabulary(texts: DataFrame, text: str = "text", max_size: int | None = None) -> DataFrame:
     """Token → id by falling count, after the reserved ids."""
     tokens = texts.select(F.explode(word_tokens(F.col(text))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
     numbered = number_rows(counts.withColumn("_falling", -F.col("n")), ["_falling", "token"], name="_no")
     vocabulary = numbered.select("token", "n", (F.col("_no") + RESERVED_TOKENS - 1).alias("token_id"))
     return vocabulary if max_size is None else vocabulary.filter(F.col("token_id") < max_size)
@@ -114,7 +115,8 @@ def tokenize(
     body = length - 2
     words = F.slice(word_tokens(F.col(text)), 1, body)
     rows = texts.select(key, F.posexplode_outer(words).alias("_pos", "token"))
-    found = rows.join(sized(vocabulary.select("token", "token_id")), "token", "left")
+    ids = written(vocabulary.select("token", "token_id"), "vocabulary")
+    found = rows.join(sized(ids), "token", "left")
     entry = F.when(
         F.col("token").isNotNull(),
         F.struct(F.col("_pos"), F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)).cast("int").alias("id")),

@@ -112,6 +112,8 @@ def template_keys(templated: DataFrame, known: DataFrame | None = None) -> DataF
         .agg(F.min(F.struct("ts", "log_id")).alias("_f"), F.count(F.lit(1)).alias("size"))
         .select("service", "template", F.col("_f.ts").alias("_ts"), F.col("_f.log_id").alias("_id"), "size")
     )
+    # one pass over the lines; everything below works on the far smaller table of templates
+    seen = written(seen, "templates-seen")
     if known is None:
         numbered = number_rows(seen, ["_ts", "_id"], ["service"], "_no")
         return numbered.select("service", "template", (F.col("_no") + RESERVED_IDS).alias("key_id"), "size")
@@ -132,7 +134,8 @@ def template_keys(templated: DataFrame, known: DataFrame | None = None) -> DataF
 
 def assign_keys(templated: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add ``key_id`` to every line."""
-    return templated.join(sized(dictionary.select("service", "template", "key_id")), ["service", "template"], "left")
+    keys = written(dictionary.select("service", "template", "key_id"), "dictionary")
+    return templated.join(sized(keys), ["service", "template"], "left")
 
 
 def assign_fitted(logs: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -141,8 +144,11 @@ def assign_fitted(logs: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def keyed(logs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Cleaned logs → logs with template and key by masking."""
-    templated = masked_templates(logs)
+    """Cleaned logs → logs with template and key by masking.
+
+    The templated lines are stored once: the dictionary and the lookup both read them.
+    """
+    templated = written(masked_templates(logs), "templated")
     return assign_keys(templated, template_keys(templated) if dictionary is None else dictionary)
 
 

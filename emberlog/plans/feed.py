@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from emberlog.operators import feedback as ops
 from emberlog.operators import nextkey
 from emberlog.operators.lines import dashboard_rows
 from emberlog.plans import views as v
-from emberlog.plans.nextkeys import LOOKUP, MODEL, POSITIONS
+from emberlog.plans.nextkeys import LOOKUP, MODEL, POSITIONS, Experiment
 from emberlog.plans.registry import query
-from emberlog.session import written
-
-
-def line_predictions(spark, sf_dir):
-    """A line prediction per log; slow values are anomalies."""
-    return v.cleaned(spark, sf_dir).withColumns({"type": F.lit("rapid"), "id": F.col("log_id").cast("string")})
-
-
-def sequence_predictions(spark, sf_dir):
-    """A sequence prediction per chunk; every second one is an anomaly."""
-    return v.chunks(spark, sf_dir).withColumns(
-        {
-            "type": F.lit("log_gpt"),
-            "id": F.col("chunk_id"),
-            "is_anomaly": (F.col("window_no") + F.col("chunk_no")) % 2 == 0,
-        }
-    )
 
 
-def stores(spark, sf_dir):
-    return ops.route_lines(line_predictions(spark, sf_dir)), ops.route_sequences(sequence_predictions(spark, sf_dir))
+class Predictions(Experiment):
+    """Line and sequence predictions, and the stores they are routed to."""
+
+    @cached_property
+    def line_predictions(self):
+        """One per log; slow values are anomalies."""
+        return self.cleaned.withColumns({"type": F.lit("rapid"), "id": F.col("log_id").cast("string")})
+
+    @cached_property
+    def sequence_predictions(self):
+        """One per chunk; every second one is an anomaly."""
+        return self.stored_chunks.withColumns(
+            {
+                "type": F.lit("log_gpt"),
+                "id": F.col("chunk_id"),
+                "is_anomaly": (F.col("window_no") + F.col("chunk_no")) % 2 == 0,
+            }
+        )
+
+    @cached_property
+    def lines(self):
+        return ops.route_lines(self.line_predictions)
+
+    @cached_property
+    def sequences(self):
+        return ops.route_sequences(self.sequence_predictions)
+
+    @cached_property
+    def feedback(self):
+        """Actions of users: on every tenth line (also on ones that do not exist) and on first chunks."""
+        events = v.table(self.spark, self.sf_dir, "events")
+        number = F.col("event_id")
+        on_lines = events.filter("event_id % 10 < 3").select(
+            F.lit("rapid").alias("type"),
+            F.when(number % 10 == 2, number + 1_000_000_000).otherwise(number).cast("string").alias("id"),
+            F.when(number % 10 == 1, "confirm").otherwise("normal").alias("action"),
+        )
+        on_chunks = self.stored_chunks.filter("chunk_no < 2").select(
+            F.lit("log_gpt").alias("type"),
+            F.col("chunk_id").alias("id"),
+            F.when(F.col("chunk_no") == 0, "normal").otherwise("confirm").alias("action"),
+        )
+        return on_lines.unionByName(on_chunks)
 
 
 LINE_FEED = """SELECT 'rapid' AS type, CAST(log_id AS VARCHAR) AS id, hash, service, node AS nodes, filename AS filenames,
@@ -56,21 +82,21 @@ def feed_rows(feed):
          UNION ALL SELECT 'log_gpt', service, coalesce(train_strategy, 'ignore'), count(*) FROM chunks GROUP BY ALL""",
 )
 def routed(spark, sf_dir):
-    lines, sequences = stores(spark, sf_dir)
-    both = lines.select("type", "service", F.lit("ignore").alias("train_strategy")).unionByName(
-        sequences.select("type", "service", "train_strategy")
+    p = Predictions(spark, sf_dir)
+    both = p.lines.select("type", "service", F.lit("ignore").alias("train_strategy")).unionByName(
+        p.sequences.select("type", "service", "train_strategy")
     )
     return both.groupBy("type", "service", "train_strategy").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("H2_line_feed", v.with_views("cleaned") + LINE_FEED)
 def line_feed(spark, sf_dir):
-    return feed_rows(ops.unify_lines(ops.route_lines(line_predictions(spark, sf_dir))))
+    return feed_rows(ops.unify_lines(Predictions(spark, sf_dir).lines))
 
 
 @query("H3_sequence_feed", v.with_views("chunks") + SEQUENCE_FEED)
 def sequence_feed(spark, sf_dir):
-    return feed_rows(ops.unify_sequences(ops.route_sequences(sequence_predictions(spark, sf_dir))))
+    return feed_rows(ops.unify_sequences(Predictions(spark, sf_dir).sequences))
 
 
 @query(
@@ -79,7 +105,8 @@ def sequence_feed(spark, sf_dir):
     + f"{LINE_FEED} UNION ALL {SEQUENCE_FEED} WHERE (window_no + chunk_no) % 2 = 0 ORDER BY end_us DESC, id",
 )
 def feed(spark, sf_dir):
-    return feed_rows(ops.anomaly_feed(*stores(spark, sf_dir)))
+    p = Predictions(spark, sf_dir)
+    return feed_rows(ops.anomaly_feed(p.lines, p.sequences))
 
 
 @query(
@@ -89,23 +116,7 @@ def feed(spark, sf_dir):
          FROM cleaned WHERE is_anomaly""",
 )
 def dashboard(spark, sf_dir):
-    return dashboard_rows(ops.unify_lines(ops.route_lines(line_predictions(spark, sf_dir))))
-
-
-def user_feedback(spark, sf_dir):
-    """Actions of users: on every tenth line (also on ones that do not exist) and on first chunks."""
-    events = v.table(spark, sf_dir, "events")
-    on_lines = events.filter("event_id % 10 < 3").select(
-        F.lit("rapid").alias("type"),
-        F.when(F.col("event_id") % 10 == 2, F.col("event_id") + 1_000_000_000).otherwise(F.col("event_id")).cast("string").alias("id"),
-        F.when(F.col("event_id") % 10 == 1, "confirm").otherwise("normal").alias("action"),
-    )
-    on_chunks = v.chunks(spark, sf_dir).filter("chunk_no < 2").select(
-        F.lit("log_gpt").alias("type"),
-        F.col("chunk_id").alias("id"),
-        F.when(F.col("chunk_no") == 0, "normal").otherwise("confirm").alias("action"),
-    )
-    return on_lines.unionByName(on_chunks)
+    return dashboard_rows(ops.unify_lines(Predictions(spark, sf_dir).lines))
 
 
 @query(
@@ -113,8 +124,8 @@ def user_feedback(spark, sf_dir):
     v.with_views("cleaned") + "SELECT CAST(log_id AS VARCHAR) AS id, log_id % 10 <> 0 AS is_anomaly FROM cleaned WHERE is_anomaly",
 )
 def mark_normal_lines(spark, sf_dir):
-    lines, _ = stores(spark, sf_dir)
-    return ops.mark_normal_lines(lines, user_feedback(spark, sf_dir)).select("id", "is_anomaly")
+    p = Predictions(spark, sf_dir)
+    return ops.mark_normal_lines(p.lines, p.feedback).select("id", "is_anomaly")
 
 
 @query(
@@ -124,8 +135,8 @@ def mark_normal_lines(spark, sf_dir):
          CASE WHEN chunk_no = 0 THEN 'finetune' ELSE coalesce(train_strategy, 'ignore') END AS train_strategy FROM chunks""",
 )
 def mark_normal_sequences(spark, sf_dir):
-    _, sequences = stores(spark, sf_dir)
-    return ops.mark_normal_sequences(sequences, user_feedback(spark, sf_dir)).select("id", "is_anomaly", "train_strategy")
+    p = Predictions(spark, sf_dir)
+    return ops.mark_normal_sequences(p.sequences, p.feedback).select("id", "is_anomaly", "train_strategy")
 
 
 @query(
@@ -133,8 +144,8 @@ def mark_normal_sequences(spark, sf_dir):
     v.with_views("cleaned") + "SELECT DISTINCT service, hash FROM cleaned WHERE is_anomaly AND log_id % 10 = 0",
 )
 def marked(spark, sf_dir):
-    lines, _ = stores(spark, sf_dir)
-    return ops.marked_lines(lines, user_feedback(spark, sf_dir)).select("service", "hash").distinct()
+    p = Predictions(spark, sf_dir)
+    return ops.marked_lines(p.lines, p.feedback).select("service", "hash").distinct()
 
 
 @query(
@@ -144,9 +155,8 @@ def marked(spark, sf_dir):
        FROM events WHERE event_id % 10 = 2 OR (event_id % 10 < 2 AND value < 60)""",
 )
 def unmatched(spark, sf_dir):
-    return ops.unmatched_feedback(user_feedback(spark, sf_dir), *stores(spark, sf_dir)).select(
-        "type", "id", "action", "message"
-    )
+    p = Predictions(spark, sf_dir)
+    return ops.unmatched_feedback(p.feedback, p.lines, p.sequences).select("type", "id", "action", "message")
 
 
 @query(
@@ -156,10 +166,9 @@ def unmatched(spark, sf_dir):
          UNION ALL SELECT 'log_gpt', chunk_id, chunk_no <> 1 FROM chunks""",
 )
 def confirmed(spark, sf_dir):
-    lines, sequences = stores(spark, sf_dir)
-    feedback = user_feedback(spark, sf_dir)
-    return ops.confirm(lines, feedback, "rapid").select("type", "id", "prompt_user").unionByName(
-        ops.confirm(sequences, feedback, "log_gpt").select("type", "id", "prompt_user")
+    p = Predictions(spark, sf_dir)
+    return ops.confirm(p.lines, p.feedback, "rapid").select("type", "id", "prompt_user").unionByName(
+        ops.confirm(p.sequences, p.feedback, "log_gpt").select("type", "id", "prompt_user")
     )
 
 
@@ -173,9 +182,8 @@ LOOKUP_SQL = """SELECT f.id AS anomaly_id, l.log_id FROM feed f JOIN logs l ON f
     v.with_views("cleaned") + f", feed AS ({LINE_FEED}) " + LOOKUP_SQL.format(us=30 * 60_000_000),
 )
 def line_context(spark, sf_dir):
-    lines, _ = stores(spark, sf_dir)
-    feed_ = ops.unify_lines(ops.pending(lines))
-    return ops.context_lookup(feed_, v.logs(spark, sf_dir), 30).select("anomaly_id", "log_id")
+    entries = ops.unify_lines(ops.pending(Predictions(spark, sf_dir).lines))
+    return ops.context_lookup(entries, v.logs(spark, sf_dir), 30).select("anomaly_id", "log_id")
 
 
 @query(
@@ -184,9 +192,8 @@ def line_context(spark, sf_dir):
     + LOOKUP_SQL.format(us=60_000_000),
 )
 def sequence_context(spark, sf_dir):
-    _, sequences = stores(spark, sf_dir)
-    feed_ = ops.unify_sequences(ops.pending(sequences))
-    return ops.context_lookup(written(feed_, "feed"), v.logs(spark, sf_dir)).select("anomaly_id", "log_id")
+    entries = ops.unify_sequences(ops.pending(Predictions(spark, sf_dir).sequences))
+    return ops.context_lookup(entries, v.logs(spark, sf_dir)).select("anomaly_id", "log_id")
 
 
 @query(
@@ -198,20 +205,16 @@ def sequence_context(spark, sf_dir):
            WHEN s.log_id IS NULL THEN 'line_only' ELSE 'confirmed' END AS verdict FROM l FULL JOIN s ON l.log_id = s.log_id""",
 )
 def ensemble(spark, sf_dir):
-    return ops.ensemble(line_predictions(spark, sf_dir), sequence_predictions(spark, sf_dir))
+    p = Predictions(spark, sf_dir)
+    return ops.ensemble(p.line_predictions, p.sequence_predictions)
 
 
 def flagship(spark, sf_dir):
     """Chunks of even windows train the next-key model; anomalies among the others form the feed, newest first."""
-    config = v.services(spark, sf_dir)
-    chunks = written(v.chunks(spark, sf_dir), "chunks")
-    model = written(nextkey.train(chunks.filter("window_no % 2 = 0")), "model")
-    test = chunks.filter("window_no % 2 = 1")
-    verdicts = nextkey.detect(test, model, config.select(F.col("name").alias("service"), "top_k"))
-    predicted = nextkey.sequence_predictions(test, verdicts, config).withColumn("id", F.col("chunk_id"))
-    sequences = ops.route_sequences(predicted)
-    lines = ops.route_lines(line_predictions(spark, sf_dir))
-    return feed_rows(ops.anomaly_feed(lines, sequences))
+    p = Predictions(spark, sf_dir)
+    verdicts = nextkey.detect(p.test, p.model, p.top_k)
+    predicted = nextkey.sequence_predictions(p.test, verdicts, p.services).withColumn("id", F.col("chunk_id"))
+    return feed_rows(ops.anomaly_feed(p.lines, ops.route_sequences(predicted)))
 
 
 @query(

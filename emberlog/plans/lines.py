@@ -9,6 +9,7 @@ from emberlog.operators import lines as ops
 from emberlog.operators.services import attach
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
+from emberlog.sources.files import spread
 
 
 @query("C1_regex_clean", v.with_views("cleaned") + "SELECT log_id, cleaned_text FROM cleaned")
@@ -37,7 +38,7 @@ VOCABULARY = f"""vocabulary AS (SELECT token, n, row_number() OVER (ORDER BY n D
 
 @query("C12_vocabulary", f"WITH {VOCABULARY} SELECT token, n, token_id FROM vocabulary")
 def vocabulary(spark, sf_dir):
-    return ops.build_vocabulary(v.table(spark, sf_dir, "documents"))
+    return ops.build_vocabulary(v.documents(spark, sf_dir))
 
 
 @query(
@@ -51,7 +52,7 @@ def vocabulary(spark, sf_dir):
                coalesce(len(ids), 0) + 2 AS n_used FROM documents d LEFT JOIN ids USING (doc_id)""",
 )
 def tokenized(spark, sf_dir):
-    documents = v.table(spark, sf_dir, "documents")
+    documents = v.documents(spark, sf_dir)
     out = ops.tokenize(documents, ops.build_vocabulary(documents, max_size=2000), "doc_id", length=64)
     return out.select(
         "doc_id",
@@ -74,7 +75,7 @@ def hdfs(spark, sf_dir):
 
 def bgl_lines(spark, sf_dir):
     """Events in the layout of the BGL corpus."""
-    e = v.table(spark, sf_dir, "events")
+    e = spread(v.table(spark, sf_dir, "events"), "event_id")
     ts = F.col("ts").cast("timestamp")
     return e.select(
         F.col("event_id").alias("log_id"),
@@ -105,7 +106,7 @@ def bgl(spark, sf_dir):
 
 def thunderbird_lines(spark, sf_dir):
     """Events in the layout of the Thunderbird corpus."""
-    e = v.table(spark, sf_dir, "events")
+    e = spread(v.table(spark, sf_dir, "events"), "event_id")
     ts = F.col("ts").cast("timestamp")
     return e.select(
         F.col("event_id").alias("log_id"),

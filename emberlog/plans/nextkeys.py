@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from emberlog.operators import nextkey as ops
-from emberlog.operators.templates import template_keys, vocabulary_size
+from emberlog.operators.templates import vocabulary_size
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
 from emberlog.session import written
@@ -25,15 +27,28 @@ LOOKUP = """contexts AS (SELECT DISTINCT service, context, total FROM model),
     ON r.service = m.service AND r.seen = m.context AND r.next_id = m.next_id)"""
 
 
-def train_and_test(spark, sf_dir):
-    chunks = written(v.chunks(spark, sf_dir), "chunks")
-    return chunks.filter("window_no % 2 = 0"), chunks.filter("window_no % 2 = 1")
+class Experiment(v.LogTables):
+    """Chunks split into training and test, and what the detector needs per service."""
+
+    @cached_property
+    def training(self):
+        return self.stored_chunks.filter("window_no % 2 = 0")
+
+    @cached_property
+    def test(self):
+        return self.stored_chunks.filter("window_no % 2 = 1")
 
+    @cached_property
+    def model(self):
+        return written(ops.train(self.training), "model")
 
-def settings(spark, sf_dir):
-    sizes = vocabulary_size(template_keys(v.templated(spark, sf_dir)))
-    config = v.services(spark, sf_dir).select(F.col("name").alias("service"), "top_k")
-    return config.join(sizes, "service")
+    @cached_property
+    def top_k(self):
+        return self.services.select(F.col("name").alias("service"), "top_k")
+
+    @cached_property
+    def settings(self):
+        return written(self.top_k.join(vocabulary_size(self.dictionary), "service"), "settings")
 
 
 @query(
@@ -67,13 +82,7 @@ def model_rows(model):
     "SELECT service, array_to_string(context, ',') AS context, next_id, n, rank, CAST(total AS BIGINT) AS total FROM model",
 )
 def model(spark, sf_dir):
-    training, _ = train_and_test(spark, sf_dir)
-    return model_rows(ops.train(training))
-
-
-def detect_parts(spark, sf_dir):
-    training, test = train_and_test(spark, sf_dir)
-    return written(ops.train(training), "model"), test
+    return model_rows(ops.train(Experiment(spark, sf_dir).training))
 
 
 @query(
@@ -84,8 +93,8 @@ def detect_parts(spark, sf_dir):
       count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_anomaly FROM looked GROUP BY 1, 2""",
 )
 def detect(spark, sf_dir):
-    trained, test = detect_parts(spark, sf_dir)
-    return ops.detect(test, trained, settings(spark, sf_dir).select("service", "top_k"))
+    e = Experiment(spark, sf_dir)
+    return ops.detect(e.test, e.model, e.top_k)
 
 
 SIZES = "sizes AS (SELECT service, count(*) + 3 AS vocab_size FROM dictionary GROUP BY service)"
@@ -102,8 +111,8 @@ SIZES = "sizes AS (SELECT service, count(*) + 3 AS vocab_size FROM dictionary GR
         FROM looked JOIN sizes USING (service) WHERE pos >= floor(0.8 * n_ids) GROUP BY 1, 2)""",
 )
 def policy_cost(spark, sf_dir):
-    trained, test = detect_parts(spark, sf_dir)
-    cost = ops.policy_cost(test, trained, settings(spark, sf_dir))
+    e = Experiment(spark, sf_dir)
+    cost = ops.policy_cost(e.test, e.model, e.settings)
     return cost.select(
         "chunk_id", "reward", "prompt_len", F.round("log_prob", 6).alias("log_prob"), F.round("cost", 6).alias("cost")
     )
@@ -119,9 +128,8 @@ def policy_cost(spark, sf_dir):
     + " SELECT service, array_to_string(context, ',') AS context, next_id, n, rank, CAST(total AS BIGINT) AS total FROM model",
 )
 def fine_tuned(spark, sf_dir):
-    chunks = written(v.chunks(spark, sf_dir), "chunks")
-    trained = ops.train(chunks.filter("window_no % 2 = 0"))
-    return model_rows(ops.update(trained, ops.training_sets(chunks, "finetune"), weight=2))
+    e = Experiment(spark, sf_dir)
+    return model_rows(ops.update(e.model, ops.training_sets(e.stored_chunks, "finetune"), weight=2))
 
 
 @query(
@@ -148,8 +156,8 @@ def summary(spark, sf_dir):
       FROM looked JOIN sizes USING (service) GROUP BY service""",
 )
 def held_out(spark, sf_dir):
-    trained, test = detect_parts(spark, sf_dir)
-    loss = ops.held_out_loss(test, trained, settings(spark, sf_dir))
+    e = Experiment(spark, sf_dir)
+    loss = ops.held_out_loss(e.test, e.model, e.settings)
     return loss.select("service", "n_positions", F.round("loss", 6).alias("loss"))
 
 
@@ -162,7 +170,6 @@ def held_out(spark, sf_dir):
       WHERE window_no % 2 = 1 AND (is_train OR bad)""",
 )
 def predictions(spark, sf_dir):
-    trained, test = detect_parts(spark, sf_dir)
-    verdicts = ops.detect(test, trained, settings(spark, sf_dir).select("service", "top_k"))
-    found = ops.sequence_predictions(test, verdicts, v.services(spark, sf_dir))
+    e = Experiment(spark, sf_dir)
+    found = ops.sequence_predictions(e.test, ops.detect(e.test, e.model, e.top_k), e.services)
     return found.select("type", "chunk_id", "service", "hash", "is_anomaly")

@@ -6,14 +6,18 @@ leave a query as text or microseconds, so that two engines can be compared.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import hash64
 from emberlog.operators.lines import clean, extract_traces, window_key
 from emberlog.operators.services import with_defaults
-from emberlog.operators.templates import keyed, masked_templates
+from emberlog.operators.templates import assign_keys, masked_templates, template_keys
 from emberlog.operators.windows import chunk_windows, count_windows, tag_train_strategy
+from emberlog.session import written
+from emberlog.sources.files import spread
 
 WINDOW, CONTEXT = 64, 32
 ANOMALY_VALUE = 60
@@ -35,7 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_columns(table(spark, sf_dir, "events"))
+    return log_columns(spread(table(spark, sf_dir, "events"), "event_id"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def log_columns(events: DataFrame) -> DataFrame:
@@ -82,8 +90,50 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class LogTables:
+    """The tables of one query run, each made once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def services(self) -> DataFrame:
+        return written(services(self.spark, self.sf_dir), "services")
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return clean(logs(self.spark, self.sf_dir), self.services)
+
+    @cached_property
+    def templated(self) -> DataFrame:
+        return written(masked_templates(self.cleaned), "templated")
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return written(template_keys(self.templated), "dictionary")
+
+    @cached_property
+    def keyed(self) -> DataFrame:
+        return assign_keys(self.templated, self.dictionary)
+
+    @cached_property
+    def windowed_input(self) -> DataFrame:
+        """Keyed logs with train strategy, trace id and window key."""
+        tagged = tag_train_strategy(self.keyed, self.services)
+        return window_key(extract_traces(tagged, self.services))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        windows = count_windows(self.windowed_input, WINDOW)
+        return chunk_windows(windows, CONTEXT).withColumn("input_ids", F.col("chunk.input_ids"))
+
+    @cached_property
+    def stored_chunks(self) -> DataFrame:
+        return written(self.chunks, "chunks")
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(logs(spark, sf_dir), services(spark, sf_dir))
+    return LogTables(spark, sf_dir).cleaned
 
 
 def templated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,19 +141,11 @@ def templated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed(cleaned(spark, sf_dir))
-
-
-def windowed_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed logs with train strategy, trace id and window key."""
-    config = services(spark, sf_dir)
-    tagged = tag_train_strategy(keyed_logs(spark, sf_dir), config)
-    return window_key(extract_traces(tagged, config))
+    return LogTables(spark, sf_dir).keyed
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = count_windows(windowed_input(spark, sf_dir), WINDOW)
-    return chunk_windows(windows, CONTEXT).withColumn("input_ids", F.col("chunk.input_ids"))
+    return LogTables(spark, sf_dir).chunks
 
 
 def micros(ts: Column | str) -> Column:

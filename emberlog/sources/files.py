@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on an input with fewer splits than cores, as one small or packed file gives."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their file and an id that rises in reading order."""
     return spark.read.text(path).select(
