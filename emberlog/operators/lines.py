@@ -21,7 +21,7 @@ from emberlog.functions.text import (
     word_tokens,
 )
 from emberlog.operators.joins import is_small, sized
-from emberlog.operators.ordering import number_rows
+from emberlog.operators.ordering import number_rows, position
 from emberlog.operators.services import MAX_LITERAL_SERVICES, attach, clean_text
 from emberlog.session import written
 
@@ -84,9 +84,8 @@ def unique_lines(logs: DataFrame, group: str, line: str, part_size: int = 4096)
     Distinct lines are found by a partial aggregation, so a hot group shrinks before the
     shuffle. A group with more than ``part_size`` distinct lines spans several rows.
     """
-    seen = logs.groupBy(group, line).agg(F.min(F.struct("ts", "log_id")).alias("_first"))
-    seen = seen.select(group, line, F.col("_first.ts").alias("_ts"), F.col("_first.log_id").alias("_id"))
-    numbered = number_rows(written(seen, "lines-seen"), ["_ts", "_id"], [group], "_no")
+    seen = logs.groupBy(group, line).agg(F.min(position()).alias("_first"))
+    numbered = number_rows(written(seen, "lines-seen"), ["_first"], [group], "_no")
     return (
         numbered.withColumn("part", F.floor((F.col("_no") - 1) / part_size).cast("long"))
         .groupBy(group, "part")

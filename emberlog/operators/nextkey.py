@@ -101,11 +101,13 @@ def look_up(predicted: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
     Adds ``used`` (that context's length), ``rank``, ``n`` and ``total``; rank and n are NULL
     when the key never followed the context.
     """
-    contexts = sized(written(model.select("service", "context", "total").distinct(), "contexts"))
+    contexts = written(model.select("service", "context", "total").distinct(), "contexts")
     for m in range(order, -1, -1):
         suffix = F.when(F.size("context") >= m, _suffix(F.col("context"), m))
-        level = contexts.select("service", F.col("context").alias(f"_c{m}"), F.col("total").alias(f"_t{m}"))
-        predicted = predicted.withColumn(f"_c{m}", suffix).join(level, ["service", f"_c{m}"], "left")
+        level = contexts.filter(F.size("context") == m).select(
+            "service", F.col("context").alias(f"_c{m}"), F.col("total").alias(f"_t{m}")
+        )
+        predicted = predicted.withColumn(f"_c{m}", suffix).join(sized(level), ["service", f"_c{m}"], "left")
     levels = range(order, -1, -1)
     known = lambda m: F.col(f"_t{m}").isNotNull()
     resolved = predicted.withColumns(

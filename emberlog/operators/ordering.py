@@ -23,6 +23,15 @@ MAX_RANGES = 16_384
 _RANGE = "_range"
 
 
+def position(ts: str = "ts", row_id: str = "log_id") -> Column:
+    """(ts, id) as one number with the same order, for ids from 0 to 2^63.
+
+    The minimum of a number is a hash aggregation; that of a struct sorts every input row.
+    """
+    micros = F.unix_micros(ts).cast("decimal(38,0)")
+    return micros * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(row_id).cast("long")
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the biggest group; one number reaches the driver."""
     if not keys:

@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.operators.embeddings import normalized
 from emberlog.operators.joins import sized
-from emberlog.operators.ordering import first_rows
+from emberlog.operators.ordering import first_rows, position
 from emberlog.operators.services import attach
 from emberlog.session import written
 
@@ -304,10 +304,7 @@ def broadcast_back(lines: DataFrame, scores: DataFrame, on: str = "cleaned_text"
 
 
 def first_occurrences(lines: DataFrame, on: list[str]) -> DataFrame:
-    """The earliest line of each group, found by partial aggregation."""
-    columns = lines.columns
-    return lines.groupBy(*on).agg(F.min_by(F.struct(*columns), F.struct("ts", "log_id")).alias("_r")).select("_r.*")
-
-
-def score_column(name: str = "score") -> Column:
-    return F.round(F.col(name), 6)
+    """The earliest line of each group: a minimum per group, then the lines that attain it."""
+    placed = lines.withColumn("_first", position())
+    firsts = written(placed.groupBy(*on).agg(F.min("_first").alias("_first")), "first-lines")
+    return placed.join(sized(firsts), [*on, "_first"], "left_semi").select(*lines.columns)

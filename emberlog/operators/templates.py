@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.sequences import RESERVED_IDS
 from emberlog.functions.text import mask_digit_tokens
 from emberlog.operators.joins import sized
-from emberlog.operators.ordering import first_rows, number_rows
+from emberlog.operators.ordering import first_rows, number_rows, position
 from emberlog.session import written
 
 # Similarity threshold of the published miner, and its wildcard token.
@@ -24,31 +25,40 @@ def masked_templates(logs: DataFrame) -> DataFrame:
     return logs.withColumn("template", mask_digit_tokens(F.col("cleaned_text")))
 
 
-def _cluster(lines: list[list[str]]) -> tuple[list[list[str]], list[int]]:
-    """Greedy clustering of equally long token lists; returns templates and assignments."""
-    templates: list[list[str]] = []
-    chosen: list[int] = []
-    for tokens in lines:
-        best, best_rank = -1, (SIMILARITY, -1)
-        for i, template in enumerate(templates):
-            same = sum(a == b and a != WILDCARD for a, b in zip(template, tokens))
-            rank = (same / max(len(tokens), 1), template.count(WILDCARD))
-            if rank[0] >= SIMILARITY and (best < 0 or rank > best_rank):
-                best, best_rank = i, rank
-        if best < 0:
-            templates.append(list(tokens))
-            best = len(templates) - 1
+def cluster_tokens(lines: list[list[str]]) -> tuple[list[str], list[int]]:
+    """Greedy clustering of equally long token lists, in order.
+
+    A line joins the template that equals it in the most places, wildcards not counted, if
+    those are at least ``SIMILARITY`` of all; among equals the one with more wildcards, then
+    the oldest. Places that differ become wildcards. Returns templates and assignments.
+    """
+    codes = {WILDCARD: 0}
+    rows = np.array([[codes.setdefault(t, len(codes)) for t in line] for line in lines], dtype=np.int64)
+    width = rows.shape[1]
+    templates = np.zeros((16, width), dtype=np.int64)
+    used, chosen = 0, []
+    for row in rows:
+        known = templates[:used]
+        same = ((known == row) & (known != 0)).sum(axis=1)
+        rank = same * (width + 1) + (known == 0).sum(axis=1)
+        best = int(rank.argmax()) if used else -1
+        if best < 0 or same[best] < SIMILARITY * width:
+            if used == len(templates):
+                templates = np.vstack([templates, np.zeros_like(templates)])
+            templates[used] = row
+            best = used
+            used += 1
         else:
-            templates[best] = [a if a == b else WILDCARD for a, b in zip(templates[best], tokens)]
+            templates[best][templates[best] != row] = 0
         chosen.append(best)
-    return templates, chosen
+    names = list(codes)
+    return [" ".join(names[c] for c in template) for template in templates[:used]], chosen
 
 
 def _cluster_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "log_id", "line"], kind="stable")
-    templates, chosen = _cluster([line.split(" ") for line in pdf["line"]])
-    texts = [" ".join(t) for t in templates]
-    return pdf[["service", "line"]].assign(template=[texts[i] for i in chosen])
+    pdf = pdf.sort_values("first_seen", kind="stable")
+    templates, chosen = cluster_tokens([line.split(" ") for line in pdf["line"]])
+    return pdf[["service", "line"]].assign(template=[templates[i] for i in chosen])
 
 
 _LEAF = ["service", "_n", "_prefix"]
@@ -72,11 +82,7 @@ def fit_templates(logs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     token). A leaf with more than ``leaf_rows`` lines is clustered in shards first; the
     templates of all shards, far fewer than the lines, are then clustered again.
     """
-    lines = (
-        logs.groupBy("service", F.col("cleaned_text").alias("line"))
-        .agg(F.min(F.struct("ts", "log_id")).alias("_f"))
-        .select("service", "line", F.col("_f.ts").alias("ts"), F.col("_f.log_id").alias("log_id"))
-    )
+    lines = logs.groupBy("service", F.col("cleaned_text").alias("line")).agg(F.min(position()).alias("first_seen"))
     lines = written(lines, "distinct-lines")
     schema = "service string, line string, template string"
     first_pass = written(
@@ -87,8 +93,7 @@ def fit_templates(logs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     drafts = (
         first_pass.join(lines, ["service", "line"])
         .groupBy("service", F.col("template").alias("line"))
-        .agg(F.min(F.struct("ts", "log_id")).alias("_f"))
-        .select("service", "line", F.col("_f.ts").alias("ts"), F.col("_f.log_id").alias("log_id"))
+        .agg(F.min("first_seen").alias("first_seen"))
     )
     second_word = F.get(F.split("line", " "), F.lit(1))
     merged = (
@@ -107,19 +112,17 @@ def template_keys(templated: DataFrame, known: DataFrame | None = None) -> DataF
     Keys start after the reserved ids. ``known`` templates keep their keys and the new
     ones continue after the largest.
     """
-    seen = (
-        templated.groupBy("service", "template")
-        .agg(F.min(F.struct("ts", "log_id")).alias("_f"), F.count(F.lit(1)).alias("size"))
-        .select("service", "template", F.col("_f.ts").alias("_ts"), F.col("_f.log_id").alias("_id"), "size")
+    seen = templated.groupBy("service", "template").agg(
+        F.min(position()).alias("_first"), F.count(F.lit(1)).alias("size")
     )
     # one pass over the lines; everything below works on the far smaller table of templates
     seen = written(seen, "templates-seen")
     if known is None:
-        numbered = number_rows(seen, ["_ts", "_id"], ["service"], "_no")
+        numbered = number_rows(seen, ["_first"], ["service"], "_no")
         return numbered.select("service", "template", (F.col("_no") + RESERVED_IDS).alias("key_id"), "size")
     fresh = seen.join(known.select("service", "template"), ["service", "template"], "left_anti")
     last = known.groupBy("service").agg(F.max("key_id").alias("_last"))
-    grown = number_rows(fresh, ["_ts", "_id"], ["service"], "_no").join(sized(last), "service", "left")
+    grown = number_rows(fresh, ["_first"], ["service"], "_no").join(sized(last), "service", "left")
     added = grown.select(
         "service",
         "template",

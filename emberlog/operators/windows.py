@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.sequences import ONLINE_CONTEXT, frame, frame_mask
 from emberlog.functions.text import hash64
-from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows
+from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, position
 from emberlog.operators.services import attach
 
 ORDER = ["ts", "log_id"]
@@ -144,7 +144,7 @@ def session_sequences(
         .groupBy(session, "part")
         .agg(F.array_sort(F.collect_list(F.struct("_no", "key_id"))).alias("_s"))
     )
-    labels = logs.groupBy(session).agg(F.min_by("is_anomaly", F.struct(*ORDER)).alias("is_anomaly"))
+    labels = logs.groupBy(session).agg(F.min_by("is_anomaly", position()).alias("is_anomaly"))
     return parts.join(labels, session).select(
         session, "part", F.transform("_s", lambda x: x["key_id"].cast("int")).alias("line"), "is_anomaly"
     )
