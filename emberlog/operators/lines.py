@@ -36,11 +36,21 @@ def clean(logs: DataFrame, services: DataFrame) -> DataFrame:
     return clean_text(services)(logs).withColumn("hash", hash64(F.col("cleaned_text")))
 
 
+def _first_match_by_column(text: str, pattern: str):
+    """``first_match`` for a pattern held in a column; NULL patterns match nothing."""
+    # the pattern as a whole becomes group 1, so its own first group, if it has one, is group 2
+    wrapped = F.concat(F.lit("("), F.col(pattern), F.lit(")"))
+    grouped = F.regexp_like(F.col(pattern), F.lit(r"(?<!\\)\((?!\?)"))
+    found = F.call_function("regexp_extract", F.col(text), wrapped, F.when(grouped, 2).otherwise(1))
+    return F.when(F.regexp_like(F.col(text), F.col(pattern)), found)
+
+
 def extract_traces(logs: DataFrame, services: DataFrame) -> DataFrame:
     """Add ``enable_trace`` and ``trace_id`` (NULL when tracing is off or nothing matches)."""
     tracing = services.filter("enable_trace AND coalesce(trace_regex, '') <> ''").select("name", "trace_regex")
     if not is_small(tracing, MAX_LITERAL_SERVICES):
-        raise ValueError(f"more than {MAX_LITERAL_SERVICES} services with a trace pattern")
+        joined = attach(attach(logs, services, ["enable_trace"]), tracing, ["trace_regex"])
+        return joined.withColumn("trace_id", _first_match_by_column("original_text", "trace_regex")).drop("trace_regex")
     trace = F.lit(None).cast("string")
     for row in tracing.collect():
         found = first_match(F.col("original_text"), row["trace_regex"])

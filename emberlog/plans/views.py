@@ -19,7 +19,7 @@ from emberlog.operators.windows import chunk_windows, count_windows, tag_train_s
 from emberlog.session import written
 from emberlog.sources.files import spread
 
-WINDOW, CONTEXT = 64, 32
+WINDOW, CONTEXT = 20, 10
 ANOMALY_VALUE = 60
 
 _LOG_COLUMNS = """event_id AS log_id, event_type AS service,

@@ -64,10 +64,10 @@ def count_windows(spark, sf_dir):
     return _window_rows(ops.count_windows(logs, 512, "key"), ["key"])
 
 
-@query("E3_count_windows_by_service", _window_sql(64, "service, key"))
+@query("E3_count_windows_by_service", _window_sql(v.WINDOW, "service, key"))
 def count_windows_by_service(spark, sf_dir):
     logs = window_key(extract_traces(v.logs(spark, sf_dir), v.services(spark, sf_dir)))
-    return _window_rows(ops.count_windows(logs, 64), ["service", "key"])
+    return _window_rows(ops.count_windows(logs, v.WINDOW), ["service", "key"])
 
 
 @query("E3_count_windows_ranged", _window_sql(64, "key"))
