@@ -152,7 +152,7 @@ def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) ->
         *[F.struct(F.lit(w).alias("_width"), _bucket(F.col("ts"), w).alias("_bucket")) for w in BUCKET_MINUTES]
     )
     placed = logs.select("*", F.inline(places))
-    joined = placed.join(sized(written(buckets, "context-buckets")), ["service", "node", "filename", "_width", "_bucket"])
+    joined = placed.join(written(buckets, "context-buckets"), ["service", "node", "filename", "_width", "_bucket"])
     return joined.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_width", "_bucket", "_from", "_to")
 
 

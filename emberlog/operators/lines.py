@@ -20,7 +20,7 @@ from emberlog.functions.text import (
     thunderbird_time,
     word_tokens,
 )
-from emberlog.operators.joins import is_small, sized
+from emberlog.operators.joins import is_small
 from emberlog.operators.ordering import number_rows, position
 from emberlog.operators.services import MAX_LITERAL_SERVICES, attach, clean_text
 from emberlog.session import written
@@ -48,7 +48,7 @@ def _first_match_by_column(text: str, pattern: str):
 def extract_traces(logs: DataFrame, services: DataFrame) -> DataFrame:
     """Add ``enable_trace`` and ``trace_id`` (NULL when tracing is off or nothing matches)."""
     tracing = services.filter("enable_trace AND coalesce(trace_regex, '') <> ''").select("name", "trace_regex")
-    if not is_small(tracing, MAX_LITERAL_SERVICES):
+    if not is_small(services, MAX_LITERAL_SERVICES):
         joined = attach(attach(logs, services, ["enable_trace"]), tracing, ["trace_regex"])
         return joined.withColumn("trace_id", _first_match_by_column("original_text", "trace_regex")).drop("trace_regex")
     trace = F.lit(None).cast("string")
@@ -125,7 +125,7 @@ def tokenize(
     words = F.slice(word_tokens(F.col(text)), 1, body)
     rows = texts.select(key, F.posexplode_outer(words).alias("_pos", "token"))
     ids = written(vocabulary.select("token", "token_id"), "vocabulary")
-    found = rows.join(sized(ids), "token", "left")
+    found = rows.join(ids, "token", "left")
     entry = F.when(
         F.col("token").isNotNull(),
         F.struct(F.col("_pos"), F.coalesce("token_id", F.lit(UNKNOWN_TOKEN)).cast("int").alias("id")),

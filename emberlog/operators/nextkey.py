@@ -107,7 +107,7 @@ def look_up(predicted: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
         level = contexts.filter(F.size("context") == m).select(
             "service", F.col("context").alias(f"_c{m}"), F.col("total").alias(f"_t{m}")
         )
-        predicted = predicted.withColumn(f"_c{m}", suffix).join(sized(level), ["service", f"_c{m}"], "left")
+        predicted = predicted.withColumn(f"_c{m}", suffix).join(level, ["service", f"_c{m}"], "left")
     levels = range(order, -1, -1)
     known = lambda m: F.col(f"_t{m}").isNotNull()
     resolved = predicted.withColumns(
@@ -118,7 +118,7 @@ def look_up(predicted: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
         }
     ).drop(*[f"_c{m}" for m in levels], *[f"_t{m}" for m in levels])
     pairs = model.select("service", F.col("context").alias("_seen"), "next_id", "rank", "n")
-    return resolved.join(sized(pairs), ["service", "_seen", "next_id"], "left").drop("_seen")
+    return resolved.join(sized(pairs, of=model), ["service", "_seen", "next_id"], "left").drop("_seen")
 
 
 def in_top_k(top_k: Column) -> Column:
@@ -219,8 +219,8 @@ def sequence_predictions(chunks: DataFrame, verdicts: DataFrame, services: DataF
     Chunks of training services all pass, as not anomalous; of the others only anomalies.
     """
     judged = chunks.join(verdicts.select("chunk_id", "is_anomaly"), "chunk_id", "left")
-    modes = sized(services.select(F.col("name").alias("service"), F.coalesce("is_train", F.lit(False)).alias("_train")))
+    modes = services.select(F.col("name").alias("service"), F.coalesce("is_train", F.lit(False)).alias("_train"))
     found = F.coalesce(F.col("is_anomaly"), F.lit(False))
     training = F.coalesce(F.col("_train"), F.lit(False))
-    joined = judged.join(modes, "service", "left").filter(training | found)
+    joined = judged.join(sized(modes, of=services), "service", "left").filter(training | found)
     return joined.withColumns({"type": F.lit("log_gpt"), "is_anomaly": ~training & found}).drop("_train")

@@ -81,7 +81,7 @@ def _candidate_blocks(queries: DataFrame, points: DataFrame, group: str) -> Data
         made = df.groupBy(group, "block").applyInPandas(_block_summary(group), schema)
         return made.select(group, *[F.col(c).alias(f"{side}_{c}") for c in ("block", "center", "radius", "n", "k")])
 
-    pairs = summaries(queries, "q").join(sized(written(summaries(points, "p"), "blocks")), group)
+    pairs = summaries(queries, "q").join(written(summaries(points, "p"), "blocks"), group)
     apart = F.sqrt(
         F.aggregate(
             F.zip_with("q_center", "p_center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x
@@ -162,7 +162,7 @@ def nearest_points(
     else:
         q = written(_blocked(q, group, block_rows), "query-blocks")
         p = written(_blocked(p, group, block_rows), "point-blocks")
-        pairs = sized(written(_candidate_blocks(q, p, group), "block-pairs"))
+        pairs = written(_candidate_blocks(q, p, group), "block-pairs")
         pairs_q = q.withColumnRenamed("block", "q_block").join(pairs, [group, "q_block"])
         pairs_p = p.withColumnRenamed("block", "p_block").join(pairs, [group, "p_block"])
         meet = [group, "q_block", "p_block"]
@@ -307,4 +307,4 @@ def first_occurrences(lines: DataFrame, on: list[str]) -> DataFrame:
     """The earliest line of each group: a minimum per group, then the lines that attain it."""
     placed = lines.withColumn("_first", position())
     firsts = written(placed.groupBy(*on).agg(F.min("_first").alias("_first")), "first-lines")
-    return placed.join(sized(firsts), [*on, "_first"], "left_semi").select(*lines.columns)
+    return placed.join(firsts, [*on, "_first"], "left_semi").select(*lines.columns)

@@ -117,7 +117,7 @@ def validate(services: DataFrame) -> DataFrame:
 def attach(logs: DataFrame, services: DataFrame, fields: list[str]) -> DataFrame:
     """Left-join config ``fields`` onto rows with a ``service`` column."""
     wanted = services.select(F.col("name").alias("service"), *fields)
-    return logs.join(sized(wanted), "service", "left")
+    return logs.join(sized(wanted, of=services), "service", "left")
 
 
 def clean_text(services: DataFrame, text: str = "original_text"):
@@ -128,7 +128,7 @@ def clean_text(services: DataFrame, text: str = "original_text"):
     tables are joined and their rules folded row by row.
     """
     rules = services.select("name", "regex_subs")
-    if not is_small(rules, MAX_LITERAL_SERVICES):
+    if not is_small(services, MAX_LITERAL_SERVICES):
         def by_join(logs: DataFrame) -> DataFrame:
             joined = attach(logs, services, ["regex_subs"])
             cleaned = substitute_by_column(F.col(text), F.coalesce("regex_subs", F.array().cast(T.ArrayType(REGEX_SUB))))

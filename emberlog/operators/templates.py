@@ -122,7 +122,7 @@ def template_keys(templated: DataFrame, known: DataFrame | None = None) -> DataF
         return numbered.select("service", "template", (F.col("_no") + RESERVED_IDS).alias("key_id"), "size")
     fresh = seen.join(known.select("service", "template"), ["service", "template"], "left_anti")
     last = known.groupBy("service").agg(F.max("key_id").alias("_last"))
-    grown = number_rows(fresh, ["_first"], ["service"], "_no").join(sized(last), "service", "left")
+    grown = number_rows(fresh, ["_first"], ["service"], "_no").join(last, "service", "left")
     added = grown.select(
         "service",
         "template",
@@ -137,8 +137,8 @@ def template_keys(templated: DataFrame, known: DataFrame | None = None) -> DataF
 
 def assign_keys(templated: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add ``key_id`` to every line."""
-    keys = written(dictionary.select("service", "template", "key_id"), "dictionary")
-    return templated.join(sized(keys), ["service", "template"], "left")
+    keys = dictionary.select("service", "template", "key_id")
+    return templated.join(sized(keys, of=dictionary), ["service", "template"], "left")
 
 
 def assign_fitted(logs: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def template_stats(dictionary: DataFrame, top: int = 5) -> DataFrame:
     """The ``top`` largest templates per service and the number of templates."""
     counts = dictionary.groupBy("service").agg(F.count(F.lit(1)).alias("n_templates"))
     ranked = first_rows(dictionary, top, [F.desc("size"), F.asc("template")], ["service"])
-    return ranked.join(sized(counts), "service")
+    return ranked.join(counts, "service")
 
 
 def vocabulary_size(dictionary: DataFrame) -> DataFrame:

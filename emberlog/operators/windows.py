@@ -9,6 +9,7 @@ from emberlog.functions.sequences import ONLINE_CONTEXT, frame, frame_mask
 from emberlog.functions.text import hash64
 from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, position
 from emberlog.operators.services import attach
+from emberlog.session import written
 
 ORDER = ["ts", "log_id"]
 # what a window keeps of each log, in addition to its position
@@ -17,22 +18,27 @@ WINDOW_FIELDS = [
 ]
 
 
-def tag_train_strategy(logs: DataFrame, services: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def tag_train_strategy(
+    logs: DataFrame,
+    services: DataFrame,
+    rows_per_range: int = ROWS_PER_RANGE,
+    seen: DataFrame | None = None,
+) -> DataFrame:
     """Tag logs of training services: the first ``max_pretrain + 1`` are ``pre-train``, later ones ``finetune``.
 
-    A tag that the log already carries wins.
+    A tag that the log already carries wins. ``seen`` (service, seen) counts training logs
+    of earlier micro-batches. Only the ids and times of training logs are numbered, to find
+    the last pre-training log of each service; the logs themselves are not shuffled.
     """
-    logs = attach(logs, services, ["is_train", "max_pretrain"])
-    numbered = number_rows(logs, ORDER, ["service"], "_no", rows_per_range)
-    return apply_strategy(numbered, F.col("_no")).drop("_no", "is_train", "max_pretrain")
-
-
-def apply_strategy(logs: DataFrame, position) -> DataFrame:
-    tag = F.when(
-        F.col("is_train"), F.when(position - 1 <= F.col("max_pretrain"), "pre-train").otherwise("finetune")
-    )
+    training = attach(logs.select("service", position().alias("_at")), services, ["is_train", "max_pretrain"]).filter("is_train")
+    numbered = number_rows(training, ["_at"], ["service"], "_no", rows_per_range)
+    if seen is not None:
+        numbered = numbered.join(seen, "service", "left").withColumn("_no", F.col("_no") + F.coalesce("seen", F.lit(0)))
+    last = numbered.filter("_no - 1 <= max_pretrain").groupBy("service").agg(F.max("_at").alias("_last"))
+    marked = attach(logs, services, ["is_train"]).join(written(last, "pretrain-ends"), "service", "left")
+    tag = F.when(F.col("is_train"), F.when(position() <= F.col("_last"), "pre-train").otherwise("finetune"))
     given = F.col("train_strategy") if "train_strategy" in logs.columns else F.lit(None).cast("string")
-    return logs.withColumn("train_strategy", F.coalesce(given, tag))
+    return marked.withColumn("train_strategy", F.coalesce(given, tag)).drop("_last", "is_train")
 
 
 def window_keys(scope: str) -> list[str]:

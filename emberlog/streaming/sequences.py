@@ -23,9 +23,9 @@ from emberlog.operators.templates import assign_keys, masked_templates, template
 from emberlog.operators.windows import (
     ORDER,
     WINDOW_FIELDS,
-    apply_strategy,
     chunk_windows,
     gather_windows,
+    tag_train_strategy,
     window_keys,
 )
 from emberlog.session import written
@@ -43,19 +43,12 @@ class TrainTags:
 
     def process(self, logs: DataFrame, batch_id: int, services: DataFrame) -> DataFrame:
         before = self.counters.latest(batch_id)
-        marked = attach(logs, services, ["is_train", "max_pretrain"])
         # only logs that arrive while their service trains are counted
-        counted = marked.withColumn("_counts", F.coalesce(F.col("is_train"), F.lit(False)))
-        numbered = number_rows(counted, ORDER, ["service", "_counts"], "_no", self.rows_per_range)
-        with_past = numbered.join(sized(before), "service", "left").withColumn(
-            "_no", F.col("_no") + F.coalesce("seen", F.lit(0))
-        )
-        tagged = apply_strategy(with_past, F.col("_no")).drop("_no", "_counts", "seen", "is_train", "max_pretrain")
-
-        grown = counted.filter("_counts").groupBy("service").agg(F.count(F.lit(1)).alias("seen"))
+        training = attach(logs.select("service"), services, ["is_train"]).filter("is_train")
+        grown = training.groupBy("service").agg(F.count(F.lit(1)).alias("seen"))
         totals = before.unionByName(grown).groupBy("service").agg(F.sum("seen").alias("seen"))
         self.counters.write(totals, batch_id)
-        return tagged
+        return tag_train_strategy(logs, services, self.rows_per_range, before)
 
 
 class CountWindows:
@@ -98,13 +91,13 @@ class CountWindows:
         before = counters.latest(batch_id)
         grown = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
         counters.write(before.unionByName(grown).groupBy(*keys).agg(F.sum("seen").alias("seen")), batch_id)
-        totals = sized(counters.latest(batch_id + 1).withColumnRenamed("seen", "_total"))
+        totals = counters.latest(batch_id + 1).withColumnRenamed("seen", "_total")
 
         numbered = number_rows(incoming, ORDER, keys, "_no", self.rows_per_range)
         position = F.col("_no") - 1 + F.coalesce("seen", F.lit(0).cast("long"))
         is_open = (F.col("window_no") + 1) * size > F.col("_total")
         placed = written(
-            numbered.join(sized(before), keys, "left")
+            numbered.join(before, keys, "left")
             .withColumn("_pos", position)
             .withColumn("window_no", F.floor(F.col("_pos") / size).cast("long"))
             .join(totals, keys)
