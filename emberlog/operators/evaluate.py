@@ -12,6 +12,29 @@ from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, running_tot
 from emberlog.session import written
 
 
+def _up_to(df: DataFrame, order: Sequence[str], cuts: dict[str, tuple[Column, int]], rows_per_range: int) -> dict[str, Column]:
+    """For each (rows, n): the condition that a row is not behind the n-th of those rows.
+
+    Only the order columns are numbered, to find the n-th rows; ``df`` itself is not
+    shuffled. With fewer than n rows the condition always holds.
+    """
+    found = []
+    for name, (rows, n) in cuts.items():
+        numbered = number_rows(df.filter(rows).select(*order), order, (), "_no", rows_per_range)
+        found.append(numbered.filter(F.col("_no") == n).select(F.lit(name).alias("_cut"), F.struct(*order).alias("_at")))
+    table = found[0]
+    for more in found[1:]:
+        table = table.unionByName(more)
+    table = written(table, "cuts")
+    here = F.struct(*order)
+    return {
+        name: F.lit(False)
+        if n < 1
+        else F.coalesce(here <= table.filter(F.col("_cut") == name).select("_at").scalar(), F.lit(True))
+        for name, (_, n) in cuts.items()
+    }
+
+
 def positional_split(
     df: DataFrame,
     order: Sequence[str],
@@ -25,14 +48,16 @@ def positional_split(
 
     With test sizes, rows beyond them belong to neither and are left out.
     """
-    numbered = number_rows(df, order, [label], "_no", rows_per_range)
     anomaly = F.col(label).cast("int") == 1
-    normal_end = None if test_normal_size is None else train_size + test_normal_size
-    tested = F.when(
-        anomaly, F.lit(True) if test_abnormal_size is None else F.col("_no") <= test_abnormal_size
-    ).otherwise(F.lit(True) if normal_end is None else F.col("_no") <= normal_end)
-    split = F.when(~anomaly & (F.col("_no") <= train_size), "train").when(tested, "test")
-    return numbered.withColumn("split", split).filter("split IS NOT NULL").drop("_no")
+    cuts = {"train": (~anomaly, train_size)}
+    if test_normal_size is not None:
+        cuts["normal"] = (~anomaly, train_size + test_normal_size)
+    if test_abnormal_size is not None:
+        cuts["abnormal"] = (anomaly, test_abnormal_size)
+    up_to = _up_to(df, order, cuts, rows_per_range)
+    tested = F.when(anomaly, up_to.get("abnormal", F.lit(True))).otherwise(up_to.get("normal", F.lit(True)))
+    split = F.when(~anomaly & up_to["train"], "train").when(tested, "test")
+    return df.withColumn("split", split).filter("split IS NOT NULL")
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -57,9 +82,8 @@ def train_validation_cut(
     df: DataFrame, order: Sequence[str], ratio: float = 0.9, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add ``part``: ``train`` for the first ``floor(ratio * n)`` rows, else ``validation``."""
-    cut = int(ratio * df.count())
-    numbered = number_rows(df, order, (), "_no", rows_per_range)
-    return numbered.withColumn("part", F.when(F.col("_no") <= cut, "train").otherwise("validation")).drop("_no")
+    up_to = _up_to(df, order, {"train": (F.lit(True), int(ratio * df.count()))}, rows_per_range)
+    return df.withColumn("part", F.when(up_to["train"], "train").otherwise("validation"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = 0) -> DataFrame:
