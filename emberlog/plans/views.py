@@ -35,6 +35,9 @@ _LOG_COLUMNS = """event_id AS log_id, event_type AS service,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the tables hold times without a zone; both engines read them as UTC
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
