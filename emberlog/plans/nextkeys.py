@@ -6,11 +6,14 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from emberlog.detectors import NextKeyDetector
 from emberlog.operators import nextkey as ops
 from emberlog.operators.templates import vocabulary_size
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
-from emberlog.session import written
+from emberlog.plans.windows import SESSIONS, sessions
+from emberlog.session import new_shared_path, written
+from emberlog.sources.tables import PartTable
 
 POSITIONS = """positions AS (SELECT chunk_id, service, window_no, train_strategy, len(ids) AS n_ids, i - 1 AS pos,
     ids[greatest(i - 2, 1):i - 1] AS context, ids[i] AS next_id FROM (
@@ -173,3 +176,34 @@ def predictions(spark, sf_dir):
     e = Experiment(spark, sf_dir)
     found = ops.sequence_predictions(e.test, ops.detect(e.test, e.model, e.top_k), e.services)
     return found.select("type", "chunk_id", "service", "hash", "is_anomaly")
+
+
+@query(
+    "G9_model_versions",
+    v.with_views("chunks") + f", {POSITIONS.replace('WHERE window_no % 2 = 0 GROUP BY ALL', 'GROUP BY ALL')}, {MODEL} "
+    "SELECT service, array_to_string(context, ',') AS context, next_id, n, rank, CAST(total AS BIGINT) AS total FROM model",
+)
+def model_versions(spark, sf_dir):
+    """The first version has seen the even windows; the second adds the odd ones."""
+    e = Experiment(spark, sf_dir)
+    versions = PartTable(spark, new_shared_path(spark, "models"))
+    versions.write(ops.train(e.training))
+    versions.write(ops.update(versions.latest(), e.test))
+    return model_rows(versions.latest())
+
+
+SESSION_CHUNKS = """chunks AS (SELECT block_id || '/' || part AS chunk_id, '' AS service, CAST(NULL AS VARCHAR) AS train_strategy,
+  CAST(substr(block_id, 5) AS BIGINT) % 2 AS window_no, list_concat([0], ids, [1]) AS ids FROM sessions)"""
+
+
+@query(
+    "G11_next_key_detector",
+    v.with_views("keyed") + f""", {SESSIONS}, {SESSION_CHUNKS}, {POSITIONS}, {MODEL}, {LOOKUP.replace('length(r.service) - 2', '20')}
+      SELECT chunk_id AS sid, count(*) AS n_positions, count(*) FILTER (rank IS NULL OR rank > top_k) AS n_miss,
+      count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_predicted FROM looked GROUP BY 1""",
+)
+def detector(spark, sf_dir):
+    rows = written(sessions(spark, sf_dir), "sessions").withColumn("sid", F.concat_ws("/", "block_id", "part"))
+    even = F.substring("block_id", 5, 20).cast("long") % 2 == 0
+    fitted = NextKeyDetector(top_k=20).fit(rows.filter(even))
+    return fitted.transform(rows.filter(~even), "sid").select("sid", "n_positions", "n_miss", "is_predicted")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from emberlog.detectors import RetrievalDetector
 from emberlog.operators import retrieval as ops
-from emberlog.operators.embeddings import embed_trigrams
+from emberlog.operators.embeddings import embed_cached, embed_trigrams, embed_words, fit_word_vectors
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
+from emberlog.session import written
 
 BLOCKS = 8  # tiny blocks, so that the blocked path runs on the test tables
 
@@ -218,3 +219,41 @@ def unique_scores(spark, sf_dir):
     detector = RetrievalDetector().fit(logs.filter((F.dayofmonth("ts") <= 15) & ~F.col("is_anomaly")))
     scored = detector.transform(logs.filter(F.dayofmonth("ts") > 15))
     return scored.select("log_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "F4_embedding_cache",
+    v.with_views("cleaned")
+    + """, cached AS (SELECT DISTINCT hash FROM cleaned WHERE day(ts) <= 2 AND NOT is_anomaly)
+         SELECT hash, hash NOT IN (SELECT hash FROM cached) AS is_new, count(*) AS n FROM cleaned GROUP BY 1""",
+)
+def embedding_cache(spark, sf_dir):
+    logs = written(v.cleaned(spark, sf_dir), "cleaned")
+    early = logs.filter((F.dayofmonth("ts") <= 2) & ~F.col("is_anomaly")).select("hash", "cleaned_text").distinct()
+    cache = written(embed_trigrams(early).select("hash", "cls", "tokens"), "cache")
+    vectors, added = embed_cached(logs, cache, embed_trigrams)
+    known = vectors.select("hash").join(added.select("hash", F.lit(True).alias("is_new")), "hash", "left")
+    counts = logs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counts, "hash").select("hash", F.coalesce("is_new", F.lit(False)).alias("is_new"), "n")
+
+
+@query(
+    "F11_grown_normals",
+    v.with_views("lines") + f", {_core_sql('2', COSINE)}, {MAXSIM}, {SCORES} "
+    "SELECT service, hash FROM lines WHERE is_normal UNION ALL "
+    "SELECT service, hash FROM scores WHERE score <= -0.2 - CAST(substr(service, 2) AS INTEGER) / 10",
+)
+def grown_normals(spark, sf_dir):
+    queries, points = halves(spark, sf_dir)
+    judged = ops.judge(ops.score_lines(queries, points, 2), line_services(spark, sf_dir))
+    learned = judged.filter("NOT is_anomaly").select("service", "hash", F.lit(1).alias("version"))
+    store = points.select("service", "hash", F.lit(0).alias("version"))
+    return ops.upsert_normals(store, learned).select("service", "hash")
+
+
+@query("F1_word_vectors")
+def word_vectors(spark, sf_dir):
+    talk = v.table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    model = fit_word_vectors(talk, "text", dim=8)
+    rows = embed_words(talk.select("key", "text"), model, "key", "text")
+    return rows.select("key", F.size("cls").alias("dim"), F.size("tokens").alias("n_tokens"))

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.operators.nextkey import detect, sequence_predictions
 from emberlog.operators.windows import event_time_windows
 from emberlog.plans import views as v
-from emberlog.plans.registry import query
+from emberlog.plans.nextkeys import Experiment
+from emberlog.plans.registry import ORACLE, query
 from emberlog.plans.windows import EVENT_TIME_SQL, STRATEGY_SQL, _window_rows, event_time_rows
-from emberlog.session import new_shared_path
+from emberlog.session import new_shared_path, written
 from emberlog.sources.loki import decode_logs, encode, valid_logs
 from emberlog.sources.tables import PartTable
 from emberlog.sources.topics import read_topic, write_topic
@@ -62,7 +64,7 @@ def topics(spark, sf_dir):
 @query("E1_train_strategy_stream", STRATEGY_SQL)
 def strategy(spark, sf_dir):
     path = new_shared_path(spark, "strategy")
-    config = v.services(spark, sf_dir)
+    config = written(v.services(spark, sf_dir), "services")
     tags, out = TrainTags(spark, path), PartTable(spark, f"{path}/tagged")
     replay(
         spark, sf_dir, run_batches(lambda df, n: out.write(tags.process(df, n, config), n), path)
@@ -105,7 +107,8 @@ def event_time(spark, sf_dir):
 
 @query("F14_retrieval_stream")
 def retrieval(spark, sf_dir):
-    stream = RetrievalStream(spark, new_shared_path(spark, "retrieval"), lambda: v.services(spark, sf_dir))
+    config = written(v.services(spark, sf_dir), "services")
+    stream = RetrievalStream(spark, new_shared_path(spark, "retrieval"), lambda: config)
     stream.mark_normal(v.cleaned(spark, sf_dir).filter("NOT is_anomaly AND service IN ('view', 'signup')"))
     replay(spark, sf_dir, lambda logs: stream.start(logs, availableNow=True))
     return stream.predictions.all().select("log_id", "service", "hash", F.round("score", 6).alias("score"), "is_anomaly")
@@ -115,9 +118,8 @@ def retrieval(spark, sf_dir):
 def live_feed(spark, sf_dir):
     """Sequence stream → nightly training → predictions → feed."""
     path = new_shared_path(spark, "sequences")
-    stream = SequenceStream(
-        spark, path, lambda: v.services(spark, sf_dir), context=v.CONTEXT, window=v.WINDOW
-    )
+    config = written(v.services(spark, sf_dir), "services")
+    stream = SequenceStream(spark, path, lambda: config, context=v.CONTEXT, window=v.WINDOW)
     days = iter(SLICE_DAYS)
 
     def start(logs):
@@ -130,3 +132,17 @@ def live_feed(spark, sf_dir):
     feed = FeedWriter(spark, f"{path}/live")
     feed.start(prediction_stream(spark, stream.predictions), "log_gpt", availableNow=True).awaitTermination()
     return feed.feed.all().select("type", "id", "service", v.micros("start_ts").alias("start_us"), v.micros("end_ts").alias("end_us"))
+
+
+@query("A7_prediction_topic", ORACLE["G10_sequence_predictions"])
+def prediction_topic(spark, sf_dir):
+    """Predictions stored as a part → stream → topic of JSON messages → read back."""
+    path = new_shared_path(spark, "predictions")
+    e = Experiment(spark, sf_dir)
+    stored = PartTable(spark, f"{path}/stored")
+    stored.write(sequence_predictions(e.test, detect(e.test, e.model, e.top_k), e.services))
+    messages = encode(prediction_stream(spark, stored))
+    write_topic(messages, f"{path}/topic", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = "type string, chunk_id string, service string, hash string, is_anomaly boolean"
+    sent = spark.read.text(f"{path}/topic")
+    return sent.select(F.from_json("value", schema).alias("m")).select("m.*")

@@ -161,12 +161,16 @@ class SequenceStream:
         self.predictions.write(nextkey.sequence_predictions(new, verdicts, services), batch_id)
 
     def retrain(self, stored: DataFrame) -> int:
-        """The nightly job: pre-train on stored chunks, fine-tune on marked ones, publish a version."""
+        """The nightly job: pre-train on all stored chunks, fine-tune on the marked ones, publish a version."""
         chunks = stored.withColumn("input_ids", F.col("chunk.input_ids"))
-        past = self.models.latest() if self.models.parts() else None
-        first, more = nextkey.training_sets(chunks, "pre-train"), nextkey.training_sets(chunks, "finetune")
-        model = nextkey.train(first, self.order) if past is None else nextkey.update(past, first, self.order)
-        return self.models.write(nextkey.update(model, more, self.order))
+        model = nextkey.train(nextkey.training_sets(chunks, "pre-train"), self.order)
+        return self.models.write(nextkey.update(model, nextkey.training_sets(chunks, "finetune"), self.order))
+
+    def extend_model(self, new: DataFrame) -> int:
+        """Publish a version with the counts of chunks added that no version has seen yet."""
+        chunks = new.withColumn("input_ids", F.col("chunk.input_ids"))
+        usable = chunks.filter("train_strategy IN ('pre-train', 'finetune')")
+        return self.models.write(nextkey.update(self.models.latest(), usable, self.order))
 
     def start(self, logs: DataFrame, **trigger):
         """Run on a stream of logs, resuming from the checkpoint under ``path``."""

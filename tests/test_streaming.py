@@ -136,8 +136,13 @@ def test_sequence_stream_equals_batch(spark):
     feed.process_sequences(stream.predictions.all(), 50)  # delivered again
     assert feed.feed.all().count() == stream.predictions.all().count()
     assert stream.models.parts() == [0]
-    stream.retrain(stream.chunks.all())
-    assert stream.models.parts() == [0, 1]
+    stream.retrain(stream.chunks.all().withColumn("train_strategy", F.lit("pre-train")))
+    total = lambda: stream.models.latest().filter("size(context) = 0").agg(F.sum("n")).first()[0]
+    before = total()
+    stream.extend_model(late.withColumn("train_strategy", F.lit("finetune")))
+    assert stream.models.parts() == [0, 1, 2]
+    added = late.select(F.sum(F.size(F.filter("input_ids", lambda x: x != 2)) - 1)).first()[0]
+    assert total() == before + added
 
 
 def one_hot(df):
