@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import hash64
 from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, running_totals
 from emberlog.session import written
 
