@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from emberlog.llm import bpe_codec, exact_dedup, token_counts  # noqa: F401
+from emberlog.llm import bpe_codec, exact_dedup, mixing, token_counts  # noqa: F401
 from emberlog.llm.registry import ORACLE, QUERIES  # noqa: F401
