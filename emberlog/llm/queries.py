@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from emberlog.llm import bpe_codec, chat_format, exact_dedup, mixing, token_counts, topk  # noqa: F401
+from emberlog.llm import bpe_codec, chat_format, exact_dedup, minhash_dedup, mixing, token_counts, topk  # noqa: F401
 from emberlog.llm.registry import ORACLE, QUERIES  # noqa: F401
