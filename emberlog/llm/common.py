@@ -60,9 +60,12 @@ def seeds(n: int, key: int) -> np.ndarray:
 _BYTE_VALUE = seeds(256, 1 << 20)
 
 
-def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every word ``[^\\x20\\x09-\\x0D]+``; no word crosses from one text to the next."""
-    inside = ~_SPACE[raw]
+def word_bounds(raw: np.ndarray, starts: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every run of bytes outside ``gaps``; no word crosses from one text to the next.
+
+    With the default, words are ``[^\\x20\\x09-\\x0D]+``.
+    """
+    inside = ~gaps[raw]
     cut = np.zeros(len(raw) + 1, dtype=bool)
     cut[starts] = True
     before = np.empty(len(raw), dtype=bool)
@@ -76,14 +79,14 @@ def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(
-    raw: np.ndarray, starts: np.ndarray, lower: bool = True, piece: int = 1 << 18
+    raw: np.ndarray, starts: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE, piece: int = 1 << 18
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, the words' begins, and the number of words before each text.
 
     The hash is a sum of random byte values times random position factors, mixed with the length.
     Long inputs are hashed piece by piece, cut between words.
     """
-    begins, ends = word_bounds(raw, starts)
+    begins, ends = word_bounds(raw, starts, gaps)
     lengths = ends - begins
     counts = np.searchsorted(begins, starts)
     out = np.empty(len(begins), dtype=np.uint64)
@@ -99,7 +102,7 @@ def word_hashes(
         place = np.arange(last - first)
         owner = np.repeat(at, np.diff(np.append(at, last - first)))
         place -= owner
-        gap = _SPACE[part]
+        gap = gaps[part]
         place[gap] = 0
         values = _BYTE_VALUE[part] * factors[place]
         values[gap] = 0
