@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import table
+from emberlog.llm.common import table, unused
 from emberlog.llm.registry import query
 from emberlog.operators.joins import sized
 from emberlog.session import written
@@ -92,9 +92,10 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id repeats; all columns stay as they are."""
     decisions = exact_duplicates(docs, id_col, text_col)
-    gone = decisions.filter("not kept").select(F.col(id_col).alias("_gone"))
+    name = unused(docs, "_gone")
+    gone = written(decisions.filter("not kept").select(F.col(id_col).alias(name)), "exact-gone")
     # ids of dropped rows never stay elsewhere: an id has one text
-    return docs.join(sized(written(gone, "exact-gone")), docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(sized(gone), F.col(id_col) == F.col(name), "left_anti")
 
 
 SQL = """

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import mix, seeds, table
+from emberlog.llm.common import mix, seeds, table, unused
 from emberlog.llm.components import connected_components
 from emberlog.llm.registry import query
 from emberlog.llm.shingles import WORDS, shingle_runs, shingle_sets
@@ -345,8 +345,9 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with only the smallest id of each component; all columns stay as they are."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = written(found.filter("not kept").select(F.col(id_col).alias("_gone")), "near-gone")
-    return docs.join(sized(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = written(found.filter("not kept").select(F.col(id_col).alias(name)), "near-gone")
+    return docs.join(sized(gone), F.col(id_col) == F.col(name), "left_anti")
 
 
 SQL = r"""

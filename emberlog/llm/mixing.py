@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import table
+from emberlog.llm.common import table, unused
 from emberlog.llm.registry import query
 from emberlog.operators.joins import is_small, sized
 from emberlog.operators.ordering import number_rows
@@ -220,16 +220,15 @@ def mix(
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns stay as they are."""
+    taken, times = unused(docs, "_taken_id"), unused(docs, "_times")
     copies = (
         mix(docs, id_col=id_col, **options)
-        .groupBy(F.col(id_col).alias("_taken_id"))
-        .agg(F.max("copies").alias("_copies"))
-        .filter("_copies > 0")
-    )
-    joined = docs.join(written(copies, "mix-copies"), docs[id_col].eqNullSafe(F.col("_taken_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[docs[c] for c in docs.columns]
+        .groupBy(F.col(id_col).alias(taken))
+        .agg(F.max("copies").cast("int").alias(times))
+        .filter(F.col(times) > 0)
     )
+    joined = docs.join(written(copies, "mix-copies"), F.col(id_col).eqNullSafe(F.col(taken)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(taken)).select(*docs.columns)
 
 
 @query("op1_source_mix")
