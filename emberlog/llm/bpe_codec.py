@@ -28,7 +28,7 @@ from emberlog.llm.byte_bpe import ByteBPE, load
 from emberlog.llm.common import table
 from emberlog.llm.registry import query
 
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 REMEMBERED_CHARS = 64
 
 
@@ -39,7 +39,9 @@ def joined_pairs(bpe: ByteBPE) -> frozenset[int]:
 
 def fragments(piece: bytes, joined: frozenset[int]) -> list[bytes]:
     """The piece, cut wherever no token can reach across."""
-    cuts = [i for i in range(1, len(piece)) if piece[i - 1] << 8 | piece[i] not in joined]
+    cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if a << 8 | b not in joined]
+    if not cuts:
+        return [piece]
     return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
 
 
@@ -47,12 +49,20 @@ def merge(fragment: bytes, bpe: ByteBPE) -> tuple[int, ...]:
     """Token ids of one fragment: lowest rank first, leftmost first among equals."""
     ids = [bpe.first[b] for b in fragment]
     pairs = bpe.merges
-    if len(ids) <= 48:
-        while len(ids) > 1:
-            rank, at = min((pairs.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:])))
-            if rank == 1 << 60:
+    if len(ids) <= 64:
+        rank_of, never = bpe.rank_of.get, len(bpe.merged)
+        ranks = [rank_of(p, never) for p in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            ids[at : at + 2] = [pairs[ids[at], ids[at + 1]][1]]
+            i = ranks.index(best)
+            ids[i] = bpe.merged[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), never)
         return tuple(ids)
     right = {i: i + 1 for i in range(len(ids) - 1)}
     left = {i + 1: i for i in range(len(ids) - 1)}
@@ -77,30 +87,37 @@ def merge(fragment: bytes, bpe: ByteBPE) -> tuple[int, ...]:
 
 
 class _Pieces(dict):
-    """Ids of pieces, made on first use from the ids of their fragments."""
+    """Ids of pieces, made on first use from the ids of their fragments.
+
+    A full table becomes the older one, which is asked before anything is merged again.
+    """
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.bpe, self.joined, self.parts = bpe, joined_pairs(bpe), {}
+        self.bpe, self.joined, self.older, self.parts = bpe, joined_pairs(bpe), {}, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for part in fragments(piece.encode(), self.joined):
-            found = self.parts.get(part)
-            if found is None:
-                found = merge(part, self.bpe)
-                if len(part) <= REMEMBERED_CHARS:
-                    if len(self.parts) >= REMEMBERED:
-                        self.parts.clear()
-                    self.parts[part] = found
-            ids.extend(found)
-        out = tuple(ids)
+        out = self.older.get(piece)
+        if out is None:
+            parts = fragments(piece.encode(), self.joined)
+            out = merge(parts[0], self.bpe) if len(parts) == 1 else tuple(chain.from_iterable(map(self.part, parts)))
         if len(piece) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
+    def part(self, fragment: bytes) -> tuple[int, ...]:
+        found = self.parts.get(fragment)
+        if found is None:
+            found = merge(fragment, self.bpe)
+            if len(fragment) <= REMEMBERED_CHARS:
+                if len(self.parts) >= REMEMBERED:
+                    self.parts.clear()
+                self.parts[fragment] = found
+        return found
+
 
 def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
@@ -179,25 +196,30 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     return encoded.mapInArrow(run, f"{fields}, `{text_col}` string")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Number of tokens and digests of ids and decoded text."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """id, number of tokens and digests of ids and decoded text, and the ids if asked for."""
+
     def sha(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written_as: list[str] = []  # decimal by id, as far as ids have come up
         for batch in batches:
             lists, n, of_ids = batch.column(1), [], []
             values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            written_as.extend(map(str, range(len(written_as), int(values.max(initial=-1)) + 1)))
             for a, b in zip(bounds, bounds[1:]):
-                of_ids.append(hashlib.sha256(",".join(map(str, values[a:b].tolist())).encode()).hexdigest())
+                decimals = ",".join(map(written_as.__getitem__, values[a:b].tolist()))
+                of_ids.append(hashlib.sha256(decimals.encode()).hexdigest())
                 n.append(int(b - a))
             of_text = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)],
-                ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text), lists]
+            names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+            wanted = 5 if keep_ids else 4
+            yield pa.RecordBatch.from_arrays(columns[:wanted], names[:wanted])
 
     kind = dict(decoded.dtypes)[id_col]
+    schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return (
         decoded.select(F.col(id_col).alias("_id"), "ids", "decoded")
-        .mapInArrow(sha, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .mapInArrow(sha, schema)
         .withColumnRenamed("_id", id_col)
     )
 

@@ -25,7 +25,10 @@ def printable_bytes() -> dict[str, int]:
 
 @dataclass
 class ByteBPE:
-    """``first``: id of each byte; ``merges``: (left id, right id) → (rank, merged id); ``spell``: bytes of each id."""
+    """``first``: id of each byte; ``merges``: (left id, right id) → (rank, merged id); ``spell``: bytes of each id.
+
+    ``rank_of`` and ``merged`` hold the same merges as pair → rank and rank → merged id.
+    """
 
     first: list[int]
     merges: dict[tuple[int, int], tuple[int, int]]
@@ -33,6 +36,8 @@ class ByteBPE:
     special: dict[str, int]
 
     def __post_init__(self) -> None:
+        self.rank_of = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.merged = [i for _, i in sorted(self.merges.values())]
         self.find = regex.compile(SPLIT).findall
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
