@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number and digest, and the digest of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(docs, path), path), keep_ids=True)
+    return bpe_codec.round_trips(docs, path, keep_ids=True)
 
 
 STAGES = [

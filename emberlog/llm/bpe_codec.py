@@ -123,33 +123,47 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
+def _ids_of(texts: pa.Array, pieces: _Pieces) -> list[np.ndarray]:
+    """Ids of every text of an Arrow column."""
+    bpe, out = pieces.bpe, []
+    for text in texts:
+        found: list[int] = []
+        for n, segment in enumerate(bpe.segments(text.as_py() or "")):
+            if n % 2:
+                found.append(bpe.special[segment])
+            else:
+                found.extend(chain.from_iterable(map(pieces.__getitem__, bpe.find(segment))))
+        out.append(np.array(found, dtype=np.int32))
+    return out
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most some hundred rows, to hold some millions of ids at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``ids`` (array of int) of every row."""
     content = _vocabulary(docs, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(content.value)
-        pieces = _Pieces(bpe)
-        for batch in batches:
-            # lists of at most some millions of ids at a time
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = []
-                for text in part.column(1):
-                    found: list[int] = []
-                    for n, segment in enumerate(bpe.segments(text.as_py() or "")):
-                        if n % 2:
-                            found.append(bpe.special[segment])
-                        else:
-                            found.extend(chain.from_iterable(map(pieces.__getitem__, bpe.find(segment))))
-                    ids.append(np.array(found, dtype=np.int32))
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["_id", "_ids"])
+        pieces = _Pieces(load(content.value))
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(_ids_of(batch.column(1), pieces))], ["_id", "_ids"])
 
     kind = dict(docs.dtypes)[id_col]
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return narrow.mapInArrow(run, f"_id {kind}, _ids array<int>").toDF(id_col, "ids")
+    return _narrow(docs, id_col, text_col).mapInArrow(run, f"_id {kind}, _ids array<int>").toDF(id_col, "ids")
 
 
 def spelling(bpe: ByteBPE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,37 +210,41 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     return encoded.mapInArrow(run, f"{fields}, `{text_col}` string")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """id, number of tokens and digests of ids and decoded text, and the ids if asked for."""
+def round_trips(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256 of every row, and its ids if asked for.
 
-    def sha(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written_as: list[str] = []  # decimal by id, as far as ids have come up
-        for batch in batches:
-            lists, n, of_ids = batch.column(1), [], []
-            values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            written_as.extend(map(str, range(len(written_as), int(values.max(initial=-1)) + 1)))
-            for a, b in zip(bounds, bounds[1:]):
-                decimals = ",".join(map(written_as.__getitem__, values[a:b].tolist()))
-                of_ids.append(hashlib.sha256(decimals.encode()).hexdigest())
-                n.append(int(b - a))
-            of_text = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in batch.column(2)]
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text), lists]
-            names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-            wanted = 5 if keep_ids else 4
-            yield pa.RecordBatch.from_arrays(columns[:wanted], names[:wanted])
-
-    kind = dict(decoded.dtypes)[id_col]
+    ``encode`` and ``decode`` in one pass, without the ids and texts going through the JVM in between.
+    """
+    content = _vocabulary(docs, vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(content.value)
+        pieces, tables = _Pieces(bpe), spelling(bpe)
+        written_as = [str(i) for i in range(len(tables[1]))]
+        for batch in _slices(batches):
+            ids = _ids_of(batch.column(1), pieces)
+            decimals = [",".join(map(written_as.__getitem__, x.tolist())) for x in ids]
+            columns = [
+                batch.column(0),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decimals]),
+                pa.array([hashlib.sha256(decode_ids(x, tables).encode()).hexdigest() for x in ids]),
+            ]
+            names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns.append(_lists(ids))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = dict(docs.dtypes)[id_col]
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return (
-        decoded.select(F.col(id_col).alias("_id"), "ids", "decoded")
-        .mapInArrow(sha, schema)
-        .withColumnRenamed("_id", id_col)
-    )
+    return _narrow(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 @query("op4_bpe_codec")
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

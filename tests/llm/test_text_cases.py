@@ -124,6 +124,11 @@ def test_codec_round_trip(docs):
     texts = {r[0]: r[1] or "" for r in _rows()}
     out = bpe_codec.decode(bpe_codec.encode(docs, VOCABULARY), VOCABULARY).filter("doc_id is not null").collect()
     assert all(r.decoded == texts[r.doc_id] for r in out)
+    ids = {r.doc_id: r.ids for r in out}
+    for r in bpe_codec.round_trips(docs, VOCABULARY, keep_ids=True).filter("doc_id is not null").collect():
+        assert r.ids == ids[r.doc_id] and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, VOCABULARY).collect()}
     assert all(counts[r.doc_id] == len(r.ids) for r in out)
 
