@@ -52,14 +52,19 @@ class RetrievalDetector:
 
 
 class NextKeyDetector:
-    """Fit on normal key sequences (column ``line``); flag a sequence with a key outside the top k."""
+    """Fit on normal key sequences (column ``line``); flag a sequence with a key outside the top k.
 
-    def __init__(self, top_k: int = 80, order: int = nextkey.ORDER, context: int = 256):
-        self.top_k, self.order, self.context = top_k, order, context
+    A sequence is framed and cut to ``context`` ids. ``sliding`` takes sequences as they are, as
+    windows of a longer stream without begin and end; the first key is then only a prompt.
+    """
+
+    def __init__(self, top_k: int = 80, order: int = nextkey.ORDER, context: int = 256, sliding: bool = False):
+        self.top_k, self.order, self.context, self.sliding = top_k, order, context, sliding
         self.model: DataFrame | None = None
 
     def _framed(self, sequences: DataFrame) -> DataFrame:
-        framed = sequences.withColumn("input_ids", frame_truncated(F.col("line"), self.context))
+        ids = F.col("line") if self.sliding else frame_truncated(F.col("line"), self.context)
+        framed = sequences.withColumn("input_ids", ids)
         return framed if "service" in sequences.columns else framed.withColumn("service", F.lit(""))
 
     def fit(self, sequences: DataFrame) -> NextKeyDetector:

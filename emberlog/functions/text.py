@@ -80,20 +80,67 @@ def substitute_by_column(text: Column, rules: Column) -> Column:
     return F.aggregate(rules, text, lambda acc, r: F.regexp_replace(acc, r["pattern"], r["replacement"]))
 
 
-def java_replacement(replacement: str) -> str:
-    r"""Translate a ``re.sub`` replacement (``\1``, ``\g<1>``) to Spark's ``$1`` form."""
-    out, i = [], 0
+def capturing_groups(pattern: str) -> list[str | None]:
+    """Name, or None, of every capturing group of a regular expression, by its syntax alone."""
+    groups: list[str | None] = []
+    i, in_class = 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            quoted = pattern.startswith("\\Q", i) and not in_class
+            end = pattern.find("\\E", i) if quoted else -1
+            i = (len(pattern) if end < 0 else end + 2) if quoted else i + 2
+            continue
+        if c == "[":
+            # a bracket right after the opening one, or its negation, is a plain character in Python's dialect
+            in_class += 1
+            i += 2 if pattern.startswith("^", i + 1) else 1
+            if in_class == 1 and pattern.startswith("]", i):
+                i += 1
+            continue
+        if c == "]" and in_class:
+            in_class -= 1
+        elif c == "(" and not in_class:
+            named = re.match(r"\(\?P?<([A-Za-z_]\w*)>", pattern[i:])
+            if named or not pattern.startswith("(?", i):
+                groups.append(named.group(1) if named else None)
+        i += 1
+    return groups
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern as Java reads it: named groups become plain ones and references to them numbers."""
+    names = capturing_groups(pattern)
+    number = {name: str(i) for i, name in enumerate(names, 1) if name}
+    pattern = re.sub(r"(?<!\\)\(\?P=(\w+)\)", lambda m: f"(?:\\{number.get(m[1], m[1])})", pattern)
+    pattern = re.sub(r"(?<!\\)\\k<(\w+)>", lambda m: f"(?:\\{number.get(m[1], m[1])})", pattern)
+    return FASTER.get(pattern, re.sub(r"(?<!\\)\(\?P?<([A-Za-z_]\w*)>", "(", pattern))
+
+
+def java_replacement(replacement: str, pattern: str = "") -> str:
+    r"""Translate a ``re.sub`` replacement (``\1``, ``\g<1>``, ``\g<name>``) to Spark's ``$1`` form.
+
+    ``$`` is an ordinary character before and after; ``pattern`` tells the numbers of named groups.
+    """
+    out, i, names = [], 0, capturing_groups(pattern)
     while i < len(replacement):
         group = re.match(r"\\(?:(\d{1,2})|g<(\w+)>)", replacement[i:])
         if group:
-            number = group.group(1) or group.group(2)
-            if not number.isdigit():
-                raise ValueError(f"named group in replacement {replacement!r}: use its number")
-            out.append(f"${int(number)}")
+            name = group.group(1) or group.group(2)
+            if not name.isdigit() and name not in names:
+                raise ValueError(f"unknown group in replacement {replacement!r}")
+            out.append(f"${int(name) if name.isdigit() else names.index(name) + 1}")
             i += group.end()
+            if replacement[i : i + 1].isdigit():
+                # a digit after the reference isn't part of its number
+                out.append("\\" + replacement[i])
+                i += 1
         elif replacement.startswith("\\\\", i):
             out.append("\\\\")
             i += 2
+        elif replacement[i : i + 2] in ("\\n", "\\t", "\\r"):
+            out.append({"n": "\n", "t": "\t", "r": "\r"}[replacement[i + 1]])
+            i += 2
         elif replacement[i] in "$\\":
             out.append("\\" + replacement[i])
             i += 1
@@ -103,17 +150,29 @@ def java_replacement(replacement: str) -> str:
     return "".join(out)
 
 
-def group_count(pattern: str) -> int:
-    """Number of capturing groups, so a pattern can be checked once and not per row."""
-    return re.compile(pattern).groups
+def java_rule(pattern: str | None, replacement: str | None) -> tuple[str | None, str | None]:
+    """A rule of a service configuration, ready for ``regexp_replace``."""
+    if pattern is None:
+        return None, replacement
+    return java_pattern(pattern), java_replacement(replacement or "", pattern)
+
+
+def trace_group(pattern: str) -> int:
+    """What ``re.findall`` returns of a match: the first group if there is one, else all of it."""
+    return 1 if capturing_groups(pattern) else 0
 
 
 def first_match(text: Column, pattern: str) -> Column:
     """First match, as ``re.findall`` would give it: the group if there is one; NULL if none."""
-    index = 1 if group_count(pattern) else 0
+    pattern, index = java_pattern(pattern), trace_group(pattern)
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, index))
 
 
+def first_match_by_column(text: Column, pattern: Column, index: Column) -> Column:
+    """The same for a translated pattern and its group held in columns; NULL patterns match nothing."""
+    return F.when(F.regexp_like(text, pattern), F.call_function("regexp_extract", text, pattern, index))
+
+
 def is_alert(line: Column) -> Column:
     """Lines of the alert corpora are normal when they start with ``- ``."""
     return ~F.startswith(line, F.lit(NORMAL_PREFIX))

@@ -11,7 +11,6 @@ from emberlog.functions.text import (
     THUNDERBIRD_RULES,
     basename,
     bgl_time,
-    first_match,
     hash64,
     hdfs_block,
     is_alert,
@@ -20,9 +19,8 @@ from emberlog.functions.text import (
     thunderbird_time,
     word_tokens,
 )
-from emberlog.operators.joins import is_small
 from emberlog.operators.ordering import number_rows, position
-from emberlog.operators.services import MAX_LITERAL_SERVICES, attach, clean_text
+from emberlog.operators.services import attach, clean_text, trace_ids
 from emberlog.session import written
 
 # Reserved rows of the token vocabulary.
@@ -36,26 +34,9 @@ def clean(logs: DataFrame, services: DataFrame) -> DataFrame:
     return clean_text(services)(logs).withColumn("hash", hash64(F.col("cleaned_text")))
 
 
-def _first_match_by_column(text: str, pattern: str):
-    """``first_match`` for a pattern held in a column; NULL patterns match nothing."""
-    # the pattern as a whole becomes group 1, so its own first group, if it has one, is group 2
-    wrapped = F.concat(F.lit("("), F.col(pattern), F.lit(")"))
-    grouped = F.regexp_like(F.col(pattern), F.lit(r"(?<!\\)\((?!\?)"))
-    found = F.call_function("regexp_extract", F.col(text), wrapped, F.when(grouped, 2).otherwise(1))
-    return F.when(F.regexp_like(F.col(text), F.col(pattern)), found)
-
-
 def extract_traces(logs: DataFrame, services: DataFrame) -> DataFrame:
     """Add ``enable_trace`` and ``trace_id`` (NULL when tracing is off or nothing matches)."""
-    tracing = services.filter("enable_trace AND coalesce(trace_regex, '') <> ''").select("name", "trace_regex")
-    if not is_small(services, MAX_LITERAL_SERVICES):
-        joined = attach(attach(logs, services, ["enable_trace"]), tracing, ["trace_regex"])
-        return joined.withColumn("trace_id", _first_match_by_column("original_text", "trace_regex")).drop("trace_regex")
-    trace = F.lit(None).cast("string")
-    for row in tracing.collect():
-        found = first_match(F.col("original_text"), row["trace_regex"])
-        trace = F.when(F.col("service") == row["name"], found).otherwise(trace)
-    return attach(logs, services, ["enable_trace"]).withColumn("trace_id", trace)
+    return trace_ids(services)(attach(logs, services, ["enable_trace"]))
 
 
 def window_key(logs: DataFrame) -> DataFrame:
@@ -88,20 +69,15 @@ def parse_thunderbird(lines: DataFrame) -> DataFrame:
     )
 
 
-def unique_lines(logs: DataFrame, group: str, line: str, part_size: int = 4096) -> DataFrame:
-    """The distinct lines of each group, first-seen order, joined by blanks.
+def unique_lines(logs: DataFrame, group: str, line: str) -> DataFrame:
+    """The distinct lines of each group, first-seen order, joined by blanks: one row per group.
 
-    Distinct lines are found by a partial aggregation, so a hot group shrinks before the
-    shuffle. A group with more than ``part_size`` distinct lines spans several rows.
+    Distinct lines are found by a partial aggregation, so a hot group shrinks to them before
+    the shuffle; the text of a group is one value of the data set.
     """
     seen = logs.groupBy(group, line).agg(F.min(position()).alias("_first"))
-    numbered = number_rows(written(seen, "lines-seen"), ["_first"], [group], "_no")
-    return (
-        numbered.withColumn("part", F.floor((F.col("_no") - 1) / part_size).cast("long"))
-        .groupBy(group, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_no", line))).alias("_lines"))
-        .select(group, "part", F.array_join(F.transform("_lines", lambda x: x[line]), " ").alias("line"))
-    )
+    gathered = seen.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_first", line))).alias("_lines"))
+    return gathered.select(group, F.array_join(F.transform("_lines", lambda x: x[line]), " ").alias("line"))
 
 
 def build_vocabulary(texts: DataFrame, text: str = "text", max_size: int | None = None) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.functions.text import substitute, substitute_by_column
+from emberlog.functions.text import (
+    first_match_by_column,
+    java_pattern,
+    java_rule,
+    substitute,
+    substitute_by_column,
+    trace_group,
+)
 from emberlog.operators.joins import is_small, sized
 from emberlog.schemas import REGEX_SUB, SERVICE
 
@@ -41,8 +46,9 @@ MINIMUMS = {
 MAX_DESCRIPTION = 450
 
 CONFIG_FIELDS = [f.name for f in SERVICE if f.name not in ("id", "name", "description")]
-# more services than this are joined instead of being held as literals
+# more services, or more different settings, than this are joined instead of being held as literals
 MAX_LITERAL_SERVICES = 1_000
+MAX_LITERALS = 32
 
 
 def conform(services: DataFrame) -> DataFrame:
@@ -120,31 +126,86 @@ def attach(logs: DataFrame, services: DataFrame, fields: list[str]) -> DataFrame
     return logs.join(sized(wanted, of=services), "service", "left")
 
 
-def clean_text(services: DataFrame, text: str = "original_text"):
-    """Function logs → logs that adds ``cleaned_text``.
+_RULES = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("replacement", T.StringType())]))
+_TRACE = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("index", T.IntegerType())])
+
+
+def _java_rules(subs: list | None) -> list[tuple]:
+    return [java_rule(r["pattern"], r["replacement"]) for r in subs or []]
 
-    The rules of up to ``MAX_LITERAL_SERVICES`` services become literal patterns: each is
-    compiled once per task, and the whole step is one projection without a join. Larger
-    tables are joined and their rules folded row by row.
+
+def _java_trace(enabled: bool | None, pattern: str | None) -> tuple | None:
+    return (java_pattern(pattern), trace_group(pattern)) if enabled and pattern else None
+
+
+def compiled(services: DataFrame) -> DataFrame:
+    """service, _rules and _trace of every service, translated once per service and not per log."""
+    rules, trace = F.udf(_java_rules, _RULES), F.udf(_java_trace, _TRACE)
+    return services.select(
+        F.col("name").alias("service"),
+        rules("regex_subs").alias("_rules"),
+        trace("enable_trace", "trace_regex").alias("_trace"),
+    )
+
+
+def few_kinds(kinds: DataFrame) -> bool:
+    """True for so few different settings that they may be literals in a plan."""
+    return is_small(kinds, MAX_LITERALS)
+
+
+def by_service(services: DataFrame, field: str, literal, joined, default: Column):
+    """Function logs → Column and logs to take it from, for a setting that differs by service.
+
+    Up to ``MAX_LITERALS`` different settings become one expression each, chosen by the service's
+    name, so that patterns are compiled once per task and nothing is joined; more are joined.
+    Both read the same translated setting.
     """
-    rules = services.select("name", "regex_subs")
-    if not is_small(services, MAX_LITERAL_SERVICES):
-        def by_join(logs: DataFrame) -> DataFrame:
-            joined = attach(logs, services, ["regex_subs"])
-            cleaned = substitute_by_column(F.col(text), F.coalesce("regex_subs", F.array().cast(T.ArrayType(REGEX_SUB))))
-            return joined.withColumn("cleaned_text", cleaned).drop("regex_subs")
-
-        return by_join
-
-    names_by_rules = defaultdict(list)
-    for row in rules.collect():
-        names_by_rules[tuple((r["pattern"], r["replacement"]) for r in row["regex_subs"] or [])].append(row["name"])
-
-    def by_literals(logs: DataFrame) -> DataFrame:
-        cleaned = F.lit(None).cast("string")
-        for subs, names in names_by_rules.items():
-            cleaned = F.when(F.col("service").isin(names), substitute(F.col(text), subs)).otherwise(cleaned)
-        known = [n for names in names_by_rules.values() for n in names]
-        return logs.withColumn("cleaned_text", F.when(F.col("service").isin(known), cleaned).otherwise(F.col(text)))
-
-    return by_literals
+    table = compiled(services).select("service", field)
+    grouped = table.filter(F.col(field).isNotNull()).groupBy(field).agg(F.collect_set("service").alias("names"))
+    if is_small(services, MAX_LITERAL_SERVICES) and few_kinds(table.select(field).distinct()):
+        kinds = [(row[field], row["names"]) for row in grouped.collect()]
+        chosen = [F.when(F.col("service").isin(names), literal(kind)) for kind, names in kinds]
+        return lambda logs: (logs, F.coalesce(*chosen, default) if chosen else default)
+
+    def by_join(logs: DataFrame) -> tuple[DataFrame, Column]:
+        found = logs.join(sized(table, of=services), "service", "left")
+        return found, F.when(F.col(field).isNotNull(), joined(F.col(field))).otherwise(default)
+
+    return by_join
+
+
+def clean_text(services: DataFrame, text: str = "original_text"):
+    """Function logs → logs that adds ``cleaned_text``: the service's rules as ``re.sub`` applies them, in order."""
+
+    def literal(rules) -> Column:
+        return substitute(F.col(text), [(r["pattern"], r["replacement"]) for r in rules])
+
+    choose = by_service(services, "_rules", literal, lambda rules: substitute_by_column(F.col(text), rules), F.col(text))
+
+    def cleaned(logs: DataFrame) -> DataFrame:
+        found, column = choose(logs)
+        return found.withColumn("cleaned_text", column).drop("_rules")
+
+    return cleaned
+
+
+def trace_ids(services: DataFrame, text: str = "original_text"):
+    """Function logs → logs that adds ``trace_id``; NULL when tracing is off or nothing matches."""
+
+    def literal(trace) -> Column:
+        found = F.regexp_extract(F.col(text), trace["pattern"], trace["index"])
+        return F.when(F.regexp_like(F.col(text), F.lit(trace["pattern"])), found)
+
+    choose = by_service(
+        services,
+        "_trace",
+        literal,
+        lambda t: first_match_by_column(F.col(text), t["pattern"], t["index"]),
+        F.lit(None).cast("string"),
+    )
+
+    def traced(logs: DataFrame) -> DataFrame:
+        found, column = choose(logs)
+        return found.withColumn("trace_id", column).drop("_trace")
+
+    return traced

@@ -137,20 +137,27 @@ def time_sequences(
     )
 
 
+def session_positions(logs: DataFrame, session: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """session, 1-based ``pos`` and ``key_id`` of every row: a session of any size, spread over many rows."""
+    return number_rows(logs, ORDER, [session], "pos", rows_per_range).select(session, "pos", "key_id")
+
+
 def session_sequences(
-    logs: DataFrame, session: str, part_size: int = 4096, rows_per_range: int = ROWS_PER_RANGE
+    logs: DataFrame, session: str, first: int | None = None, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Key sequence of each session in row order, with the label of its first row.
+    """Key sequence of each session in row order, its number of rows, and the label of its first row.
 
-    A session longer than ``part_size`` spans several rows, numbered by ``part``.
+    One row per session, as a data set of sessions is defined. ``first`` keeps only that many
+    keys of each, which bounds the rows; a truncating frame needs no more than its size. Where
+    whole sessions may be too long for a row, use ``session_positions``.
     """
-    numbered = number_rows(logs, ORDER, [session], "_no", rows_per_range)
-    parts = (
-        numbered.withColumn("part", F.floor((F.col("_no") - 1) / part_size).cast("long"))
-        .groupBy(session, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_no", "key_id"))).alias("_s"))
+    positioned = session_positions(logs, session, rows_per_range)
+    if first is not None:
+        positioned = positioned.filter(F.col("pos") <= first)
+    lines = positioned.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("pos", "key_id"))).alias("_s"))
+    facts = logs.groupBy(session).agg(
+        F.min_by("is_anomaly", position()).alias("is_anomaly"), F.count(F.lit(1)).alias("n_keys")
     )
-    labels = logs.groupBy(session).agg(F.min_by("is_anomaly", position()).alias("is_anomaly"))
-    return parts.join(labels, session).select(
-        session, "part", F.transform("_s", lambda x: x["key_id"].cast("int")).alias("line"), "is_anomaly"
+    return lines.join(facts, session).select(
+        session, F.transform("_s", lambda x: x["key_id"].cast("int")).alias("line"), "n_keys", "is_anomaly"
     )

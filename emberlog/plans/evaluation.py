@@ -81,9 +81,7 @@ def labels(spark, sf_dir):
 )
 def index(spark, sf_dir):
     blocks = v.keyed_logs(spark, sf_dir).withColumn("block_id", F.regexp_extract("original_text", r"(blk_-?\d+)", 1))
-    sequences = session_sequences(blocks, "block_id").groupBy("block_id").agg(
-        F.sum(F.size("line")).alias("n_keys"), F.first("is_anomaly").alias("is_anomaly")
-    )
+    sequences = session_sequences(blocks, "block_id", first=1).select("block_id", "n_keys", "is_anomaly")
     marks = blocks.groupBy("block_id").agg(F.max("is_anomaly").alias("any_anomaly"))
     return ops.merge_index(sequences, marks, "block_id")
 

@@ -192,7 +192,7 @@ def model_versions(spark, sf_dir):
     return model_rows(versions.latest())
 
 
-SESSION_CHUNKS = """chunks AS (SELECT block_id || '/' || part AS chunk_id, '' AS service, CAST(NULL AS VARCHAR) AS train_strategy,
+SESSION_CHUNKS = """chunks AS (SELECT block_id AS chunk_id, '' AS service, CAST(NULL AS VARCHAR) AS train_strategy,
   CAST(substr(block_id, 5) AS BIGINT) % 2 AS window_no, list_concat([0], ids, [1]) AS ids FROM sessions)"""
 
 
@@ -203,7 +203,23 @@ SESSION_CHUNKS = """chunks AS (SELECT block_id || '/' || part AS chunk_id, '' AS
       count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_predicted FROM looked GROUP BY 1""",
 )
 def detector(spark, sf_dir):
-    rows = written(sessions(spark, sf_dir), "sessions").withColumn("sid", F.concat_ws("/", "block_id", "part"))
-    even = F.substring("block_id", 5, 20).cast("long") % 2 == 0
+    rows = written(sessions(spark, sf_dir, first=256), "sessions").withColumnRenamed("block_id", "sid")
+    even = F.substring("sid", 5, 20).cast("long") % 2 == 0
     fitted = NextKeyDetector(top_k=20).fit(rows.filter(even))
     return fitted.transform(rows.filter(~even), "sid").select("sid", "n_positions", "n_miss", "is_predicted")
+
+
+@query(
+    "G11_sliding_detector",
+    v.with_views("keyed") + f""", {SESSIONS}, {SESSION_CHUNKS.replace('list_concat([0], ids, [1]) AS ids', 'ids')}, {POSITIONS}, {MODEL},
+      {LOOKUP.replace('length(r.service) - 2', '20')}
+      SELECT chunk_id AS sid, count(*) AS n_positions, count(*) FILTER (rank IS NULL OR rank > top_k) AS n_miss,
+      count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_predicted FROM looked GROUP BY 1""",
+)
+def sliding_detector(spark, sf_dir):
+    """The same sessions as bare windows of keys, without begin and end."""
+    rows = written(sessions(spark, sf_dir, first=256), "sessions").withColumnRenamed("block_id", "sid")
+    even = F.substring("sid", 5, 20).cast("long") % 2 == 0
+    fitted = NextKeyDetector(top_k=20, sliding=True).fit(rows.filter(even))
+    found = fitted.transform(rows.filter(~even), "sid")
+    return found.filter("n_positions > 0").select("sid", "n_positions", "n_miss", "is_predicted")

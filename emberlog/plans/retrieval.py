@@ -70,13 +70,13 @@ def core_set_hashed(spark, sf_dir):
 @query(
     "F6_core_set_offline",
     v.with_views("lines") + ", n AS (SELECT greatest(2, round_even(0.01 * count(*), 0)) AS n FROM lines WHERE is_normal), "
-    + _core_sql("(SELECT n FROM n) + 1", EUCLID, "q_id")
+    + _core_sql("(SELECT n FROM n)", EUCLID, "q_id")
     + " SELECT q_id, p_id, round(distance, 6) AS distance, rank FROM core WHERE rank > 1",
 )
 def core_set_offline(spark, sf_dir):
     queries, points = halves(spark, sf_dir)
     corpus = lambda df: df.withColumn("corpus", F.lit(0))
-    k = ops.core_set_size(points.count()) + 1
+    k = ops.core_set_size(points.count())
     core = ops.nearest_points(corpus(queries), corpus(points), k, "euclidean", "corpus", block_rows=BLOCKS)
     return _core_rows(core.filter("rank > 1"), None)
 

@@ -154,38 +154,45 @@ def day_sequences(spark, sf_dir):
     return _time_rows(ops.time_sequences(v.keyed_logs(spark, sf_dir), "1 day", 64))
 
 
-SESSIONS = """sessions AS (SELECT block_id, part, list(key_id ORDER BY rn) AS ids, any_value(label) AS is_anomaly FROM (
-  SELECT *, (rn - 1) // 16 AS part, first_value(is_anomaly) OVER (PARTITION BY block_id ORDER BY rn) AS label FROM (
-    SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY ts, log_id) AS rn FROM (
-      SELECT *, regexp_extract(original_text, '(blk_-?[0-9]+)', 1) AS block_id FROM keyed)))
-  GROUP BY block_id, part)"""
+SESSIONS = """sessions AS (SELECT block_id, list(key_id ORDER BY ts, log_id) AS ids, arg_min(is_anomaly, (ts, log_id)) AS is_anomaly
+  FROM (SELECT *, regexp_extract(original_text, '(blk_-?[0-9]+)', 1) AS block_id FROM keyed) GROUP BY block_id)"""
 
 
-def sessions(spark, sf_dir):
+def sessions(spark, sf_dir, first=None):
     blocks = v.keyed_logs(spark, sf_dir).withColumn("block_id", hdfs_block(F.col("original_text")))
-    return ops.session_sequences(blocks, "block_id", part_size=16)
+    return ops.session_sequences(blocks, "block_id", first)
 
 
 @query(
     "E11_session_sequences",
-    v.with_views("keyed") + f", {SESSIONS} SELECT block_id, part, array_to_string(ids, ',') AS line, is_anomaly FROM sessions",
+    v.with_views("keyed")
+    + f", {SESSIONS} SELECT block_id, array_to_string(ids, ',') AS line, len(ids) AS n_keys, is_anomaly FROM sessions",
 )
 def session_rows(spark, sf_dir):
-    return sessions(spark, sf_dir).select("block_id", "part", v.text_of("line").alias("line"), "is_anomaly")
+    return sessions(spark, sf_dir).select("block_id", v.text_of("line").alias("line"), "n_keys", "is_anomaly")
+
+
+@query(
+    "E11_session_positions",
+    v.with_views("keyed") + f""", {SESSIONS} SELECT block_id, pos, ids[pos] AS key_id
+      FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS pos FROM sessions)""",
+)
+def session_positions(spark, sf_dir):
+    blocks = v.keyed_logs(spark, sf_dir).withColumn("block_id", hdfs_block(F.col("original_text")))
+    return ops.session_positions(blocks, "block_id", rows_per_range=100)
 
 
 @query(
     "E12_dataset_frames",
     v.with_views("keyed")
-    + f""", {SESSIONS} SELECT block_id, part, array_to_string(CASE WHEN len(ids) + 2 > 12
+    + f""", {SESSIONS} SELECT block_id, array_to_string(CASE WHEN len(ids) + 2 > 12
           THEN list_concat([0], ids[1:10], [1]) ELSE list_concat([0], ids, [1], [2 for x in range(10 - len(ids))]) END, ',')
           AS input_ids, least(len(ids) + 2, 12) AS n_used FROM sessions""",
 )
 def dataset_frames(spark, sf_dir):
-    framed_rows = sessions(spark, sf_dir).withColumn("ids", frame_truncated(F.col("line"), 12))
+    framed_rows = sessions(spark, sf_dir, first=12).withColumn("ids", frame_truncated(F.col("line"), 12))
     return framed_rows.select(
         "block_id",
-        "part",
         v.text_of("ids").alias("input_ids"),
         F.aggregate(pad_mask(F.col("ids")), F.lit(0), lambda a, b: a + b).alias("n_used"),
     )
@@ -200,14 +207,13 @@ def _prompt_sql(margin: int, cut: float) -> str:
 @query(
     "G5_prompt_cut",
     v.with_views("keyed")
-    + f""", {SESSIONS} SELECT block_id, part, {_prompt_sql(2, 0.8)} AS framed_len, {_prompt_sql(1, 0.2)} AS sliding_len
+    + f""", {SESSIONS} SELECT block_id, {_prompt_sql(2, 0.8)} AS framed_len, {_prompt_sql(1, 0.2)} AS sliding_len
           FROM (SELECT *, len(ids) + 2 AS n FROM sessions)""",
 )
 def prompt_cuts(spark, sf_dir):
-    n = F.size("line") + 2
-    return sessions(spark, sf_dir).select(
+    n = (F.col("n_keys") + 2).cast("int")
+    return sessions(spark, sf_dir, first=1).select(
         "block_id",
-        "part",
         prompt_length(n, 0.8).alias("framed_len"),
         prompt_length(n, 0.2, margin=1).alias("sliding_len"),
     )

@@ -68,3 +68,27 @@ def test_attach_and_clean_without_literals(spark, limit, monkeypatch):
     got = {r.service: r.cleaned_text for r in ops.clean_text(services)(logs).collect()}
     assert got == {"api": "a M", "other": "a 12"}
     assert ops.attach(logs, services, ["top_k"]).filter(F.col("top_k").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("n_services", [3, 5000])
+def test_any_number_of_rule_sets(spark, n_services):
+    """Different rules and trace patterns for every service, in both dialects."""
+    rows = [
+        (str(i), f"s{i}", [(rf"n(\d)-{i}(?P<e>!)", r"\g<e>\1$")], True, rf"b[(]\d" if i % 2 else rf"\p{{Alpha}}{i}=(\w+)")
+        for i in range(n_services)
+    ]
+    services = ops.with_defaults(
+        spark.createDataFrame(
+            rows,
+            "id string, name string, regex_subs array<struct<pattern:string,replacement:string>>, enable_trace boolean, trace_regex string",
+        )
+    )
+    logs = spark.createDataFrame(
+        [(f"s{i}", f"n7-{i}! b(3 k{i}=v{i}") for i in (0, 1, n_services - 1)] + [("other", "n7-1! b(3")],
+        "service string, original_text string",
+    )
+    got = {r.service: (r.cleaned_text, r.trace_id) for r in ops.trace_ids(services)(ops.clean_text(services)(logs)).collect()}
+    assert got.pop("other") == ("n7-1! b(3", None)
+    for name, found in got.items():
+        i = int(name[1:])
+        assert found == (f"!7$ b(3 k{i}=v{i}", "b(3" if i % 2 else f"v{i}")

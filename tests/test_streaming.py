@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import lines as line_ops
+from emberlog.operators import services as service_ops
 from emberlog.operators import nextkey
 from emberlog.operators.services import with_defaults
 from emberlog.operators.templates import keyed
@@ -258,7 +259,7 @@ def test_traces_by_joined_patterns(spark, monkeypatch):
     )
     facts = lambda: sorted((r.service, r.original_text, r.trace_id or "") for r in line_ops.extract_traces(logs, services).collect())
     plain = facts()
-    monkeypatch.setattr(line_ops, "MAX_LITERAL_SERVICES", 0)
+    monkeypatch.setattr(service_ops, "MAX_LITERAL_SERVICES", 0)
     assert facts() == plain == [("a", "none", ""), ("a", "req=12 req=3", "12"), ("b", "id(7", "id(7"), ("c", "x", "")]
 
 

@@ -96,7 +96,7 @@ def test_rules_equal_python(spark, rules):
 def test_regex_clean_by_service(spark):
     services = with_defaults(
         spark.createDataFrame(
-            [("1", "a", [("[0-9]+", "N"), ("N-N", "R")]), ("2", "b", [("x(.)", "$1y")]), ("3", "c", [])],
+            [("1", "a", [("[0-9]+", "N"), ("N-N", "R")]), ("2", "b", [("x(.)", r"\1y")]), ("3", "c", [])],
             "id string, name string, regex_subs array<struct<pattern:string,replacement:string>>",
         )
     )
@@ -115,7 +115,27 @@ def test_java_replacement(spark):
         ).first().x
         assert got == re.sub(r"a(\d)", replacement, text)
     with pytest.raises(ValueError):
-        t.java_replacement(r"\g<name>")
+        t.java_replacement(r"\g<name>", r"a(\d)")
+
+
+RULES = [
+    (r"(\d+) b", r"<\1>"),
+    (r"(?P<word>[a-z]+)=(?P<n>\d+)", r"\g<n>:\g<word>$1"),
+    (r"x(\d)", r"\g<1>0"),
+    (r"[()\[](q)", r"\1\\n"),
+    (r"\(\?(z)", r"\1"),
+    (r"(?:no)(?=t)(t)", r"\1"),
+    (r"(?P<c>[uv])(?P=c)", r"double \g<c>"),
+]
+
+
+def test_rules_as_in_python(spark):
+    text = "a 12 b(3) key=77 x5 (q [q (?z not uu vu"
+    df = spark.range(1).withColumn("line", F.lit(text))
+    for pattern, replacement in RULES:
+        java, replaced = t.java_rule(pattern, replacement)
+        assert len(t.capturing_groups(pattern)) == re.compile(pattern).groups
+        assert df.select(F.regexp_replace("line", java, replaced)).first()[0] == re.sub(pattern, replacement, text), pattern
 
 
 def test_first_match(spark):

@@ -123,12 +123,12 @@ def test_session_sequences(spark, rows_per_range):
     groups = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r[4], r[0])):
         groups[r[2]].append(r)
-    got = ops.session_sequences(logs, "node", 20, rows_per_range).orderBy("node", "part").collect()
-    joined = defaultdict(list)
-    for r in got:
-        assert len(r.line) <= 20 and r.is_anomaly == groups[r.node][0][8]
-        joined[r.node] += r.line
-    assert joined == {k: [r[7] for r in g] for k, g in groups.items()}
+    for first in (None, 20):
+        got = ops.session_sequences(logs, "node", first, rows_per_range).collect()
+        assert {r.node: r.line for r in got} == {k: [r[7] for r in g][:first] for k, g in groups.items()}
+        assert all((r.n_keys, r.is_anomaly) == (len(groups[r.node]), groups[r.node][0][8]) for r in got)
+    rows = ops.session_positions(logs, "node", rows_per_range).collect()
+    assert sorted(map(tuple, rows)) == sorted((k, i, r[7]) for k, g in groups.items() for i, r in enumerate(g, 1))
 
 
 def test_truncated_frames(spark):
