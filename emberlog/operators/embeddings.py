@@ -13,9 +13,13 @@ from pyspark.sql import types as T
 
 from emberlog.functions.text import word_tokens
 from emberlog.operators.joins import sized
+from emberlog.operators.ordering import running_totals
+from emberlog.session import written
 
 VECTOR = T.ArrayType(T.DoubleType())
 TRIGRAM_DIM = 32
+# words with a vector; they are held on the driver
+MAX_WORDS = 200_000
 
 
 def _trigram_vector(token: Column, dim: int) -> Column:
@@ -41,14 +45,28 @@ def embed_trigrams(lines: DataFrame, text: str = "cleaned_text", dim: int = TRIG
     return lines.withColumn("tokens", tokens).withColumn("cls", add_vectors(F.col("tokens"), dim))
 
 
-def fit_word_vectors(lines: DataFrame, text: str = "cleaned_text", dim: int = 32, seed: int = 1) -> Word2VecModel:
-    words = lines.select(word_tokens(F.col(text)).alias("words"))
-    return Word2Vec(vectorSize=dim, minCount=1, seed=seed, inputCol="words", outputCol="cls").fit(words)
+def fit_word_vectors(
+    lines: DataFrame, text: str = "cleaned_text", dim: int = 32, seed: int = 1, max_words: int = MAX_WORDS
+) -> Word2VecModel:
+    """Word vectors of the ``max_words`` most frequent words; the driver holds no more than these."""
+    words = lines.select(word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    counts = written(words.select(F.explode("words").alias("word")).groupBy("word").count(), "word-counts")
+    # the smallest count that leaves at most so many words
+    falling = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+    totals = running_totals(falling.withColumn("_falling", -F.col("count")), {"_upto": F.col("n")}, ["_falling"])
+    least = totals.filter(F.col("_upto") <= max_words).agg(F.min("count")).first()[0]
+    most = counts.agg(F.max("count")).first()[0] or 0
+    least = most + 1 if least is None else least
+    return Word2Vec(vectorSize=dim, minCount=least, seed=seed, inputCol="words", outputCol="cls").fit(words)
 
 
 def embed_words(lines: DataFrame, model: Word2VecModel, key: str, text: str = "cleaned_text") -> DataFrame:
-    """Vectors of a fitted word model; words it does not know are left out."""
-    words = lines.withColumn("words", word_tokens(F.col(text)))
+    """Vectors of a fitted word model.
+
+    Words it does not know have no token vector. A line of such words only keeps its row, with a
+    line vector of zeros and no tokens, and so scores as the farthest from every normal line.
+    """
+    words = lines.withColumn("words", word_tokens(F.coalesce(F.col(text), F.lit(""))))
     averaged = model.transform(words).withColumn("cls", vector_to_array("cls")).drop("words")
     table = model.getVectors().select(F.col("word"), vector_to_array("vector").alias("vector"))
     per_token = (
@@ -58,7 +76,8 @@ def embed_words(lines: DataFrame, model: Word2VecModel, key: str, text: str = "c
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "vector"))).alias("_t"))
         .select(key, F.transform("_t", lambda x: x["vector"]).alias("tokens"))
     )
-    return averaged.join(per_token, key)
+    none = F.array().cast(T.ArrayType(VECTOR))
+    return averaged.join(per_token, key, "left").withColumn("tokens", F.coalesce("tokens", none))
 
 
 def embed_with(

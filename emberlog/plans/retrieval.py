@@ -251,9 +251,19 @@ def grown_normals(spark, sf_dir):
     return ops.upsert_normals(store, learned).select("service", "hash")
 
 
-@query("F1_word_vectors")
+@query(
+    "F1_word_vectors",
+    """WITH w AS (SELECT conv_id || '/' || turn AS key, [x for x in string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')
+         if x <> ''] AS words FROM conversations),
+       c AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word),
+       f AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS upto FROM c GROUP BY n),
+       known AS (SELECT word FROM c WHERE n >= (SELECT min(n) FROM f WHERE upto <= 2000))
+       SELECT w.key, 8 AS dim, count(known.word) AS n_tokens, count(known.word) = 0 AS is_zero
+       FROM (SELECT key, unnest(CASE WHEN len(words) = 0 THEN [''] ELSE words END) AS word FROM w) w LEFT JOIN known USING (word) GROUP BY w.key""".replace("\\\\", "\\"),
+)
 def word_vectors(spark, sf_dir):
     talk = v.table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
-    model = fit_word_vectors(talk, "text", dim=8)
+    model = fit_word_vectors(talk, "text", dim=8, max_words=2000)
     rows = embed_words(talk.select("key", "text"), model, "key", "text")
-    return rows.select("key", F.size("cls").alias("dim"), F.size("tokens").alias("n_tokens"))
+    zero = F.forall("cls", lambda x: x == 0)
+    return rows.select("key", F.size("cls").alias("dim"), F.size("tokens").cast("long").alias("n_tokens"), zero.alias("is_zero"))

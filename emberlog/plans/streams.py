@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from emberlog.operators.nextkey import detect, sequence_predictions
 from emberlog.operators.windows import event_time_windows
 from emberlog.plans import views as v
+from emberlog.plans.feed import LINE_FEED, SEQUENCE_FEED, Predictions, feed_rows
+from emberlog.plans.ingest import pushes
 from emberlog.plans.nextkeys import Experiment
 from emberlog.plans.registry import ORACLE, query
 from emberlog.plans.windows import EVENT_TIME_SQL, STRATEGY_SQL, _window_rows, event_time_rows
 from emberlog.session import new_shared_path, written
-from emberlog.sources.loki import decode_logs, encode, valid_logs
+from emberlog.operators.lines import clean
+from emberlog.sources.files import tail_files
+from emberlog.sources.loki import decode_logs, encode, flatten_pushes, valid_logs
 from emberlog.sources.tables import PartTable
 from emberlog.sources.topics import read_topic, write_topic
 from emberlog.streaming.feed import FeedWriter, prediction_stream
@@ -114,8 +118,25 @@ def retrieval(spark, sf_dir):
     return stream.predictions.all().select("log_id", "service", "hash", F.round("score", 6).alias("score"), "is_anomaly")
 
 
-@query("H7_live_feed")
+@query("H7_live_feed", v.with_views("cleaned", "chunks") + f"{LINE_FEED} UNION ALL {SEQUENCE_FEED}")
 def live_feed(spark, sf_dir):
+    """Predictions of both kinds, each a stream of its own, in one feed; some are delivered twice."""
+    p = Predictions(spark, sf_dir)
+    feed = FeedWriter(spark, new_shared_path(spark, "live"))
+    for kind, predictions, number in (
+        ("rapid", p.line_predictions, F.col("log_id")),
+        ("log_gpt", p.sequence_predictions, F.col("window_no")),
+    ):
+        table = PartTable(spark, new_shared_path(spark, f"predictions-{kind}"))
+        predictions = written(predictions.drop("id"), f"all-{kind}")
+        for part in (number % 3 == 0, number % 3 == 1, number % 3 != 1):
+            table.write(predictions.filter(part))
+            feed.start(prediction_stream(spark, table), kind, availableNow=True).awaitTermination()
+    return feed_rows(feed.feed())
+
+
+@query("H7_live_predictions")
+def live_predictions(spark, sf_dir):
     """Sequence stream → nightly training → predictions → feed."""
     path = new_shared_path(spark, "sequences")
     config = written(v.services(spark, sf_dir), "services")
@@ -131,7 +152,91 @@ def live_feed(spark, sf_dir):
     replay(spark, sf_dir, start)
     feed = FeedWriter(spark, f"{path}/live")
     feed.start(prediction_stream(spark, stream.predictions), "log_gpt", availableNow=True).awaitTermination()
-    return feed.feed.all().select("type", "id", "service", v.micros("start_ts").alias("start_us"), v.micros("end_ts").alias("end_us"))
+    return feed.feed().select("type", "id", "service", v.micros("start_ts").alias("start_us"), v.micros("end_ts").alias("end_us"))
+
+
+@query(
+    "B5_live_config",
+    v.with_views("logs")
+    + """SELECT log_id, CASE WHEN day(ts) <= 10 THEN 'first' WHEN day(ts) <= 20 THEN 'second' ELSE 'third' END
+         || regexp_replace(original_text, CASE WHEN day(ts) <= 10 THEN 'blk_[0-9]+' ELSE 'user=[0-9]+' END,
+           CASE WHEN day(ts) <= 20 THEN 'A' ELSE 'B' END, 'g') AS cleaned_text FROM logs""",
+)
+def live_config(spark, sf_dir):
+    """Each slice of the stream finds another configuration of the services."""
+    config, out = {}, PartTable(spark, new_shared_path(spark, "live-config"))
+    rules = iter([("first", "blk_[0-9]+", "A"), ("second", "user=[0-9]+", "A"), ("third", "user=[0-9]+", "B")])
+
+    def process(logs, batch_id):
+        out.write(clean(logs, config["services"]).select("log_id", "cleaned_text"), batch_id)
+
+    path = new_shared_path(spark, "live")
+
+    def start(logs):
+        name, pattern, replacement = next(rules)
+        subs = F.array(
+            *[F.struct(F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for p, r in (("^", name), (pattern, replacement))]
+        )
+        config["services"] = v.services(spark, sf_dir).withColumn("regex_subs", subs)
+        return run_batches(process, path)(logs)
+
+    replay(spark, sf_dir, start)
+    return out.all()
+
+
+@query(
+    "A5_shipped_records",
+    v.with_views("logs")
+    + """SELECT service, node, filename, original_text, epoch_us(ts) // 10 * 10 AS ts_us, true AS has_id, true AS is_repeatable
+         FROM logs""",
+)
+def shipped_records(spark, sf_dir):
+    """Pushes → records as the shipper sends them, integer times and no ids → topic → both readings of it."""
+    topic, path = new_shared_path(spark, "shipped"), new_shared_path(spark, "received")
+    flat = flatten_pushes(pushes(v.logs(spark, sf_dir)))
+    encode(flat.select("node", "filename", "timestamp", "service", "original_text")).write.text(topic)
+    out = []
+    for n in (0, 1):
+        received = PartTable(spark, f"{path}/{n}")
+        stream = valid_logs(decode_logs(read_topic(spark, topic)))
+        run_batches(lambda df, i, table=received: table.write(df, i), f"{path}/state-{n}")(stream).awaitTermination()
+        out.append(received.all())
+    again = out[1].select("log_id", "original_text", F.lit(True).alias("_again")).distinct()
+    return (
+        out[0]
+        .join(again, ["log_id", "original_text"], "left")
+        .select(
+            "service", "node", "filename", "original_text", v.micros("ts").alias("ts_us"),
+            F.col("log_id").isNotNull().alias("has_id"), F.coalesce("_again", F.lit(False)).alias("is_repeatable"),
+        )
+    )
+
+
+@query(
+    "A8_tailed_files",
+    v.with_views("logs") + "SELECT service, 'n1' AS node, original_text, count(*) AS n FROM logs GROUP BY ALL",
+)
+def tailed(spark, sf_dir):
+    """Files that grow in number while they are tailed, labelled by name."""
+    path, out = new_shared_path(spark, "tailed"), PartTable(spark, new_shared_path(spark, "tailed-rows"))
+    logs = v.logs(spark, sf_dir).select("service", "original_text", F.dayofmonth("ts").alias("day"))
+    state = new_shared_path(spark, "tail")
+    for first, last in SLICE_DAYS:
+        part = logs.filter(F.col("day").between(first, last)).drop("day")
+        part.repartition(2, "service").write.mode("append").partitionBy("service").text(path)
+        files = spark.read.text(path).select(
+            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"),
+            F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"),
+        )
+        # a file's label is the folder that it was written to
+        named = files.distinct().select(
+            F.concat_ws("/", "folder", "name").alias("filename"), F.regexp_replace("folder", "service=", "").alias("service"),
+            F.lit("n1").alias("node"),
+        )
+        stream = tail_files(spark, f"{path}/*", written(named, "file-labels"), parents=1)
+        run_batches(lambda df, i: out.write(df, i), state)(stream).awaitTermination()
+    found = out.all().filter("log_id >= 0")
+    return found.groupBy("service", "node", "original_text").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("A7_prediction_topic", ORACLE["G10_sequence_predictions"])

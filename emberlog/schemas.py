@@ -39,6 +39,7 @@ TOPIC_LOG = T.StructType(
         T.StructField("node", T.StringType()),
         T.StructField("filename", T.StringType()),
         T.StructField("ts", T.TimestampType()),
+        T.StructField("timestamp", T.LongType()),
         T.StructField("original_text", T.StringType()),
         T.StructField("train_strategy", T.StringType()),
     ]

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from emberlog.operators.joins import sized
+from emberlog.operators.ordering import running_totals
+from emberlog.session import written
+from emberlog.sources.loki import content_id
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core on an input with fewer splits than cores, as one small or packed file gives."""
@@ -16,12 +21,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file and an id that rises in reading order."""
-    return spark.read.text(path).select(
+    """Text lines with their file and an id: 0 on, by file path and then by place in the file.
+
+    Spark deals files and parts of files to tasks by size. Lines are numbered inside each part
+    of a file as they are read; only the counts of the parts are put in order.
+    """
+    lines = spark.read.text(path).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line_id"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_read"),
+    )
+    parts = written(
+        lines.groupBy("file", "_start").agg(F.min("_read").alias("_first"), F.count(F.lit(1)).alias("_lines")), "file-parts"
     )
+    offsets = running_totals(parts, {"_upto": F.col("_lines")}, ["file", "_start"])
+    offsets = offsets.select("file", "_start", "_first", (F.col("_upto") - F.col("_lines")).alias("_before"))
+    placed = lines.join(sized(offsets, of=parts), ["file", "_start"])
+    return placed.select("line", "file", (F.col("_before") + F.col("_read") - F.col("_first")).alias("line_id"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -45,14 +62,17 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
         return spark.read.parquet(path)
 
 
-def tail_files(spark: SparkSession, path: str, labels: DataFrame) -> DataFrame:
+def tail_files(spark: SparkSession, path: str, labels: DataFrame, parents: int = 0) -> DataFrame:
     """Stream of lines appended as files under ``path``, labelled by file name.
 
-    ``labels`` has one row per file name: service, node, filename.
+    ``labels`` has one row per file name: service, node, filename. With
+    ``parents``, the names of so many folders above belong to the file name. The id of a line is a hash of its
+    file and text, so that a repeated micro-batch gives the same ids.
     """
     lines = spark.readStream.text(path).select(
         F.col("value").alias("original_text"),
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"),
+        F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), -1 - parents, parents + 1), "/").alias("filename"),
         F.current_timestamp().alias("ts"),
+        content_id(F.col("_metadata.file_path"), F.col("value")).alias("log_id"),
     )
     return lines.join(labels.select("filename", "service", "node"), "filename")

@@ -43,19 +43,43 @@ def select_labelled(logs: DataFrame) -> DataFrame:
     return logs.filter(F.col("service").rlike("^.+$"))
 
 
+def epoch_time(number: Column) -> Column:
+    """Epoch integer of any resolution, as its number of digits tells, → timestamp with microseconds."""
+    digits = F.length(F.abs(number).cast("string"))
+    micros = F.when(
+        digits <= 16, number * F.pow(F.lit(10.0), 16 - F.greatest(digits, F.lit(10))).cast("long")
+    ).otherwise(F.floor(number / F.pow(F.lit(10.0), digits - 16).cast("long")).cast("long"))
+    return F.timestamp_micros(micros)
+
+
+def content_id(*fields: str | Column) -> Column:
+    """A repeatable id from 0 to 2^63 for a record that comes without one."""
+    return F.shiftrightunsigned(F.xxhash64(*fields), 1)
+
+
 def decode_logs(messages: DataFrame, value: str = "value", schema=TOPIC_LOG, required=None) -> DataFrame:
     """JSON messages → records plus ``is_valid`` and the raw text.
 
     A message that is not JSON, or lacks a required field, is not valid; it neither fails
-    the query nor passes as a record.
+    the query nor passes as a record. A time may also come as ``timestamp``, an epoch
+    integer. A record without ``log_id`` gets the message's ``position`` in its topic, or
+    else a hash of the message, so that reading it again gives the same id.
     """
     required = LOG_REQUIRED if required is None else required
-    parsed = messages.select(F.col(value).alias("raw"), F.from_json(F.col(value), schema, JSON_OPTIONS).alias("r"))
-    flags = [F.col(f"r.{name}").isNotNull() for name in required]
+    kept = [F.col(value).alias("raw"), F.from_json(F.col(value), schema, JSON_OPTIONS).alias("r")]
+    given = "position" in messages.columns
+    parsed = messages.select(*kept, (F.col("position") if given else content_id(F.col(value))).alias("_position"))
+    fields = {name: F.col(f"r.{name}") for name in schema.names}
+    if "ts" in fields and "timestamp" in fields:
+        fields["ts"] = F.coalesce(fields["ts"], epoch_time(fields.pop("timestamp")))
+    if "log_id" in fields:
+        fields["log_id"] = F.coalesce(fields["log_id"], F.col("_position"))
     valid = F.lit(True)
-    for flag in flags:
-        valid = valid & flag
-    return parsed.select("raw", "r.*", F.coalesce(valid, F.lit(False)).alias("is_valid"))
+    for name in required:
+        valid = valid & fields[name].isNotNull()
+    # a message that is not a record has no id either
+    checked = parsed.withColumn("is_valid", F.coalesce(valid & F.col("r").isNotNull(), F.lit(False)))
+    return checked.select("raw", *[c.alias(name) for name, c in fields.items()], "is_valid")
 
 
 def valid_logs(decoded: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from emberlog.sources.loki import content_id
+
 MAX_MESSAGE_BYTES = 10_242_880
 
 
@@ -20,8 +22,10 @@ def read_topic(
     starting: str = "earliest",
     **options: str,
 ) -> DataFrame:
-    """Stream with one string column ``value``.
+    """Stream of ``value`` (string) and ``position`` (long), the message's place in its topic.
 
+    The position is repeatable: partition and offset of a broker, and a hash of file name and
+    message of a folder, where equal messages of one file share it.
     ``starting`` is ``earliest`` for the sequence path and ``latest`` for the retrieval
     path. Folder topics always start with the files present; the checkpoint of each query
     takes the place of a consumer group.
@@ -31,10 +35,10 @@ def read_topic(
         reader = reader.option(key, value)
     if format == "kafka":
         stream = reader.option("subscribe", topic).option("startingOffsets", starting).load()
-        return stream.select(F.col("value").cast("string").alias("value"))
-    if format == "text":
-        return reader.load(topic)
-    return reader.schema("value string").load(topic)
+        place = F.shiftleft(F.col("partition").cast("long"), 44) + F.col("offset")
+        return stream.select(F.col("value").cast("string").alias("value"), place.alias("position"))
+    stream = reader.load(topic) if format == "text" else reader.schema("value string").load(topic)
+    return stream.select("value", content_id(F.col("_metadata.file_path"), F.col("value")).alias("position"))
 
 
 def write_topic(

@@ -139,6 +139,10 @@ def test_user_encoder_and_word_vectors(spark):
     model = emb.fit_word_vectors(lines, dim=4)
     rows = emb.embed_words(lines, model, "hash").collect()
     assert all(len(r.cls) == 4 and len(r.tokens) == 2 for r in rows)
+    unseen = spark.createDataFrame([("3", "never seen"), ("4", None), ("5", "disk seen")], "hash string, cleaned_text string")
+    found = {r.hash: (any(r.cls), len(r.tokens)) for r in emb.embed_words(unseen, model, "hash").collect()}
+    assert found == {"3": (False, 0), "4": (False, 0), "5": (True, 1)}
+    assert emb.fit_word_vectors(lines, dim=4, max_words=2).getVectors().count() == 1
 
 
 def test_detector_scores_unseen_lines_higher(spark):

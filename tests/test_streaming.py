@@ -133,9 +133,9 @@ def test_sequence_stream_equals_batch(spark):
 
     feed = FeedWriter(spark, new_shared_path(spark, "feed"))
     feed.start(prediction_stream(spark, stream.predictions), "log_gpt", availableNow=True).awaitTermination()
-    assert {r.id for r in feed.feed.all().collect()} == {r.chunk_id for r in stream.predictions.all().collect()}
+    assert {r.id for r in feed.feed().collect()} == {r.chunk_id for r in stream.predictions.all().collect()}
     feed.process_sequences(stream.predictions.all(), 50)  # delivered again
-    assert feed.feed.all().count() == stream.predictions.all().count()
+    assert feed.feed().count() == stream.predictions.all().count()
     assert stream.models.parts() == [0]
     stream.retrain(stream.chunks.all().withColumn("train_strategy", F.lit("pre-train")))
     total = lambda: stream.models.latest().filter("size(context) = 0").agg(F.sum("n")).first()[0]
@@ -205,7 +205,13 @@ def test_line_feed(spark):
     feed = FeedWriter(spark, new_shared_path(spark, "feed"))
     feed.process_lines(predictions, 0)
     feed.process_lines(predictions, 1)
-    assert [r.id for r in feed.feed.all().collect()] == ["0"]
+    assert [r.id for r in feed.feed().collect()] == ["0"]
+    logs = line_ops.clean(spark.createDataFrame(rows(12, seed=2), SCHEMA), config(spark))
+    chunks = chunk_windows(count_windows(keyed(logs).withColumn("key", F.col("node")), 2), 12)
+    feed.process_sequences(chunks.withColumn("type", F.lit("log_gpt")), 0)  # the same number as a batch of lines
+    assert {(r.type, r.n) for r in feed.feed().groupBy("type").agg(F.count("*").alias("n")).collect()} == {
+        ("rapid", 1), ("log_gpt", chunks.count())
+    }
 
 
 def test_tailed_files(spark, tmp_path):
