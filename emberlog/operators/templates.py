@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +18,6 @@ from emberlog.session import written
 # Similarity threshold of the published miner, and its wildcard token.
 SIMILARITY = 0.4
 WILDCARD = "<*>"
-# largest number of lines that one clustering task gets from one leaf
-LEAF_ROWS = 20_000
 
 
 def masked_templates(logs: DataFrame) -> DataFrame:
@@ -25,85 +25,135 @@ def masked_templates(logs: DataFrame) -> DataFrame:
     return logs.withColumn("template", mask_digit_tokens(F.col("cleaned_text")))
 
 
-def cluster_tokens(lines: list[list[str]]) -> tuple[list[str], list[int]]:
-    """Greedy clustering of equally long token lists, in order.
+class Clusters:
+    """Greedy clusters of equally long token lists.
 
     A line joins the template that equals it in the most places, wildcards not counted, if
     those are at least ``SIMILARITY`` of all; among equals the one with more wildcards, then
-    the oldest. Places that differ become wildcards. Returns templates and assignments.
+    the oldest. Places that differ become wildcards. Only the templates are held, not the lines.
     """
-    codes = {WILDCARD: 0}
-    rows = np.array([[codes.setdefault(t, len(codes)) for t in line] for line in lines], dtype=np.int64)
-    width = rows.shape[1]
-    templates = np.zeros((16, width), dtype=np.int64)
-    used, chosen = 0, []
-    for row in rows:
-        known = templates[:used]
+
+    def __init__(self, width: int):
+        self.codes, self.names = {WILDCARD: 0}, [WILDCARD]
+        self.templates = np.zeros((16, width), dtype=np.int64)
+        self.used = 0
+
+    def start(self, tokens: list[str]) -> int:
+        """A template of its own."""
+        for token in tokens:
+            if token not in self.codes:
+                self.codes[token] = len(self.names)
+                self.names.append(token)
+        if self.used == len(self.templates):
+            self.templates = np.vstack([self.templates, np.zeros_like(self.templates)])
+        self.templates[self.used] = [self.codes[t] for t in tokens]
+        self.used += 1
+        return self.used - 1
+
+    def add(self, tokens: list[str]) -> int:
+        """Number of the template that the line joins or starts."""
+        # a token that no template has equals none
+        row = np.array([self.codes.get(t, -1) for t in tokens], dtype=np.int64)
+        known = self.templates[: self.used]
         same = ((known == row) & (known != 0)).sum(axis=1)
-        rank = same * (width + 1) + (known == 0).sum(axis=1)
-        best = int(rank.argmax()) if used else -1
-        if best < 0 or same[best] < SIMILARITY * width:
-            if used == len(templates):
-                templates = np.vstack([templates, np.zeros_like(templates)])
-            templates[used] = row
-            best = used
-            used += 1
-        else:
-            templates[best][templates[best] != row] = 0
-        chosen.append(best)
-    names = list(codes)
-    return [" ".join(names[c] for c in template) for template in templates[:used]], chosen
-
-
-def _cluster_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("first_seen", kind="stable")
-    templates, chosen = cluster_tokens([line.split(" ") for line in pdf["line"]])
-    return pdf[["service", "line"]].assign(template=[templates[i] for i in chosen])
+        if not self.used or same.max() < SIMILARITY * len(tokens):
+            return self.start(tokens)
+        best = int((same * (len(tokens) + 1) + (known == 0).sum(axis=1)).argmax())
+        self.templates[best][self.templates[best] != row] = 0
+        return best
 
+    def text(self, number: int) -> str:
+        return " ".join(self.names[c] for c in self.templates[number])
 
-_LEAF = ["service", "_n", "_prefix"]
+
+def cluster_tokens(lines: list[list[str]]) -> tuple[list[str], list[int]]:
+    """Templates and assignments of equally long lines, in order."""
+    clusters = Clusters(len(lines[0]))
+    chosen = [clusters.add(line) for line in lines]
+    return [clusters.text(i) for i in range(clusters.used)], chosen
 
 
-def _leaves(lines: DataFrame, shard_by, leaf_rows: int) -> DataFrame:
-    """Route lines by token count and leading token; cut a leaf above ``leaf_rows`` into shards."""
+_LEAF = ["service", "_n", "_prefix"]
+_CLUSTERED = "service string, _n int, _prefix string, line string, cluster long, template string, seed string"
+
+
+def _cluster_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Leaves in turn, lines in order → the cluster of each line, and each leaf's templates at its end."""
+    leaf, clusters, seeds = None, None, []
+    names = ["service", "_n", "_prefix", "line", "cluster", "template", "seed"]
+
+    def finished() -> list[tuple]:
+        if clusters is None:
+            return []
+        return [
+            (*leaf, None, i, clusters.text(i), seeds[i] if i < len(seeds) else None) for i in range(clusters.used)
+        ]
+
+    for pdf in batches:
+        out: list[tuple] = []
+        for service, n, prefix, line, known in pdf[["service", "_n", "_prefix", "line", "_known"]].itertuples(index=False):
+            if (service, n, prefix) != leaf:
+                out += finished()
+                leaf, clusters, seeds = (service, n, prefix), Clusters(n), []
+            tokens = line.split(" ")
+            if known:
+                clusters.start(tokens)
+                seeds.append(line)
+            else:
+                out.append((service, n, prefix, line, clusters.add(tokens), None, None))
+        yield pd.DataFrame(out, columns=names)
+    yield pd.DataFrame(finished(), columns=names)
+
+
+def fit_templates(logs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Mine templates from cleaned lines: one row per distinct (service, cleaned_text), with ``template`` and ``seed``.
+
+    Each distinct line is clustered once, in order of appearance, inside its leaf (same token count
+    and leading token). The rule is the same for a leaf of any size: a task streams over its sorted
+    leaves and holds only templates. ``known`` (service, template, key_id) are the templates to start
+    from; a line that joins one may widen it, and ``seed`` is its text as it was known.
+    """
+    lines = logs.groupBy("service", F.col("cleaned_text").alias("line")).agg(F.min(position()).alias("first_seen"))
+    lines = lines.select("service", "line", "first_seen", F.lit(False).alias("_known"))
+    if known is not None:
+        order = F.col("key_id").cast(lines.schema["first_seen"].dataType)
+        lines = lines.unionByName(
+            known.select("service", F.col("template").alias("line"), order.alias("first_seen"), F.lit(True).alias("_known"))
+        )
     tokens = F.split("line", " ")
     head = tokens[0]
     routed = lines.withColumns(
         {"_n": F.size(tokens), "_prefix": F.when(head.rlike("[0-9]"), WILDCARD).otherwise(head)}
     )
-    sizes = routed.groupBy(*_LEAF).agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("_shards"))
-    return routed.join(sizes, _LEAF).withColumn("_shard", F.pmod(F.xxhash64(shard_by), F.col("_shards")))
+    clustered = written(
+        routed.repartition(*_LEAF)
+        .sortWithinPartitions(*_LEAF, F.desc("_known"), "first_seen", "line")
+        .mapInPandas(_cluster_leaves, _CLUSTERED),
+        "clustered-lines",
+    )
+    found = clustered.filter("template IS NOT NULL").select(*_LEAF, "cluster", "template", "seed")
+    members = clustered.filter("template IS NULL").drop("template", "seed")
+    fitted = members.join(sized(found), [*_LEAF, "cluster"])
+    return fitted.select("service", F.col("line").alias("cleaned_text"), "template", "seed")
 
 
-def fit_templates(logs: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Mine templates from cleaned lines: one row per distinct (service, cleaned_text).
+def mined_keys(logs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cleaned logs → (logs with mined ``template`` and ``key_id``, the dictionary as it is now).
 
-    Each distinct line is clustered once, inside its leaf (same token count and leading
-    token). A leaf with more than ``leaf_rows`` lines is clustered in shards first; the
-    templates of all shards, far fewer than the lines, are then clustered again.
+    A known template keeps its key even when new lines widen it; new ones are numbered on by
+    first appearance.
     """
-    lines = logs.groupBy("service", F.col("cleaned_text").alias("line")).agg(F.min(position()).alias("first_seen"))
-    lines = written(lines, "distinct-lines")
-    schema = "service string, line string, template string"
-    first_pass = written(
-        _leaves(lines, F.col("line"), leaf_rows).groupBy(*_LEAF, "_shard").applyInPandas(_cluster_leaf, schema),
-        "leaf-templates",
-    )
-    # the same greedy step over the templates joins what the shards found separately
-    drafts = (
-        first_pass.join(lines, ["service", "line"])
-        .groupBy("service", F.col("template").alias("line"))
-        .agg(F.min("first_seen").alias("first_seen"))
-    )
-    second_word = F.get(F.split("line", " "), F.lit(1))
-    merged = (
-        _leaves(drafts, second_word, leaf_rows)
-        .groupBy(*_LEAF, "_shard")
-        .applyInPandas(_cluster_leaf, schema)
-        .select("service", F.col("line").alias("_draft"), F.col("template").alias("_final"))
+    fitted = written(fit_templates(logs, known), "fitted")
+    templated = written(assign_fitted(logs, fitted), "templated")
+    if known is None:
+        dictionary = written(template_keys(templated), "dictionary")
+        return assign_keys(templated.drop("seed"), dictionary), dictionary
+    grown = fitted.filter("seed IS NOT NULL").select("service", "seed", F.col("template").alias("_wide")).distinct()
+    renamed = known.join(grown.withColumnRenamed("seed", "template"), ["service", "template"], "left").select(
+        "service", F.coalesce("_wide", "template").alias("template"), "key_id", "size"
     )
-    fitted = first_pass.withColumnRenamed("template", "_draft").join(merged, ["service", "_draft"])
-    return fitted.select("service", F.col("line").alias("cleaned_text"), F.col("_final").alias("template"))
+    dictionary = written(template_keys(templated, written(renamed, "known-templates")), "dictionary")
+    return assign_keys(templated.drop("seed"), dictionary), dictionary
 
 
 def template_keys(templated: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import templates as ops
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
+from emberlog.session import written
 
 
 @query("D1_masked_templates", v.with_views("templated") + "SELECT log_id, template FROM templated")
@@ -33,6 +34,36 @@ def mined(spark, sf_dir):
     return found.groupBy("service", "template").agg(F.count(F.lit(1)).alias("size"))
 
 
+MINED = """words AS (SELECT *, string_split(cleaned_text, ' ') AS w FROM cleaned),
+  leaves AS (SELECT *, len(w) AS n, CASE WHEN regexp_matches(w[1], '[0-9]') THEN '<*>' ELSE w[1] END AS head FROM words),
+  cells AS (SELECT DISTINCT service, n, head, unnest(range(1, n + 1)) AS i, unnest(w) AS word FROM leaves),
+  texts AS (SELECT service, n, head, string_agg(word, ' ' ORDER BY i) AS template FROM (
+    SELECT service, n, head, i, CASE WHEN count(*) = 1 THEN any_value(word) ELSE '<*>' END AS word FROM cells GROUP BY ALL) GROUP BY ALL),
+  facts AS (SELECT service, n, head, min(ts) AS f_ts, arg_min(log_id, (ts, log_id)) AS f_id, min(day(ts)) AS f_day, count(*) AS size
+    FROM leaves GROUP BY ALL),
+  numbered AS (SELECT *, 3 + row_number() OVER (PARTITION BY service ORDER BY f_day > 10, f_ts, f_id) AS key_id FROM facts)"""
+
+
+@query(
+    "D5_grow_mined_templates",
+    v.with_views("cleaned") + f", {MINED} SELECT service, template, key_id, size FROM numbered JOIN texts USING (service, n, head)",
+)
+def grown_mined(spark, sf_dir):
+    """Mined from the first days, then grown by the others."""
+    logs = written(v.cleaned(spark, sf_dir), "cleaned")
+    _, known = ops.mined_keys(logs.filter(F.dayofmonth("ts") <= 10))
+    return ops.mined_keys(logs.filter(F.dayofmonth("ts") > 10), known)[1]
+
+
+@query(
+    "D2_assign_mined_keys",
+    v.with_views("cleaned")
+    + f", {MINED.replace('f_day > 10, ', '')} SELECT log_id, key_id FROM leaves JOIN numbered USING (service, n, head)",
+)
+def mined_keys(spark, sf_dir):
+    return ops.mined_keys(v.cleaned(spark, sf_dir))[0].select("log_id", "key_id")
+
+
 @query("D2_assign_keys", v.with_views("keyed") + "SELECT log_id, key_id FROM keyed")
 def keys(spark, sf_dir):
     return v.keyed_logs(spark, sf_dir).select("log_id", "key_id")

@@ -39,10 +39,22 @@ class PartTable:
         reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
         return reader.parquet(*[f"{self.path}/part={n}" for n in numbers])
 
+    def claim(self) -> int:
+        """A number after all others that no other writer has or gets: its claim file is made exclusively."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(root)
+        taken = [int(status.getPath().getName()) for status in fs.listStatus(root)]
+        number = max([*self.parts(), *taken, -1]) + 1
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(root, str(number))):
+            number += 1
+        return number
+
     def write(self, df: DataFrame, number: int | None = None) -> int:
-        """Write one part; without a number it becomes the next one."""
+        """Write one part; without a number it becomes the next one, which concurrent writers don't share."""
         if number is None:
-            number = (self.parts() or [-1])[-1] + 1
+            number = self.claim()
         df.write.mode("overwrite").parquet(f"{self.path}/part={number}")
         return number
 
@@ -61,3 +73,16 @@ class PartTable:
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         for number in self.parts()[:-keep]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"part={number}"), True)
+
+
+class Pins:
+    """Which version of a table each micro-batch reads, noted when it first runs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = PartTable(spark, path, "version int")
+
+    def pinned(self, batch_id: int, versions: PartTable) -> int | None:
+        if batch_id not in self.table.parts():
+            newest = (versions.parts() or [None])[-1]
+            self.table.write(self.table.spark.createDataFrame([(newest,)], "version int"), batch_id)
+        return self.table._read([batch_id]).first()["version"]

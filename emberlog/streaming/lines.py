@@ -19,7 +19,7 @@ from emberlog.operators.joins import sized
 from emberlog.operators.lines import clean
 from emberlog.operators.services import attach
 from emberlog.session import written
-from emberlog.sources.tables import PartTable
+from emberlog.sources.tables import PartTable, Pins
 
 VECTORS = "cls array<double>, tokens array<array<double>>"
 STORED_FIELDS = ["log_id", "service", "node", "filename", "ts", "original_text", "cleaned_text", "hash"]
@@ -40,10 +40,13 @@ class RetrievalStream:
         self.marked = PartTable(spark, f"{self.path}/marked-normal", f"service string, hash string, {VECTORS}")
         self.cache = PartTable(spark, f"{self.path}/vectors", f"hash string, {VECTORS}")
         self.predictions = PartTable(spark, f"{self.path}/predictions")
+        self.pins = Pins(spark, f"{self.path}/marked-pins")
 
     def store(self, before: int | None = None) -> DataFrame:
-        """Normal points: those learned before a micro-batch and those that users marked."""
-        learned, marked = self.normals.all(before), self.marked.all()
+        """Normal points: those learned before a micro-batch and those that users marked by then."""
+        last = None if before is None else self.pins.pinned(before, self.marked)
+        upto = None if before is None else 0 if last is None else last + 1
+        learned, marked = self.normals.all(before), self.marked.all(upto)
         fresh = marked.dropDuplicates(["service", "hash"]).join(learned.select("service", "hash"), ["service", "hash"], "left_anti")
         return learned.unionByName(fresh)
 

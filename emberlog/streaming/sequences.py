@@ -19,7 +19,7 @@ from emberlog.operators.joins import sized
 from emberlog.operators.lines import clean, extract_traces, window_key
 from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows
 from emberlog.operators.services import attach
-from emberlog.operators.templates import assign_keys, masked_templates, template_keys
+from emberlog.operators.templates import assign_keys, masked_templates, mined_keys, template_keys
 from emberlog.operators.windows import (
     ORDER,
     WINDOW_FIELDS,
@@ -29,7 +29,7 @@ from emberlog.operators.windows import (
     window_keys,
 )
 from emberlog.session import written
-from emberlog.sources.tables import PartTable
+from emberlog.sources.tables import PartTable, Pins
 
 LoadServices = Callable[[], DataFrame]
 
@@ -120,7 +120,10 @@ class CountWindows:
 
 
 class SequenceStream:
-    """Raw logs → chunk messages, and predictions once a model exists."""
+    """Raw logs → chunk messages, and predictions once a model exists.
+
+    Log keys come from masked templates or, with ``mine``, from mined ones that grow with the stream.
+    """
 
     def __init__(
         self,
@@ -131,31 +134,39 @@ class SequenceStream:
         window: int | None = None,
         order: int = nextkey.ORDER,
         rows_per_range: int = ROWS_PER_RANGE,
+        mine: bool = False,
     ):
         self.spark, self.path, self.load_services = spark, path.rstrip("/"), load_services
-        self.context, self.order = context, order
+        self.context, self.order, self.mine = context, order, mine
         self.tags = TrainTags(spark, self.path, rows_per_range)
         self.windows = CountWindows(spark, self.path, window or context, rows_per_range=rows_per_range)
         self.dictionary = PartTable(
             spark, f"{self.path}/templates", "service string, template string, key_id long, size long"
         )
         self.models = PartTable(spark, f"{self.path}/models")
+        self.pins = Pins(spark, f"{self.path}/model-pins")
         self.chunks = PartTable(spark, f"{self.path}/chunks")
         self.predictions = PartTable(spark, f"{self.path}/predictions")
 
     def process(self, logs: DataFrame, batch_id: int) -> None:
         """One micro-batch; the body of ``foreachBatch``."""
         services = self.load_services()
-        templated = written(masked_templates(clean(logs, services)), "templated")
-        self.dictionary.write(template_keys(templated, self.dictionary.latest(batch_id)), batch_id)
-        keyed = assign_keys(templated, self.dictionary.latest(batch_id + 1))
+        if self.mine:
+            keyed, dictionary = mined_keys(clean(logs, services), self.dictionary.latest(batch_id))
+            self.dictionary.write(dictionary, batch_id)
+        else:
+            templated = written(masked_templates(clean(logs, services)), "templated")
+            self.dictionary.write(template_keys(templated, self.dictionary.latest(batch_id)), batch_id)
+            keyed = assign_keys(templated, self.dictionary.latest(batch_id + 1))
         tagged = window_key(extract_traces(self.tags.process(keyed, batch_id, services), services))
         self.chunks.write(chunk_windows(self.windows.process(tagged, batch_id), self.context), batch_id)
 
         new = self.chunks.latest(batch_id + 1).withColumn("input_ids", F.col("chunk.input_ids"))
-        if self.models.parts():
+        # the model that was newest when the micro-batch first ran, also if it runs again
+        version = self.pins.pinned(batch_id, self.models)
+        if version is not None:
             top_k = services.select(F.col("name").alias("service"), "top_k")
-            verdicts = nextkey.detect(new, self.models.latest(), top_k, self.order)
+            verdicts = nextkey.detect(new, self.models.latest(version + 1), top_k, self.order)
         else:
             verdicts = new.select("chunk_id", F.lit(False).alias("is_anomaly"))
         self.predictions.write(nextkey.sequence_predictions(new, verdicts, services), batch_id)

@@ -60,10 +60,15 @@ def test_mining_equals_the_sequential_miner(spark):
     assert got == sequential(distinct)
 
 
-def test_sharded_leaves_keep_every_line(spark):
-    """Leaves cut into shards of a few lines: every line gets a template that matches it."""
+def test_leaves_over_many_batches(spark):
+    """Leaves that span Arrow batches of a few lines give the same templates."""
     lines = sample(600, seed=2)
-    got = {r.cleaned_text: r.template for r in ops.fit_templates(frame(spark, lines), leaf_rows=3).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.cleaned_text: r.template for r in ops.fit_templates(frame(spark, lines)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sequential(list(dict.fromkeys(lines)))
     assert set(got) == set(lines)
     for line, template in got.items():
         assert len(line.split(" ")) == len(template.split(" "))
@@ -94,6 +99,24 @@ def test_growth_keeps_old_keys(spark):
     }
 
 
+def test_mined_keys_grow_in_steps(spark):
+    """Mining in three steps keeps every key, and the lines' templates fit them."""
+    lines = sample(300, seed=3)
+    logs = frame(spark, lines)
+    dictionary, keys = None, {}
+    for low, high in ((0, 60), (60, 61), (61, 300)):
+        keyed, dictionary = ops.mined_keys(logs.filter(F.col("log_id").between(low, high - 1)), dictionary)
+        now = {r.key_id: r.template for r in dictionary.collect()}
+        assert len(now) == dictionary.count() and set(keys) <= set(now)
+        for key, template in keys.items():
+            # a key's template only ever gets wider
+            assert all(a == b or b == "<*>" for a, b in zip(template.split(" "), now[key].split(" ")))
+        keys = now
+        for r in keyed.collect():
+            assert all(a == b or b == "<*>" for a, b in zip(r.cleaned_text.split(" "), keys[r.key_id].split(" ")))
+    assert dictionary.agg(F.sum("size")).first()[0] == 300 and min(keys) == 4 and max(keys) == 3 + len(keys)
+
+
 @pytest.mark.parametrize("lines", [["a b c"], ["x"] * 5])
 def test_single_templates(spark, lines):
     got = ops.fit_templates(frame(spark, lines)).collect()
