@@ -4,13 +4,13 @@ A byte goes if a 50-byte string of the input that covers it also starts in a doc
 id. The job is cut into blocks of bounded size so that equal strings always meet:
 
 1. Copies of whole texts lose everything, but for the one with the smallest id; the rest goes on.
-2. Every 50-byte window chooses an anchor, its 20-byte gram with the smallest hash. Equal windows
-   choose equal anchors. Runs of windows with one anchor are strips of 50 to 80 bytes.
-3. Anchors are counted. A bitmap of bounded size of those that occur in several texts thins out
-   the strips; what it lets through by chance falls away later.
+2. Every 50-byte window chooses an anchor, its 24-byte gram with the smallest hash. Equal windows
+   choose equal anchors. Runs of windows with one anchor are strips of 50 to 76 bytes.
+3. Anchors meet in buckets by value, as sorted blocks. A bitmap of bounded size of those that
+   occur in several texts thins out the strips; what it lets through by chance falls away later.
 4. Equal strips are combined to their smallest id. What is left of an anchor is sorted in a suffix
    array (linear grouping, see ``suffix_array``), many anchors to a block; there an anchor's gram is one
-   symbol. Windows that share their first 31 symbols are equal, and the smallest id among them
+   symbol. Windows that share their first 27 symbols are equal, and the smallest id among them
    decides. Anchors with over 256 different strips, as at the edges of a passage that very many
    documents share, have their windows grouped one by one by content instead, so that no block
    grows with such a group.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import slices, table, utf8
+from emberlog.llm.common import mix, slices, table, utf8
 from emberlog.llm.registry import query
 from emberlog.llm.suffix_array import suffix_array
 from emberlog.llm.winnow import GRAM, WINDOW, Strips, strips
@@ -43,6 +43,9 @@ MOST_STRIPS = 256
 BLOCK_SYMBOLS = 1 << 15
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 PIECE_BITS = 1 << 17
+ANCHOR_BITS = 48
+BLOCK_ANCHORS = 1 << 20
+BUCKET_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 
 
@@ -56,29 +59,81 @@ def _batch_strips(column: pa.Array) -> Iterator[tuple[np.ndarray, int, Strips]]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_rank, _text, and _mark, which tells apart the texts of a repeated id."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_rank"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-    ).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
+    ).withColumn("_mark", F.xxhash64("_text"))
 
 
-def _anchors(texts: DataFrame) -> DataFrame:
-    """The distinct anchors of every text."""
+def _shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
+    """The first 48 bits of the anchors that more than one text has.
+
+    A task sorts the anchors of many texts and sends them on in blocks by value, as differences:
+    an anchor reaches its bucket once per block, however many texts have it.
+    """
+    step = -(-(1 << ANCHOR_BITS) // buckets)
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(held), return_counts=True)
+            owner = found // step
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            gaps = np.diff(found, prepend=found[:1])
+            gaps[first] = found[first] - owner[first] * step
+            wide = gaps >= 1 << 32
+            several = found[counts > 1]
+            at = np.searchsorted(several, owner[first] * step)
+            ends = np.append(first[1:], len(found))
+            data = []
+            for a, b in zip(first, ends):
+                # four bytes a difference, unless one of the block's is larger
+                data.append((gaps[a:b] if wide[a:b].any() else gaps[a:b].astype(np.uint32)).tobytes())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(owner[first]),
+                    pa.array(ends - first),
+                    pa.array(data, pa.binary()),
+                    pa.array([several[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(several)))], pa.binary()),
+                ],
+                ["bucket", "n", "gaps", "several"],
+            )
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, found in _batch_strips(batch.column(0)):
-                order = np.lexsort((found.anchor, found.text))
-                text, anchor = found.text[order], found.anchor[order]
+                anchor = (found.anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
+                order = np.lexsort((anchor, found.text))
+                text, anchor = found.text[order], anchor[order]
                 new = np.append(True, (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64))], ["anchor"])
-
-    return texts.select("_text").mapInArrow(run, "anchor long")
+                held.append(anchor[new])
+                size += int(new.sum())
+            if size >= BLOCK_ANCHORS:
+                yield block()
+                held, size = [], 0
+        if size:
+            yield block()
+
+    def meet(part: pa.Table) -> pa.Table:
+        bucket = part["bucket"][0].as_py()
+        found = []
+        for n, gaps in zip(part["n"].to_pylist(), part["gaps"]):
+            raw = gaps.as_py()
+            found.append(np.cumsum(np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * n else np.int64), dtype=np.int64))
+        names, counts = np.unique(np.concatenate(found), return_counts=True)
+        several = [np.frombuffer(x.as_py(), dtype=np.int64) for x in part["several"]]
+        return pa.table({"anchor": np.union1d(names[counts > 1] + bucket * step, np.concatenate(several))})
+
+    sent = texts.select("_text").mapInArrow(blocks, "bucket long, n long, gaps binary, several binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "anchor long")
 
 
 def _slots(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return (anchors & mask).astype(np.int64), (anchors >> np.uint64(36) & mask).astype(np.int64)
+    """Two places in the bitmap for the first bits of an anchor."""
+    mask, spread = np.uint64(bits - 1), mix(anchors.astype(np.uint64))
+    return (spread & mask).astype(np.int64), (spread >> np.uint64(36) & mask).astype(np.int64)
 
 
 def _bitmap(shared: DataFrame) -> np.ndarray:
@@ -90,7 +145,7 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = np.concatenate(_slots(batch.column(0).to_numpy().view(np.uint64), bits))
+            slots = np.concatenate(_slots(batch.column(0).to_numpy(), bits))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slots // piece), pa.array((slots % piece).astype(np.int32))], ["piece", "slot"]
             )
@@ -109,11 +164,11 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
 
 
 def _strips_of(texts: DataFrame, bitmap) -> DataFrame:
-    """_rank, _digest, begin, windows, place, anchor and strip (bytes) of the strips whose anchor the bitmap knows."""
+    """_rank, _mark, begin, windows, place, anchor and strip (bytes) of the strips whose anchor the bitmap knows."""
 
     def known(anchors: np.ndarray) -> np.ndarray:
         bits = bitmap.value
-        first, second = _slots(anchors, len(bits) * 8)
+        first, second = _slots(anchors >> np.uint64(64 - ANCHOR_BITS), len(bits) * 8)
         on = (bits[first >> 3] >> (7 - (first & 7)) & 1).astype(bool)
         on[on] = (bits[second[on] >> 3] >> (7 - (second[on] & 7)) & 1).astype(bool)
         return on
@@ -142,11 +197,11 @@ def _strips_of(texts: DataFrame, bitmap) -> DataFrame:
                         pa.array(found.anchor[at].view(np.int64)),
                         cut,
                     ],
-                    ["_rank", "_digest", "begin", "windows", "place", "anchor", "strip"],
+                    ["_rank", "_mark", "begin", "windows", "place", "anchor", "strip"],
                 )
 
-    schema = "_rank long, _digest binary, begin int, windows int, place int, anchor long, strip binary"
-    return texts.select("_rank", "_digest", "_text").mapInArrow(run, schema)
+    schema = "_rank long, _mark long, begin int, windows int, place int, anchor long, strip binary"
+    return texts.select("_rank", "_mark", "_text").mapInArrow(run, schema)
 
 
 def earlier_windows(members: list[tuple[int, bytes, int]]) -> list[int]:
@@ -277,25 +332,31 @@ def _merged(spans: DataFrame) -> DataFrame:
                 lows, highs = at[np.append(0, split + 1)], at[np.append(split, len(at) - 1)] + WINDOW
                 out.append(np.column_stack([lows, highs]).ravel().astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["_rank", "_digest", "_runs"]
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["_rank", "_mark", "_runs"]
             )
 
-    grouped = spans.groupBy("_rank", "_digest").agg(F.collect_list(F.struct("begin", "mask")).alias("found"))
-    return grouped.mapInArrow(run, "_rank long, _digest binary, _runs array<int>")
+    grouped = spans.groupBy("_rank", "_mark").agg(F.collect_list(F.struct("begin", "mask")).alias("found"))
+    return grouped.mapInArrow(run, "_rank long, _mark long, _runs array<int>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, spans (begin and end of each removed run in turn) and kept (bytes)."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    leaders = texts.groupBy("_digest").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_other"))
-    leaders = written(leaders.filter("_first <> _other").select("_digest", "_first"), "repeat-copies")
-    # a later copy of a whole text; all its windows start in the first copy too
-    copied = texts.join(sized(leaders), "_digest", "left").withColumn("_copy", F.coalesce(F.col("_rank") > F.col("_first"), F.lit(False)))
-    single = copied.filter("not _copy").select("_rank", "_digest", "_text")
-
-    counted = _anchors(single).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    shared = written(counted.filter("n > 1").select("anchor"), "repeat-anchors")
+    narrow = written(
+        texts.select("_rank", "_mark", F.sha2("_text", 256).alias("_sha"), F.octet_length("_text").alias("_size")),
+        "repeat-texts",
+    )
+    leaders = narrow.groupBy("_sha").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_other"))
+    leaders = leaders.filter("_first <> _other").drop("_other")
+    # later copies of whole texts; all their windows start in the first copy too
+    copies = narrow.join(leaders, "_sha").filter("_rank > _first").select("_rank", "_mark").distinct()
+    copies = written(copies.withColumn("_copy", F.lit(True)), "repeat-copies")
+    copied = texts.join(sized(copies), ["_rank", "_mark"], "left")
+    single = copied.filter("_copy is null").select("_rank", "_mark", "_text")
+
+    size = narrow.agg(F.sum(F.col("_size").cast("long"))).first()[0] or 0
+    shared = written(_shared_anchors(single, 1 + size // BUCKET_BYTES), "repeat-anchors")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
     key = F.xxhash64("place", "strip").alias("key")
     found = _strips_of(single, bitmap)
@@ -315,9 +376,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     everything = F.expr("shiftleft(1L, windows) - 1")
     spans = (
-        found.select("_rank", "_digest", "begin", "windows", "anchor", key)
+        found.select("_rank", "_mark", "begin", "windows", "anchor", key)
         .join(findings, ["anchor", "key"])
-        .select("_rank", "_digest", "begin", F.when(F.col("_rank") > F.col("least"), everything).otherwise(F.col("mask")).alias("mask"))
+        .select("_rank", "_mark", "begin", F.when(F.col("_rank") > F.col("least"), everything).otherwise(F.col("mask")).alias("mask"))
         .filter("mask <> 0")
     )
     runs = written(_merged(spans), "repeat-runs")
@@ -343,7 +404,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["_rank", "n_bytes", "spans", "kept"],
             )
 
-    every = copied.join(sized(runs), ["_rank", "_digest"], "left").select("_rank", "_text", "_copy", "_runs")
+    every = copied.join(sized(runs), ["_rank", "_mark"], "left").select("_rank", "_text", "_copy", "_runs")
     result = every.mapInArrow(cut, "_rank long, n_bytes long, spans array<int>, kept binary")
     own = F.when(F.col("_rank") != LAST, F.col("_rank")).cast(dict(docs.dtypes)[id_col])
     return result.select(own.alias(id_col), "n_bytes", "spans", "kept")

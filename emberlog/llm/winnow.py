@@ -10,7 +10,7 @@ import numpy as np
 from emberlog.llm.common import mix, seeds
 
 #: length of the compared strings, and of the k-grams inside them
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 24
 CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _BYTE = seeds(256, 31 << 40)
