@@ -130,7 +130,7 @@ def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) ->
     Each time range becomes buckets of a minute, an hour or a day, so the join is an equi
     join on service, node, file and bucket; the exact bounds are checked on the bucket's
     rows. A log has one node, file and bucket per width, and an entry one width, hence a
-    pair meets at most once.
+    pair meets at most once. Only ids and times of the logs are joined with the buckets.
     """
     radius = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(radius_minutes), F.lit(0))
     start, end = F.col("start_ts") - radius, F.col("end_ts") + radius
@@ -148,12 +148,22 @@ def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) ->
     buckets = ranges.withColumn("_width", width).select(
         "anomaly_id", "service", "node", "filename", "_from", "_to", "_width", F.explode(chosen).alias("_bucket")
     )
-    places = F.array(
-        *[F.struct(F.lit(w).alias("_width"), _bucket(F.col("ts"), w).alias("_bucket")) for w in BUCKET_MINUTES]
+    buckets = written(buckets, "context-buckets")
+    # at most as many numbers as there are widths
+    widths = [r["_width"] for r in buckets.select("_width").distinct().collect()]
+    narrow = logs.select("log_id", "service", "node", "filename", "ts")
+    # only logs of places that the feed names, once per width that is in use
+    places = buckets.select("service", "node", "filename").distinct()
+    narrow = narrow.join(sized(places), ["service", "node", "filename"], "left_semi")
+    spread = F.array(*[F.struct(F.lit(w).alias("_width"), _bucket(F.col("ts"), w).alias("_bucket")) for w in widths])
+    if not widths:
+        return logs.withColumn("anomaly_id", F.lit(None).cast("string")).limit(0)
+    met = narrow.select("*", F.inline(spread)).join(buckets, ["service", "node", "filename", "_width", "_bucket"])
+    pairs = written(
+        met.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).select("anomaly_id", "log_id"), "context-pairs"
     )
-    placed = logs.select("*", F.inline(places))
-    joined = placed.join(written(buckets, "context-buckets"), ["service", "node", "filename", "_width", "_bucket"])
-    return joined.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).drop("_width", "_bucket", "_from", "_to")
+    # the texts are fetched last, for the logs that are shown
+    return logs.join(sized(pairs), "log_id")
 
 
 def ensemble(line_verdicts: DataFrame, sequences: DataFrame) -> DataFrame:

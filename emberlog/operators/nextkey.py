@@ -99,26 +99,31 @@ def look_up(predicted: DataFrame, model: DataFrame, order: int = ORDER) -> DataF
     """Join positions with the model at the longest context seen in training.
 
     Adds ``used`` (that context's length), ``rank``, ``n`` and ``total``; rank and n are NULL
-    when the key never followed the context.
+    when the key never followed the context. Only the distinct (service, context, next key) are
+    looked up, and mapped back to the positions. No row is ever joined on the empty context:
+    that level is one row per service.
     """
-    contexts = written(model.select("service", "context", "total").distinct(), "contexts")
-    for m in range(order, -1, -1):
-        suffix = F.when(F.size("context") >= m, _suffix(F.col("context"), m))
-        level = contexts.filter(F.size("context") == m).select(
-            "service", F.col("context").alias(f"_c{m}"), F.col("total").alias(f"_t{m}")
-        )
-        predicted = predicted.withColumn(f"_c{m}", suffix).join(level, ["service", f"_c{m}"], "left")
-    levels = range(order, -1, -1)
-    known = lambda m: F.col(f"_t{m}").isNotNull()
-    resolved = predicted.withColumns(
-        {
-            "used": F.coalesce(*[F.when(known(m), m) for m in levels]),
-            "_seen": F.coalesce(*[F.when(known(m), F.col(f"_c{m}")) for m in levels]),
-            "total": F.coalesce(*[F.col(f"_t{m}") for m in levels]),
-        }
-    ).drop(*[f"_c{m}" for m in levels], *[f"_t{m}" for m in levels])
+    contexts = model.filter("rank = 1").select("service", F.col("context").alias("_seen"), "total")
+    transition = ["service", "context", "next_id"]
+    wanted = written(predicted.select(*transition).distinct(), "transitions")
+    given = wanted.select("service", "context").distinct().filter(F.size("context") > 0)
+    suffixes = given.select(
+        "service", "context", F.explode(F.sequence(F.lit(1), F.size("context"))).alias("_m")
+    ).withColumn("_seen", _suffix(F.col("context"), F.col("_m")))
+    longest = (
+        suffixes.join(contexts.filter(F.size("_seen") > 0), ["service", "_seen"])
+        .groupBy("service", "context")
+        .agg(F.max("_m").alias("used"), F.max_by("total", "_m").alias("total"))
+    )
+    found = wanted.join(longest, ["service", "context"], "left")
+    anywhere = contexts.filter("size(_seen) = 0").select("service", F.col("total").alias("_all"))
+    found = found.join(sized(anywhere), "service", "left").withColumns(
+        {"used": F.coalesce("used", F.when(F.col("_all").isNotNull(), 0)), "total": F.coalesce("total", "_all")}
+    )
+    seen = found.drop("_all").withColumn("_seen", _suffix(F.col("context"), F.col("used")))
     pairs = model.select("service", F.col("context").alias("_seen"), "next_id", "rank", "n")
-    return resolved.join(sized(pairs, of=model), ["service", "_seen", "next_id"], "left").drop("_seen")
+    resolved = written(seen.join(sized(pairs, of=model), ["service", "_seen", "next_id"], "left").drop("_seen"), "looked-up")
+    return predicted.join(sized(resolved), transition, "left")
 
 
 def in_top_k(top_k: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.session import written
+
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 16_384
 
@@ -94,13 +96,15 @@ def running_totals(
     order: Sequence[str],
     keys: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``totals`` along ascending ``order`` inside each group of ``keys``.
 
     ``order`` must be unique inside a group; its first two columns are timestamps, numbers or strings.
+    ``biggest`` is the size of the largest group, where it is known.
     """
     keys, order = list(keys), list(order)
-    biggest = largest_group(df, keys)
+    biggest = largest_group(df, keys) if biggest is None else biggest
     if biggest <= rows_per_range:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(window).alias(name) for name, c in totals.items()])
@@ -130,9 +134,32 @@ def number_rows(
     keys: Sequence[str] = (),
     name: str = "row_no",
     rows_per_range: int = ROWS_PER_RANGE,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row inside its group along ``order``."""
-    return running_totals(df, {name: F.lit(1).cast("long")}, order, keys, rows_per_range)
+    return running_totals(df, {name: F.lit(1).cast("long")}, order, keys, rows_per_range, biggest)
+
+
+def number_wide_rows(
+    df: DataFrame,
+    order: Sequence[str],
+    keys: Sequence[str],
+    name: str,
+    row_id: str,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """As ``number_rows`` for rows with much besides keys and order, and a unique ``row_id``.
+
+    Keys and order are worked out once and written. Small groups are numbered with one shuffle of
+    the rows; larger ones are numbered on the written columns alone, and the rows take their
+    position from there.
+    """
+    narrow = written(df.select(*dict.fromkeys([*keys, *order, row_id])), "row-order")
+    biggest = largest_group(narrow, keys)
+    if biggest <= rows_per_range:
+        return number_rows(df, order, keys, name, rows_per_range, biggest)
+    numbered = number_rows(narrow, order, keys, name, rows_per_range, biggest)
+    return df.join(numbered.select(row_id, name), row_id)
 
 
 def first_rows(df: DataFrame, n: int | Column, order: Sequence[Column], keys: Sequence[str]) -> DataFrame:

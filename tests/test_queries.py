@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_module
+from emberlog.plans import catalog
 from tests.compare import connect, differences
 
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 # at this scale no window of 512 logs fills
 EMPTY = {"E3_count_windows"}
 
@@ -17,8 +18,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-# streams are replayed in test_streaming; the others run here
-@pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if not q.__module__.endswith(".streams")))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLE:
