@@ -18,7 +18,7 @@ from emberlog.operators.embeddings import embed_cached, embed_trigrams
 from emberlog.operators.joins import sized
 from emberlog.operators.lines import clean
 from emberlog.operators.services import attach
-from emberlog.session import written
+from emberlog.session import scratch, written
 from emberlog.sources.tables import PartTable, Pins
 
 VECTORS = "cls array<double>, tokens array<array<double>>"
@@ -58,6 +58,10 @@ class RetrievalStream:
 
     def process(self, logs: DataFrame, batch_id: int) -> None:
         """One micro-batch; the body of ``foreachBatch``."""
+        with scratch(self.spark):
+            self._process(logs, batch_id)
+
+    def _process(self, logs: DataFrame, batch_id: int) -> None:
         services = self.load_services()
         store = self.store(batch_id)
         unknown = written(retrieval.unknown_lines(clean(logs, services), store), "unknown").select(*STORED_FIELDS)

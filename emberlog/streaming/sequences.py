@@ -28,7 +28,7 @@ from emberlog.operators.windows import (
     tag_train_strategy,
     window_keys,
 )
-from emberlog.session import written
+from emberlog.session import scratch, written
 from emberlog.sources.tables import PartTable, Pins
 
 LoadServices = Callable[[], DataFrame]
@@ -150,6 +150,10 @@ class SequenceStream:
 
     def process(self, logs: DataFrame, batch_id: int) -> None:
         """One micro-batch; the body of ``foreachBatch``."""
+        with scratch(self.spark):
+            self._process(logs, batch_id)
+
+    def _process(self, logs: DataFrame, batch_id: int) -> None:
         services = self.load_services()
         if self.mine:
             keyed, dictionary = mined_keys(clean(logs, services), self.dictionary.latest(batch_id))

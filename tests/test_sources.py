@@ -77,3 +77,43 @@ def test_part_table(spark, tmp_path):
     assert table.latest().count() == 4
     table.expire(1)
     assert table.parts() == [2]
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    from emberlog.session import scratch, written
+
+    with scratch(spark):
+        inner = written(spark.range(3), "inner")
+        path = inner.inputFiles()[0].rsplit("/", 1)[0]
+        assert inner.count() == 3
+    outer = written(spark.range(2), "outer")
+    assert outer.count() == 2
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
+
+def test_claims_are_exclusive(spark, tmp_path):
+    one, other = PartTable(spark, str(tmp_path / "t")), PartTable(spark, str(tmp_path / "t"))
+    first, second = one.claim(), other.claim()
+    assert (first, second) == (0, 1)
+    other.write(spark.range(2), second)
+    one.write(spark.range(3), first)
+    assert one.all().count() == 5 and one.write(spark.range(1)) == 2
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    for n, size in enumerate((3, 400, 1, 50, 0, 7)):
+        (tmp_path / f"f{n}.log").write_text("".join(f"{n}-{i}\n" for i in range(size)))
+    rows = files.read_lines(spark, str(tmp_path)).orderBy("line_id").collect()
+    assert [r.line_id for r in rows] == list(range(461))
+    assert [r.line for r in rows] == [f"{n}-{i}" for n, size in enumerate((3, 400, 1, 50, 0, 7)) for i in range(size)]
+
+
+def test_shipped_record(spark):
+    record = {"node": "n", "filename": "f", "timestamp": 170406720717957, "service": "s", "original_text": "t"}
+    decode = lambda: loki.valid_logs(loki.decode_logs(spark.createDataFrame([(json.dumps(record),)], "value string"))).collect()
+    (row,), (again,) = decode(), decode()
+    assert row == again and row.log_id >= 0 and row.ts.microsecond == 179570
+    for number in (1704067207, 1704067207179, 1704067207179575, 1704067207179575123):
+        got = spark.range(1).select(F.unix_micros(loki.epoch_time(F.lit(number)))).first()[0]
+        assert got // 1_000_000 == 1704067207
