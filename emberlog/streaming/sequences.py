@@ -57,7 +57,7 @@ class CountWindows:
     A counter per key gives every row its absolute position, hence its window; a window is
     complete once the counter has passed it. Rows of open windows wait in a table that a
     micro-batch only appends to; every ``compact_every`` micro-batches the rows that still
-    wait are written anew. Rows of a micro-batch are ordered by time; across micro-batches
+    wait, and the counters of all keys, are written anew. Rows of a micro-batch are ordered by time; across micro-batches
     arrival decides, and late rows are never dropped.
     """
 
@@ -82,16 +82,23 @@ class CountWindows:
         placed_schema = incoming.withColumns(
             {"_pos": F.lit(0).cast("long"), "window_no": F.lit(0).cast("long")}
         ).schema
-        counters = PartTable(
-            self.spark, f"{self.path}/window-counters", incoming.select(*keys, F.lit(0).cast("long").alias("seen")).schema
-        )
+        counted = incoming.select(*keys, F.lit(0).cast("long").alias("seen")).schema
+        counters = PartTable(self.spark, f"{self.path}/window-counters", counted)
+        summed = PartTable(self.spark, f"{self.path}/window-counters-compacted", counted)
         waiting = PartTable(self.spark, f"{self.path}/open-rows", placed_schema)
         compacted = PartTable(self.spark, f"{self.path}/open-rows-compacted", placed_schema)
 
-        before = counters.latest(batch_id)
-        grown = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
-        counters.write(before.unionByName(grown).groupBy(*keys).agg(F.sum("seen").alias("seen")), batch_id)
-        totals = counters.latest(batch_id + 1).withColumnRenamed("seen", "_total")
+        def seen_before(upto: int) -> DataFrame:
+            """Counts of earlier micro-batches: the last sums, and what each batch since then has added."""
+            base = (summed.parts(batch_id) or [-1])[-1]
+            return summed.latest(batch_id).unionByName(counters.all(upto, base))
+
+        # a micro-batch writes the counts of its own keys only
+        counters.write(incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen")), batch_id)
+        grown = counters.latest(batch_id + 1)
+        own = seen_before(batch_id).join(sized(grown.select(*keys)), keys, "left_semi")
+        before = written(own.groupBy(*keys).agg(F.sum("seen").alias("seen")), "seen-before")
+        totals = before.unionByName(grown).groupBy(*keys).agg(F.sum("seen").alias("_total"))
 
         numbered = number_rows(incoming, ORDER, keys, "_no", self.rows_per_range)
         position = F.col("_no") - 1 + F.coalesce("seen", F.lit(0).cast("long"))
@@ -114,7 +121,10 @@ class CountWindows:
         still_open = placed.filter("_open").drop("_open")
         waiting.write(still_open, batch_id)
         if batch_id % self.compact_every == self.compact_every - 1:
-            kept = held.join(totals, keys).filter(is_open).select(*placed_schema.names)
+            everyone = seen_before(batch_id + 1).groupBy(*keys).agg(F.sum("seen").alias("seen"))
+            summed.write(everyone, batch_id)
+            ended = summed.latest(batch_id + 1).withColumnRenamed("seen", "_total")
+            kept = held.join(ended, keys).filter(is_open).select(*placed_schema.names)
             compacted.write(kept.unionByName(still_open), batch_id)
         return gather_windows(rows, keys, size)
 
