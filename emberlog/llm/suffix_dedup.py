@@ -11,7 +11,7 @@ id. The job is cut into blocks of bounded size so that equal strings always meet
 4. Equal strips are combined to their smallest id. What is left of an anchor is sorted in a suffix
    array (linear grouping, see ``suffix_array``), many anchors to a block; there an anchor's gram is one
    symbol. Windows that share their first 27 symbols are equal, and the smallest id among them
-   decides. Anchors with over 256 different strips, as at the edges of a passage that very many
+   decides. Anchors with over 4096 different strips, as at the edges of a passage that very many
    documents share, have their windows grouped one by one by content instead, so that no block
    grows with such a group.
 5. The findings go back to all texts with the strip, spans are merged per text, and cut out.
@@ -39,7 +39,7 @@ from emberlog.llm.winnow import GRAM, WINDOW, Strips, strips
 from emberlog.operators.joins import sized
 from emberlog.session import written
 
-MOST_STRIPS = 256
+MOST_STRIPS = 4096
 BLOCK_SYMBOLS = 1 << 15
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 PIECE_BITS = 1 << 17

@@ -57,7 +57,7 @@ def brute(texts: dict[int, str]) -> dict[int, list[int]]:
     return out
 
 
-@pytest.mark.parametrize("most_strips", [1, 8, 256])
+@pytest.mark.parametrize("most_strips", [1, 8, 4096])
 def test_removal_is_exact(spark, monkeypatch, most_strips):
     monkeypatch.setattr(suffix_dedup, "MOST_STRIPS", most_strips)
     rng = random.Random(3)
