@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlog.llm import bpe_codec, exact_dedup, minhash_dedup, mixing, toxicity
-from emberlog.llm.common import table
+from emberlog.llm.common import bound_batches, table
 from emberlog.session import written
 
 
@@ -22,21 +22,25 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one with the largest id."""
+    bound_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
+    bound_batches(spark)
     return minhash_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, from not at all to three times."""
+    bound_batches(spark)
     return mixing.take_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number and digest, and the digest of the text they decode to."""
+    bound_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe_codec.round_trips(docs, path, keep_ids=True)
 

@@ -35,6 +35,8 @@ WINDOW, STRIDE = 32, 16
 SLOTS = 1 << 13
 SIZE, HIDDEN, ATTENTION = 8, 8, 8
 GRAM = 4
+#: bytes of text that are scored at a time
+SLICE = 1 << 18
 #: texts of each label that the network is trained on
 SAMPLE_PER_LABEL = 1200
 EPOCHS, BATCH, RATE = 6, 64, 0.01
@@ -103,7 +105,7 @@ def window_logits(params: Params, words: Words, which: np.ndarray, first: np.nda
 def top_logits(column: pa.Array, params: Params) -> Iterator[np.ndarray]:
     """Largest window logit of every text, slice by slice; minus infinity without words."""
     raw, starts = utf8(column)
-    for a, b in slices(starts):
+    for a, b in slices(starts, SLICE):
         words, which, counts, _ = distinct_words(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
         first, size, before = text_windows(counts)
         out = np.full(b - a, -np.inf)
