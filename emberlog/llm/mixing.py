@@ -227,7 +227,8 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
         .agg(F.max("copies").cast("int").alias(times))
         .filter(F.col(times) > 0)
     )
-    joined = docs.join(written(copies, "mix-copies"), F.col(id_col).eqNullSafe(F.col(taken)))
+    # the same plan at every size; one row per document is no table to broadcast
+    joined = docs.join(written(copies, "mix-copies").hint("merge"), F.col(id_col).eqNullSafe(F.col(taken)))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(taken)).select(*docs.columns)
 
 
