@@ -1,8 +1,8 @@
 """From raw documents to token ids: toxicity, exact and near duplicates, source mix, byte-pair encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
-last return the columns of ``documents``. Rows without an id are never dropped as duplicates; see
-the operators for other special cases.
+last return the columns of ``documents``. Null and repeated ids are allowed: every stage decides row by
+row. See the operators for other special cases.
 """
 
 from __future__ import annotations

@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.operators.joins import sized
+from emberlog.session import written
 
 SLICE_BYTES = 1 << 20
 
@@ -41,6 +45,41 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number that no two rows share and that stays the same however often it is read; its name.
+
+    Rows of written files are named by file and place in it. Anything else may be evaluated anew for
+    each use, so it is written once.
+    """
+    key = unused(docs, "_row")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        file = F.xxhash64("_metadata.file_path").cast("decimal(20,0)") * F.lit("10000000000000").cast("decimal(14,0)")
+        number = (file + F.col("_metadata.row_index").cast("decimal(13,0)")).cast("decimal(38,0)")
+        return docs.select("*", number.alias(key)), key
+    numbered = docs.withColumn(key, F.monotonically_increasing_id().cast("decimal(38,0)"))
+    return written(numbered, "row-keys"), key
+
+
+def one_row_each(keyed: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` to keep, without ``key``, from ``decisions`` (_row, _group, kept), one per row.
+
+    Of several kept rows of a group the one with the smallest key stays; rows without a group all do.
+    """
+    decisions = written(decisions, "row-decisions")
+    kept = decisions.filter("kept and _group is not null")
+    several = (
+        kept.groupBy(F.col("_group").alias("_of"))
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
+    )
+    several = written(several.drop("_n"), "row-repeats")
+    again = kept.join(sized(several), F.col("_group") == F.col("_of")).filter(F.col("_row") != F.col("_first"))
+    name = unused(keyed, "_gone")
+    gone = decisions.filter("not kept").select("_row").unionByName(again.select("_row"))
+    gone = written(gone.withColumnRenamed("_row", name), "row-gone")
+    return keyed.join(sized(gone), F.col(key) == F.col(name), "left_anti").drop(key)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string column as one byte array, and where each begins; null is empty."""
     if isinstance(column, pa.ChunkedArray):

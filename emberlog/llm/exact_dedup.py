@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import table, unused
+from emberlog.llm.common import one_row_each, row_keyed, table
 from emberlog.llm.registry import query
 from emberlog.operators.joins import sized
 from emberlog.session import written
@@ -29,9 +29,11 @@ from emberlog.session import written
 SALTS = 16
 
 
-def _fingerprints(docs: DataFrame, id_col: str, text_col: str, digits: int, with_text: bool) -> DataFrame:
-    """id, SHA-256 of the normalised text, the first ``digits`` of it as grouping digest, and the text if asked for."""
-    kind = dict(docs.dtypes)[id_col]
+def _fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, digits: int, with_text: bool, row_col: str | None = None
+) -> DataFrame:
+    """id, SHA-256 of the normalised text, the first ``digits`` of it as grouping digest, text and row key if asked for."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,10 +46,17 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, digits: int, with
             if with_text:
                 columns.append(pa.array(norm, pa.binary()))
                 names.append("_norm")
+            if row_col:
+                columns.append(batch.column(2))
+                names.append("_row")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"_id {kind}, _sha string, _digest string" + (", _norm binary" if with_text else "")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = f"_id {kinds[id_col]}, _sha string, _digest string" + (", _norm binary" if with_text else "")
+    narrow = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text")]
+    if row_col:
+        schema += f", _row {kinds[row_col]}"
+        narrow.append(F.col(row_col).alias("_row"))
+    return docs.select(*narrow).mapInArrow(run, schema)
 
 
 def exact_duplicates(
@@ -58,6 +67,20 @@ def exact_duplicates(
     ``digits`` shortens the grouping digest. Different texts of one digest are told apart by their
     content; they only cost another pass over the texts of such digests.
     """
+    result = _decided(docs, id_col, text_col, salts, digits)
+    return result.select(
+        F.col("_id").alias(id_col),
+        F.col("_keep").alias("keep_id"),
+        F.col("_size").alias("group_size"),
+        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
+        F.col("_sha").alias("text_sha256"),
+    )
+
+
+def _decided(
+    docs: DataFrame, id_col: str, text_col: str, salts: int = SALTS, digits: int = 64, row_col: str | None = None
+) -> DataFrame:
+    """_id, _sha, _keep and _size of every row, and its key ``row_col`` as _row if that is given."""
     full = _fingerprints(docs, id_col, text_col, digits, with_text=True)
     salted = (
         full.withColumn("_salt", F.spark_partition_id() % salts)
@@ -72,30 +95,24 @@ def exact_duplicates(
         "exact-groups",
     )
     alone = groups.filter("_texts = 1").drop("_texts")
-    result = _fingerprints(docs, id_col, text_col, digits, with_text=False).join(alone, "_digest")
+    result = _fingerprints(docs, id_col, text_col, digits, False, row_col).join(alone, "_digest")
     shared = groups.filter("_texts > 1").select("_digest")
     if shared.limit(1).count():
+        full = _fingerprints(docs, id_col, text_col, digits, True, row_col)
         clashing = full.join(sized(shared), "_digest", "left_semi")
         by_text = clashing.groupBy("_digest", "_norm").agg(
             F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")
         )
         result = result.unionByName(clashing.join(by_text, ["_digest", "_norm"]).drop("_norm"))
-    return result.select(
-        F.col("_id").alias(id_col),
-        F.col("_keep").alias("keep_id"),
-        F.col("_size").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
+    return result
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id repeats; all columns stay as they are."""
-    decisions = exact_duplicates(docs, id_col, text_col)
-    name = unused(docs, "_gone")
-    gone = written(decisions.filter("not kept").select(F.col(id_col).alias(name)), "exact-gone")
-    # ids of dropped rows never stay elsewhere: an id has one text
-    return docs.join(sized(gone), F.col(id_col) == F.col(name), "left_anti")
+    """One row of each text of ``docs``: one with the largest id, whatever ids are null or repeat; columns stay."""
+    keyed, key = row_keyed(docs)
+    decided = _decided(keyed, id_col, text_col, row_col=key)
+    kept = F.col("_id").eqNullSafe(F.col("_keep")).alias("kept")
+    return one_row_each(keyed, key, decided.select("_row", F.unhex("_sha").alias("_group"), kept))
 
 
 SQL = """

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import mix, seeds, table, unused
+from emberlog.llm.common import mix, one_row_each, row_keyed, seeds, table
 from emberlog.llm.components import connected_components
 from emberlog.llm.registry import query
 from emberlog.llm.shingles import WORDS, shingle_runs, shingle_sets
@@ -79,8 +79,13 @@ def _node(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, words: int) -> DataFrame:
-    """_id, _n (size of the set), _node (name of the set), _bands (keys); the last two null for empty sets."""
+def _sketched(
+    docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, words: int, row_col: str | None = None
+) -> DataFrame:
+    """_id, _n (size of the set), _node (name of the set), _bands (keys), and _row (``row_col``) if that is given.
+
+    Node and bands are null for empty sets.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,19 +102,25 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int
                     found = band_keys(signatures(x, np.append(before[full], before[-1]), bands * rows), bands, rows)
                     for i, own in zip(full, found.view(np.int64)):
                         keys[i] = own
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, n_texts),
-                        pa.array(sizes),
-                        pa.array(nodes, pa.int64()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                    ],
-                    ["_id", "_n", "_node", "_bands"],
-                )
-
-    kind = dict(docs.dtypes)[id_col]
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return narrow.mapInArrow(run, f"_id {kind}, _n long, _node long, _bands array<long>")
+                columns = [
+                    batch.column(0).slice(row, n_texts),
+                    pa.array(sizes),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ]
+                names = ["_id", "_n", "_node", "_bands"]
+                if row_col:
+                    columns.append(batch.column(2).slice(row, n_texts))
+                    names.append("_row")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = dict(docs.dtypes)
+    narrow = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text")]
+    schema = f"_id {kinds[id_col]}, _n long, _node long, _bands array<long>"
+    if row_col:
+        narrow.append(F.col(row_col).alias("_row"))
+        schema += f", _row {kinds[row_col]}"
+    return docs.select(*narrow).mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -283,7 +294,28 @@ def near_duplicates(
     Links join texts with 100 * intersection >= ``percent`` * union of their sets; ``bands`` and
     ``rows`` must let such pairs meet almost surely.
     """
-    sketched = written(_sketched(docs, id_col, text_col, bands, rows, words), "near-sketches")
+    result = _decided(docs, id_col, text_col, percent, words, bands, rows, small_bucket)
+    return result.select(
+        F.col("_id").alias(id_col),
+        F.col("_n").alias("n_shingles"),
+        "component_id",
+        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def _decided(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    percent: int = PERCENT,
+    words: int = WORDS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    small_bucket: int = SMALL_BUCKET,
+    row_col: str | None = None,
+) -> DataFrame:
+    """_id, _n, label (names a component, null for empty sets) and component_id of every row, and _row if asked for."""
+    sketched = written(_sketched(docs, id_col, text_col, bands, rows, words, row_col), "near-sketches")
     classes = written(
         sketched.filter("_node is not null")
         .groupBy(F.col("_node").alias("node"))
@@ -330,24 +362,21 @@ def near_duplicates(
     named = classes.select("node", "_rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named, "near-named")
     smallest = named.groupBy("label").agg(F.min("_rep").alias("component_id"))
-    component = named.join(smallest, "label").select(F.col("node").alias("_node"), "component_id")
-    alone = F.col("_node").isNull()
+    component = named.join(smallest, "label").select(F.col("node").alias("_node"), "label", "component_id")
     result = sketched.drop("_bands").join(component, "_node", "left")
-    component_id = F.when(alone, F.col("_id")).otherwise(F.col("component_id"))
-    return result.select(
-        F.col("_id").alias(id_col),
-        F.col("_n").alias("n_shingles"),
-        component_id.alias("component_id"),
-        F.col("_id").eqNullSafe(component_id).alias("kept"),
-    )
+    alone = F.col("_node").isNull()
+    return result.withColumn("component_id", F.when(alone, F.col("_id")).otherwise(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with only the smallest id of each component; all columns stay as they are."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    name = unused(docs, "_gone")
-    gone = written(found.filter("not kept").select(F.col(id_col).alias(name)), "near-gone")
-    return docs.join(sized(gone), F.col(id_col) == F.col(name), "left_anti")
+    """One row of each component of ``docs``: one with the smallest id, whatever ids are null or repeat; columns stay.
+
+    Rows without words are components of their own.
+    """
+    keyed, key = row_keyed(docs)
+    decided = _decided(keyed, id_col, text_col, row_col=key, **options)
+    kept = F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return one_row_each(keyed, key, decided.select("_row", F.col("label").alias("_group"), kept))
 
 
 SQL = r"""
