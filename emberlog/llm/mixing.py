@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import table, unused
+from emberlog.llm.common import row_keyed, table, unused
 from emberlog.llm.registry import query
 from emberlog.operators.joins import is_small, sized
 from emberlog.operators.ordering import number_rows
@@ -175,10 +175,34 @@ def mix(
 
     ``share`` is the part of all words that the mix is to hold.
     """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
+    rounded = _rounded(docs, weights, share, max_repeat, id_col, text_col, source_col)
+    return rounded.select(
+        F.col("_id").alias(id_col),
+        F.col("_size").alias("size"),
+        F.col("_words").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_rate").alias("rate"),
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
+    )
+
+
+def _rounded(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.0,
+    max_repeat: int = MAX_REPEAT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    row_col: str | None = None,
+) -> DataFrame:
+    """_id, _size, _words, _target, _rate and _copies of every row, and its key ``row_col`` as _row if that is given."""
+    kinds = dict(docs.dtypes)
+    row = [F.col(row_col).alias("_row")] if row_col else []
     sizes = written(
         docs.select(
+            *row,
             F.col(id_col).alias("_id"),
             F.col(source_col).cast("string").alias("_source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
@@ -194,41 +218,34 @@ def mix(
         .otherwise(F.least(F.exp(exponent), F.lit(float(max_repeat))))
     )
     rated = sizes.join(sized(per_source, tilted), F.col("_of").eqNullSafe(F.col("_source"))).select(
-        "_id", "_source", "_size", "_words", "_target", "_docs", rate.alias("_rate"),
+        *(["_row"] if row_col else []), "_id", "_source", "_size", "_words", "_target", "_docs", rate.alias("_rate"),
         F.xxhash64("_id", "_size").alias("_key"),
     )
     buckets = F.pmod(F.shiftright("_key", 8), F.ceil(F.col("_docs") / BUCKET_DOCS) + 1)
     schema = (
-        f"_id {kind}, _source string, _size long, _words long, _target double, _docs long, _rate double,"
+        f"_id {kinds[id_col]}, _source string, _size long, _words long, _target double, _docs long, _rate double,"
         " _bucket long, _copies long"
     )
-    rounded = (
+    if row_col:
+        schema = f"_row {kinds[row_col]}, {schema}"
+    return (
         rated.withColumn("_bucket", buckets)
         .groupBy("_source", "_bucket")
         .applyInArrow(lambda part: _round(part, max_repeat).select([f.split()[0] for f in schema.split(", ")]), schema)
     )
-    return rounded.select(
-        F.col("_id").alias(id_col),
-        F.col("_size").alias("size"),
-        F.col("_words").alias("source_size"),
-        F.col("_target").alias("target"),
-        F.col("_rate").alias("rate"),
-        F.col("_copies").alias("copies"),
-        (F.col("_copies") * F.col("_size")).alias("taken"),
-    )
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; columns stay as they are."""
-    taken, times = unused(docs, "_taken_id"), unused(docs, "_times")
+    """The rows of ``docs``, each as often as the mix takes it, whatever ids are null or repeat; columns stay."""
+    keyed, key = row_keyed(docs)
+    taken, times = unused(keyed, "_taken"), unused(keyed, "_times")
     copies = (
-        mix(docs, id_col=id_col, **options)
-        .groupBy(F.col(id_col).alias(taken))
-        .agg(F.max("copies").cast("int").alias(times))
-        .filter(F.col(times) > 0)
+        _rounded(keyed, id_col=id_col, row_col=key, **options)
+        .filter("_copies > 0")
+        .select(F.col("_row").alias(taken), F.col("_copies").cast("int").alias(times))
     )
     # the same plan at every size; one row per document is no table to broadcast
-    joined = docs.join(written(copies, "mix-copies").hint("merge"), F.col(id_col).eqNullSafe(F.col(taken)))
+    joined = keyed.join(written(copies, "mix-copies").hint("merge"), F.col(key) == F.col(taken))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(taken)).select(*docs.columns)
 
 

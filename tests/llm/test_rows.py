@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from emberlog.llm import exact_dedup, minhash_dedup
+from emberlog.llm import exact_dedup, minhash_dedup, mixing
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -63,3 +63,22 @@ def test_near_dedup_keeps_one_row_of_each_component(stored):
     firsts = Counter((r.doc_id, r.text.split()[0]) for r in kept if (r.text or "").strip())
     head = [t.split()[0] for t in (one, two, three, four)]
     assert firsts == {(3, head[0]): 1, (5, head[1]): 1, (None, head[2]): 1, (7, head[3]): 1}
+
+
+def test_mix_takes_the_rounded_copies(stored):
+    """Sources "a" and "c" give far from the same rate, and no id tells their rows apart."""
+    rng = random.Random(3)
+    rows = [
+        (rng.choice([None, 1, 2]), f"t{i} " + "w " * rng.randrange(20, 60), "a" if i < 60 else "c") for i in range(600)
+    ]
+    docs = stored(rows)
+    out = mixing.take_mix(docs)
+    taken = out.collect()
+    times = Counter(map(tuple, taken))
+    assert out.dtypes == docs.dtypes and set(times) <= set(rows) and max(times.values()) <= 3
+    targets = {
+        words: target for words, target in mixing.mix(docs).select("source_size", "target").distinct().collect()
+    }
+    for source in "ac":
+        target = targets[sum(len(t.split()) for _, t, s in rows if s == source)]
+        assert abs(sum(len(r.text.split()) for r in taken if r.source == source) - target) <= 0.02 * target
