@@ -77,8 +77,8 @@ class _Block:
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
         self.ids, self.data = ids, data
-        self.exact = np.float64 if np.abs(data).max(initial=0) < 2**26 / max(1, data.shape[1]) ** 0.5 else np.int64
-        self.values = data.astype(self.exact)
+        self.largest = max(int(data.max(initial=0)), -int(data.min(initial=0)))
+        self.values = data.astype(np.float64)
         self.order = np.argsort(data, axis=0, kind="stable")
         self.sorted = np.take_along_axis(data, self.order, axis=0)
 
@@ -86,7 +86,9 @@ class _Block:
         """Ids and scores of candidates that may be among the k best; ``bound``: a k-th best score known so far."""
         n = len(self.ids)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        weights = q.astype(self.exact)
+        # sums of whole numbers below 2^53 are exact as floats, which multiply faster
+        most = self.largest * max(int(q.max(initial=0)), -int(q.min(initial=0))) * len(q)
+        values, weights = (self.values, q.astype(np.float64)) if most < 2**53 else (self.data, q)
         met = np.zeros(n, dtype=bool)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth, following = 0, FIRST_DEPTH
@@ -106,7 +108,7 @@ class _Block:
             new &= ~met
             met |= new
             at = np.flatnonzero(new)
-            found = (self.values[at] @ weights).astype(np.int64)
+            found = (values[at] @ weights).astype(np.int64)
             other = self.ids[at] != own
             ids, scores = np.concatenate([ids, self.ids[at][other]]), np.concatenate([scores, found[other]])
             first = np.lexsort((ids, -scores))[:k]

@@ -45,6 +45,14 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(vectors, F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_huge_query_against_small_candidates():
+    """Products pass 2^53, where floats no longer tell neighbours apart."""
+    data = np.array([[1000, 1000, i] for i in range(40)])
+    q = np.array([2**52 + 1, 2**52 - 1, 1])
+    ids, scores = topk._Block(np.arange(40), data).best(-1, q, 5, None)
+    assert list(zip(ids, scores)) == [(i, sum(int(a) * int(b) for a, b in zip(data[i], q))) for i in range(39, 34, -1)]
+
+
 def test_threshold_stops_early():
     """A candidate far ahead in all lists ends the search before the others are met."""
     rng = np.random.default_rng(1)
