@@ -55,7 +55,8 @@ class NextKeyDetector:
     """Fit on normal key sequences (column ``line``); flag a sequence with a key outside the top k.
 
     A sequence is framed and cut to ``context`` ids. ``sliding`` takes sequences as they are, as
-    windows of a longer stream without begin and end; the first key is then only a prompt.
+    windows of a longer stream without begin and end; the first key is then only a prompt. Sessions
+    too long for a row go through ``fit_positions`` and ``judge_positions``, which work as ``sliding`` does.
     """
 
     def __init__(self, top_k: int = 80, order: int = nextkey.ORDER, context: int = 256, sliding: bool = False):
@@ -86,3 +87,16 @@ class NextKeyDetector:
         return sequences.join(
             found.withColumnRenamed("chunk_id", key).withColumnRenamed("is_anomaly", "is_predicted"), key, "left"
         )
+
+    def fit_positions(self, positioned: DataFrame, key: str) -> NextKeyDetector:
+        """Fit on sessions with one row per key: ``key``, ``pos`` from 1 and ``key_id``."""
+        contexts = nextkey.session_contexts(positioned, key, self.order)
+        self.model = written(nextkey.ranked(nextkey.count_positions(contexts)), "next-keys")
+        return self
+
+    def judge_positions(self, positioned: DataFrame, key: str) -> DataFrame:
+        """``key``, ``n_positions``, ``n_miss``, ``first_miss_pos`` and ``is_predicted`` of sessions of two keys or more."""
+        top_k = self.model.select("service").distinct().withColumn("top_k", F.lit(self.top_k))
+        contexts = written(nextkey.session_contexts(positioned, key, self.order), "session-contexts")
+        found = nextkey.judge(contexts, self.model, top_k, self.order).drop("service")
+        return found.withColumnRenamed("chunk_id", key).withColumnRenamed("is_anomaly", "is_predicted")

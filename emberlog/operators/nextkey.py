@@ -35,6 +35,29 @@ def positions(sequences: DataFrame, order: int = ORDER, ids: str = "input_ids",
     return exploded.select(*keep, "g.*")
 
 
+def session_contexts(positioned: DataFrame, session: str, order: int = ORDER) -> DataFrame:
+    """``positions`` of sessions with one row per key (session, 1-based ``pos``, ``key_id``), of any length.
+
+    Every key is sent to the ``order`` positions after it, so no task gathers a session.
+    """
+    sent = positioned.select(
+        session,
+        F.col("key_id").cast("int").alias("_key"),
+        F.posexplode(F.sequence(F.col("pos"), F.col("pos") + order)).alias("_back", "_pos"),
+    )
+    at = lambda back: F.max(F.when(F.col("_back") == back, F.col("_key")))
+    met = sent.groupBy(session, "_pos").agg(
+        at(0).alias("next_id"), F.array(*[at(back) for back in range(order, 0, -1)]).alias("_before")
+    )
+    return met.filter("next_id is not null and _pos > 1").select(
+        F.col(session).alias("chunk_id"),
+        F.lit("").alias("service"),
+        (F.col("_pos") - 1).cast("long").alias("pos"),
+        F.filter("_before", lambda x: x.isNotNull()).alias("context"),
+        "next_id",
+    )
+
+
 def _suffix(context: Column, length) -> Column:
     return F.slice(context, F.size(context) - length + 1, length)
 
@@ -45,11 +68,12 @@ def count_keys(sequences: DataFrame, order: int = ORDER, ids: str = "input_ids",
     The longest contexts are counted first, with partial aggregation; the shorter ones are
     sums over that much smaller table.
     """
-    longest = (
-        positions(sequences, order, ids, ("service",))
-        .groupBy("service", "context", "next_id")
-        .agg((F.count(F.lit(1)) * weight).alias("n"))
-    )
+    return count_positions(positions(sequences, order, ids, ("service",)), weight)
+
+
+def count_positions(predicted: DataFrame, weight: int = 1) -> DataFrame:
+    """The counts of ``count_keys`` from positions (service, context, next_id)."""
+    longest = predicted.groupBy("service", "context", "next_id").agg((F.count(F.lit(1)) * weight).alias("n"))
     shorter = longest.select(
         "service", "context", "next_id", "n", F.explode(F.sequence(F.lit(0), F.size("context"))).alias("m")
     )
@@ -135,7 +159,12 @@ def detect(sequences: DataFrame, model: DataFrame, top_k: DataFrame, order: int
 
     ``top_k`` has one row per service: service, top_k.
     """
-    scored = look_up(positions(sequences, order, ids, ("chunk_id", "service")), model, order)
+    return judge(positions(sequences, order, ids, ("chunk_id", "service")), model, top_k, order)
+
+
+def judge(predicted: DataFrame, model: DataFrame, top_k: DataFrame, order: int = ORDER) -> DataFrame:
+    """The verdicts of ``detect`` from positions (chunk_id, service, pos, context, next_id)."""
+    scored = look_up(predicted, model, order)
     hit = in_top_k(F.col("top_k"))
     return (
         scored.join(sized(top_k), "service", "left")

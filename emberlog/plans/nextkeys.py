@@ -11,7 +11,7 @@ from emberlog.operators import nextkey as ops
 from emberlog.operators.templates import vocabulary_size
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
-from emberlog.plans.windows import SESSIONS, sessions
+from emberlog.plans.windows import SESSIONS, positioned_sessions, sessions
 from emberlog.session import new_shared_path, written
 from emberlog.sources.tables import PartTable
 
@@ -217,9 +217,9 @@ def detector(spark, sf_dir):
       count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_predicted FROM looked GROUP BY 1""",
 )
 def sliding_detector(spark, sf_dir):
-    """The same sessions as bare windows of keys, without begin and end."""
-    rows = written(sessions(spark, sf_dir, first=256), "sessions").withColumnRenamed("block_id", "sid")
+    """The same sessions as bare windows of keys, whole and without begin and end."""
+    rows = written(positioned_sessions(spark, sf_dir), "sessions").withColumnRenamed("block_id", "sid")
     even = F.substring("sid", 5, 20).cast("long") % 2 == 0
-    fitted = NextKeyDetector(top_k=20, sliding=True).fit(rows.filter(even))
-    found = fitted.transform(rows.filter(~even), "sid")
-    return found.filter("n_positions > 0").select("sid", "n_positions", "n_miss", "is_predicted")
+    fitted = NextKeyDetector(top_k=20, sliding=True).fit_positions(rows.filter(even), "sid")
+    found = fitted.judge_positions(rows.filter(~even), "sid")
+    return found.select("sid", "n_positions", "n_miss", "is_predicted")

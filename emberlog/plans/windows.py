@@ -163,6 +163,11 @@ def sessions(spark, sf_dir, first=None):
     return ops.session_sequences(blocks, "block_id", first)
 
 
+def positioned_sessions(spark, sf_dir):
+    blocks = v.keyed_logs(spark, sf_dir).withColumn("block_id", hdfs_block(F.col("original_text")))
+    return ops.session_positions(blocks, "block_id")
+
+
 @query(
     "E11_session_sequences",
     v.with_views("keyed")

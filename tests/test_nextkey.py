@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.detectors import NextKeyDetector
 from emberlog.functions.sequences import BOS, EOS, PAD
 from emberlog.operators import nextkey as ops
+from emberlog.plans import nextkeys
 
 SCHEMA = "chunk_id string, service string, input_ids array<int>, train_strategy string"
 
@@ -157,3 +158,30 @@ def test_detector(spark):
     assert NextKeyDetector(top_k=2, context=16).fit(normal).transform(test, "sid").filter("sid = 100").first().n_miss <= 1
     detector.update(spark.createDataFrame([(1, [4, 9, 6])] * 50, "sid long, line array<int>"))
     assert {r.sid: r.n_miss for r in detector.transform(test, "sid").collect()}[101] == 0
+
+
+def test_sliding_detector_reads_whole_sessions(spark, monkeypatch):
+    """The only odd keys of a session come after its first 256."""
+    lines = {0: [3, 4, 5] * 120, 2: [4, 3], 1: [3, 4, 5] * 100 + [9, 5, 3], 3: [5], 5: [3, 4]}
+    lines[0] += list(range(30, 60))
+    rows = [
+        (1000 * b + i, b * 1000 + i, f"x blk_{b} y", key, False) for b, keys in lines.items() for i, key in enumerate(keys)
+    ]
+    logs = spark.createDataFrame(rows, "log_id long, ts long, original_text string, key_id long, is_anomaly boolean")
+    logs = logs.withColumn("ts", F.timestamp_seconds("ts"))
+    monkeypatch.setattr(nextkeys.v, "keyed_logs", lambda spark, sf_dir: logs)
+    got = {r.sid: (r.n_positions, r.n_miss, r.is_predicted) for r in nextkeys.sliding_detector(spark, "").collect()}
+    counts = defaultdict(Counter)
+    for keys in (lines[0], lines[2]):
+        for i in range(1, len(keys)):
+            for m in range(min(i, 2) + 1):
+                counts[tuple(keys[i - m : i])][keys[i]] += 1
+    expected = {}
+    for b in (1, 5):
+        keys, misses = lines[b], 0
+        for i in range(1, len(keys)):
+            context = next(c for m in (2, 1, 0) if (c := tuple(keys[max(i - m, 0) : i])) in counts)
+            best = sorted(counts[context], key=lambda k: (-counts[context][k], k))[:20]
+            misses += keys[i] not in best
+        expected[f"blk_{b}"] = (len(keys) - 1, misses, misses > 0)
+    assert got == expected and got["blk_1"][1] > 0
