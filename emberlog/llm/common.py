@@ -53,8 +53,10 @@ def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """
     key = unused(docs, "_row")
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        file = F.xxhash64("_metadata.file_path").cast("decimal(20,0)") * F.lit("10000000000000").cast("decimal(14,0)")
-        number = (file + F.col("_metadata.row_index").cast("decimal(13,0)")).cast("decimal(38,0)")
+        # not by name, as the table may have a column that is called so
+        hidden = docs.metadataColumn("_metadata")
+        file = F.xxhash64(hidden["file_path"]).cast("decimal(20,0)") * F.lit("10000000000000").cast("decimal(14,0)")
+        number = (file + hidden["row_index"].cast("decimal(13,0)")).cast("decimal(38,0)")
         return docs.select("*", number.alias(key)), key
     numbered = docs.withColumn(key, F.monotonically_increasing_id().cast("decimal(38,0)"))
     return written(numbered, "row-keys"), key
