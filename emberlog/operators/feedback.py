@@ -160,10 +160,11 @@ def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) ->
         return logs.withColumn("anomaly_id", F.lit(None).cast("string")).limit(0)
     met = narrow.select("*", F.inline(spread)).join(buckets, ["service", "node", "filename", "_width", "_bucket"])
     pairs = written(
-        met.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).select("anomaly_id", "log_id"), "context-pairs"
+        met.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).select("anomaly_id", *narrow.columns).distinct(),
+        "context-pairs",
     )
-    # the texts are fetched last, for the logs that are shown
-    return logs.join(sized(pairs), "log_id")
+    # the texts are fetched last, for the logs that are shown; an id alone may name several logs
+    return logs.join(sized(pairs), narrow.columns)
 
 
 def ensemble(line_verdicts: DataFrame, sequences: DataFrame) -> DataFrame:

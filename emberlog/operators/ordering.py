@@ -140,26 +140,19 @@ def number_rows(
     return running_totals(df, {name: F.lit(1).cast("long")}, order, keys, rows_per_range, biggest)
 
 
-def number_wide_rows(
+def number_stored_rows(
     df: DataFrame,
     order: Sequence[str],
     keys: Sequence[str],
-    name: str,
-    row_id: str,
+    name: str = "row_no",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """As ``number_rows`` for rows with much besides keys and order, and a unique ``row_id``.
+    """As ``number_rows`` for rows that are dear to work out: they are stored once, then measured and numbered.
 
-    Keys and order are worked out once and written. Small groups are numbered with one shuffle of
-    the rows; larger ones are numbered on the written columns alone, and the rows take their
-    position from there.
+    Rows that agree in keys and order get numbers of their own, in no particular order.
     """
-    narrow = written(df.select(*dict.fromkeys([*keys, *order, row_id])), "row-order")
-    biggest = largest_group(narrow, keys)
-    if biggest <= rows_per_range:
-        return number_rows(df, order, keys, name, rows_per_range, biggest)
-    numbered = number_rows(narrow, order, keys, name, rows_per_range, biggest)
-    return df.join(numbered.select(row_id, name), row_id)
+    stored = written(df, "rows-to-number")
+    return number_rows(stored, order, keys, name, rows_per_range)
 
 
 def first_rows(df: DataFrame, n: int | Column, order: Sequence[Column], keys: Sequence[str]) -> DataFrame:

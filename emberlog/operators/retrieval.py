@@ -304,7 +304,7 @@ def broadcast_back(lines: DataFrame, scores: DataFrame, on: str = "cleaned_text"
 
 
 def first_occurrences(lines: DataFrame, on: list[str]) -> DataFrame:
-    """The earliest line of each group: a minimum per group, then the lines that attain it."""
+    """The earliest line of each group: a minimum per group, then one of the lines that attain it."""
     placed = lines.withColumn("_first", position())
     firsts = written(placed.groupBy(*on).agg(F.min("_first").alias("_first")), "first-lines")
-    return placed.join(firsts, [*on, "_first"], "left_semi").select(*lines.columns)
+    return placed.join(firsts, [*on, "_first"], "left_semi").dropDuplicates(on).select(*lines.columns)

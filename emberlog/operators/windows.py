@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.sequences import ONLINE_CONTEXT, frame, frame_mask
 from emberlog.functions.text import hash64
-from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, number_wide_rows, position
+from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows, number_stored_rows, position
 from emberlog.operators.services import attach
 from emberlog.session import written
 
@@ -67,7 +67,8 @@ def count_windows(
 ) -> DataFrame:
     """Tumbling windows of ``size`` logs per key; a window that is not full is not emitted."""
     keys = window_keys(scope)
-    positioned = number_wide_rows(logs, ORDER, keys, "_pos", "log_id", rows_per_range)
+    fields = [c for c in WINDOW_FIELDS if c in logs.columns and c not in keys]
+    positioned = number_stored_rows(logs.select(*keys, *fields), ORDER, keys, "_pos", rows_per_range)
     positioned = positioned.withColumn("_pos", F.col("_pos") - 1)
     windows = gather_windows(positioned, keys, size)
     return windows if emit_partial else windows.filter(F.size("logs") == size)

@@ -7,6 +7,7 @@ from emberlog.plans import (  # noqa: F401
     feed,
     ingest,
     lines,
+    live,
     nextkeys,
     retrieval,
     service_config,

@@ -43,17 +43,17 @@ def vocabulary(spark, sf_dir):
 
 @query(
     "C3_tokenize",
-    f"""WITH {VOCABULARY}, words AS (SELECT doc_id, unnest(({WORDS})[1:62]) AS token,
-          generate_subscripts(({WORDS})[1:62], 1) AS pos FROM documents),
-        ids AS (SELECT doc_id, list(CASE WHEN token_id < 2000 THEN token_id ELSE 1 END ORDER BY pos) AS ids
+    f"""WITH {VOCABULARY}, words AS (SELECT doc_id, unnest(({WORDS})[1:510]) AS token,
+          generate_subscripts(({WORDS})[1:510], 1) AS pos FROM documents),
+        ids AS (SELECT doc_id, list(token_id ORDER BY pos) AS ids
                 FROM words JOIN vocabulary USING (token) GROUP BY doc_id)
         SELECT d.doc_id, array_to_string(list_concat([2], coalesce(ids, []), [3],
-                 [0 for x in range(62 - coalesce(len(ids), 0))]), ',') AS input_ids,
+                 [0 for x in range(510 - coalesce(len(ids), 0))]), ',') AS input_ids,
                coalesce(len(ids), 0) + 2 AS n_used FROM documents d LEFT JOIN ids USING (doc_id)""",
 )
 def tokenized(spark, sf_dir):
     documents = v.documents(spark, sf_dir)
-    out = ops.tokenize(documents, ops.build_vocabulary(documents, max_size=2000), "doc_id", length=64)
+    out = ops.tokenize(documents, ops.build_vocabulary(documents), "doc_id")
     return out.select(
         "doc_id",
         v.text_of("tokens.input_ids").alias("input_ids"),

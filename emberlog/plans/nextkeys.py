@@ -198,7 +198,8 @@ SESSION_CHUNKS = """chunks AS (SELECT block_id AS chunk_id, '' AS service, CAST(
 
 @query(
     "G11_next_key_detector",
-    v.with_views("keyed") + f""", {SESSIONS}, {SESSION_CHUNKS}, {POSITIONS}, {MODEL}, {LOOKUP.replace('length(r.service) - 2', '20')}
+    v.with_views("keyed") + f""", {SESSIONS}, {SESSION_CHUNKS.replace('ids, [1])', 'ids[1:254], [1])')}, {POSITIONS}, {MODEL},
+      {LOOKUP.replace('length(r.service) - 2', '20')}
       SELECT chunk_id AS sid, count(*) AS n_positions, count(*) FILTER (rank IS NULL OR rank > top_k) AS n_miss,
       count(*) FILTER (rank IS NULL OR rank > top_k) > 0 AS is_predicted FROM looked GROUP BY 1""",
 )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators.nextkey import detect, sequence_predictions
+from emberlog.operators.ordering import number_rows
 from emberlog.operators.windows import event_time_windows
 from emberlog.plans import views as v
 from emberlog.plans.feed import LINE_FEED, SEQUENCE_FEED, Predictions, feed_rows
@@ -30,12 +33,29 @@ TOPIC_FIELDS = ["log_id", "service", "node", "filename", "ts", "original_text"]
 
 
 def replay(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], object]) -> None:
-    """Append the logs to a topic, slice by slice, and run the stream after each until it has caught up."""
+    """Append the logs to a topic, slice by slice, and run the stream after each until it has caught up.
+
+    ``start`` gives a query to wait for, or None if it has waited itself.
+    """
     topic = new_shared_path(spark, "topic")
     logs = v.logs(spark, sf_dir).select(*TOPIC_FIELDS)
     for first, last in SLICE_DAYS:
         encode(logs.filter(F.dayofmonth("ts").between(first, last))).write.mode("append").text(topic)
-        start(valid_logs(decode_logs(read_topic(spark, topic)))).awaitTermination()
+        query = start(valid_logs(decode_logs(read_topic(spark, topic))))
+        if query is not None:
+            query.awaitTermination()
+
+
+def drain(writer) -> None:
+    """Run a stream until it has caught up, and once more for what its last watermark completes.
+
+    Sources without an end of their own, such as growing files, make ``availableNow`` stop before that.
+    """
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def run_batches(process, path: str) -> Callable[[DataFrame], object]:
@@ -103,7 +123,7 @@ def event_time(spark, sf_dir):
     def start(stream):
         windows = event_time_windows(stream.withColumn("key", F.col("node")), delay="1 second")
         writer = windows.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
-        return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        drain(writer.option("checkpointLocation", f"{path}/checkpoint"))
 
     replay(spark, sf_dir, start)
     return event_time_rows(spark.read.parquet(f"{path}/out"))
@@ -212,31 +232,63 @@ def shipped_records(spark, sf_dir):
     )
 
 
+def grow_files(logs: DataFrame, folder: str, sizes: dict[str, int]) -> dict[str, int]:
+    """Append the lines of every service, in order, to its file; ``sizes`` are the files' bytes so far, the new ones are returned.
+
+    A file is cut back to its size before it grows, so a repeated task appends once.
+    """
+    root = folder.removeprefix("file:")
+
+    def append(batches):
+        file, service = None, None
+        for batch in batches:
+            for name, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if name != service:
+                    if file:
+                        yield closed(service, file)
+                    service, path = name, f"{root}/{name}/app.log"
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    file = open(path, "ab")
+                    file.truncate(sizes.get(name, 0))
+                file.write(text.encode() + b"\n")
+        if file:
+            yield closed(service, file)
+
+    def closed(service, file):
+        file.close()
+        return pa.RecordBatch.from_pydict({"service": [service], "bytes": [os.path.getsize(file.name)]})
+
+    ordered = logs.repartition("service").sortWithinPartitions("service", "ts", "log_id")
+    grown = ordered.select("service", "original_text").mapInArrow(append, "service string, bytes long")
+    # one row per file
+    return {**sizes, **{r.service: r.bytes for r in grown.collect()}}
+
+
 @query(
     "A8_tailed_files",
-    v.with_views("logs") + "SELECT service, 'n1' AS node, original_text, count(*) AS n FROM logs GROUP BY ALL",
+    v.with_views("logs")
+    + """SELECT service, 'n_' || service AS node, service || '/app.log' AS filename, regexp_extract(original_text, '^[a-z]+ [a-z]+ [a-z]+') AS original_text,
+         row_number() OVER (PARTITION BY service ORDER BY ts, log_id) AS line_no, true AS has_own_id FROM logs""",
 )
 def tailed(spark, sf_dir):
-    """Files that grow in number while they are tailed, labelled by name."""
+    """Files that grow while they are tailed; most of their lines are repeated. Ids give the order of the lines."""
     path, out = new_shared_path(spark, "tailed"), PartTable(spark, new_shared_path(spark, "tailed-rows"))
-    logs = v.logs(spark, sf_dir).select("service", "original_text", F.dayofmonth("ts").alias("day"))
-    state = new_shared_path(spark, "tail")
+    short = F.regexp_extract("original_text", "^[a-z]+ [a-z]+ [a-z]+", 0)
+    logs = written(v.logs(spark, sf_dir).select("log_id", "ts", "service", short.alias("original_text")), "short-logs")
+    services = v.services(spark, sf_dir).select(F.col("name").alias("service"))
+    labels = services.select(
+        F.concat("service", F.lit("/app.log")).alias("filename"), "service", F.concat(F.lit("n_"), "service").alias("node")
+    )
+    labels, state, sizes = written(labels, "file-labels"), new_shared_path(spark, "tail"), {}
     for first, last in SLICE_DAYS:
-        part = logs.filter(F.col("day").between(first, last)).drop("day")
-        part.repartition(2, "service").write.mode("append").partitionBy("service").text(path)
-        files = spark.read.text(path).select(
-            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"),
-            F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"),
-        )
-        # a file's label is the folder that it was written to
-        named = files.distinct().select(
-            F.concat_ws("/", "folder", "name").alias("filename"), F.regexp_replace("folder", "service=", "").alias("service"),
-            F.lit("n1").alias("node"),
-        )
-        stream = tail_files(spark, f"{path}/*", written(named, "file-labels"), parents=1)
+        sizes = grow_files(logs.filter(F.dayofmonth("ts").between(first, last)), path, sizes)
+        # small pieces, so that lines are cut out of the middle of files
+        stream = tail_files(spark, path, labels, split_bytes=1 << 16)
         run_batches(lambda df, i: out.write(df, i), state)(stream).awaitTermination()
-    found = out.all().filter("log_id >= 0")
-    return found.groupBy("service", "node", "original_text").agg(F.count(F.lit(1)).alias("n"))
+    found = written(out.all(), "tailed-lines")
+    owners = found.groupBy("log_id").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = number_rows(found, ["ts", "log_id"], ["filename"], "line_no").join(owners, "log_id")
+    return numbered.select("service", "node", "filename", "original_text", "line_no", (F.col("_n") == 1).alias("has_own_id"))
 
 
 @query("A7_prediction_topic", ORACLE["G10_sequence_predictions"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberlog.operators import template_tree as tree
 from emberlog.operators import templates as ops
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
@@ -64,9 +65,56 @@ def mined_keys(spark, sf_dir):
     return ops.mined_keys(v.cleaned(spark, sf_dir))[0].select("log_id", "key_id")
 
 
-@query("D2_assign_keys", v.with_views("keyed") + "SELECT log_id, key_id FROM keyed")
+@query("D2_assign_keys", v.with_views("masked_keyed") + "SELECT log_id, key_id FROM masked_keyed")
 def keys(spark, sf_dir):
-    return v.keyed_logs(spark, sf_dir).select("log_id", "key_id")
+    return ops.keyed(v.cleaned(spark, sf_dir)).select("log_id", "key_id")
+
+
+@query("D2_tree_keys", v.with_views("keyed") + "SELECT log_id, template, key_id FROM keyed")
+def tree_keys(spark, sf_dir):
+    """The keys that windows, sequences and the feed are made of."""
+    return v.keyed_logs(spark, sf_dir).select("log_id", "template", "key_id")
+
+
+def varied_lines(spark, sf_dir):
+    """Lines of six words of which groups share two, too few for one template."""
+    words = F.split("original_text", " ")
+    text = F.concat_ws(" ", F.lit("log"), "service", words[2], words[0], "node", F.regexp_replace(words[3], "=", ""))
+    return v.logs(spark, sf_dir).select("log_id", "service", "ts", text.alias("cleaned_text"))
+
+
+# groups, their split, the parts, and the templates of the parts; ``{late}`` puts later days behind
+SPLIT = """WITH logs AS ({logs}), lines AS (
+  SELECT log_id, ts, service, string_split('log ' || service || ' ' || w[3] || ' ' || w[1] || ' ' || node || ' ' || replace(w[4], '=', ''), ' ') AS w
+  FROM (SELECT *, string_split(original_text, ' ') AS w FROM logs)
+), cells AS (SELECT DISTINCT service, unnest(range(1, 7)) AS i, unnest(w) AS word FROM lines),
+ways AS (SELECT service, i, count(*) AS n, count(DISTINCT CASE WHEN regexp_matches(word, '[0-9]') THEN '<*>' ELSE word END) AS ways
+  FROM cells GROUP BY ALL),
+cuts AS (SELECT service, CASE WHEN count(*) FILTER (n = 1) >= 0.4 * 6 THEN 0 ELSE
+  coalesce(arg_min(i, (ways, i)) FILTER (ways > 1), 0) END AS place FROM ways GROUP BY ALL),
+parts AS (SELECT l.*, CASE WHEN place = 0 THEN '' WHEN regexp_matches(w[place], '[0-9]') THEN '<*>' ELSE w[place] END AS part
+  FROM lines l JOIN cuts USING (service)),
+words AS (SELECT service, part, i, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS word
+  FROM (SELECT service, part, unnest(range(1, 7)) AS i, unnest(w) AS word FROM parts) GROUP BY ALL),
+texts AS (SELECT service, part, string_agg(word, ' ' ORDER BY i) AS template FROM words GROUP BY ALL),
+facts AS (SELECT service, part, count(*) AS size, min((ts, log_id)) AS first, min(day(ts)) > 10 AS late FROM parts GROUP BY ALL)
+SELECT service, template, 3 + row_number() OVER (PARTITION BY service ORDER BY {late} first) AS key_id, size
+FROM facts JOIN texts USING (service, part)"""
+LOGS_SQL = v.SQL_VIEWS["logs"][1]
+
+
+@query("D1_split_templates", SPLIT.format(logs=LOGS_SQL, late=""))
+def split_templates(spark, sf_dir):
+    """Templates from two levels of the tree."""
+    return tree.dictionary(tree.mine(written(varied_lines(spark, sf_dir), "varied"))[1])
+
+
+@query("D5_grow_split_templates", SPLIT.format(logs=LOGS_SQL, late="late,"))
+def grown_split(spark, sf_dir):
+    """A tree from the first days, gone down and widened by the lines of the others."""
+    logs = written(varied_lines(spark, sf_dir), "varied")
+    _, known = tree.mine(logs.filter(F.dayofmonth("ts") <= 10))
+    return tree.dictionary(tree.mine(logs.filter(F.dayofmonth("ts") > 10), known)[1])
 
 
 @query(

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from emberlog.functions.text import hash64
 from emberlog.operators.lines import clean, extract_traces, window_key
 from emberlog.operators.services import with_defaults
-from emberlog.operators.templates import assign_keys, masked_templates, template_keys
+from emberlog.operators.template_tree import assign, dictionary, mine
+from emberlog.operators.templates import masked_templates
 from emberlog.operators.windows import chunk_windows, count_windows, tag_train_strategy
 from emberlog.session import written
 from emberlog.sources.files import spread
@@ -108,16 +109,21 @@ class LogTables:
         return clean(logs(self.spark, self.sf_dir), self.services)
 
     @cached_property
-    def templated(self) -> DataFrame:
-        return written(masked_templates(self.cleaned), "templated")
+    def stored(self) -> DataFrame:
+        return written(self.cleaned, "cleaned")
 
     @cached_property
+    def mined(self) -> tuple[DataFrame, DataFrame]:
+        """Distinct lines with their mined keys, and the tree of templates."""
+        return mine(self.stored)
+
+    @property
     def dictionary(self) -> DataFrame:
-        return written(template_keys(self.templated), "dictionary")
+        return dictionary(self.mined[1])
 
     @cached_property
     def keyed(self) -> DataFrame:
-        return assign_keys(self.templated, self.dictionary)
+        return assign(self.stored, self.mined[0])
 
     @cached_property
     def windowed_input(self) -> DataFrame:
@@ -223,7 +229,27 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
            FROM (SELECT service, template, count(*) AS size, min(ts) AS first_ts, arg_min(log_id, (ts, log_id)) AS first_id
                  FROM templated GROUP BY service, template)""",
     ),
+    # in these logs the lines of a group (service, token count, leading token) are alike enough for one template
+    "mined_lines": (
+        ["cleaned"],
+        """SELECT *, len(string_split(cleaned_text, ' ')) AS _n, CASE WHEN regexp_matches(string_split(cleaned_text, ' ')[1], '[0-9]')
+           THEN '<*>' ELSE string_split(cleaned_text, ' ')[1] END AS _head FROM cleaned""",
+    ),
+    "mined_dictionary": (
+        ["mined_lines"],
+        """SELECT service, _n, _head, template, size, 3 + row_number() OVER (PARTITION BY service ORDER BY first_ts, first_id) AS key_id
+           FROM (SELECT service, _n, _head, string_agg(word, ' ' ORDER BY i) AS template FROM (
+               SELECT service, _n, _head, i, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS word FROM (
+                 SELECT DISTINCT service, _n, _head, unnest(range(1, _n + 1)) AS i, unnest(string_split(cleaned_text, ' ')) AS word
+                 FROM mined_lines) GROUP BY ALL) GROUP BY ALL)
+           JOIN (SELECT service, _n, _head, count(*) AS size, min(ts) AS first_ts, arg_min(log_id, (ts, log_id)) AS first_id
+               FROM mined_lines GROUP BY ALL) USING (service, _n, _head)""",
+    ),
     "keyed": (
+        ["mined_lines", "mined_dictionary"],
+        """SELECT l.* EXCLUDE (_n, _head), d.template, d.key_id FROM mined_lines l JOIN mined_dictionary d USING (service, _n, _head)""",
+    ),
+    "masked_keyed": (
         ["templated", "dictionary"],
         "SELECT t.*, d.key_id FROM templated t JOIN dictionary d USING (service, template)",
     ),

@@ -190,12 +190,12 @@ def session_positions(spark, sf_dir):
 @query(
     "E12_dataset_frames",
     v.with_views("keyed")
-    + f""", {SESSIONS} SELECT block_id, array_to_string(CASE WHEN len(ids) + 2 > 12
-          THEN list_concat([0], ids[1:10], [1]) ELSE list_concat([0], ids, [1], [2 for x in range(10 - len(ids))]) END, ',')
-          AS input_ids, least(len(ids) + 2, 12) AS n_used FROM sessions""",
+    + f""", {SESSIONS} SELECT block_id, array_to_string(CASE WHEN len(ids) + 2 > 256
+          THEN list_concat([0], ids[1:254], [1]) ELSE list_concat([0], ids, [1], [2 for x in range(254 - len(ids))]) END, ',')
+          AS input_ids, least(len(ids) + 2, 256) AS n_used FROM sessions""",
 )
 def dataset_frames(spark, sf_dir):
-    framed_rows = sessions(spark, sf_dir, first=12).withColumn("ids", frame_truncated(F.col("line"), 12))
+    framed_rows = sessions(spark, sf_dir, first=256).withColumn("ids", frame_truncated(F.col("line"), 256))
     return framed_rows.select(
         "block_id",
         v.text_of("ids").alias("input_ids"),

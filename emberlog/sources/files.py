@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from emberlog.operators.joins import sized
 from emberlog.operators.ordering import running_totals
 from emberlog.session import written
-from emberlog.sources.loki import content_id
+from emberlog.sources.tail import tail_lines
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -62,17 +62,13 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
         return spark.read.parquet(path)
 
 
-def tail_files(spark: SparkSession, path: str, labels: DataFrame, parents: int = 0) -> DataFrame:
-    """Stream of lines appended as files under ``path``, labelled by file name.
+def tail_files(spark: SparkSession, path: str, labels: DataFrame, **options) -> DataFrame:
+    """Stream of the lines of log files below ``path`` as they grow, labelled by file name.
 
-    ``labels`` has one row per file name: service, node, filename. With
-    ``parents``, the names of so many folders above belong to the file name. The id of a line is a hash of its
-    file and text, so that a repeated micro-batch gives the same ids.
+    ``labels`` has one row per file: filename (relative to ``path``), service, node. A line's ``ts`` is
+    when its micro-batch began; (ts, log_id) is the order of a file, and equal lines have ids of their own.
     """
-    lines = spark.readStream.text(path).select(
-        F.col("value").alias("original_text"),
-        F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), -1 - parents, parents + 1), "/").alias("filename"),
-        F.current_timestamp().alias("ts"),
-        content_id(F.col("_metadata.file_path"), F.col("value")).alias("log_id"),
+    lines = tail_lines(spark, path, **options).select(
+        F.col("value").alias("original_text"), "filename", F.current_timestamp().alias("ts"), "log_id"
     )
     return lines.join(labels.select("filename", "service", "node"), "filename")

@@ -1,7 +1,8 @@
 """Topics: JSON messages read from and written to a broker or a folder of files.
 
 ``format="kafka"`` needs Spark's Kafka connector on the class path; every other format
-treats the topic as a folder, which is what the tests use.
+treats the topic as a folder, which is what the tests use. ``lines`` reads the folder's files as they
+grow, with a place for every message; Spark's own formats take each file once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from emberlog.sources.loki import content_id
+from emberlog.sources.tail import tail_lines
 
 MAX_MESSAGE_BYTES = 10_242_880
 
@@ -18,18 +20,20 @@ MAX_MESSAGE_BYTES = 10_242_880
 def read_topic(
     spark: SparkSession,
     topic: str,
-    format: str = "text",
+    format: str = "lines",
     starting: str = "earliest",
     **options: str,
 ) -> DataFrame:
     """Stream of ``value`` (string) and ``position`` (long), the message's place in its topic.
 
-    The position is repeatable: partition and offset of a broker, and a hash of file name and
-    message of a folder, where equal messages of one file share it.
+    The position is repeatable: partition and offset of a broker, file and byte of a folder's lines. Spark's own
+    file formats give no place; there it is a hash of file name and message, which equal messages share.
     ``starting`` is ``earliest`` for the sequence path and ``latest`` for the retrieval
     path. Folder topics always start with the files present; the checkpoint of each query
     takes the place of a consumer group.
     """
+    if format == "lines":
+        return tail_lines(spark, topic, **options).select("value", F.col("log_id").alias("position"))
     reader = spark.readStream.format(format)
     for key, value in options.items():
         reader = reader.option(key, value)

@@ -19,7 +19,8 @@ from emberlog.operators.joins import sized
 from emberlog.operators.lines import clean, extract_traces, window_key
 from emberlog.operators.ordering import ROWS_PER_RANGE, number_rows
 from emberlog.operators.services import attach
-from emberlog.operators.templates import assign_keys, masked_templates, mined_keys, template_keys
+from emberlog.operators.template_tree import TREE, tree_keyed
+from emberlog.operators.templates import assign_keys, masked_templates, template_keys
 from emberlog.operators.windows import (
     ORDER,
     WINDOW_FIELDS,
@@ -132,7 +133,7 @@ class CountWindows:
 class SequenceStream:
     """Raw logs → chunk messages, and predictions once a model exists.
 
-    Log keys come from masked templates or, with ``mine``, from mined ones that grow with the stream.
+    Log keys come from a tree of mined templates that grows with the stream or, without ``mine``, from masked ones.
     """
 
     def __init__(
@@ -144,12 +145,13 @@ class SequenceStream:
         window: int | None = None,
         order: int = nextkey.ORDER,
         rows_per_range: int = ROWS_PER_RANGE,
-        mine: bool = False,
+        mine: bool = True,
     ):
         self.spark, self.path, self.load_services = spark, path.rstrip("/"), load_services
         self.context, self.order, self.mine = context, order, mine
         self.tags = TrainTags(spark, self.path, rows_per_range)
         self.windows = CountWindows(spark, self.path, window or context, rows_per_range=rows_per_range)
+        self.tree = PartTable(spark, f"{self.path}/template-tree", TREE)
         self.dictionary = PartTable(
             spark, f"{self.path}/templates", "service string, template string, key_id long, size long"
         )
@@ -166,8 +168,8 @@ class SequenceStream:
     def _process(self, logs: DataFrame, batch_id: int) -> None:
         services = self.load_services()
         if self.mine:
-            keyed, dictionary = mined_keys(clean(logs, services), self.dictionary.latest(batch_id))
-            self.dictionary.write(dictionary, batch_id)
+            keyed, tree = tree_keyed(written(clean(logs, services), "cleaned"), self.tree.latest(batch_id))
+            self.tree.write(tree, batch_id)
         else:
             templated = written(masked_templates(clean(logs, services)), "templated")
             self.dictionary.write(template_keys(templated, self.dictionary.latest(batch_id)), batch_id)

@@ -151,3 +151,14 @@ def test_prompt_length(spark, margin, cut):
         else:
             prompt = sequence[:start]
         assert r.n == len(prompt), r.id
+
+
+@pytest.mark.parametrize("rows_per_range", [10**6, 50])
+def test_windows_of_repeated_ids(spark, rows_per_range):
+    """Ids name messages, not rows: logs that share one fill windows as others do, in ranges as well."""
+    rows, logs = make_logs(spark, 200)
+    twice = logs.unionByName(logs).withColumn("key", F.lit("k"))
+    windows = ops.count_windows(twice, 20, scope="key", rows_per_range=rows_per_range).collect()
+    assert len(windows) == 20 and all(len(w.logs) == 20 for w in windows)
+    ordered = [log for w in sorted(windows, key=lambda w: w.window_no) for log in w.logs]
+    assert [log.log_id for log in ordered] == [r[0] for r in sorted(rows, key=lambda r: (r[4], r[0])) for _ in range(2)]
