@@ -9,8 +9,9 @@ cancel. The values are cut into bands; texts that share a band are candidates. W
 A group of near copies may hold a third of all rows, so no bucket is ever paired with itself:
 
 1. Texts with equal sets are one class, represented once.
-2. Every class of a bucket is compared with one pivot of the bucket, the class with most copies.
-   Links that this confirms make components.
+2. Every class of a bucket is compared with one pivot of the bucket, the class that meets most others.
+   Links that this confirms make components. A few rounds compare the classes outside the pivot's
+   component with other members of it that meet many.
 3. Buckets whose classes are still in several components are searched for further links between
    components: small ones (32 classes at most) pair by pair; the classes of larger ones join on
    shared rare shingles. By the prefix principle, two sets can only be similar enough if they
@@ -47,6 +48,7 @@ PERCENT = 85
 SMALL_BUCKET = 32
 PAIRS_PER_STREAM = 128
 SKETCH = 1 << 16
+EXTRA_STARS = 3
 
 
 def signatures(x: np.ndarray, before: np.ndarray, values: int) -> np.ndarray:
@@ -279,6 +281,45 @@ def _prefix_pairs(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _with_pivots(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, key, _size) of shared buckets with their node's rank ``_company`` and the bucket's pivot.
+
+    The pivot is the class that meets most others over all of its buckets: an original is nearer to its
+    copies than these are to each other. Copies decide among equals.
+    """
+    company = met.groupBy("node").agg(F.sum("_size").alias("_met"))
+    # fewer than 2^20 copies count exactly, which is enough to decide among equals
+    rank = F.col("_met") * (1 << 20) + F.least(F.col("_copies"), F.lit((1 << 20) - 1))
+    ranked = written(company.join(classes.select("node", "_copies"), "node").select("node", rank.alias("_company")), "near-rank")
+    rows = met.join(ranked, "node")
+    pivots = rows.groupBy("key").agg(F.max_by("node", "_company").alias("pivot"))
+    return rows.join(pivots, "key")
+
+
+def _further_stars(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, round_no: int) -> DataFrame:
+    """Links between components, found by comparing the classes of an open bucket with another member of its main component.
+
+    The main component of a bucket is that of its pivot; the member is one of those that meet most
+    others, another one in every round.
+    """
+    labelled = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    labelled = written(labelled, "near-labelled")
+    main = labelled.filter("node = pivot").select("key", F.col("comp").alias("_main"))
+    rows = labelled.join(main, "key")
+    outside = rows.filter("comp <> _main").select("key", "node")
+    open_keys = outside.select("key").distinct()
+    # a different order of the members in every round
+    turn = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1 << 10)) if round_no else F.lit(0)
+    hubs = (
+        rows.filter("comp = _main and node <> pivot")
+        .join(open_keys, "key", "left_semi")
+        .groupBy("key")
+        .agg(F.max_by("node", F.col("_company") + F.col("_company") * turn / (1 << 10)).alias("hub"))
+    )
+    stars = outside.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    return written(_confirmed(stars, sets, percent), "near-links")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -322,13 +363,11 @@ def _decided(
         .agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_copies"), F.first("_bands").alias("_bands")),
         "near-classes",
     )
-    members = classes.select("node", "_copies", F.explode("_bands").alias("key"))
-    shared = (
-        members.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("_size"), F.max_by("node", "_copies").alias("pivot"))
-        .filter("_size > 1")
-    )
-    buckets = written(members.drop("_copies").join(shared, "key"), "near-buckets")
+    members = classes.select("node", F.explode("_bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    # one plan at every size: a broadcast that ends somewhere makes the shuffles jump there
+    buckets = written(members.hint("merge").join(shared, "key"), "near-met")
+    buckets = written(_with_pivots(buckets, classes), "near-buckets")
     wanted = written(
         classes.select("node", "_rep").join(buckets.select("node").distinct(), "node", "left_semi"), "near-wanted"
     )
@@ -337,6 +376,12 @@ def _decided(
     stars = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(stars, sets, percent), "near-links")
     labels = connected_components(links)
+    for round_no in range(EXTRA_STARS):
+        more = _further_stars(buckets, labels, sets, percent, round_no)
+        if not more.limit(1).count():
+            break
+        links = written(links.unionByName(more), "near-links")
+        labels = connected_components(links)
 
     labelled = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     labelled = written(labelled, "near-labelled")

@@ -20,7 +20,7 @@ def test_stages(spark, sf_dir):
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     assert ids(outputs["toxicity"]) == ids(toxicity.score(docs, model).filter("predicted = 0"))
     assert ids(outputs["exact dedup"]) == ids(exact_dedup.exact_duplicates(docs).filter("kept"))
-    assert ids(outputs["minhash near-dedup"]) == ids(minhash_dedup.near_duplicates(docs).filter("kept"))
+    assert ids(outputs["minhash near-dedup"]) == ids(minhash_dedup.near_duplicates(docs, percent=80).filter("kept"))
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
     assert ids(outputs["mixing sources"]) == copies
     vocabulary = corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")
