@@ -14,6 +14,9 @@ from emberlog.llm import bpe_codec, exact_dedup, minhash_dedup, mixing, toxicity
 from emberlog.llm.common import bound_batches, table
 from emberlog.session import written
 
+#: 25 bands of 5 values miss a pair at this similarity with a probability of 5e-5
+SIMILAR_PERCENT = 80
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on the labelled ones among them, doesn't reject."""
@@ -27,9 +30,9 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates, linked from a similarity of 0.8 on: the one with the smallest id."""
     bound_batches(spark)
-    return minhash_dedup.drop_near_duplicates(docs)
+    return minhash_dedup.drop_near_duplicates(docs, percent=SIMILAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
