@@ -48,7 +48,7 @@ PERCENT = 85
 SMALL_BUCKET = 32
 PAIRS_PER_STREAM = 128
 SKETCH = 1 << 16
-EXTRA_STARS = 3
+EXTRA_STARS = 1
 
 
 def signatures(x: np.ndarray, before: np.ndarray, values: int) -> np.ndarray:
@@ -153,8 +153,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     per_a = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_STREAM).alias("_streams"))
     salted = pairs.join(per_a, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("_streams"))).drop("_streams")
     salted = written(salted, "near-pairs")
-    firsts = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node"))
-    seconds = salted.join(sets, F.col("b") == F.col("node"))
+    # sets are dealt by their name at every size; whether pairs may be broadcast would depend on their number
+    firsts = salted.select("a", "salt").distinct().hint("merge").join(sets, F.col("a") == F.col("node"))
+    seconds = salted.hint("merge").join(sets, F.col("b") == F.col("node"))
     streams = (
         firsts.select("a", "salt", F.lit(None).cast("long").alias("b"), "members")
         .unionByName(seconds.select("a", "salt", "b", "members"))
@@ -292,10 +293,17 @@ def _with_pivots(met: DataFrame, classes: DataFrame) -> DataFrame:
     rank = F.col("_met") * (1 << 20) + F.least(F.col("_copies"), F.lit((1 << 20) - 1))
     ranked = written(company.join(classes.select("node", "_copies"), "node").select("node", rank.alias("_company")), "near-rank")
     rows = met.join(ranked, "node")
-    pivots = rows.groupBy("key").agg(F.max_by("node", "_company").alias("pivot"))
+    pivots = rows.groupBy("key").agg(F.max_by("node", "_company").alias("pivot"), F.max("_company").alias("_lead"))
     return rows.join(pivots, "key")
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return joined.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def _further_stars(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, round_no: int) -> DataFrame:
     """Links between components, found by comparing the classes of an open bucket with another member of its main component.
 
@@ -373,8 +381,13 @@ def _decided(
     )
     sets = _full_sets(docs, wanted, id_col, text_col, words)
 
-    stars = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(stars, sets, percent), "near-links")
+    stars = buckets.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    stars = written(stars.agg(F.max("_lead").alias("_lead")), "near-stars")
+    # first one pivot for every class, the one that meets most; others only where that leaves two components
+    best = stars.groupBy("b").agg(F.max_by("a", "_lead").alias("a")).select("a", "b")
+    links = written(_confirmed(best, sets, percent), "near-links")
+    labels = connected_components(links)
+    links = written(links.unionByName(_confirmed(_between(stars.join(best, ["a", "b"], "left_anti"), labels), sets, percent)), "near-links")
     labels = connected_components(links)
     for round_no in range(EXTRA_STARS):
         more = _further_stars(buckets, labels, sets, percent, round_no)
