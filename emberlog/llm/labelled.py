@@ -33,11 +33,19 @@ def training_rows(
 
 
 def sample_rows(rows: DataFrame, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, the same ones whenever the ids are the same."""
-    narrow = rows.select("_id", "_label", F.xxhash64("_id").alias("_order"))
+    """At most ``per_label`` rows of each label, the same ones whenever ids and texts are the same.
+
+    Rows that repeat id and text count once, and rows that only share an id count each, so the
+    bound holds however often an id occurs.
+    """
+    known = rows.withColumn("_text_key", F.xxhash64("_text"))
+    narrow = known.select("_id", "_label", "_text_key", F.xxhash64("_id").alias("_order"))
+    # every task gives up its copies before its rows are sorted
+    narrow = narrow.groupBy("_id", "_label", "_text_key").agg(F.first("_order").alias("_order"))
     chosen = [
-        narrow.filter(F.col("_label") == label).orderBy("_order", "_id").limit(per_label).select("_id")
+        narrow.filter(F.col("_label") == label).orderBy("_order", "_id", "_text_key").limit(per_label).select("_id", "_text_key")
         for label in (0, 1)
     ]
-    ids = written(chosen[0].unionByName(chosen[1]).distinct(), "sample-ids")
-    return rows.join(F.broadcast(ids), "_id", "left_semi")
+    keys = written(chosen[0].unionByName(chosen[1]).distinct(), "sample-ids")
+    found = known.join(F.broadcast(keys), ["_id", "_text_key"], "left_semi")
+    return found.dropDuplicates(["_id", "_text_key"]).drop("_text_key")

@@ -52,6 +52,8 @@ def ngrams(column: pa.Array, bits: int = BITS) -> Iterator[np.ndarray]:
         words, _, counts = word_hashes(part, at, lower=False)
         again = np.zeros(len(words), dtype=bool)
         again[1:] = words[1:] == words[:-1]
+        # the first word of a text follows no other
+        again[counts[:-1][counts[:-1] < len(words)]] = False
         single = (mix(words + _KIND[3]) >> shift).astype(np.int32)
         pair = np.zeros(len(words), dtype=np.uint64)
         pair[1:] = mix(words[1:] * _KIND[4] + words[:-1])
@@ -185,7 +187,8 @@ def train(
             found = list(ngrams(batch.column(0), bits))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "label"])
 
-    chosen = sample_rows(rows, sample_per_label)
+    # descent depends on the order of its examples
+    chosen = sample_rows(rows, sample_per_label).orderBy("_id", "_text")
     sample = chosen.select("_text", "_label").mapInArrow(features, "found array<int>, label int").toArrow()
     signs = np.where(sample.column(1).to_numpy() > 0, 1, -1)
     examples = [x.values.to_numpy() for chunk in sample.column(0).chunks for x in chunk]

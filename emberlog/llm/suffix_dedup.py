@@ -335,7 +335,9 @@ def _merged(spans: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["_rank", "_mark", "_runs"]
             )
 
-    grouped = spans.groupBy("_rank", "_mark").agg(F.collect_list(F.struct("begin", "mask")).alias("found"))
+    # rows that share id and text have the same spans: one of each begin is left before a text's are gathered
+    dealt = spans.repartition("_rank", "_mark").groupBy("_rank", "_mark", "begin").agg(F.bit_or("mask").alias("mask"))
+    grouped = dealt.groupBy("_rank", "_mark").agg(F.collect_list(F.struct("begin", "mask")).alias("found"))
     return grouped.mapInArrow(run, "_rank long, _mark long, _runs array<int>")
 
 

@@ -193,7 +193,7 @@ def train(
     n = dict(rows.groupBy("_label").count().collect())
     if not (n.get(0) and n.get(1)):
         return ToxicityModel(None, constant=n.get(1, 0) / max(1, sum(n.values())))
-    sample = sample_rows(rows, sample_per_label).orderBy("_id").select("_text", "_label").toArrow()
+    sample = sample_rows(rows, sample_per_label).orderBy("_id", "_text").select("_text", "_label").toArrow()
     texts, given = sample.column(0).combine_chunks(), sample.column(1).to_numpy()
     params, logits = fit(texts, given)
     known = np.isfinite(logits)

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from emberlog.llm import exact_dedup, minhash_dedup, mixing
+from emberlog.llm import exact_dedup, labelled, minhash_dedup, mixing
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -82,3 +82,14 @@ def test_mix_takes_the_rounded_copies(stored):
     for source in "ac":
         target = targets[sum(len(t.split()) for _, t, s in rows if s == source)]
         assert abs(sum(len(r.text.split()) for r in taken if r.source == source) - target) <= 0.02 * target
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """An id that repeats thousands of times, with one text or many, takes no more than its share."""
+    rows = [(7, f"text {i % 40}", i % 2) for i in range(3000)] + [(i, f"own {i}", i % 2) for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "_id long, _text string, _label int").repartition(5)
+    for n in (2, 15, 1000):
+        counts = Counter(r._label for r in labelled.sample_rows(df, n).collect())
+        assert counts == {0: min(n, 40), 1: min(n, 40)}
+    first = sorted(map(tuple, labelled.sample_rows(df, 15).collect()))
+    assert first == sorted(map(tuple, labelled.sample_rows(df.repartition(3), 15).collect()))
