@@ -21,6 +21,8 @@ from emberlog.session import written
 # vectors compared at once in one task: a block of queries against a block of normal points
 BLOCK_ROWS = 1024
 MAX_CELL_BITS = 16
+# a ball has 2^BRANCH_BITS children, but for that of a crowded cell
+BRANCH_BITS = 4
 # distances are ranked after rounding, so equal vectors tie and the id decides
 ROUND = 9
 
@@ -68,38 +70,84 @@ def _block_summary(group: str):
     return summarize
 
 
-def _candidate_blocks(queries: DataFrame, points: DataFrame, group: str) -> DataFrame:
-    """Pairs of blocks that can hold a nearest neighbour.
+def _apart(a: str, b: str):
+    """Euclidean distance of two array columns."""
+    gaps = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x))
 
-    Blocks are balls (centre, radius). The k-th neighbour of any query in a ball is no
-    farther than the smallest upper bound under which k points lie for certain; a block
-    whose lower bound exceeds it cannot contribute and is left out. The result is exact.
-    """
-    def summaries(df, side):
-        kind = df.schema[group].dataType.simpleString()
-        schema = f"`{group}` {kind}, block string, center array<double>, radius double, n long, k long"
-        made = df.groupBy(group, "block").applyInPandas(_block_summary(group), schema)
-        return made.select(group, *[F.col(c).alias(f"{side}_{c}") for c in ("block", "center", "radius", "n", "k")])
 
-    pairs = summaries(queries, "q").join(written(summaries(points, "p"), "blocks"), group)
-    apart = F.sqrt(
-        F.aggregate(
-            F.zip_with("q_center", "p_center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x
-        )
+def _ball_tree(blocks: DataFrame, group: str) -> list[DataFrame]:
+    """Balls over ``blocks`` (block, center, radius, n), from few large ones down to the blocks themselves.
+
+    A level has ball, parent, center, radius and n. A cell's signs make a path: a parent drops the last
+    ``BRANCH_BITS`` of them, so every ball but that of a crowded cell has few children. A parent takes the centre
+    of its fullest child and reaches as far as any of them does.
+    """
+    cell = F.substring_index("block", "/", 1).cast("long")
+    bits = int(blocks.agg(F.max(cell)).first()[0] or 0).bit_length() - BRANCH_BITS
+    parent = lambda path: F.concat(F.lit(f"{bits}:"), path.cast("string"))
+    path = F.shiftright(cell, BRANCH_BITS)
+    level = blocks.select(
+        group, F.col("block").alias("ball"), parent(path).alias("parent"), path.alias("_path"), "center", "radius", "n"
     )
-    slack = F.col("q_radius") + F.col("p_radius")
-    bounded = pairs.select(
-        group, "q_block", "p_block", "p_n", "q_k", (apart - slack).alias("low"), (apart + slack).alias("high")
+    levels = [level]
+    while bits > 0:
+        bits -= BRANCH_BITS
+        tops = level.groupBy(group, "parent").agg(
+            F.max_by("center", "n").alias("_center"), F.sum("n").alias("_n"), F.first("_path").alias("_p")
+        )
+        reach = F.max(_apart("_center", "center") + F.col("radius")).alias("radius")
+        tops = level.join(tops, [group, "parent"]).groupBy(group, "parent").agg(
+            reach, F.first("_center").alias("center"), F.first("_n").alias("n"), F.first("_p").alias("_path")
+        )
+        up = F.shiftright(F.col("_path"), BRANCH_BITS)
+        tops = tops.select(group, F.col("parent").alias("ball"), parent(up).alias("parent"), up.alias("_path"), "center", "radius", "n")
+        level = written(tops, "ball-level")
+        levels.append(level)
+    return levels[::-1]
+
+
+def _within_reach(pairs: DataFrame, group: str) -> DataFrame:
+    """Pairs of query block and ball that can hold a nearest neighbour.
+
+    The k-th neighbour of any query of a block is no farther than the smallest upper bound under which k
+    points lie for certain; a ball whose lower bound exceeds that is left out.
+    """
+    slack = F.col("q_radius") + F.col("radius")
+    bounded = pairs.withColumn("_d", _apart("q_center", "center")).withColumns(
+        {"low": F.col("_d") - slack, "high": F.col("_d") + slack}
     )
     per_query = Window.partitionBy(group, "q_block")
-    sure = F.sum("p_n").over(per_query.orderBy("high", "p_block").rowsBetween(Window.unboundedPreceding, 0))
+    sure = F.sum("n").over(per_query.orderBy("high", "ball").rowsBetween(Window.unboundedPreceding, 0))
     reach = F.min(F.when(F.col("_sure") >= F.col("q_k"), F.col("high"))).over(per_query)
     return (
         bounded.withColumn("_sure", sure)
         .withColumn("_reach", reach)
         .filter(F.col("_reach").isNull() | (F.col("low") <= F.col("_reach") + 1e-9))
-        .select(group, "q_block", "p_block")
+        .select(group, "q_block", "q_center", "q_radius", "q_k", "ball")
+    )
+
+
+def _candidate_blocks(queries: DataFrame, points: DataFrame, group: str) -> DataFrame:
+    """Pairs of blocks that can hold a nearest neighbour: a descent of a tree of balls, level by level.
+
+    Blocks of queries meet the few balls at the top; only children of balls within reach are looked at
+    further down, so most pairs of blocks are never made. The result is exact.
+    """
+    def summaries(df):
+        kind = df.schema[group].dataType.simpleString()
+        schema = f"`{group}` {kind}, block string, center array<double>, radius double, n long, k long"
+        return df.groupBy(group, "block").applyInPandas(_block_summary(group), schema)
+
+    top, *further = _ball_tree(written(summaries(points), "blocks"), group)
+    asking = written(summaries(queries), "query-balls").select(
+        group, *[F.col(c).alias(f"q_{c}") for c in ("block", "center", "radius", "k")]
     )
+    near = _within_reach(asking.join(top.drop("parent", "_path"), group), group)
+    for level in further:
+        near = written(near, "ball-pairs").withColumnRenamed("ball", "parent")
+        near = _within_reach(near.join(level.drop("_path"), [group, "parent"]), group)
+    return near.select(group, "q_block", F.col("ball").alias("p_block"))
 
 
 def _nearest_in_block(group: str, metric: str):

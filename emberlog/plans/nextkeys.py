@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlog.detectors import NextKeyDetector
 from emberlog.operators import nextkey as ops
+from emberlog.operators.policy import initial_policy, policy_step
 from emberlog.operators.templates import vocabulary_size
 from emberlog.plans import views as v
 from emberlog.plans.registry import query
@@ -100,7 +101,7 @@ def detect(spark, sf_dir):
     return ops.detect(e.test, e.model, e.top_k)
 
 
-SIZES = "sizes AS (SELECT service, count(*) + 3 AS vocab_size FROM dictionary GROUP BY service)"
+SIZES = "sizes AS (SELECT service, count(*) + 3 AS vocab_size FROM mined_dictionary GROUP BY service)"
 
 
 @query(
@@ -135,6 +136,37 @@ def fine_tuned(spark, sf_dir):
     return model_rows(ops.update(e.model, ops.training_sets(e.stored_chunks, "finetune"), weight=2))
 
 
+@query(
+    "G6_reward_step",
+    v.with_views("chunks") + f""", {POSITIONS}, {MODEL}, {LOOKUP}, {SIZES},
+      played AS (SELECT chunk_id, service, seen, next_id, CASE WHEN rank <= top_k THEN 1 ELSE -1 END AS gain
+        FROM looked WHERE pos >= floor(0.8 * n_ids)),
+      rewards AS (SELECT chunk_id, service, sum(gain) AS reward FROM played GROUP BY ALL),
+      sequences AS (SELECT service, count(*) AS n_sequences FROM rewards GROUP BY 1),
+      by_key AS (SELECT p.service, seen, next_id, sum(reward) AS got FROM played p JOIN rewards USING (chunk_id) GROUP BY ALL),
+      by_context AS (SELECT service, seen, sum(got) AS whole FROM by_key GROUP BY ALL),
+      weights AS (SELECT service, context, next_id, 1 AS n_keys, ln((n + 1) / (total + vocab_size)) AS w FROM model JOIN sizes USING (service)
+        UNION ALL SELECT service, context, NULL, any_value(vocab_size) - count(*), any_value(ln(1 / (total + vocab_size)))
+        FROM model JOIN sizes USING (service) GROUP BY ALL),
+      fresh AS (SELECT k.service, seen AS context, k.next_id FROM by_key k ANTI JOIN model m
+        ON m.service = k.service AND m.context = k.seen AND m.next_id = k.next_id),
+      given AS (SELECT * FROM weights UNION ALL
+        SELECT f.service, f.context, f.next_id, 1, w.w FROM fresh f JOIN weights w ON w.service = f.service AND w.context = f.context AND w.next_id IS NULL)
+      SELECT g.service, array_to_string(g.context, ',') AS context, g.next_id,
+        CASE WHEN g.next_id IS NULL THEN g.n_keys - (SELECT count(*) FROM fresh f WHERE f.service = g.service AND f.context = g.context)
+          ELSE g.n_keys END AS n_keys,
+        round(g.w + coalesce(0.5 / n_sequences * (coalesce(got, 0) - whole * exp(g.w)), 0), 6) AS weight
+      FROM given g LEFT JOIN by_context c ON c.service = g.service AND c.seen = g.context
+        LEFT JOIN by_key k ON k.service = g.service AND k.seen = g.context AND k.next_id = g.next_id
+        LEFT JOIN sequences s ON s.service = g.service""",
+)
+def reward_step(spark, sf_dir):
+    """One step of the model's policy on the sequences that are judged."""
+    e = Experiment(spark, sf_dir)
+    stepped = policy_step(e.test, written(initial_policy(e.model, e.settings), "policy"), e.settings, rate=0.5)
+    return stepped.select("service", v.text_of("context").alias("context"), "next_id", "n_keys", F.round("weight", 6).alias("weight"))
+
+
 @query(
     "G7_training_summary",
     """WITH history AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS episode, max(value) AS loss FROM events GROUP BY 1, 2),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.detectors import NextKeyDetector
 from emberlog.functions.sequences import BOS, EOS, PAD
 from emberlog.operators import nextkey as ops
+from emberlog.operators import policy
 from emberlog.plans import nextkeys
 
 SCHEMA = "chunk_id string, service string, input_ids array<int>, train_strategy string"
@@ -185,3 +186,27 @@ def test_sliding_detector_reads_whole_sessions(spark, monkeypatch):
             misses += keys[i] not in best
         expected[f"blk_{b}"] = (len(keys) - 1, misses, misses > 0)
     assert got == expected and got["blk_1"][1] > 0
+
+
+def test_reward_rises_with_steps(spark):
+    """A key outside the top k, in sequences that earn more than they lose, comes into it; shares stay shares."""
+
+    def made(keys, first):
+        rows = [(f"{first}-{i}", "a", [BOS, 4, 5, 6, 7, 8, 4, 5, 6, x, 7, EOS], None) for i, x in enumerate(keys)]
+        return spark.createDataFrame(rows, SCHEMA)
+
+    settings = spark.createDataFrame([("a", 2, 12)], "service string, top_k int, vocab_size long")
+    start = policy.initial_policy(ops.train(made([7] * 30 + [8] * 20 + [9] * 10, "old")), settings)
+    held_out = made([9] * 5, "held-out")
+    mean = lambda p: policy.policy_rewards(held_out, p, settings).agg(F.avg("reward")).first()[0]
+    tuned, history = policy.fine_tune(made([9] * 12, "new"), start, settings, episodes=2, rate=3.0)
+    assert mean(start) == 1 and mean(tuned) == 3
+    losses = {r.episode: (r.loss, r.reward) for r in history.collect()}
+    assert losses[0][1] == 1 and losses[1][1] == 3
+    shares = policy._shares(tuned).groupBy("context").agg(F.sum(F.col("share") * F.col("n_keys")).alias("s")).collect()
+    assert all(abs(r.s - 1) < 1e-9 for r in shares)
+    # a key that the context has never had gets a row of its own, at the others' cost
+    new = policy.policy_step(made([11] * 3, "unseen"), start, settings, rate=1.0)
+    row = new.filter("context = array(5, 6) and next_id = 11").first()
+    rest = {tuple(r.context): r.n_keys for r in start.filter("next_id is null").collect()}
+    assert row and new.filter("context = array(5, 6) and next_id is null").first().n_keys == rest[(5, 6)] - 1
