@@ -77,7 +77,8 @@ def control_stream(spark, sf_dir):
         encode(logs).write.mode("append").text(logs_topic)
         # one file, so that the messages keep their order
         controls.coalesce(1).write.mode("append").text(controls_topic)
-        stream.start(read_topic(spark, logs_topic), read_topic(spark, controls_topic), availableNow=True).awaitTermination()
+        topics = [read_topic(spark, topic, format="lines") for topic in (logs_topic, controls_topic)]
+        stream.start(*topics, availableNow=True).awaitTermination()
     return out.all()
 
 

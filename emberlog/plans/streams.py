@@ -218,7 +218,7 @@ def shipped_records(spark, sf_dir):
     out = []
     for n in (0, 1):
         received = PartTable(spark, f"{path}/{n}")
-        stream = valid_logs(decode_logs(read_topic(spark, topic)))
+        stream = valid_logs(decode_logs(read_topic(spark, topic, format="lines")))
         run_batches(lambda df, i, table=received: table.write(df, i), f"{path}/state-{n}")(stream).awaitTermination()
         out.append(received.all())
     again = out[1].select("log_id", "original_text", F.lit(True).alias("_again")).distinct()

@@ -2,7 +2,7 @@
 
 ``format="kafka"`` needs Spark's Kafka connector on the class path; every other format
 treats the topic as a folder, which is what the tests use. ``lines`` reads the folder's files as they
-grow, with a place for every message; Spark's own formats take each file once.
+grow, with a place for every message; Spark's own formats take each file once and know no places.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ MAX_MESSAGE_BYTES = 10_242_880
 def read_topic(
     spark: SparkSession,
     topic: str,
-    format: str = "lines",
+    format: str = "text",
     starting: str = "earliest",
     **options: str,
 ) -> DataFrame:

@@ -162,26 +162,3 @@ def test_hashed_neighbours_are_close(spark):
     _, p = vectors(spark, 60, 10, 4)
     for r in ops.nearest_points_lsh(q, p, 2, radius=2.0, bucket_length=4.0).collect():
         assert 0 <= r.distance <= 2
-
-
-def test_pairs_of_balls_grow_less_than_with_the_square(spark, monkeypatch):
-    """Four times the queries and points in four times the clusters: all pairs of balls looked at, over all levels."""
-    looked = []
-    within = ops._within_reach
-
-    def counted(pairs, group):
-        looked[-1] += pairs.count()
-        return within(pairs, group)
-
-    monkeypatch.setattr(ops, "_within_reach", counted)
-    for n, clusters in ((500, 25), (2000, 100)):
-        looked.append(0)
-        q_rows, q = vectors(spark, n, 5, clusters, dim=3)
-        p_rows, p = vectors(spark, n, 6, clusters, dim=3)
-        found = ops.nearest_points(q, p, 1, "euclidean", block_rows=8)
-        got = {r.q_id: r.p_id for r in found.collect()}
-        assert len(got) == n
-        sample = q_rows[:40]
-        expected = brute_force(sample, p_rows, "euclidean", 1)
-        assert {q: [got[q]] for q in expected} == expected
-    assert looked[1] < 8 * looked[0], looked

@@ -11,6 +11,7 @@ from emberlog.operators import lines as line_ops
 from emberlog.operators import services as service_ops
 from emberlog.operators import nextkey
 from emberlog.operators.services import with_defaults
+from emberlog.operators.template_tree import tree_keyed
 from emberlog.operators.templates import keyed
 from emberlog.operators.windows import chunk_windows, count_windows, tag_train_strategy
 from emberlog.session import new_shared_path
@@ -94,12 +95,13 @@ def publish(spark, topic, part):
     encode(spark.createDataFrame(part, SCHEMA)).write.mode("append").text(topic)
 
 
-def test_sequence_stream_equals_batch(spark):
+@pytest.mark.parametrize("mine", [False, True])
+def test_sequence_stream_equals_batch(spark, mine):
     data = rows(400, seed=5)
     services = config(spark)
     topic = new_shared_path(spark, "topic")
     mode = {"services": services}
-    stream = SequenceStream(spark, new_shared_path(spark, "seq"), lambda: mode["services"], context=12, window=20)
+    stream = SequenceStream(spark, new_shared_path(spark, "seq"), lambda: mode["services"], context=12, window=20, mine=mine)
 
     def run(part):
         publish(spark, topic, part)
@@ -108,7 +110,8 @@ def test_sequence_stream_equals_batch(spark):
 
     first, second = list(slices(data, [230, 170]))
     run(first)
-    logs = keyed(line_ops.clean(spark.createDataFrame(data, SCHEMA), services))
+    cleaned = line_ops.clean(spark.createDataFrame(data, SCHEMA), services)
+    logs = tree_keyed(cleaned)[0] if mine else keyed(cleaned)
     tagged = tag_train_strategy(logs, services).withColumn("key", F.col("node"))
     batch = chunk_windows(count_windows(tagged, 20), 12)
     early = stream.chunks.all()

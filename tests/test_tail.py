@@ -106,7 +106,7 @@ def test_two_readers_of_a_topic_agree(spark, tmp_path):
     found = []
     for n in range(2):
         rows: list = []
-        stream = read_topic(spark, str(topic))
+        stream = read_topic(spark, str(topic), format="lines")
         writer = stream.writeStream.foreachBatch(lambda df, i, rows=rows: rows.extend(df.collect()))
         writer = writer.option("checkpointLocation", str(tmp_path / f"state{n}"))
         writer.trigger(availableNow=True).start().awaitTermination()
