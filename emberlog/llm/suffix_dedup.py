@@ -11,7 +11,7 @@ id. The job is cut into blocks of bounded size so that equal strings always meet
 4. Equal strips are combined to their smallest id. What is left of an anchor is sorted in a suffix
    array (linear grouping, see ``suffix_array``), many anchors to a block; there an anchor's gram is one
    symbol. Windows that share their first 27 symbols are equal, and the smallest id among them
-   decides. Anchors with over 4096 different strips, as at the edges of a passage that very many
+   decides. Strips that are alone with the bytes around their gram are left out before. Anchors with over 4096 different strips, as at the edges of a passage that very many
    documents share, have their windows grouped one by one by content instead, so that no block
    grows with such a group.
 5. The findings go back to all texts with the strip, spans are merged per text, and cut out.
@@ -29,6 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ from emberlog.session import written
 
 MOST_STRIPS = 4096
 BLOCK_SYMBOLS = 1 << 15
+#: windows by the number of bytes before their gram, first and last of each class
+REACHES = [(0, 6), (7, 13), (14, 20), (21, 26)]
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 PIECE_BITS = 1 << 17
 ANCHOR_BITS = 48
@@ -250,12 +253,58 @@ def _grouped_begins(owner: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(owner[a])) for a in first]
 
 
+def candidates(members: list[tuple[int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
+    """Number, bytes cut off in front, strip and place of the members of one anchor that may share a window with another rank.
+
+    A window with q bytes before the gram has 26 - q bytes behind it. All windows with ``low`` <= q <= ``high``
+    hold the ``low`` bytes before the gram and the 26 - ``high`` bytes behind it: a strip that is alone with
+    these shares none of them, and is cut to the other windows before anything is sorted.
+    """
+    around = WINDOW - GRAM
+    first: dict[tuple[int, bytes, bytes], int] = {}
+    several = set()
+    keys = []
+    for place, strip, rank in members:
+        right = place + GRAM
+        behind = len(strip) - right
+        own = []
+        for low, high in REACHES:
+            if place >= low and behind >= around - high:
+                key = (low, strip[place - low : place], strip[right : right + around - high])
+                own.append((low, high, key))
+                if first.setdefault(key, rank) != rank:
+                    several.add(key)
+        keys.append(own)
+    out = []
+    for number, ((place, strip, _), own) in enumerate(zip(members, keys)):
+        met = [(low, high) for low, high, key in own if key in several]
+        if met:
+            cut = max(0, place - met[-1][1])
+            out.append((number, cut, strip[cut : place + GRAM + around - met[0][0]], place - cut))
+    return out
+
+
+def _whole_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by anchor, cut where an anchor ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchors = batch.column(0).to_numpy()
+        end = int(np.searchsorted(anchors, anchors[-1]))
+        if held and (end or held[-1].column(0)[-1].as_py() != anchors[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held = []
+        elif end:
+            yield pa.Table.from_batches([batch.slice(0, end)])
+        held.append(batch.slice(end))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _sorted_blocks(distinct: DataFrame) -> DataFrame:
     """anchor, key, least and mask of the strips of anchors that aren't too frequent."""
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+    names = ["anchor", "key", "least", "mask"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -264,30 +313,32 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
 
         def block() -> None:
             if held:
-                masks = earlier_windows([(place, strip, least) for _, _, place, strip, least, _ in held])
-                out.extend((h[0], h[1], h[4], m) for h, m in zip(held, masks) if m or h[5] > 1)
+                masks = earlier_windows([(place, strip, row[4]) for row, _, strip, place in held])
+                out.extend((row[0], row[1], row[4], mask << cut) for (row, cut, _, _), mask in zip(held, masks) if mask)
 
         def batch_of() -> pa.RecordBatch:
             columns = zip(*out) if out else ([], [], [], [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["anchor", "key", "least", "mask"]
-            )
-
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            members = list(group)
-            if len(members) == 1:
-                # nothing to sort: only the texts with this very strip share its windows
-                if members[0][5] > 1:
-                    out.append((members[0][0], members[0][1], members[0][4], 0))
-            else:
-                held.extend(members)
-                symbols += sum(len(m[3]) - GRAM + 1 for m in members)
-            if symbols >= BLOCK_SYMBOLS:
-                block()
-                held, symbols = [], 0
-            if len(out) >= 10_000:
-                yield batch_of()
-                out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+        for part in _whole_anchors(batches):
+            # all texts with a strip that several texts have are told of it, also where nothing else is equal
+            repeated = part.filter(pa.compute.greater(part["texts"], 1)).select(["anchor", "key", "least"])
+            repeated = repeated.append_column("mask", pa.array(np.zeros(repeated.num_rows, dtype=np.int64)))
+            yield from repeated.combine_chunks().to_batches()
+            anchors = part["anchor"].to_numpy()
+            same = anchors[1:] == anchors[:-1]
+            some = part.filter(pa.array(np.append(same, False) | np.append(False, same)))
+            for _, group in groupby(zip(*(c.to_pylist() for c in some.columns)), key=lambda r: r[0]):
+                members = list(group)
+                for number, cut, strip, place in candidates([(place, strip, least) for _, _, place, strip, least, _ in members]):
+                    held.append((members[number], cut, strip, place))
+                    symbols += len(strip) - GRAM + 1
+                if symbols >= BLOCK_SYMBOLS:
+                    block()
+                    held, symbols = [], 0
+                if len(out) >= 10_000:
+                    yield batch_of()
+                    out.clear()
         block()
         if out:
             yield batch_of()

@@ -81,3 +81,30 @@ def test_removal_is_exact(spark, monkeypatch, most_strips):
     for r in out:
         raw, spans = texts[r.doc_id].encode(), r.spans
         assert bytes(r.kept) == b"".join(raw[a:b] for a, b in zip([0, *spans[1::2]], [*spans[::2], len(raw)]))
+
+
+def test_candidates_lose_no_window():
+    rng = random.Random(4)
+    for _ in range(40):
+        gram, members = bytes(rng.choices(b"xyz", k=24)), []
+        for _ in range(rng.randrange(2, 30)):
+            left = bytes(rng.choices(b"ab", k=rng.randrange(27)))[-rng.randrange(1, 27) :]
+            left = rng.choice([left, b"passage before the gram is"[len(left) :]])
+            right = rng.choice([bytes(rng.choices(b"ab", k=26)), b"and what comes behind it. "])[: rng.randrange(27)]
+            if len(left) + len(right) >= 26:
+                members.append((len(left), left + gram + right, rng.randrange(6)))
+        first: dict[bytes, int] = {}
+        at = [[(p - w, s[w : w + 50]) for w in range(len(s) - 49)] for p, s, _ in members]
+        for windows, (_, _, rank) in zip(at, members):
+            for window in windows:
+                first[window] = min(rank, first.get(window, rank))
+        expected = {
+            (i, w) for i, windows in enumerate(at) for w, x in enumerate(windows) if first[x] < members[i][2]
+        }
+        chosen = suffix_dedup.candidates(members)
+        found = set()
+        if chosen:
+            masks = suffix_dedup.earlier_windows([(place, strip, members[i][2]) for i, _, strip, place in chosen])
+            for (i, cut, _, _), mask in zip(chosen, masks):
+                found |= {(i, cut + w) for w in range(mask.bit_length()) if mask >> w & 1}
+        assert found == expected
