@@ -9,11 +9,12 @@ id. The job is cut into blocks of bounded size so that equal strings always meet
 3. Anchors meet in buckets by value, as sorted blocks. A bitmap of bounded size of those that
    occur in several texts thins out the strips; what it lets through by chance falls away later.
 4. Equal strips are combined to their smallest id. What is left of an anchor is sorted in a suffix
-   array (linear grouping, see ``suffix_array``), many anchors to a block; there an anchor's gram is one
-   symbol. Windows that share their first 27 symbols are equal, and the smallest id among them
-   decides. Strips that are alone with the bytes around their gram are left out before. Anchors with over 4096 different strips, as at the edges of a passage that very many
-   documents share, have their windows grouped one by one by content instead, so that no block
-   grows with such a group.
+   array (linear grouping, see ``suffix_array``), many anchors to a block. The windows of a strip are
+   taken in four classes by the place of the gram; those of a class share a core of 44 bytes, which is one
+   symbol, and windows that agree in seven symbols are equal: the smallest id among them decides. Strips
+   that are alone with a core are left out before. Anchors with over 4096 different strips, as at the
+   edges of a passage that very many documents share, have their windows grouped one by one by
+   content instead, so that no block grows with such a group.
 5. The findings go back to all texts with the strip, spans are merged per text, and cut out.
 
 Defined results: a null or empty text has no bytes and loses none; rows without an id count as later
@@ -42,8 +43,8 @@ from emberlog.session import written
 
 MOST_STRIPS = 4096
 BLOCK_SYMBOLS = 1 << 15
-#: windows by the number of bytes before their gram, first and last of each class
-REACHES = [(0, 6), (7, 13), (14, 20), (21, 26)]
+#: windows by the number of bytes before their gram: first and last of classes of one width
+REACHES = [(0, 6), (7, 13), (14, 20), (20, 26)]
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 PIECE_BITS = 1 << 17
 ANCHOR_BITS = 48
@@ -207,83 +208,62 @@ def _strips_of(texts: DataFrame, bitmap) -> DataFrame:
     return texts.select("_rank", "_mark", "_text").mapInArrow(run, schema)
 
 
-def earlier_windows(members: list[tuple[int, bytes, int]]) -> list[int]:
-    """For each strip (place, bytes, rank) of some anchors, a mask of the windows that a smaller rank has too.
+def candidates(members: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int, tuple[int, bytes], bytes, bytes]]:
+    """Parts of strips (place, bytes, rank) of one anchor whose windows another rank may have too.
 
-    All windows of a strip hold its anchor's gram, which becomes one symbol of the sorted text.
+    Number of the strip, first window, core, and the bytes before and behind the core. A window with q bytes
+    before the gram has 26 - q behind it, so all windows with ``low`` <= q <= ``high`` hold the same core of
+    44 bytes. A strip that is alone with a core shares none of the windows around it.
     """
-    names: dict[bytes, int] = {}
-    parts, window_at, owner = [], [], []
-    size = 0
-    for i, (place, strip, _) in enumerate(members):
-        gram = names.setdefault(strip[place : place + GRAM], 256 + len(names))
-        text = np.frombuffer(strip, dtype=np.uint8).astype(np.int64)
-        parts += [text[:place], np.array([gram]), text[place + GRAM :]]
-        n = len(strip) - WINDOW + 1
-        window_at.append(np.arange(size, size + n))
-        owner.append(np.full(n, i))
-        size += len(strip) - GRAM + 1
-    text = np.concatenate(parts)
-    window_at, owner = np.concatenate(window_at), np.concatenate(owner)
-    window_of = np.full(size, -1, dtype=np.int64)
+    around = WINDOW - GRAM
+    first: dict[tuple[int, bytes], int] = {}
+    several = set()
+    parts = []
+    for number, (place, strip, rank) in enumerate(members):
+        for low, high in REACHES:
+            begin, end = place - low, place + GRAM + around - high
+            if begin >= 0 and end <= len(strip):
+                core = (low, strip[begin:end])
+                cut = max(0, place - high)
+                parts.append((number, cut, core, strip[cut:begin], strip[end : end + high - low]))
+                if first.setdefault(core, rank) != rank:
+                    several.add(core)
+    return (part for part in parts if part[2] in several)
+
+
+def earlier_windows(parts: list[tuple[tuple[int, bytes], bytes, bytes, int]]) -> np.ndarray:
+    """For each part (core, bytes before and behind it, rank), a mask of the windows that a smaller rank has too.
+
+    All windows of a part hold its core, which becomes one symbol of the sorted text.
+    """
+    width = REACHES[0][1] - REACHES[0][0] + 1
+    names: dict[tuple[int, bytes], int] = {}
+    symbols: list[int] = []
+    for core, before, behind, _ in parts:
+        symbols += before
+        symbols.append(names.setdefault(core, 256 + len(names)))
+        symbols += behind
+    text = np.array(symbols, dtype=np.int64)
+    sizes = np.array([len(before) + 1 + len(behind) for _, before, behind, _ in parts])
+    counts = sizes - width + 1
+    starts, begins = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(parts)), counts)
+    window_at = np.arange(len(owner)) + (starts - begins)[owner]
+    window_of = np.full(len(text), -1, dtype=np.int64)
     window_of[window_at] = np.arange(len(window_at))
     ranked = window_of[suffix_array(text)]
     ranked = ranked[ranked >= 0]
     # equal windows are neighbours; in them, everything up to the end of the window is equal
-    width = WINDOW - GRAM + 1
-    views = np.lib.stride_tricks.sliding_window_view(text, width)
-    at = window_at[ranked]
-    fresh = np.append(True, np.zeros(len(ranked) - 1, dtype=bool))
-    for low in range(1, len(ranked), 4096):
-        fresh[low : low + 4096] = (views[at[low : low + 4096]] != views[at[low - 1 : low + 4095][: len(at[low : low + 4096])]]).any(axis=1)
-    ranks = np.array([rank for _, _, rank in members], dtype=np.int64)[owner[ranked]]
-    first = np.flatnonzero(fresh)
+    views = np.lib.stride_tricks.sliding_window_view(text, width)[window_at[ranked]]
+    first = np.flatnonzero(np.append(True, (views[1:] != views[:-1]).any(axis=1)))
+    ranks = np.array([rank for *_, rank in parts], dtype=np.int64)[owner[ranked]]
     least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.append(first, len(ranks))))
-    masks = [0] * len(members)
-    begins = np.array([w[0] for w in _grouped_begins(owner)])
-    for w in ranked[least < ranks].tolist():
-        i = int(owner[w])
-        masks[i] |= 1 << (w - int(begins[i]))
+    gone = ranked[least < ranks]
+    masks = np.zeros(len(parts), dtype=np.int64)
+    np.bitwise_or.at(masks, owner[gone], np.left_shift(1, gone - begins[owner[gone]]))
     return masks
 
 
-def _grouped_begins(owner: np.ndarray) -> list[tuple[int, int]]:
-    """First window and owner for every run of ``owner``."""
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return [(int(a), int(owner[a])) for a in first]
-
-
-def candidates(members: list[tuple[int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
-    """Number, bytes cut off in front, strip and place of the members of one anchor that may share a window with another rank.
-
-    A window with q bytes before the gram has 26 - q bytes behind it. All windows with ``low`` <= q <= ``high``
-    hold the ``low`` bytes before the gram and the 26 - ``high`` bytes behind it: a strip that is alone with
-    these shares none of them, and is cut to the other windows before anything is sorted.
-    """
-    around = WINDOW - GRAM
-    first: dict[tuple[int, bytes, bytes], int] = {}
-    several = set()
-    keys = []
-    for place, strip, rank in members:
-        right = place + GRAM
-        behind = len(strip) - right
-        own = []
-        for low, high in REACHES:
-            if place >= low and behind >= around - high:
-                key = (low, strip[place - low : place], strip[right : right + around - high])
-                own.append((low, high, key))
-                if first.setdefault(key, rank) != rank:
-                    several.add(key)
-        keys.append(own)
-    out = []
-    for number, ((place, strip, _), own) in enumerate(zip(members, keys)):
-        met = [(low, high) for low, high, key in own if key in several]
-        if met:
-            cut = max(0, place - met[-1][1])
-            out.append((number, cut, strip[cut : place + GRAM + around - met[0][0]], place - cut))
-    return out
-
-
 def _whole_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of batches sorted by anchor, cut where an anchor ends."""
     held: list[pa.RecordBatch] = []
@@ -313,8 +293,10 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
 
         def block() -> None:
             if held:
-                masks = earlier_windows([(place, strip, row[4]) for row, _, strip, place in held])
-                out.extend((row[0], row[1], row[4], mask << cut) for (row, cut, _, _), mask in zip(held, masks) if mask)
+                masks = earlier_windows([(core, before, behind, row[4]) for row, _, core, before, behind in held])
+                for at in np.flatnonzero(masks).tolist():
+                    row, cut, *_ = held[at]
+                    out.append((row[0], row[1], row[4], int(masks[at]) << cut))
 
         def batch_of() -> pa.RecordBatch:
             columns = zip(*out) if out else ([], [], [], [])
@@ -330,9 +312,9 @@ def _sorted_blocks(distinct: DataFrame) -> DataFrame:
             some = part.filter(pa.array(np.append(same, False) | np.append(False, same)))
             for _, group in groupby(zip(*(c.to_pylist() for c in some.columns)), key=lambda r: r[0]):
                 members = list(group)
-                for number, cut, strip, place in candidates([(place, strip, least) for _, _, place, strip, least, _ in members]):
-                    held.append((members[number], cut, strip, place))
-                    symbols += len(strip) - GRAM + 1
+                for number, *part in candidates([(place, strip, least) for _, _, place, strip, least, _ in members]):
+                    held.append((members[number], *part))
+                    symbols += len(part[2]) + 1 + len(part[3])
                 if symbols >= BLOCK_SYMBOLS:
                     block()
                     held, symbols = [], 0

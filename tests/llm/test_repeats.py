@@ -101,10 +101,10 @@ def test_candidates_lose_no_window():
         expected = {
             (i, w) for i, windows in enumerate(at) for w, x in enumerate(windows) if first[x] < members[i][2]
         }
-        chosen = suffix_dedup.candidates(members)
+        chosen = list(suffix_dedup.candidates(members))
         found = set()
         if chosen:
-            masks = suffix_dedup.earlier_windows([(place, strip, members[i][2]) for i, _, strip, place in chosen])
-            for (i, cut, _, _), mask in zip(chosen, masks):
+            masks = suffix_dedup.earlier_windows([(*part, members[i][2]) for i, _, *part in chosen])
+            for (i, cut, *_), mask in zip(chosen, masks.tolist()):
                 found |= {(i, cut + w) for w in range(mask.bit_length()) if mask >> w & 1}
         assert found == expected
