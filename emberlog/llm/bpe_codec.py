@@ -14,6 +14,7 @@ lacks is an error; rows, null ids and repeated ids are kept; an empty table give
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -48,7 +49,6 @@ def fragments(piece: bytes, joined: frozenset[int]) -> list[bytes]:
 def merge(fragment: bytes, bpe: ByteBPE) -> tuple[int, ...]:
     """Token ids of one fragment: lowest rank first, leftmost first among equals."""
     ids = [bpe.first[b] for b in fragment]
-    pairs = bpe.merges
     if len(ids) <= 64:
         rank_of, never = bpe.rank_of.get, len(bpe.merged)
         ranks = [rank_of(p, never) for p in zip(ids, ids[1:])]
@@ -64,26 +64,28 @@ def merge(fragment: bytes, bpe: ByteBPE) -> tuple[int, ...]:
             if i < len(ranks):
                 ranks[i] = rank_of((ids[i], ids[i + 1]), never)
         return tuple(ids)
-    right = {i: i + 1 for i in range(len(ids) - 1)}
-    left = {i + 1: i for i in range(len(ids) - 1)}
-    alive = dict(enumerate(ids))
-    queue = [(pairs[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
+    # flat arrays and one number per queued pair, rank before place: some 60 bytes for each byte of a long run
+    n, rank_of, pair_of = len(ids), bpe.rank_of.get, bpe.pair_of
+    alive, right, left = array("i", ids), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    queue = [rank << 32 | i for i in range(n - 1) if (rank := rank_of((ids[i], ids[i + 1]))) is not None]
+    del ids
     heapify(queue)
     while queue:
-        _, i, a, b = heappop(queue)
-        j = right.get(i)
-        if j is None or alive.get(i) != a or alive[j] != b:
+        rank, i = divmod(heappop(queue), 1 << 32)
+        a, b = pair_of[rank]
+        j = right[i]
+        if alive[i] != a or j >= n or alive[j] != b:
             continue
-        alive[i] = pairs[a, b][1]
-        del alive[j]
-        k = right.pop(j, None)
-        right.pop(i)
-        if k is not None:
-            right[i], left[k] = k, i
-        for x, y in ((left.get(i), i), (i, k)):
-            if x is not None and y is not None and (found := pairs.get((alive[x], alive[y]))):
-                heappush(queue, (found[0], x, alive[x], alive[y]))
-    return tuple(alive[i] for i in sorted(alive))
+        alive[i], alive[j] = bpe.merged[rank], -1
+        right[i] = k = right[j]
+        h = left[i]
+        if k < n:
+            left[k] = i
+            if (found := rank_of((alive[i], alive[k]))) is not None:
+                heappush(queue, found << 32 | i)
+        if h >= 0 and (found := rank_of((alive[h], alive[i]))) is not None:
+            heappush(queue, found << 32 | h)
+    return tuple(x for x in alive if x >= 0)
 
 
 class _Pieces(dict):

@@ -27,7 +27,7 @@ def printable_bytes() -> dict[str, int]:
 class ByteBPE:
     """``first``: id of each byte; ``merges``: (left id, right id) → (rank, merged id); ``spell``: bytes of each id.
 
-    ``rank_of`` and ``merged`` hold the same merges as pair → rank and rank → merged id.
+    ``rank_of``, ``pair_of`` and ``merged`` hold the same merges as pair → rank, rank → pair and rank → merged id.
     """
 
     first: list[int]
@@ -37,6 +37,7 @@ class ByteBPE:
 
     def __post_init__(self) -> None:
         self.rank_of = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.pair_of = sorted(self.rank_of, key=self.rank_of.get)
         self.merged = [i for _, i in sorted(self.merges.values())]
         self.find = regex.compile(SPLIT).findall
         names = sorted(self.special, key=len, reverse=True)

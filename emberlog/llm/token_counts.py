@@ -4,13 +4,15 @@ A piece of text starts as one symbol per byte. The lowest-rank adjacent pair is
 heap and merged until none is left; the count is the number of bytes less the number of merges,
 and no token is ever written down. Counts of pieces are remembered in a table of bounded size.
 
-Defined results: a null or empty text has no bytes and no tokens; every special string of the
+Defined results: a null or empty text has no bytes and no tokens; a very long text is counted piece by
+piece, and a piece without any place to cut takes some 60 bytes of memory a byte; every special string of the
 vocabulary that occurs in a text is one token; rows, null ids and repeated ids are kept as they
 are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
@@ -26,35 +28,41 @@ from emberlog.llm.registry import query
 REMEMBERED = 200_000
 REMEMBERED_CHARS = 64
 LIMIT = 1024
+PLACE = (1 << 32) - 1
 
 
 def merged_count(piece: bytes, bpe: ByteBPE) -> int:
     """Number of tokens of one piece."""
     symbol = [bpe.first[b] for b in piece]
-    n = len(symbol)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank_of = bpe.merges.get
-    heap = [
-        (found[0], i, symbol[i], symbol[i + 1]) for i in range(n - 1) if (found := rank_of((symbol[i], symbol[i + 1])))
-    ]
+    n, rank_of, pair_of, merged = len(symbol), bpe.rank_of.get, bpe.pair_of, bpe.merged
+    # one number per pair, its rank before its place
+    heap = [rank << 32 | i for i in range(n - 1) if (rank := rank_of((symbol[i], symbol[i + 1]))) is not None]
+    after, before = range(1, n + 1), range(-1, n - 1)
+    if n <= 64:
+        after, before = list(after), list(before)
+    else:
+        # flat arrays: some 60 bytes for each byte of a long run
+        symbol, after, before = array("i", symbol), array("i", after), array("i", before)
     heapify(heap)
     merges = 0
     while heap:
-        _, i, left, right = heappop(heap)
+        entry = heappop(heap)
+        rank, i = entry >> 32, entry & PLACE
+        left, right = pair_of[rank]
         j = after[i]
         # a pair that has changed since it was pushed has other symbols; -1 marks a swallowed one
         if symbol[i] != left or j >= n or symbol[j] != right:
             continue
-        symbol[i], symbol[j] = bpe.merges[left, right][1], -1
+        symbol[i], symbol[j] = merged[rank], -1
         merges += 1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if found := rank_of((symbol[i], symbol[k])):
-                heappush(heap, (found[0], i, symbol[i], symbol[k]))
+            if (found := rank_of((symbol[i], symbol[k]))) is not None:
+                heappush(heap, found << 32 | i)
         h = before[i]
-        if h >= 0 and (found := rank_of((symbol[h], symbol[i]))):
-            heappush(heap, (found[0], h, symbol[h], symbol[i]))
+        if h >= 0 and (found := rank_of((symbol[h], symbol[i]))) is not None:
+            heappush(heap, found << 32 | h)
     return n - merges
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -86,3 +87,18 @@ def test_small_tables_change_nothing(bpe, monkeypatch):
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         load(Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8"))
+
+
+def test_long_runs_take_bounded_memory(bpe):
+    """A run without any place to cut: equal to the library, in some 60 bytes a byte."""
+    rng = random.Random(5)
+    size = 300_000
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+    expected = Tokenizer.from_file(PATH).encode(run, add_special_tokens=False).ids
+    for work, out in ((bpe_codec.merge, tuple(expected)), (token_counts.merged_count, len(expected))):
+        tracemalloc.start()
+        try:
+            assert work(run.encode(), bpe) == out
+            assert tracemalloc.get_traced_memory()[1] < 100 * size
+        finally:
+            tracemalloc.stop()
