@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.joins import sized
+from emberlog.operators.joins import is_small, sized
 from emberlog.session import written
 
 LINE_TYPE, SEQUENCE_TYPE = "rapid", "log_gpt"
@@ -116,8 +116,8 @@ def unmatched_feedback(feedback: DataFrame, lines: DataFrame, sequences: DataFra
 
 
 # bucket widths of the context lookup; a range uses the finest that needs few enough buckets
-BUCKET_MINUTES = [1, 60, 1440]
-MAX_BUCKETS = 64
+BUCKET_MINUTES = [1, 8, 64, 512, 4096]
+MAX_BUCKETS = 10
 
 
 def _bucket(ts, minutes: int):
@@ -127,10 +127,12 @@ def _bucket(ts, minutes: int):
 def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) -> DataFrame:
     """Raw logs around each feed entry: same service, one of its nodes and files, close in time.
 
-    Each time range becomes buckets of a minute, an hour or a day, so the join is an equi
+    Each time range becomes a few buckets as wide as it needs, so the join is an equi
     join on service, node, file and bucket; the exact bounds are checked on the bucket's
     rows. A log has one node, file and bucket per width, and an entry one width, hence a
-    pair meets at most once. Only ids and times of the logs are joined with the buckets.
+    pair meets at most once. Buckets of a small feed are broadcast, and the logs stay where
+    they are; with more of them only ids and times of the logs are joined, and texts fetched
+    for the pairs. Both give the same rows.
     """
     radius = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(radius_minutes), F.lit(0))
     start, end = F.col("start_ts") - radius, F.col("end_ts") + radius
@@ -141,28 +143,29 @@ def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) ->
     minutes = (F.unix_micros("_to") - F.unix_micros("_from")) / 60_000_000
     fits = [F.when(minutes <= w * (MAX_BUCKETS - 1), w) for w in BUCKET_MINUTES[:-1]]
     width = F.coalesce(*fits, F.lit(BUCKET_MINUTES[-1]))
-    spans = F.array(
-        *[F.sequence(_bucket(F.col("_from"), w), _bucket(F.col("_to"), w)) for w in BUCKET_MINUTES]
+    # only the chosen width is counted out, as a long range has very many minutes
+    chosen = F.coalesce(
+        *[F.when(F.col("_width") == w, F.sequence(_bucket(F.col("_from"), w), _bucket(F.col("_to"), w))) for w in BUCKET_MINUTES]
     )
-    chosen = F.get(spans, F.array_position(F.array(*map(F.lit, BUCKET_MINUTES)), F.col("_width")).cast("int") - 1)
     buckets = ranges.withColumn("_width", width).select(
         "anomaly_id", "service", "node", "filename", "_from", "_to", "_width", F.explode(chosen).alias("_bucket")
     )
     buckets = written(buckets, "context-buckets")
     # at most as many numbers as there are widths
     widths = [r["_width"] for r in buckets.select("_width").distinct().collect()]
-    narrow = logs.select("log_id", "service", "node", "filename", "ts")
-    # only logs of places that the feed names, once per width that is in use
-    places = buckets.select("service", "node", "filename").distinct()
-    narrow = narrow.join(sized(places), ["service", "node", "filename"], "left_semi")
-    spread = F.array(*[F.struct(F.lit(w).alias("_width"), _bucket(F.col("ts"), w).alias("_bucket")) for w in widths])
     if not widths:
         return logs.withColumn("anomaly_id", F.lit(None).cast("string")).limit(0)
-    met = narrow.select("*", F.inline(spread)).join(buckets, ["service", "node", "filename", "_width", "_bucket"])
-    pairs = written(
-        met.filter(F.col("ts").between(F.col("_from"), F.col("_to"))).select("anomaly_id", *narrow.columns).distinct(),
-        "context-pairs",
-    )
+    spread = F.array(*[F.struct(F.lit(w).alias("_width"), _bucket(F.col("ts"), w).alias("_bucket")) for w in widths])
+    place = ["service", "node", "filename"]
+    close = F.col("ts").between(F.col("_from"), F.col("_to"))
+    if is_small(buckets):
+        met = logs.select("*", F.inline(spread)).join(F.broadcast(buckets), [*place, "_width", "_bucket"])
+        return met.filter(close).select(*logs.columns, "anomaly_id")
+    narrow = logs.select("log_id", *place, "ts")
+    # only logs of places that the feed names, once per width that is in use
+    narrow = narrow.join(sized(buckets.select(*place).distinct()), place, "left_semi")
+    met = narrow.select("*", F.inline(spread)).join(buckets, [*place, "_width", "_bucket"])
+    pairs = written(met.filter(close).select("anomaly_id", *narrow.columns).distinct(), "context-pairs")
     # the texts are fetched last, for the logs that are shown; an id alone may name several logs
     return logs.join(sized(pairs), narrow.columns)
 

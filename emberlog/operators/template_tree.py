@@ -92,6 +92,7 @@ def grow(lines: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, D
     schema = "service string, node string, at int"
     spark = lines.sparkSession
     new = spark.createDataFrame([], schema)
+    rounds = 0
     if known is None:
         arrived, left = lines.limit(0), lines
     else:
@@ -104,8 +105,10 @@ def grow(lines: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, D
         new = new.unionByName(met.select("service", "node", "at").distinct())
         arrived = arrived.unionByName(met.filter("at = 0").drop("at"))
         further = met.filter("at > 0")
+        rounds += 1
         if not further.limit(1).count():
-            return arrived, written(new, "tree-new")
+            # leaves of one round are stored as they are
+            return arrived if rounds == 1 and known is None else written(arrived, "tree-leaves"), new
         node = _below(F.col("node"), F.col("at"), F.element_at(_tokens(), F.col("at")))
         left = further.withColumn("node", node).drop("at")
 
@@ -116,8 +119,7 @@ def mine(logs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, Da
     The first has service, cleaned_text, template and key_id. ``known`` is the tree of earlier logs.
     New templates are numbered on by first appearance, per service.
     """
-    arrived, groups = grow(distinct_lines(logs), known)
-    leaves = written(arrived, "tree-leaves")
+    leaves, groups = grow(distinct_lines(logs), known)
     texts = leaves.select("node", "line")
     if known is not None:
         before = known.filter("at = 0").select("node", F.col("template").alias("line"))

@@ -34,7 +34,7 @@ def strategy_ranged(spark, sf_dir):
 
 @query("E2_window_key", v.with_views("window_input") + "SELECT log_id, key FROM window_input")
 def key(spark, sf_dir):
-    return window_key(extract_traces(v.logs(spark, sf_dir), v.services(spark, sf_dir))).select("log_id", "key")
+    return window_key(extract_traces(v.logs(spark, sf_dir), v.LogTables(spark, sf_dir).services)).select("log_id", "key")
 
 
 def _window_sql(size: int, scope: str) -> str:
@@ -60,19 +60,19 @@ def _window_rows(windows, keys):
 
 @query("E3_count_windows", _window_sql(512, "key"))
 def count_windows(spark, sf_dir):
-    logs = window_key(extract_traces(v.logs(spark, sf_dir), v.services(spark, sf_dir)))
+    logs = window_key(extract_traces(v.logs(spark, sf_dir), v.LogTables(spark, sf_dir).services))
     return _window_rows(ops.count_windows(logs, 512, "key"), ["key"])
 
 
 @query("E3_count_windows_by_service", _window_sql(v.WINDOW, "service, key"))
 def count_windows_by_service(spark, sf_dir):
-    logs = window_key(extract_traces(v.logs(spark, sf_dir), v.services(spark, sf_dir)))
+    logs = window_key(extract_traces(v.logs(spark, sf_dir), v.LogTables(spark, sf_dir).services))
     return _window_rows(ops.count_windows(logs, v.WINDOW), ["service", "key"])
 
 
 @query("E3_count_windows_ranged", _window_sql(64, "key"))
 def count_windows_ranged(spark, sf_dir):
-    logs = window_key(extract_traces(v.logs(spark, sf_dir), v.services(spark, sf_dir)))
+    logs = window_key(extract_traces(v.logs(spark, sf_dir), v.LogTables(spark, sf_dir).services))
     return _window_rows(ops.count_windows(logs, 64, "key", rows_per_range=SMALL_RANGE), ["key"])
 
 

@@ -90,3 +90,27 @@ def test_ensemble(spark, predictions):
     got = {r.log_id: r.verdict for r in ops.ensemble(verdicts, predictions[1]).collect()}
     assert got == {10: "confirmed", 11: "sequence_only", 12: "sequence_only", 99: "line_only"}
     assert predictions[1].filter(F.col("id") == "s1").count() == 1
+
+
+@pytest.mark.parametrize("radius", [2, 5000])
+def test_context_lookup_plans_agree(spark, monkeypatch, radius):
+    """Broadcast buckets and joined ones give the same rows; a log that is there twice is returned twice."""
+    feed = spark.createDataFrame(
+        [("a", "api", ["n0", "n1"], ["f", "g"], at(0), at(30)), ("b", "api", ["n1"], ["f"], at(40), at(40))],
+        "id string, service string, nodes array<string>, filenames array<string>, start_ts timestamp, end_ts timestamp",
+    )
+    rows = [(i // 2, "api", f"n{i // 2 % 3}", "fg"[i // 2 % 2], at(i // 2), f"text {i // 2}") for i in range(400)]
+    fields = "log_id long, service string, node string, filename string, ts timestamp, original_text string"
+    logs = spark.createDataFrame(rows, fields)
+    small = ops.context_lookup(feed, logs, radius)
+    monkeypatch.setattr(ops, "is_small", lambda df: False)
+    large = ops.context_lookup(feed, logs, radius).select(*small.columns)
+    assert sorted(small.collect()) == sorted(large.collect())
+    assert {n for (n,) in small.groupBy("anomaly_id", "log_id").count().select("count").collect()} == {2}
+
+
+def test_context_lookup_of_an_empty_feed(spark):
+    feed = "id string, service string, nodes array<string>, filenames array<string>, start_ts timestamp, end_ts timestamp"
+    logs = spark.createDataFrame([(1, "api", "n", "f", at(0))], "log_id long, service string, node string, filename string, ts timestamp")
+    found = ops.context_lookup(spark.createDataFrame([], feed), logs)
+    assert found.columns[-1] == "anomaly_id" and not found.count()
