@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.joins import is_small, sized
+from emberlog.operators.joins import BROADCAST_ROWS, is_small, sized
 from emberlog.session import written
 
 LINE_TYPE, SEQUENCE_TYPE = "rapid", "log_gpt"
@@ -158,7 +158,8 @@ def context_lookup(feed: DataFrame, logs: DataFrame, radius_minutes: int = 1) ->
     spread = F.array(*[F.struct(F.lit(w).alias("_width"), _bucket(F.col("ts"), w).alias("_bucket")) for w in widths])
     place = ["service", "node", "filename"]
     close = F.col("ts").between(F.col("_from"), F.col("_to"))
-    if is_small(buckets):
+    # the table is stored, so its rows are counted without reading them
+    if buckets.count() <= BROADCAST_ROWS and is_small(buckets):
         met = logs.select("*", F.inline(spread)).join(F.broadcast(buckets), [*place, "_width", "_bucket"])
         return met.filter(close).select(*logs.columns, "anomaly_id")
     narrow = logs.select("log_id", *place, "ts")

@@ -17,6 +17,7 @@ from emberlog.plans.feed import LINE_FEED, SEQUENCE_FEED, Predictions, feed_rows
 from emberlog.plans.ingest import pushes
 from emberlog.plans.nextkeys import Experiment
 from emberlog.plans.registry import ORACLE, query
+from emberlog.plans.retrieval import TOKENS, TRIGRAMS
 from emberlog.plans.windows import EVENT_TIME_SQL, STRATEGY_SQL, _window_rows, event_time_rows
 from emberlog.session import new_shared_path, written
 from emberlog.operators.lines import clean
@@ -129,9 +130,49 @@ def event_time(spark, sf_dir):
     return event_time_rows(spark.read.parquet(f"{path}/out"))
 
 
-@query("F14_retrieval_stream")
+#: between the scores of these lines, so that both verdicts occur
+LINE_THRESHOLD = -12
+
+
+def _retrieval_sql() -> str:
+    """Slice by slice: unknown lines against the store so far, verdicts, and the store that they leave."""
+    known = "service IN ('view', 'signup')"
+    texts = f"""texts AS (SELECT DISTINCT service, hash, cleaned_text FROM cleaned WHERE {known}),
+      tokens AS (SELECT service, hash, unnest({TOKENS.format('cleaned_text')}) AS token,
+        generate_subscripts({TOKENS.format('cleaned_text')}, 1) AS pos FROM texts),
+      vecs AS MATERIALIZED (SELECT token, {TRIGRAMS.format(t='token')} AS vec FROM (SELECT DISTINCT token FROM tokens)),
+      tv AS MATERIALIZED (SELECT t.*, vec FROM tokens t JOIN vecs USING (token)),
+      dims AS (SELECT service, hash, d, sum(vec[d]) AS x FROM tv, range(1, 33) r(d) GROUP BY ALL),
+      cls AS MATERIALIZED (SELECT service, hash, list(x ORDER BY d) AS cls FROM dims GROUP BY ALL),
+      store0 AS MATERIALIZED (SELECT DISTINCT service, hash FROM cleaned WHERE NOT is_anomaly AND {known})"""
+    steps = [
+        f"""unknown{i} AS (SELECT * FROM cleaned WHERE {known} AND day(ts) BETWEEN {first} AND {last}
+            AND (service, hash) NOT IN (SELECT (service, hash) FROM store{i - 1})),
+          query{i} AS MATERIALIZED (SELECT service, hash, cls FROM cls WHERE (service, hash) IN (SELECT (service, hash) FROM unknown{i})),
+          core{i} AS (SELECT * FROM (SELECT service, q.hash AS q_id, p.hash AS p_id, row_number() OVER (PARTITION BY service, q.hash
+              ORDER BY round(1 - list_cosine_similarity(q.cls, p.cls), 9), p.hash) AS rank
+            FROM query{i} q JOIN (SELECT * FROM cls JOIN store{i - 1} USING (service, hash)) p USING (service)) WHERE rank <= 2),
+          pairs{i} AS (SELECT service, q_id, p_id, 1 - sum(best) AS distance FROM (
+            SELECT c.service, q_id, p_id, q.pos, max(list_cosine_similarity(q.vec, p.vec)) AS best FROM core{i} c
+            JOIN tv q ON q.service = c.service AND q.hash = q_id JOIN tv p ON p.service = c.service AND p.hash = p_id GROUP BY ALL)
+            GROUP BY ALL),
+          verdict{i} AS MATERIALIZED (SELECT service, q_id AS hash, min(distance) AS score,
+            min(distance) > {LINE_THRESHOLD} AS is_odd FROM pairs{i} GROUP BY service, q_id),
+          store{i} AS MATERIALIZED (SELECT * FROM store{i - 1} UNION ALL SELECT service, hash FROM verdict{i} WHERE NOT is_odd),
+          found{i} AS (SELECT log_id, service, hash, score, is_odd AS is_anomaly FROM (
+            SELECT *, row_number() OVER (PARTITION BY service, hash ORDER BY ts, log_id) AS nth FROM unknown{i} JOIN verdict{i} USING (service, hash))
+            WHERE is_odd OR nth = 1)"""
+        for i, (first, last) in enumerate(SLICE_DAYS, 1)
+    ]
+    found = " UNION ALL ".join(
+        f"SELECT log_id, service, hash, round(score, 6) AS score, is_anomaly FROM found{i}" for i in range(1, len(SLICE_DAYS) + 1)
+    )
+    return v.with_views("cleaned") + ", " + ",\n".join([texts, *steps]) + "\n" + found
+
+
+@query("F14_retrieval_stream", _retrieval_sql())
 def retrieval(spark, sf_dir):
-    config = written(v.services(spark, sf_dir), "services")
+    config = written(v.services(spark, sf_dir).withColumn("threshold", F.lit(float(LINE_THRESHOLD))), "services")
     stream = RetrievalStream(spark, new_shared_path(spark, "retrieval"), lambda: config)
     stream.mark_normal(v.cleaned(spark, sf_dir).filter("NOT is_anomaly AND service IN ('view', 'signup')"))
     replay(spark, sf_dir, lambda logs: stream.start(logs, availableNow=True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.detectors import RetrievalDetector
 from emberlog.operators import embeddings as emb
 from emberlog.operators import retrieval as ops
+from emberlog.plans.retrieval import core_set_hashed, halves
 
 SCHEMA = "service string, hash string, cls array<double>, tokens array<array<double>>, k int"
 
@@ -162,3 +163,12 @@ def test_hashed_neighbours_are_close(spark):
     _, p = vectors(spark, 60, 10, 4)
     for r in ops.nearest_points_lsh(q, p, 2, radius=2.0, bucket_length=4.0).collect():
         assert 0 <= r.distance <= 2
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_recall_of_the_hashed_core_set(spark, sf):
+    """The registered query's settings find at least nine in ten of the exact neighbours."""
+    sf_dir = f"/root/testdata/sf{sf}"
+    exact = ops.nearest_points(*halves(spark, sf_dir), 2).select("service", "q_id", "p_id").collect()
+    hashed = core_set_hashed(spark, sf_dir).select("service", "q_id", "p_id").collect()
+    assert exact and len(set(exact) & set(hashed)) >= 0.9 * len(exact)
