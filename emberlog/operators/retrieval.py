@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from emberlog.operators.embeddings import normalized
 from emberlog.operators.joins import sized
@@ -21,6 +25,10 @@ from emberlog.session import written
 # vectors compared at once in one task: a block of queries against a block of normal points
 BLOCK_ROWS = 1024
 MAX_CELL_BITS = 16
+# more vectors than make so many blocks get larger blocks, up to BLOCK_ROWS
+MOST_BLOCKS = 64
+# points that a task compares at once, pairs measured at once, rows of a batch it returns
+POINT_ROWS, EXACT_PAIRS, OUT_ROWS = 2048, 1 << 16, 1 << 16
 # distances are ranked after rounding, so equal vectors tie and the id decides
 ROUND = 9
 
@@ -36,17 +44,29 @@ def _cell(vectors: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series((matrix @ directions > 0) @ (1 << np.arange(n, dtype="int64")))
 
 
-def _blocked(vectors: DataFrame, group: str, block_rows: int) -> DataFrame:
-    """Add ``block``: vectors of one group and cell, at most about ``block_rows`` of them."""
-    bits = min(MAX_CELL_BITS, max(1, math.ceil(math.log2(max(2, vectors.count() / block_rows)))))
-    celled = vectors.withColumn("_cell", _cell("vec", F.lit(bits)))
+def _block_size(n_vectors: int, block_rows: int) -> int:
+    """Rows of a block: ``block_rows``, or more where that would make very many blocks.
+
+    Blocks meet in pairs, so it is their number that must not grow with the input.
+    """
+    return max(block_rows, min(BLOCK_ROWS, math.ceil(n_vectors / MOST_BLOCKS)))
+
+
+def _parted(celled: DataFrame, group: str, block_rows: int) -> DataFrame:
+    """Add ``block``: rows of one group and ``_cell``, at most about ``block_rows`` of them."""
     sizes = celled.groupBy(group, "_cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_n"))
     part = F.pmod(F.xxhash64("id"), F.col("_n"))
-    return (
-        celled.join(sizes, [group, "_cell"])
-        .withColumn("block", F.concat_ws("/", "_cell", part))
-        .drop("_cell", "_n")
-    )
+    return celled.join(sizes, [group, "_cell"]).withColumn("block", F.concat_ws("/", "_cell", part)).drop("_n")
+
+
+def _blocked(vectors: DataFrame, group: str, block_rows: int) -> DataFrame:
+    """Add ``block``: near vectors of one group; a small group has fewer cells."""
+    bits = min(MAX_CELL_BITS, max(1, math.ceil(math.log2(max(2, vectors.count() / block_rows)))))
+    # of its own size a group takes three bits more than full cells would need, as cells are filled unevenly
+    cells = F.pow(F.lit(2), F.ceil(F.log2(8 * F.count(F.lit(1)) / block_rows))).cast("long")
+    own = vectors.groupBy(group).agg(F.greatest(cells, F.lit(1)).alias("_cells"))
+    celled = vectors.join(own, group).withColumn("_cell", F.pmod(_cell("vec", F.lit(bits)), F.col("_cells"))).drop("_cells")
+    return _parted(celled, group, block_rows).drop("_cell")
 
 
 def _block_summary(group: str):
@@ -102,31 +122,130 @@ def _candidate_blocks(queries: DataFrame, points: DataFrame, group: str) -> Data
     )
 
 
-def _nearest_in_block(group: str, metric: str):
-    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = {group: [], "q_id": [], "p_id": [], "distance": []}
-        if len(q) and len(p):
-            points = np.stack(p["vec"].to_numpy())
-            ids = p["id"].to_numpy(dtype=object)
-            for query_id, vector, k in zip(q["id"], q["vec"], q["k"]):
-                if metric == "cosine":
-                    gaps = 1.0 - points @ vector
-                else:
-                    gaps = np.sqrt(((points - vector) ** 2).sum(axis=1))
-                gaps = np.round(gaps, ROUND)
-                k = min(int(k), len(gaps))
-                if k < 1:
+def _rough(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Every query against every point: 1 - cosine, or the squared distance up to rounding errors."""
+    if metric == "cosine":
+        return 1.0 - q @ p.T
+    return np.maximum((q * q).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * (q @ p.T), 0.0)
+
+
+def _exact(rough: np.ndarray, q: np.ndarray, p: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str, radius) -> np.ndarray:
+    """Rounded distances of the pairs (rows, cols); infinite beyond ``radius``."""
+    if metric == "cosine":
+        return np.round(rough[rows, cols], ROUND)
+    squares = np.empty(len(rows))
+    for i in range(0, len(rows), EXACT_PAIRS):
+        some = slice(i, i + EXACT_PAIRS)
+        squares[some] = ((p[cols[some]] - q[rows[some]]) ** 2).sum(axis=1)
+    if metric == "euclidean":
+        return np.round(np.sqrt(squares), ROUND)
+    # unit vectors: half the square is the cosine distance
+    return np.where(np.sqrt(squares) < radius, np.round(squares / 2, ROUND), np.inf)
+
+
+class _Best:
+    """The nearest points so far of a block of queries; points come in order of their ids."""
+
+    def __init__(self, ids: list, matrix: np.ndarray, k: np.ndarray, metric: str, radius: float | None):
+        self.ids, self.matrix, self.k, self.metric, self.radius = ids, matrix, k, metric, radius
+        self.row, self.distance, self.point = np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)
+        self.worst = np.full(len(ids), np.inf)
+
+    def add(self, ids: np.ndarray, points: np.ndarray) -> None:
+        most = int(self.k.max())
+        if most < 1:
+            return
+        rough = _rough(self.matrix, points, self.metric)
+        limit = {"cosine": 1, "euclidean": 2}.get(self.metric)
+        limit = self.worst**limit if limit else 2 * self.worst
+        if most < len(points):
+            limit = np.minimum(limit, np.partition(rough, most - 1, axis=1)[:, most - 1])
+        # what rounding, of the sums and of the distance, can hide
+        largest = (self.matrix**2).sum(axis=1).max() + (points**2).sum(axis=1).max()
+        slack = 1e-11 * largest + 4e-9 * np.maximum(1.0, np.sqrt(np.where(np.isfinite(limit), np.maximum(limit, 0), 0)))
+        rows, cols = np.nonzero(rough <= (limit + slack)[:, None])
+        distance = _exact(rough, self.matrix, points, rows, cols, self.metric, self.radius)
+        near = np.isfinite(distance)
+        row = np.concatenate([self.row, rows[near]])
+        distance = np.concatenate([self.distance, distance[near]])
+        point = np.concatenate([self.point, ids[cols[near]]])
+        # stable: of equal distances the earlier point, which has the smaller id, stays in front
+        order = np.lexsort((distance, row))
+        row = row[order]
+        starts = np.searchsorted(row, np.arange(len(self.ids)))
+        place = np.arange(len(row)) - starts[row]
+        kept = place < self.k[row]
+        self.row, self.distance, self.point = row[kept], distance[order][kept], point[order][kept]
+        last = place[kept] == self.k[self.row] - 1
+        self.worst[self.row[last]] = self.distance[last]
+
+    def rows(self, names: list[str], schema: pa.Schema, group) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.row), OUT_ROWS):
+            some = slice(i, i + OUT_ROWS)
+            row = self.row[some]
+            values = [
+                [group] * len(row), [self.ids[r] for r in row], self.point[some].tolist(), self.distance[some], self.k[row],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, schema.field(c).type) for c, x in zip(names, values)], names)
+
+
+def _fold(group: str, metric: str, radius: float | None, schema: pa.Schema):
+    """Batches in order of (group, meet, side, id) → the nearest points per query of each meeting."""
+
+    def matrix(vectors: pa.Array) -> np.ndarray:
+        return np.asarray(vectors.flatten(), dtype=float).reshape(len(vectors), -1)
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, at, queries, best = schema.names, None, [], None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in (group, "meet", "side")))
+            start = 0
+            for (*key, side), run in groupby(keys):
+                stop = start + sum(1 for _ in run)
+                if key != at:
+                    if best:
+                        yield from best.rows(names, schema, at[0])
+                    at, queries, best = key, [], None
+                part = batch.slice(start, stop - start)
+                start = stop
+                if side == 0:
+                    queries.append(part)
                     continue
-                near = np.flatnonzero(gaps <= np.partition(gaps, k - 1)[k - 1])
-                near = near[np.lexsort((ids[near], gaps[near]))][:k]
-                out[group].extend([q[group].iloc[0]] * k)
-                out["q_id"].extend([query_id] * k)
-                out["p_id"].extend(ids[near].tolist())
-                out["distance"].extend(gaps[near])
-        # plain object columns convert to Arrow the same way whether or not any row was found
-        return pd.DataFrame({c: pd.Series(values, dtype=float if c == "distance" else object) for c, values in out.items()})
-
-    return nearest
+                if best is None:
+                    if not queries:
+                        continue
+                    ids = [x for q in queries for x in q.column("id").to_pylist()]
+                    k = np.concatenate([q.column("k").to_numpy(zero_copy_only=False) for q in queries])
+                    best = _Best(ids, np.concatenate([matrix(q.column("vec")) for q in queries]), k, metric, radius)
+                ids = np.array(part.column("id").to_pylist(), dtype=object)
+                points = matrix(part.column("vec"))
+                for i in range(0, len(ids), POINT_ROWS):
+                    best.add(ids[i : i + POINT_ROWS], points[i : i + POINT_ROWS])
+        if best:
+            yield from best.rows(names, schema, at[0])
+
+    return fold
+
+
+def _met(q: DataFrame, p: DataFrame, group: str, metric: str, radius: float | None = None) -> DataFrame:
+    """Queries and points of one ``meet`` → group, q_id, p_id, distance and the query's ``_k``, its nearest ones only.
+
+    The queries of a meeting are held as a matrix and its points stream past it, so no group of
+    points is ever in memory and no pair leaves the task but the nearest.
+    """
+    columns = [group, "meet", "side", "id", "vec", "k"]
+    both = q.withColumn("side", F.lit(0)).select(*columns).unionByName(p.withColumn("side", F.lit(1)).select(*columns))
+    dealt = both.repartition(group, "meet").sortWithinPartitions(group, "meet", "side", "id")
+    out = T.StructType(
+        [
+            T.StructField(group, both.schema[group].dataType),
+            T.StructField("q_id", both.schema["id"].dataType),
+            T.StructField("p_id", both.schema["id"].dataType),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("_k", T.LongType()),
+        ]
+    )
+    return dealt.mapInArrow(_fold(group, metric, radius, to_arrow_schema(out)), out)
 
 
 def nearest_points(
@@ -141,9 +260,9 @@ def nearest_points(
 ) -> DataFrame:
     """The ``k`` nearest points of each query inside its group: group, q_id, p_id, distance, rank.
 
-    ``k`` is a number or the name of a column of ``queries``. Exact. Vectors meet block by
-    block as matrices; a pair of blocks hands on only the ``k`` best per query, and blocks
-    that cannot matter are never compared.
+    ``k`` is a number or the name of a column of ``queries``. Exact. A block of queries meets
+    the points as a matrix and hands on only the ``k`` best per query; blocks of points that
+    cannot matter are never compared. ``block_rows`` is the least size of a block.
     """
     direction = normalized(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))
     limit = F.col(k) if isinstance(k, str) else F.lit(k)
@@ -152,30 +271,22 @@ def nearest_points(
 
     n_queries, n_points = at_most(q, block_rows), at_most(p, block_rows)
     if n_queries and n_points:
-        pairs_q, pairs_p, meet = q, p, [group]
+        met = _met(q.withColumn("meet", F.lit("")), p.withColumn("meet", F.lit("")), group, metric)
     elif n_queries:
         # few queries: every block of points meets all of them, in one pass over the points
         n_blocks = math.ceil(p.count() / block_rows)
-        pairs_p = p.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-        pairs_q = q.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-        meet = [group, "_block"]
+        n_blocks = math.ceil(n_blocks * block_rows / _block_size(n_blocks * block_rows, block_rows))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
+        pairs_p = p.withColumn("meet", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("string"))
+        met = _met(q.withColumn("meet", F.explode(F.transform(numbers, lambda n: n.cast("string")))), pairs_p, group, metric)
     else:
-        q = written(_blocked(q, group, block_rows), "query-blocks")
-        p = written(_blocked(p, group, block_rows), "point-blocks")
-        pairs = written(_candidate_blocks(q, p, group), "block-pairs")
-        pairs_q = q.withColumnRenamed("block", "q_block").join(pairs, [group, "q_block"])
+        q, p = written(q, "queries"), written(p, "points")
+        q = written(_blocked(q, group, _block_size(q.count(), block_rows)), "query-blocks")
+        p = written(_blocked(p, group, _block_size(p.count(), block_rows)), "point-blocks")
+        pairs = written(_candidate_blocks(q, p, group), "block-pairs").withColumnRenamed("q_block", "meet")
         pairs_p = p.withColumnRenamed("block", "p_block").join(pairs, [group, "p_block"])
-        meet = [group, "q_block", "p_block"]
-
-    kinds = {c: q.schema[c].dataType.simpleString() for c in (group, "id")}
-    schema = f"`{group}` {kinds[group]}, q_id {kinds['id']}, p_id {kinds['id']}, distance double"
-    met = pairs_q.groupBy(*meet).cogroup(pairs_p.groupBy(*meet)).applyInPandas(_nearest_in_block(group, metric), schema)
-    limits = queries.select(group, F.col(key).alias("q_id"), limit.alias("_k")) if isinstance(k, str) else None
-    if limits is None:
-        return first_rows(met, k, [F.asc("distance"), F.asc("p_id")], [group, "q_id"])
-    return first_rows(
-        met.join(limits, [group, "q_id"]), F.col("_k"), [F.asc("distance"), F.asc("p_id")], [group, "q_id"]
-    ).drop("_k")
+        met = _met(q.withColumnRenamed("block", "meet"), pairs_p, group, metric)
+    return first_rows(met, F.col("_k"), [F.asc("distance"), F.asc("p_id")], [group, "q_id"]).drop("_k")
 
 
 def at_most(vectors: DataFrame, rows: int) -> bool:

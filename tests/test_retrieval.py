@@ -172,3 +172,26 @@ def test_recall_of_the_hashed_core_set(spark, sf):
     exact = ops.nearest_points(*halves(spark, sf_dir), 2).select("service", "q_id", "p_id").collect()
     hashed = core_set_hashed(spark, sf_dir).select("service", "q_id", "p_id").collect()
     assert exact and len(set(exact) & set(hashed)) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_more_vectors_make_larger_blocks(spark, monkeypatch, metric):
+    """Blocks of eight would meet in 47,000 pairs; equal vectors in several blocks are ranked by id."""
+    q_rows, q = vectors(spark, 1000, 11)
+    p_rows, _ = vectors(spark, 1200, 12)
+    p_rows = [(s, f"{copy}{pid}", v, t, k) for copy in "ba" for s, pid, v, t, k in p_rows]
+    seen, candidates = [], ops._candidate_blocks
+
+    def counted(*args):
+        pairs = candidates(*args)
+        seen.append((pairs.count(), args[0].groupBy("service", "block").count().count()))
+        return pairs
+
+    monkeypatch.setattr(ops, "_candidate_blocks", counted)
+    found = {}
+    nearest = ops.nearest_points(q, spark.createDataFrame(p_rows, SCHEMA), "k", metric, block_rows=8)
+    for r in nearest.orderBy("q_id", "rank").collect():
+        found.setdefault(r.q_id, []).append(r.p_id)
+    assert found == brute_force(q_rows, p_rows, metric)
+    pairs, blocks = seen[0]
+    assert blocks < 200 and pairs < 20_000
