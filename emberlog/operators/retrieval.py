@@ -27,8 +27,8 @@ BLOCK_ROWS = 1024
 MAX_CELL_BITS = 16
 # more vectors than make so many blocks get larger blocks, up to BLOCK_ROWS
 MOST_BLOCKS = 64
-# points that a task compares at once, pairs measured at once, rows of a batch it returns
-POINT_ROWS, EXACT_PAIRS, OUT_ROWS = 2048, 1 << 16, 1 << 16
+# neighbours that a task holds at once, points that it compares at once, pairs measured at once, rows of a batch it returns
+BEST_ENTRIES, POINT_ROWS, EXACT_PAIRS, OUT_ROWS = 1 << 22, 2048, 1 << 16, 1 << 16
 # distances are ranked after rounding, so equal vectors tie and the id decides
 ROUND = 9
 
@@ -281,7 +281,10 @@ def nearest_points(
         met = _met(q.withColumn("meet", F.explode(F.transform(numbers, lambda n: n.cast("string")))), pairs_p, group, metric)
     else:
         q, p = written(q, "queries"), written(p, "points")
-        q = written(_blocked(q, group, _block_size(q.count(), block_rows)), "query-blocks")
+        size = q.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).first()
+        # a task holds the k nearest points of each query of a block
+        rows = min(_block_size(size["n"], block_rows), max(1, BEST_ENTRIES // max(1, size["k"] or 1)))
+        q = written(_blocked(q, group, rows), "query-blocks")
         p = written(_blocked(p, group, _block_size(p.count(), block_rows)), "point-blocks")
         pairs = written(_candidate_blocks(q, p, group), "block-pairs").withColumnRenamed("q_block", "meet")
         pairs_p = p.withColumnRenamed("block", "p_block").join(pairs, [group, "p_block"])

@@ -195,3 +195,24 @@ def test_more_vectors_make_larger_blocks(spark, monkeypatch, metric):
     assert found == brute_force(q_rows, p_rows, metric)
     pairs, blocks = seen[0]
     assert blocks < 200 and pairs < 20_000
+
+
+def test_long_core_sets_are_held_in_parts(spark, monkeypatch):
+    """Few queries per task where each keeps many points; no pair of blocks hands on more than the nearest."""
+    q_rows, q = vectors(spark, 100, 13)
+    p_rows, p = vectors(spark, 300, 14)
+    monkeypatch.setattr(ops, "BEST_ENTRIES", 200, raising=False)
+    sizes, meeting = [], ops._met
+
+    def measured(queries, *args):
+        sizes.append(queries.groupBy("service", "meet").count().agg({"count": "max"}).first()[0])
+        out = meeting(queries, *args)
+        assert out.count() <= 40 * queries.count()
+        return out
+
+    monkeypatch.setattr(ops, "_met", measured)
+    found = {}
+    for r in ops.nearest_points(q, p, 40, "euclidean", block_rows=30).orderBy("q_id", "rank").collect():
+        found.setdefault(r.q_id, []).append(r.p_id)
+    assert found == brute_force(q_rows, p_rows, "euclidean", 40)
+    assert sizes[0] <= 15
