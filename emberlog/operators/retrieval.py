@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,19 +311,26 @@ def nearest_points_lsh(
     def prepared(df):
         return df.select(group, F.col(key).alias("id"), array_to_vector(normalized(F.col(vector))).alias("unit"))
 
+    def buckets(df):
+        """One row per table; ``_cell`` is the table and the vector's bucket in it."""
+        hashed = model.transform(df).select(group, "id", "unit", F.posexplode("hashes").alias("_table", "_hash"))
+        bucket = vector_to_array("_hash")[0].cast("long").cast("string")
+        celled = hashed.select(
+            group, "id", vector_to_array("unit").alias("vec"), F.lit(k).cast("long").alias("k"),
+            F.concat_ws(":", "_table", bucket).alias("_cell"),
+        )
+        return written(celled, "buckets")
+
     q, p = prepared(queries), prepared(points)
     model = BucketedRandomProjectionLSH(
         inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=1
     ).fit(p)
-    near = model.approxSimilarityJoin(q, p, radius, distCol="euclid").filter(
-        F.col(f"datasetA.{group}") == F.col(f"datasetB.{group}")
-    )
-    found = near.select(
-        F.col(f"datasetA.{group}").alias(group),
-        F.col("datasetA.id").alias("q_id"),
-        F.col("datasetB.id").alias("p_id"),
-        F.round(F.col("euclid") * F.col("euclid") / 2, ROUND).alias("distance"),
-    )
+    # points of a bucket stream past its blocks of queries: no pair is written but the k nearest of each table
+    q, p = buckets(q), buckets(p)
+    q = written(_parted(q, group, min(_block_size(q.count(), 1), max(1, BEST_ENTRIES // k))), "query-buckets")
+    meetings = q.select(group, "_cell", F.col("block").alias("meet")).distinct()
+    met = _met(q.withColumnRenamed("block", "meet"), p.join(meetings, [group, "_cell"]), group, "unit", radius)
+    found = met.drop("_k").dropDuplicates([group, "q_id", "p_id"])
     return first_rows(found, k, [F.asc("distance"), F.asc("p_id")], [group, "q_id"])
 
 

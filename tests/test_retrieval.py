@@ -216,3 +216,22 @@ def test_long_core_sets_are_held_in_parts(spark, monkeypatch):
         found.setdefault(r.q_id, []).append(r.p_id)
     assert found == brute_force(q_rows, p_rows, "euclidean", 40)
     assert sizes[0] <= 15
+
+
+def test_hashed_search_moves_no_pairs(spark, monkeypatch):
+    """All vectors share their buckets: the nearest are exact, and a table hands on k per query."""
+    q_rows, q = vectors(spark, 80, 15)
+    p_rows, p = vectors(spark, 200, 16)
+    handed, meeting = [], ops._met
+
+    def counted(*args):
+        out = meeting(*args)
+        handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(ops, "_met", counted)
+    found = {}
+    for r in ops.nearest_points_lsh(q, p, 3, radius=3.0, bucket_length=1000.0).orderBy("q_id", "rank").collect():
+        found.setdefault(r.q_id, []).append(r.p_id)
+    assert found == brute_force(q_rows, p_rows, "cosine", 3)
+    assert 0 < handed[0] <= 4 * 3 * 80
