@@ -114,3 +114,24 @@ def test_context_lookup_of_an_empty_feed(spark):
     logs = spark.createDataFrame([(1, "api", "n", "f", at(0))], "log_id long, service string, node string, filename string, ts timestamp")
     found = ops.context_lookup(spark.createDataFrame([], feed), logs)
     assert found.columns[-1] == "anomaly_id" and not found.count()
+
+
+def test_context_lookup_stores_no_pairs(spark, monkeypatch):
+    """Every entry meets every log: only the buckets, at most ten per entry, are stored; repeated nodes count once."""
+    stored, keep = [], ops.written
+
+    def measured(df, label):
+        out = keep(df, label)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(ops, "written", measured)
+    monkeypatch.setattr(ops, "is_small", lambda df: False)
+    feed = spark.createDataFrame(
+        [(str(i), "api", ["n", "n"], ["f"], at(i), at(i)) for i in range(50)],
+        "id string, service string, nodes array<string>, filenames array<string>, start_ts timestamp, end_ts timestamp",
+    )
+    rows = [(i, "api", "n", "f", at(i % 50)) for i in range(500)]
+    logs = spark.createDataFrame(rows, "log_id long, service string, node string, filename string, ts timestamp")
+    found = ops.context_lookup(feed, logs, 60)
+    assert found.count() == 50 * 500 and max(stored) <= 50 * 10
