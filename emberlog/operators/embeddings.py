@@ -22,15 +22,20 @@ TRIGRAM_DIM = 32
 MAX_WORDS = 200_000
 
 
-def _trigram_vector(token: Column, dim: int) -> Column:
-    framed = F.concat(F.lit("#"), token, F.lit("#"))
-    code = lambda i: F.ascii(F.substring(framed, i, 1))
+def _trigram_vectors(tokens: Column, dim: int) -> Column:
+    """One vector per token; the slots of a token's trigrams are worked out once, not once per dimension."""
+    code = lambda framed, i: F.ascii(F.substring(framed, i, 1))
+    framed = F.transform(tokens, lambda t: F.concat(F.lit("#"), t, F.lit("#")))
     slots = F.transform(
-        F.sequence(F.lit(1), F.length(token)),
-        lambda i: (code(i) * 961 + code(i + 1) * 31 + code(i + 2)) % dim,
+        framed,
+        lambda t: F.transform(
+            F.sequence(F.lit(1), F.length(t) - 2),
+            lambda i: (code(t, i) * 961 + code(t, i + 1) * 31 + code(t, i + 2)) % dim,
+        ),
     )
+    dims = F.sequence(F.lit(0), F.lit(dim - 1))
     return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double")
+        slots, lambda of: F.transform(dims, lambda d: F.size(F.filter(of, lambda s: s == d)).cast("double"))
     )
 
 
@@ -41,7 +46,7 @@ def add_vectors(vectors: Column, dim: int) -> Column:
 
 def embed_trigrams(lines: DataFrame, text: str = "cleaned_text", dim: int = TRIGRAM_DIM) -> DataFrame:
     """Counts of hashed character trigrams per token; the line vector is their sum."""
-    tokens = F.transform(word_tokens(F.col(text)), lambda t: _trigram_vector(t, dim))
+    tokens = _trigram_vectors(word_tokens(F.col(text)), dim)
     return lines.withColumn("tokens", tokens).withColumn("cls", add_vectors(F.col("tokens"), dim))
 
 

@@ -235,3 +235,14 @@ def test_hashed_search_moves_no_pairs(spark, monkeypatch):
         found.setdefault(r.q_id, []).append(r.p_id)
     assert found == brute_force(q_rows, p_rows, "cosine", 3)
     assert 0 < handed[0] <= 4 * 3 * 80
+
+
+def test_trigram_slots_are_worked_out_once_per_token(spark):
+    """Counting a slot doesn't repeat the work on the token's characters; letters beyond ASCII count as code points."""
+    lines = spark.createDataFrame([("Öl ab", 1), ("", 2), (None, 3)], "cleaned_text string, n int")
+    embedded = emb.embed_trigrams(lines, dim=8)
+    assert "filter(transform(" not in embedded._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.n: r for r in embedded.collect()}
+    slot = (ord("#") * 961 + ord("ö") * 31 + ord("l")) % 8
+    assert rows[1].tokens[0][slot] >= 1 and sum(rows[1].cls) == 4 and rows[1].cls == [a + b for a, b in zip(*rows[1].tokens)]
+    assert (rows[2].tokens, rows[2].cls) == ([], [0.0] * 8) and rows[3].tokens is None and rows[3].cls is None
