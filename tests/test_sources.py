@@ -117,3 +117,18 @@ def test_shipped_record(spark):
     for number in (1704067207, 1704067207179, 1704067207179575, 1704067207179575123):
         got = spark.range(1).select(F.unix_micros(loki.epoch_time(F.lit(number)))).first()[0]
         assert got // 1_000_000 == 1704067207
+
+
+def test_spread_of_a_file_with_one_row_group(spark, tmp_path):
+    """The file is cut into more splits than cores, but its rows lie in one of them."""
+    path = str(tmp_path / "packed.parquet")
+    spark.range(20_000).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(path)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+    try:
+        packed = spark.read.parquet(path)
+        assert packed.rdd.getNumPartitions() >= 8
+        sizes = files.spread(packed, "id").groupBy(F.spark_partition_id()).count().toDF("part", "n").agg(F.sum("n"), F.max("n"))
+        assert sizes.first()[0] == 20_000 and sizes.first()[1] < 4_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
