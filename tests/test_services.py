@@ -92,3 +92,22 @@ def test_any_number_of_rule_sets(spark, n_services):
     for name, found in got.items():
         i = int(name[1:])
         assert found == (f"!7$ b(3 k{i}=v{i}", "b(3" if i % 2 else f"v{i}")
+
+
+def test_rules_are_translated_once_per_service(spark, monkeypatch, tmp_path):
+    """Also where the services are the distinct values of a larger table and share one setting."""
+    calls, real = tmp_path / "calls", ops._java_rules
+    calls.touch()
+
+    def counted(subs):
+        with open(calls, "a") as file:
+            file.write("x")
+        return real(subs)
+
+    monkeypatch.setattr(ops, "_java_rules", counted)
+    names = spark.range(3000).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("name")).distinct()
+    rule = F.struct(F.lit("[0-9]+").alias("pattern"), F.lit("N").alias("replacement"))
+    services = ops.with_defaults(names.withColumn("regex_subs", F.array(rule)))
+    logs = spark.createDataFrame([("s1", "a 12")], "service string, original_text string")
+    assert ops.clean_text(services)(logs).first().cleaned_text == "a N"
+    assert len(calls.read_text()) == 3
