@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import feedback as ops
 from emberlog.operators.lines import dashboard_rows
+from emberlog.plans import catalog, views
 
 T0 = dt.datetime(2024, 1, 1, 12)
 LOG = "struct<log_id:long,service:string,node:string,filename:string,ts:timestamp,original_text:string>"
@@ -135,3 +136,12 @@ def test_context_lookup_stores_no_pairs(spark, monkeypatch):
     logs = spark.createDataFrame(rows, "log_id long, service string, node string, filename string, ts timestamp")
     found = ops.context_lookup(feed, logs, 60)
     assert found.count() == 50 * 500 and max(stored) <= 50 * 10
+
+
+@pytest.mark.parametrize("name", ["H5_marked_normals", "H5_mark_normal_lines"])
+def test_feedback_on_lines_needs_no_chunks(spark, sf_dir, monkeypatch, name):
+    def made(self):
+        raise AssertionError("chunks were made")
+
+    monkeypatch.setattr(views.LogTables, "stored_chunks", property(made))
+    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
