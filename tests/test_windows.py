@@ -162,3 +162,22 @@ def test_windows_of_repeated_ids(spark, rows_per_range):
     assert len(windows) == 20 and all(len(w.logs) == 20 for w in windows)
     ordered = [log for w in sorted(windows, key=lambda w: w.window_no) for log in w.logs]
     assert [log.log_id for log in ordered] == [r[0] for r in sorted(rows, key=lambda r: (r[4], r[0])) for _ in range(2)]
+
+
+def test_rows_of_sessions_are_made_once(spark, tmp_path):
+    """However many steps it takes to number them."""
+    calls = tmp_path / "calls"
+    calls.touch()
+
+    def named(i):
+        with open(calls, "a") as file:
+            file.write("x")
+        return f"s{i % 2}"
+
+    logs = spark.range(200).select(
+        F.udf(named, "string")("id").alias("sid"), F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("log_id"),
+        (F.col("id") % 7).alias("key_id"),
+    )
+    found = ops.session_positions(logs, "sid", rows_per_range=20).collect()
+    assert {(r.sid, r.pos, r.key_id) for r in found} == {(f"s{i % 2}", i // 2 + 1, i % 7) for i in range(200)}
+    assert len(calls.read_text()) == 200
