@@ -56,6 +56,24 @@ def test_train_strategy(spark, rows_per_range):
     assert kept.train_strategy == "finetune"
 
 
+def test_only_the_minute_of_the_cut_is_numbered(spark, monkeypatch):
+    rows, logs = make_logs(spark, 500)
+    seen = spark.createDataFrame([("api", 30)], "service string, seen long")
+    whole = {r.log_id: r.train_strategy for r in ops.tag_train_strategy(logs, config(spark), seen=seen).collect()}
+    numbered = []
+    number = ops.number_rows
+
+    def counted(df, *args):
+        numbered.append(df.count())
+        return number(df, *args)
+
+    monkeypatch.setattr(ops, "number_rows", counted)
+    got = ops.tag_train_strategy(logs, config(spark), 60, seen).collect()
+    assert {r.log_id: r.train_strategy for r in got} == whole
+    # two training services over ten minutes, a third of the logs each
+    assert sum(numbered) < 100
+
+
 def test_window_key_falls_back_to_node(spark):
     _, logs = make_logs(spark, 60)
     for r in window_key(extract_traces(logs, config(spark))).collect():
