@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import feedback as ops
 from emberlog.operators.lines import dashboard_rows
-from emberlog.plans import catalog, views
+from emberlog.plans import catalog, streams, views
+from emberlog.plans.feed import Predictions
 
 T0 = dt.datetime(2024, 1, 1, 12)
 LOG = "struct<log_id:long,service:string,node:string,filename:string,ts:timestamp,original_text:string>"
@@ -145,3 +146,18 @@ def test_feedback_on_lines_needs_no_chunks(spark, sf_dir, monkeypatch, name):
 
     monkeypatch.setattr(views.LogTables, "stored_chunks", property(made))
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_live_feed_cleans_and_stores_logs_once(spark, sf_dir, monkeypatch):
+    """Predictions of lines come from the cleaned logs that the chunks are made of."""
+    p, labels, keep = Predictions(spark, sf_dir), [], views.written
+
+    def noted(df, label):
+        labels.append(label)
+        return keep(df, label)
+
+    assert "regexp_replace" not in p.line_predictions._jdf.queryExecution().optimizedPlan().toString()
+    for module in (views, streams):
+        monkeypatch.setattr(module, "written", noted)
+    catalog.QUERIES["H7_live_feed"](spark, sf_dir)
+    assert sorted(labels) == ["chunks", "cleaned", "services"]
