@@ -151,3 +151,20 @@ def test_dashboard_text(spark):
         t.shorten(F.lit("x" * 801)).alias("cut"), t.shorten(F.lit("x" * 800)).alias("whole"), t.basename(F.lit("/a/b.log")).alias("f")
     ).first()
     assert row.cut == "x" * 800 + "..." and row.whole == "x" * 800 and row.f == "b.log"
+
+
+def test_words_move_as_numbers(spark):
+    """Places and ids of words are gathered as plain numbers, and words are cut in one step; results stay as defined."""
+    texts = ["", "  ", "Ab-ab ab", "é2 ß x", None, " ".join(f"w{i}" for i in range(600)), "...a...", "b b b a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = ops.build_vocabulary(df).filter("token_id < 100")
+    ids = {r.token: r.token_id for r in vocabulary.collect()}
+    found = ops.tokenize(df, vocabulary, "doc_id", length=512)
+    for row in found.collect():
+        words = [w for w in re.split(r"[\W_]+", (texts[row.doc_id] or "").lower()) if w][:510]
+        expected = [2, *[ids.get(w, 1) for w in words], 3]
+        assert row.tokens.input_ids == expected + [0] * (512 - len(expected))
+        assert sum(row.tokens.attention_mask) == len(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(named_struct" not in plan and "collect_list(CASE WHEN isnotnull(token" in plan
+    assert "filter(split" not in plan
