@@ -52,9 +52,12 @@ class RetrievalStream:
 
     def mark_normal(self, lines: DataFrame) -> None:
         """Lines that a user called normal join the store of their service."""
-        distinct = retrieval.first_occurrences(lines.select(*STORED_FIELDS), ["service", "hash"])
-        vectors, _ = embed_cached(distinct, self.cache.all(), self.embed)
-        self.marked.write(distinct.select("service", "hash").join(vectors, "hash").select("service", "hash", "cls", "tokens"))
+        with scratch(self.spark):
+            # lines may be dear to work out, and are looked at several times
+            lines = written(lines.select("service", "hash", "cleaned_text", "ts", "log_id"), "lines-to-mark")
+            distinct = written(retrieval.first_occurrences(lines, ["service", "hash"]), "marked-lines")
+            vectors, _ = embed_cached(distinct, self.cache.all(), self.embed)
+            self.marked.write(distinct.select("service", "hash").join(vectors, "hash").select("service", "hash", "cls", "tokens"))
 
     def process(self, logs: DataFrame, batch_id: int) -> None:
         """One micro-batch; the body of ``foreachBatch``."""
@@ -65,7 +68,7 @@ class RetrievalStream:
         services = self.load_services()
         store = self.store(batch_id)
         unknown = written(retrieval.unknown_lines(clean(logs, services), store), "unknown").select(*STORED_FIELDS)
-        distinct = retrieval.first_occurrences(unknown, ["service", "hash"])
+        distinct = written(retrieval.first_occurrences(unknown, ["service", "hash"]), "unknown-lines")
         vectors, added = embed_cached(distinct, self.cache.all(batch_id), self.embed)
         self.cache.write(added, batch_id)
         vectors = self.cache.all(batch_id + 1)

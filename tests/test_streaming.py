@@ -156,6 +156,23 @@ def one_hot(df):
     return df.withColumns({"cls": vector, "tokens": F.array(vector)})
 
 
+def test_marked_lines_are_worked_out_once(spark):
+    services = config(spark, threshold=F.lit(0.5), coreset_size=F.lit(2))
+    stream = RetrievalStream(spark, new_shared_path(spark, "marked"), lambda: services, embed=one_hot)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def dear(text):
+        made.add(1)
+        return text
+
+    logs = spark.createDataFrame(rows(100, seed=9), SCHEMA)
+    expected = {(r.service, r.hash) for r in line_ops.clean(logs, services).select("service", "hash").distinct().collect()}
+    stream.mark_normal(line_ops.clean(logs.withColumn("original_text", dear("original_text")), services))
+    assert {(r.service, r.hash) for r in stream.store().collect()} == expected
+    assert made.value == 100
+
+
 def test_retrieval_stream(spark):
     """Batches against a plain loop over the batch rule."""
     data = rows(240, seed=8)
