@@ -98,11 +98,12 @@ def policy_step(
     context in it than the policy expects.
     """
     played = written(_played(sequences, policy, settings, cut, margin, order, ids), "policy-played")
-    rewards = played.groupBy("chunk_id", "service").agg(F.sum("gain").alias("_reward"))
+    rewards = written(played.groupBy("chunk_id", "service").agg(F.sum("gain").alias("_reward")), "policy-rewards")
     counts = rewards.groupBy("service").agg(F.count(F.lit(1)).alias("_n"))
-    earned = written(played.join(rewards, ["chunk_id", "service"]).select(*_CONTEXT, "next_id", "_reward"), "policy-earned")
-    by_key = earned.groupBy(*_CONTEXT, "next_id").agg(F.sum("_reward").alias("_got"))
-    by_context = earned.groupBy(*_CONTEXT).agg(F.sum("_reward").alias("_all"))
+    earned = played.join(rewards, ["chunk_id", "service"])
+    # one pass over the positions; everything below works on the far smaller table of what was earned by key
+    by_key = written(earned.groupBy(*_CONTEXT, "next_id").agg(F.sum("_reward").alias("_got")), "policy-earned")
+    by_context = by_key.groupBy(*_CONTEXT).agg(F.sum("_got").alias("_all"))
 
     rows = _shares(policy).join(by_context, _CONTEXT, "left").join(sized(counts), "service", "left")
     known = rows.join(by_key, [*_CONTEXT, "next_id"], "left")

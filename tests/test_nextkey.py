@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from emberlog.detectors import NextKeyDetector
 from emberlog.functions.sequences import BOS, EOS, PAD
 from emberlog.operators import nextkey as ops
-from emberlog.operators import policy
-from emberlog.plans import nextkeys
+from emberlog.operators import ordering, policy
+from emberlog.plans import nextkeys, views
 
 SCHEMA = "chunk_id string, service string, input_ids array<int>, train_strategy string"
 
@@ -210,3 +210,35 @@ def test_reward_rises_with_steps(spark):
     row = new.filter("context = array(5, 6) and next_id = 11").first()
     rest = {tuple(r.context): r.n_keys for r in start.filter("next_id is null").collect()}
     assert row and new.filter("context = array(5, 6) and next_id is null").first().n_keys == rest[(5, 6)] - 1
+
+
+def test_key_sequences_move_no_texts(spark, sf_dir, monkeypatch):
+    """No table that the chunks are made of holds the text of a log, and what they say is what chunks with texts say."""
+    stored = []
+    for module in (nextkeys, views, ordering):
+        monkeypatch.setattr(module, "written", lambda df, label, keep=module.written: stored.append((label, df.columns)) or keep(df, label))
+    e = nextkeys.Experiment(spark, sf_dir)
+    found = {(r.chunk_id, r.service, r.window_no, tuple(r.input_ids)) for r in e.stored_chunks.collect()}
+    columns = dict(stored)
+    assert set(columns["rows-to-number"]) == {"service", "key", "ts", "log_id", "key_id"}
+    assert not {c for _, names in stored for c in names} & {"original_text", "original_logs", "hash", "train_strategy"}
+    whole = views.chunks(spark, sf_dir).collect()
+    assert found == {(r.chunk_id, r.service, r.window_no, tuple(r.input_ids)) for r in whole} and len(found) == len(whole) > 0
+    named = nextkeys.Experiment(spark, sf_dir, "train_strategy", "cleaned_text").stored_chunks.collect()
+    assert {(r.chunk_id, r.train_strategy, r.hash) for r in named} == {(r.chunk_id, r.train_strategy, r.hash) for r in whole}
+
+
+def test_a_step_stores_what_is_earned_by_key(spark, monkeypatch):
+    """Not one row per position."""
+    stored, keep = {}, policy.written
+
+    def noted(df, label):
+        stored[label] = keep(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(policy, "written", noted)
+    settings = spark.createDataFrame([("a", 2, 12), ("b", 2, 12)], "service string, top_k int, vocab_size long")
+    start = policy.initial_policy(ops.train(chunks(spark, 60, 1)[1]), settings)
+    policy.policy_step(chunks(spark, 200, 2)[1], start, settings).count()
+    earned = stored["policy-earned"]
+    assert 0 < earned.count() == earned.select("service", "context", "next_id").distinct().count() < stored["policy-played"].count()

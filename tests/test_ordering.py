@@ -79,3 +79,16 @@ def test_first_rows_limits_before_the_shuffle(spark):
         (0, 999, 1), (0, 996, 2), (1, 997, 1), (1, 994, 2), (2, 998, 1), (2, 995, 2)
     }
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+def test_numbered_ranges_stay_where_they_are(spark):
+    """Few groups and ranges: their offsets are sent to the numbered rows, which are not dealt out and sorted again."""
+    df = spark.createDataFrame(rows(600, 3), "key string, ts long, id long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = ordering.number_rows(df, ["ts", "id"], ["key"], rows_per_range=100)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
