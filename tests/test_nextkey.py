@@ -217,14 +217,14 @@ def test_key_sequences_move_no_texts(spark, sf_dir, monkeypatch):
     stored = []
     for module in (nextkeys, views, ordering):
         monkeypatch.setattr(module, "written", lambda df, label, keep=module.written: stored.append((label, df.columns)) or keep(df, label))
-    e = nextkeys.Experiment(spark, sf_dir)
+    e = nextkeys.KeyExperiment(spark, sf_dir)
     found = {(r.chunk_id, r.service, r.window_no, tuple(r.input_ids)) for r in e.stored_chunks.collect()}
     columns = dict(stored)
     assert set(columns["rows-to-number"]) == {"service", "key", "ts", "log_id", "key_id"}
     assert not {c for _, names in stored for c in names} & {"original_text", "original_logs", "hash", "train_strategy"}
     whole = views.chunks(spark, sf_dir).collect()
     assert found == {(r.chunk_id, r.service, r.window_no, tuple(r.input_ids)) for r in whole} and len(found) == len(whole) > 0
-    named = nextkeys.Experiment(spark, sf_dir, "train_strategy", "cleaned_text").stored_chunks.collect()
+    named = nextkeys.KeyExperiment(spark, sf_dir, "train_strategy", "cleaned_text").stored_chunks.collect()
     assert {(r.chunk_id, r.train_strategy, r.hash) for r in named} == {(r.chunk_id, r.train_strategy, r.hash) for r in whole}
 
 
